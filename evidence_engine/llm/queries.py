@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, licenses, near_dedup, packing, quality
+from . import html_text, language, licenses, near_dedup, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op9_dense_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_subword_quality": op6_subword_quality,
     "op7_rare_word_licenses": op7_rare_word_licenses,
     "op8_hyperminhash": op8_hyperminhash,
+    "op9_dense_html_text": op9_dense_html_text,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
 
