@@ -6,9 +6,10 @@ filled one in an order of their own, so that registers of two sets agree as ofte
 Runs of registers are the bands by which documents meet. Candidates are first judged by the share of equal registers, less
 the share expected to collide at these set sizes, and those left are compared on their full sets.
 
-Equal sets are one class from the start. In a bucket every member meets the smallest; members that did not end in its
-component then meet all those of other components, so a link can only be lost where no band of two sets is equal: at a
-similarity of 0.8 with the default 32 bands of 4, (1 - 0.8 ** 4) ** 32, less than 1 in 10 million.
+Equal sets are one class from the start. In a bucket every member meets the smallest. Members of buckets that still hold
+several components are then compared across components wherever they share one of their rarest shingles, which sets of the
+similarity asked for always do. So a link can only be lost where no band of two sets is equal: at a similarity of 0.8 with
+the default 32 bands of 4, (1 - 0.8 ** 4) ** 32, less than 1 in 10 million.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from .graph import components
 REGISTERS = 128
 ROWS = 4
 MANTISSA = 10
-#: How far below the threshold an estimate may lie before the pair is dropped without comparing sets: over 7 standard deviations.
-SLACK = 0.27
+#: How far below the threshold an estimate may lie before the pair is dropped without comparing sets: over 5 standard deviations.
+SLACK = 0.2
 #: Up to so many ids are broadcast when texts of candidates are fetched (8 MB); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -178,6 +179,47 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return both.sortWithinPartitions("a").mapInArrow(run, "a long, b long")
 
 
+def shingle_rows(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, shingle) for the sets of docs (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            held, n = [], []
+            for i, s in enumerate(shingle_sets(batch.column(1), size)):
+                held.append(s)
+                n.append(len(s))
+                if sum(n) > 200_000 or i + 1 == batch.num_rows:
+                    of = np.repeat(ids[i + 1 - len(n) : i + 1], n)
+                    yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(np.concatenate(held).view(np.int64))], ["doc_id", "shingle"])
+                    held, n = [], []
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingle long")
+
+
+def sharing_rare(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (doc_id, own) of different components that share one of their rarest shingles. Sets that are
+    as similar as ``percent`` asks share at least that part of either; so they share one of the n - ceil(n * percent / 100)
+    + 1 shingles of a set that the fewest members have, in an order that is the same for all."""
+    ids = members.select(F.col("doc_id").alias("id"))
+    rows = staged(shingle_rows(texts_of(docs.where("doc_id is not null"), ids), size).distinct(), "shingles")
+    held = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+    shared = rows.join(held.where("df > 1"), "shingle").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("common"))
+    n = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    # shingles that no other member has come first in the order, and need not be looked at; "left" counts a set's shingles
+    # from a place on, which are all that it can share with a set whose first common shingle stands there
+    rare = shared.join(n, "doc_id").join(members, "doc_id")
+    own = F.col("n") - F.size("common")
+    rare = rare.select("doc_id", "own", "n", own.alias("alone"), F.posexplode("common.shingle").alias("place", "shingle"))
+    rare = rare.where(100 * (F.col("n") - F.col("alone") - F.col("place")) >= percent * F.col("n")).select("doc_id", "own", "n", "shingle", (F.col("n") - F.col("alone") - F.col("place")).alias("left"))
+    rare = staged(rare, "rare")
+    across = rare.groupBy("shingle").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("shingle")
+    rare = rare.join(across, "shingle", "left_semi")
+    x, y = (rare.toDF("shingle", *[f"{k}_{c}" for c in ("doc_id", "own", "n", "left")]) for k in "xy")
+    fits = (F.col("x_own") < F.col("y_own")) & ((100 + percent) * F.least("x_left", "y_left") >= percent * (F.col("x_n") + F.col("y_n")))
+    return x.join(y, "shingle").where(fits).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -201,13 +243,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     links = staged(verified(star, staged(texts_of(docs, ids(star)), "texts"), size, percent).distinct(), "links")
     found = components(links)
 
-    # members whose component is not their leader's meet the other components of the bucket
+    # the rest: members of buckets that hold several components
     label = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"{x}_in"))
-    placed = buckets.join(label("doc_id"), "doc_id", "left").join(label("leader"), "leader", "left")
-    placed = placed.select("key", "doc_id", F.coalesce("doc_id_in", "doc_id").alias("own"), F.coalesce("leader_in", "leader").alias("lead"))
-    odd = staged(placed.where("own <> lead").select("key", F.col("doc_id").alias("x"), F.col("own").alias("x_in")), "odd")
-    rest = odd.join(placed.select("key", F.col("doc_id").alias("y"), F.col("own").alias("y_in")), "key").where("x_in <> y_in")
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
+    placed = buckets.join(label("doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("doc_id_in", "doc_id").alias("own"))
+    mixed = placed.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("key")
+    members = staged(placed.join(mixed, "key", "left_semi").select("doc_id", "own").distinct(), "members")
+    rest = sharing_rare(docs, members, size, percent).join(star.select("a", "b"), ["a", "b"], "left_anti")
     rest = staged(likely(rest, sets, percent / 100), "rest")
     more = staged(verified(rest, staged(texts_of(docs, ids(rest)), "texts"), size, percent).distinct(), "links")
     if not more.isEmpty():
