@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, language, licenses, near_dedup, outliers, packing, quality
+from . import decontaminate, html_text, language, licenses, near_dedup, outliers, packing, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judged(_table(spark, sf_dir, "documents"))
 
 
+def op4_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_index(_table(spark, sf_dir, "pages"))
+
+
 def op5_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pigeonhole_decontamination": op1_pigeonhole_decontamination,
     "op3_robust_outliers": op3_robust_outliers,
+    "op4_capture_index": op4_capture_index,
     "op5_rank_order_language": op5_rank_order_language,
     "op6_subword_quality": op6_subword_quality,
     "op7_rare_word_licenses": op7_rare_word_licenses,
