@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, language, licenses, near_dedup, outliers, packing, quality, warc
+from . import decontaminate, html_text, language, licenses, near_dedup, outliers, packing, quality, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(_table(spark, sf_dir, "documents"))
+
+
 def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judged(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pigeonhole_decontamination": op1_pigeonhole_decontamination,
+    "op2_suffix_array": op2_suffix_array,
     "op3_robust_outliers": op3_robust_outliers,
     "op4_capture_index": op4_capture_index,
     "op5_rank_order_language": op5_rank_order_language,
