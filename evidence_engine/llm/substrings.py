@@ -30,6 +30,8 @@ SEGMENT = 64
 SHARD_BYTES = 12 << 20
 #: Runs of windows whose fingerprints a task gathers before it sends them.
 FLUSH = 1_000_000
+#: Bytes of text whose segments a task gathers before it sends them.
+STRETCH = 16 << 20
 #: Bytes of segments that one suffix sorting takes; a group of segments with a common anchor is not divided.
 SORT_BYTES = 4 << 20
 #: Up to so many ids are broadcast (8 MB); beyond it they are joined by a shuffle.
@@ -82,40 +84,72 @@ def keys(anchor: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> U64(40)) % U64(shards)) << U64(40) | h & PRINT
 
 
+def packets(place: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple[int, dict[str, bytes]]]:
+    """The rows of some columns by the task (place) that they go to: one binary value a task and column."""
+    by = np.argsort(place, kind="stable")
+    place = place[by]
+    edge = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
+    moved = {k: x[by] for k, x in columns.items()}
+    for lo, hi in zip(edge, np.append(edge[1:], len(place))):
+        yield int(place[lo]), {k: x[lo:hi].tobytes() for k, x in moved.items()}
+
+
+def buckets(ids: np.ndarray, shards: int) -> np.ndarray:
+    return (textkit.mix(ids.view(U64) + textkit.GOLDEN) % U64(shards)).astype(np.int64)
+
+
+def batch_of(rows: list[tuple[int, dict[str, bytes]]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int32()), *[pa.array([y.get(n) for _, y in rows], pa.binary()) for n in names]], ["task", *names])
+
+
+def joined(parts: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), kind)
+
+
+def gathered(rows: DataFrame, shards: int, kinds: dict[str, str]) -> DataFrame:
+    """One row a document of packets (task, ids and the columns of kinds): doc_id, and each column's values as one binary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[bytes]] = {k: [] for k in ("ids", *kinds)}
+        for batch in batches:
+            for k, col in zip(held, batch.columns):
+                held[k] += col.to_pylist()
+        ids = joined(held["ids"], "<i8")
+        by = np.argsort(ids, kind="stable")
+        ids = ids[by]
+        data = {k: joined(held[k], kind)[by] for k, kind in kinds.items()}
+        edge = np.append(np.flatnonzero(np.append(True, ids[1:] != ids[:-1])), len(ids)) if len(ids) else np.zeros(1, np.int64)
+        for at in range(0, len(edge) - 1, 5000):
+            part = edge[at : at + 5001]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[part[:-1]], pa.int64()), *[pa.array([x[lo:hi].tobytes() for lo, hi in zip(part, part[1:])], pa.binary()) for x in data.values()]], ["doc_id", *kinds])
+
+    return rows.select("task", "ids", *kinds).repartition(shards, "task").select("ids", *kinds).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} binary" for k in kinds))
+
+
+PRINTS = ["prints", "codes", "docs", "ids", "keys"]
+
+
 def fingerprints(docs: DataFrame, shards: int) -> DataFrame:
-    """Rows of two kinds. For shards (shard, prints, codes, ids): distinct fingerprints of a batch of documents, sorted, each
-    with a document that has it, as a place in ids. For documents (doc_id, keys): those that several documents of the batch have."""
-    schema = "shard int, prints binary, codes binary, ids binary, doc_id long, keys binary"
+    """Packets of two kinds, of the fingerprints in docs. For shards (task, prints, codes, docs): the distinct ones of a stretch
+    of documents, each with a document that has it, as a place in docs. For documents (task, ids, keys): those that several
+    documents of the stretch have, so that what is common costs the shards no more than a row for each stretch."""
 
-    def send(ids: np.ndarray, key: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def send(ids: np.ndarray, key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
         by = np.argsort(key)
         key, doc = key[by], doc[by]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        group, start = np.cumsum(new) - 1, np.flatnonzero(new)
-        several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
-        here = several[group]
-        by = np.lexsort((key[here], doc[here]))
-        k, d = key[here][by], doc[here][by]
-        keep = np.ones(len(k), bool)
-        keep[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-        k, d = k[keep], d[keep]
-        edge = np.append(np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, np.int64), len(d))
-        n = len(edge) - 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 3, pa.array(ids[d[edge[:-1]]], pa.int64()), pa.array([k[lo:hi].tobytes() for lo, hi in zip(edge, edge[1:])], pa.binary())],
-            ["shard", "prints", "codes", "ids", "doc_id", "keys"],
-        )
+        new = np.append(True, key[1:] != key[:-1])
+        start = np.flatnonzero(new)
+        several = np.repeat(np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start), np.diff(np.append(start, len(key))))
+        own = ids[doc[several]]
+        rows = list(packets(buckets(own, shards), {"ids": own, "keys": key[several]}))
         key, doc = key[start], doc[start]
         shard = (key >> U64(40)).astype(np.int64)
-        rows: list[list] = [[], [], [], []]
-        for lo, hi in zip(e := np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), np.append(e[1:], len(shard))):
+        edge = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+        for lo, hi in zip(edge, np.append(edge[1:], len(shard))):
             some, code = np.unique(doc[lo:hi], return_inverse=True)
             five = np.ascontiguousarray(key[lo:hi]).view(np.uint8).reshape(-1, 8)[:, :5]
-            for col, x in zip(rows, (int(shard[lo]), np.ascontiguousarray(five).tobytes(), code.astype("<u2" if len(some) < 1 << 16 else "<u4").tobytes(), ids[some].tobytes())):
-                col.append(x)
-        n = len(rows[0])
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(x, pa.binary()) for x in rows[1:]], pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], ["shard", "prints", "codes", "ids", "doc_id", "keys"])
+            rows.append((int(shard[lo]), {"prints": np.ascontiguousarray(five).tobytes(), "codes": code.astype("<u2" if len(some) < 1 << 16 else "<u4").tobytes(), "docs": ids[some].tobytes()}))
+        return batch_of(rows, PRINTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, key, doc, n, base = [], [], [], 0, 0
@@ -128,89 +162,115 @@ def fingerprints(docs: DataFrame, shards: int) -> DataFrame:
                 doc.append(of + base)
                 n, base = n + len(anchor), base + len(piece)
                 if n >= FLUSH:
-                    yield from send(np.concatenate(ids), np.concatenate(key), np.concatenate(doc))
+                    yield send(np.concatenate(ids), np.concatenate(key), np.concatenate(doc))
                     ids, key, doc, n, base = [], [], [], 0, 0
         if n:
-            yield from send(np.concatenate(ids), np.concatenate(key), np.concatenate(doc))
+            yield send(np.concatenate(ids), np.concatenate(key), np.concatenate(doc))
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, "task int, " + ", ".join(f"{n} binary" for n in PRINTS))
 
 
 def repeated(prints: DataFrame, shards: int) -> DataFrame:
-    """(doc_id, keys) of the fingerprints that several rows of a shard have."""
+    """(doc_id, keys) of the fingerprints that several documents have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, doc = [], []
         for batch in batches:
-            for shard, prints, codes, ids in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            through = []
+            for task, prints, codes, docs, ids, found in zip(*(x.to_pylist() for x in batch.columns)):
+                if prints is None:
+                    through.append((task, {"ids": ids, "keys": found}))
+                    continue
                 five = np.frombuffer(prints, np.uint8).reshape(-1, 5)
                 eight = np.zeros((len(five), 8), np.uint8)
                 eight[:, :5] = five
-                key.append(eight.view("<u8").ravel() | U64(shard) << U64(40))
-                ids = np.frombuffer(ids, np.int64)
-                doc.append(ids[np.frombuffer(codes, "<u2" if len(ids) < 1 << 16 else "<u4")])
-        if not key:
-            return
-        key, doc = np.concatenate(key), np.concatenate(doc)
-        by = np.argsort(key)
-        key, doc = key[by], doc[by]
-        same = key[1:] == key[:-1]
-        twice = np.append(same, False) | np.append(False, same)
-        key, doc = key[twice], doc[twice]
-        by = np.argsort(doc, kind="stable")
-        key, doc = key[by], doc[by]
-        edge = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64), len(doc))
-        for lo in range(0, len(edge) - 1, 5000):
-            part = edge[lo : lo + 5001]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[part[:-1]], pa.int64()), pa.array([key[a:b].tobytes() for a, b in zip(part, part[1:])], pa.binary())], ["doc_id", "keys"])
+                key.append(eight.view("<u8").ravel() | U64(task) << U64(40))
+                docs = np.frombuffer(docs, "<i8")
+                doc.append(docs[np.frombuffer(codes, "<u2" if len(docs) < 1 << 16 else "<u4")])
+            if through:
+                yield batch_of(through, ["ids", "keys"])
+        if key:
+            key, doc = np.concatenate(key), np.concatenate(doc)
+            by = np.argsort(key)
+            key, doc = key[by], doc[by]
+            same = key[1:] == key[:-1]
+            twice = np.append(same, False) | np.append(False, same)
+            yield batch_of(list(packets(buckets(doc[twice], shards), {"ids": doc[twice], "keys": key[twice]})), ["ids", "keys"])
 
-    return prints.where("shard is not null").select("shard", "prints", "codes", "ids").repartition(shards, "shard").mapInArrow(run, "doc_id long, keys binary")
+    found = prints.repartition(shards, "task").mapInArrow(run, "task int, ids binary, keys binary")
+    return gathered(found, shards, {"keys": "<u8"})
+
+
+SEGMENTS = ["anchors", "names", "docs", "starts", "counts", "bytes", "ids", "lows", "highs"]
 
 
 def segments(found: DataFrame, shards: int) -> DataFrame:
-    """For docs with keys (doc_id, text, found: the keys another document has): one row for every segment of every document
-    (anchor, segment, doc_id, start, n), and for every distinct segment of a batch (anchor, segment, low, high, n, bytes)."""
-    schema = "anchor long, segment long, doc_id long, start long, n int, low long, high long, bytes binary"
-    names = [x.split()[0] for x in schema.split(", ")]
+    """Packets of docs (doc_id, text, keys: the fingerprints that others have). For shards (task, anchors, names, docs, starts,
+    counts, bytes): the distinct segments of a stretch, each of its smallest document. For documents (task, ids, lows, highs):
+    bytes of segments that a smaller document of the stretch has."""
+
+    def send(held: list[tuple]) -> pa.RecordBatch:
+        anchor, name, doc, start, count = (np.concatenate([x[i] for x in held]) for i in range(5))
+        by = np.lexsort((doc, name, anchor))
+        new = np.append(True, (anchor[by][1:] != anchor[by][:-1]) | (name[by][1:] != name[by][:-1]))
+        least = np.repeat(doc[by][new], np.diff(np.append(np.flatnonzero(new), len(by))))
+        known = by[doc[by] > least]
+        rows = list(packets(buckets(doc[known], shards), {"ids": doc[known], "lows": start[known].astype("<u4"), "highs": (start + count + LENGTH - 1)[known].astype("<u4")}))
+        one = by[new]
+        shard = (textkit.mix(anchor[one] + textkit.GOLDEN) >> U64(40)) % U64(shards)
+        to = np.argsort(shard, kind="stable")
+        one, shard = one[to], shard[to].astype(np.int64)
+        # the bytes of the chosen segments, one after the other
+        base = np.cumsum([0, *[len(x[5]) for x in held]])[:-1]
+        at = np.concatenate([x[6] + b for x, b in zip(held, base)])
+        text, size = np.concatenate([x[5] for x in held]), count[one] + LENGTH - 1
+        data = text[np.repeat(at[one] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
+        edge = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard))
+        where = np.concatenate([[0], np.cumsum(size)])
+        for lo, hi in zip(edge, edge[1:]):
+            x = one[lo:hi]
+            rows.append((int(shard[lo]), {"anchors": anchor[x].tobytes(), "names": name[x].tobytes(), "docs": doc[x].tobytes(), "starts": start[x].astype("<u4").tobytes(), "counts": count[x].astype("u1").tobytes(), "bytes": data[where[lo] : where[hi]].tobytes()}))
+        return batch_of(rows, SEGMENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             ids, want = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
             for piece in textkit.pieces(batch.column(1)):
-                start, n, anchor, doc = windows(piece)
-                key = keys(anchor, shards)
-                keep = np.zeros(len(start), bool)
+                start, count, anchor, doc = windows(piece)
+                key, keep = keys(anchor, shards), np.zeros(len(start), bool)
                 edge = np.searchsorted(doc, np.arange(len(piece) + 1))
                 for i in range(len(piece)):
-                    mine = np.frombuffer(b"".join(want[piece.lo + i]), "<u8")
-                    keep[edge[i] : edge[i + 1]] = np.isin(key[edge[i] : edge[i + 1]], mine)
-                start, n, anchor, doc = start[keep], n[keep], anchor[keep], doc[keep]
-                if not len(start):
-                    continue
-                data = piece.buf.tobytes()
-                held = [data[a:b] for a, b in zip(start.tolist(), (start + n + LENGTH - 1).tolist())]
-                name = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in held], np.int64)
-                of = ids[piece.lo + doc]
-                k = len(held)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(name), pa.array(of, pa.int64()), pa.array(start - piece.at[doc]), pa.array(n.astype(np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names)
-                by = np.lexsort((name, anchor))
-                new = np.append(True, (name[by][1:] != name[by][:-1]) | (anchor[by][1:] != anchor[by][:-1]))
-                first = np.flatnonzero(new)
-                one = by[first]
-                k = len(one)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[one].view(np.int64)), pa.array(name[one]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(n[one].astype(np.int32)), pa.array(np.minimum.reduceat(of[by], first), pa.int64()), pa.array(np.maximum.reduceat(of[by], first), pa.int64()), pa.array([held[i] for i in one.tolist()], pa.binary())], names)
-
-    return found.mapInArrow(run, schema)
-
-
-def least_documents(data: list[bytes], low: np.ndarray, sort_bytes: int = SORT_BYTES) -> list[np.ndarray]:
-    """For each window of each segment the smallest document (low) of all segments that hold the same LENGTH bytes."""
-    size = np.array([len(x) for x in data])
-    text = np.frombuffer(b"\xff".join(data) + b"\xff", np.uint8)
+                    keep[edge[i] : edge[i + 1]] = np.isin(key[edge[i] : edge[i + 1]], np.frombuffer(want[piece.lo + i], "<u8"))
+                start, count, anchor, doc = start[keep], count[keep], anchor[keep], doc[keep]
+                if len(start):
+                    held.append((anchor, named(piece.buf, start, count + LENGTH - 1), ids[piece.lo + doc], start - piece.at[doc], count, piece.buf, start))
+                    n += len(piece.buf)
+                    if n >= STRETCH:
+                        yield send(held)
+                        held, n = [], 0
+        if held:
+            yield send(held)
+
+    return found.mapInArrow(run, "task int, " + ", ".join(f"{x} binary" for x in SEGMENTS))
+
+
+def named(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte strings; two independent of the anchor's, with which they name a segment."""
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    off = np.arange(int(size.sum())) - np.repeat(begin, size)
+    value = textkit.BYTE_HASH[buf[np.repeat(start, size) + off]] * textkit.powers(int(size.max()))[off]
+    return textkit.mix(np.add.reduceat(value, begin) + size.astype(U64) * textkit.GOLDEN)
+
+
+def least_documents(text: np.ndarray, begin: np.ndarray, size: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For each window of the segments text[begin : begin + size], one segment after the other, the smallest document (low) of
+    all segments that hold the same LENGTH bytes."""
     at = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-    sym = text.astype(np.uint16) + 1
-    sym[at + size] = 0
-    of = np.repeat(np.arange(len(data)), size + 1)
+    sym = np.zeros(int((size + 1).sum()), np.uint16)
+    off = np.arange(int(size.sum())) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+    sym[np.repeat(at, size) + off] = text[np.repeat(begin, size) + off].astype(np.uint16) + 1
+    of = np.repeat(np.arange(len(size)), size + 1)
     whole = np.arange(len(sym)) + LENGTH <= (at + size)[of]
     least = np.zeros(len(sym), np.int64)
     # a string's suffixes come in one symbol's blocks, which follow each other
@@ -230,87 +290,84 @@ def least_documents(data: list[bytes], low: np.ndarray, sort_bytes: int = SORT_B
         kept.append((pos, new if kept else np.append(True, new[1:])))
     if kept:
         settle(np.concatenate([x[0] for x in kept]), np.concatenate([x[1] for x in kept]))
-    return [least[a : a + n - LENGTH + 1] for a, n in zip(at.tolist(), size.tolist())]
+    return least[whole]
 
 
-RESULT = "anchor long, segment long, ends array<int>, least array<long>"
+def intervals(hit: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of hit windows of segments that begin at first: (segment, first window, last window of the segment)."""
+    edge = np.zeros(len(hit) + 1, bool)
+    edge[first] = True
+    start = np.flatnonzero(hit & (edge[:-1] | ~np.append(False, hit[:-1])))
+    end = np.flatnonzero(hit & (np.append(edge[1:-1], True) | ~np.append(hit[1:], False)))
+    of = np.searchsorted(first, start, side="right") - 1
+    return of, start - first[of], end - first[of]
 
 
-def sorted_shards(distinct: DataFrame, sort_bytes: int = SORT_BYTES) -> DataFrame:
-    """(anchor, segment, ends, least) of segments in which some window has a smaller document than the segment's largest:
-    windows up to each of ends, exclusive, have that smallest document."""
+def sorted_shards(parts: DataFrame, shards: int, sort_bytes: int = SORT_BYTES) -> DataFrame:
+    """(doc_id, lows, highs): for each document the bytes that strings of LENGTH bytes cover which smaller documents have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], [], []]  # anchor, segment, low, high, bytes
-        group: list[tuple] = []
-        size = 0
-
-        def put(rows: list[tuple]) -> None:
-            for r in rows:
-                for col, x in zip(held, r):
-                    col.append(x)
-
-        def result() -> pa.RecordBatch:
-            out: list[list] = [[], [], [], []]
-            anchors, low, high = held[0], np.array(held[2], np.int64), held[3]
-            # a group of one segment has nothing to be compared with
-            alone = [(i == 0 or anchors[i - 1] != a) and (i + 1 == len(anchors) or anchors[i + 1] != a) for i, a in enumerate(anchors)]
-            several = [i for i, x in enumerate(alone) if not x]
-            least = dict(zip(several, least_documents([held[4][i] for i in several], low[several]))) if several else {}
-            for i, a in enumerate(anchors):
-                m = least.get(i)
-                if m is None:
-                    m = np.full(len(held[4][i]) - LENGTH + 1, low[i])
-                if m.min() < high[i]:
-                    edge = np.append(np.flatnonzero(m[1:] != m[:-1]) + 1, len(m))
-                    for col, x in zip(out, (a, held[1][i], edge.tolist(), m[edge - 1].tolist())):
-                        col.append(x)
-            for col in held:
-                col.clear()
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.list_(pa.int64()))], ["anchor", "segment", "ends", "least"])
-
+        held: list[list[bytes]] = [[] for _ in range(6)]
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if group and group[-1][0] != row[0]:
-                    put(group)
-                    size += sum(len(x[4]) for x in group)
-                    group = []
-                    if size >= sort_bytes:
-                        yield result()
-                        size = 0
-                if group and group[-1][:2] == row[:2]:
-                    last = group[-1]
-                    group[-1] = (*last[:2], min(last[2], row[2]), max(last[3], row[3]), last[4])
+            through = []
+            for task, *row in zip(*(x.to_pylist() for x in batch.columns)):
+                if row[0] is None:
+                    through.append((task, dict(zip(("ids", "lows", "highs"), row[6:]))))
                 else:
-                    group.append(row)
-        put(group)
-        if held[0]:
-            yield result()
-
-    return distinct.select("anchor", "segment", "low", "high", "bytes").repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(run, RESULT)
+                    for col, x in zip(held, row):
+                        col.append(x)
+            if through:
+                yield batch_of(through, ["ids", "lows", "highs"])
+        if not held[0]:
+            return
+        anchor, name, doc, start, count = (joined(col, kind) for col, kind in zip(held, ("<u8", "<u8", "<i8", "<u4", "u1")))
+        text, start, count = joined(held[5], "u1"), start.astype(np.int64), count.astype(np.int64)
+        held.clear()
+        at = np.concatenate([[0], np.cumsum(count + LENGTH - 1)[:-1]])
+        by = np.lexsort((doc, name, anchor))
+        anchor, name, doc, start, count, at = (x[by] for x in (anchor, name, doc, start, count, at))
+        new = np.append(True, (anchor[1:] != anchor[:-1]) | (name[1:] != name[:-1]))
+        one = np.flatnonzero(new)
+        # in a larger document than the segment's smallest, all windows are known
+        more = doc > np.repeat(doc[one], np.diff(np.append(one, len(doc))))
+        out = [(doc[more], start[more], (start + count + LENGTH - 1)[more])]
+        # segments whose anchor others have too are compared with them
+        a = anchor[one]
+        same = a[1:] == a[:-1]
+        one = one[np.append(same, False) | np.append(False, same)]
+        edge = np.append(np.flatnonzero(np.append(True, anchor[one][1:] != anchor[one][:-1])), len(one)) if len(one) else np.zeros(1, np.int64)
+        size = np.concatenate([[0], np.cumsum(count[one] + LENGTH)])
+        lo = 0
+        while lo < len(one):
+            # whole groups of an anchor, until there is enough
+            hi = int(edge[min(len(edge) - 1, np.searchsorted(size[edge], size[lo] + sort_bytes))])
+            part = one[lo : max(hi, int(edge[np.searchsorted(edge, lo, side="right")]))]
+            lo += len(part)
+            least = least_documents(text, at[part], count[part] + LENGTH - 1, doc[part])
+            first = np.concatenate([[0], np.cumsum(count[part])[:-1]])
+            of, begin, end = intervals(least < np.repeat(doc[part], count[part]), first)
+            out.append((doc[part][of], start[part][of] + begin, start[part][of] + end + LENGTH))
+        ids, low, high = (np.concatenate(x) for x in zip(*out))
+        yield batch_of(list(packets(buckets(ids, shards), {"ids": ids, "lows": low.astype("<u4"), "highs": high.astype("<u4")})), ["ids", "lows", "highs"])
+
+    found = parts.repartition(shards, "task").mapInArrow(run, "task int, ids binary, lows binary, highs binary")
+    return gathered(found, shards, {"lows": "<u4", "highs": "<u4"})
 
 
 def remove(docs: DataFrame, keep_text: bool) -> DataFrame:
-    """(doc_id, n_removed, n_spans, kept_sha256) and the text that is left, of docs (doc_id, text, found: (start, ends, least))."""
+    """(doc_id, n_removed, n_spans, kept_sha256) and the text that is left, of docs (doc_id, text, lows, highs)."""
     schema = "doc_id long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
             texts = []
-            for doc_id, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for doc_id, text, lows, highs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 data = np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), np.uint8)
-                change = np.zeros(len(data) + 1, np.int32)
-                for row in found.as_py():
-                    lo = 0
-                    for end, least in zip(row["ends"], row["least"]):
-                        if least < doc_id:
-                            change[row["start"] + lo] += 1
-                            change[row["start"] + end + LENGTH - 1] -= 1
-                        lo = end
-                gone = np.cumsum(change)[:-1] > 0
+                n = len(data) + 1
+                gone = np.cumsum(np.bincount(np.frombuffer(lows, "<u4"), minlength=n) - np.bincount(np.frombuffer(highs, "<u4"), minlength=n))[:-1] > 0
                 left = data[~gone].tobytes()
-                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0]) if len(gone) else 0
+                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0])
                 for col, x in zip(out, (doc_id, int(gone.sum()), spans, hashlib.sha256(left).hexdigest())):
                     col.append(x)
                 texts.append(left.decode("utf-8", "ignore"))
@@ -343,16 +400,11 @@ def deduplicated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     copies = staged(long.join(F.broadcast(alike) if few else alike, "sha").where("doc_id > first").select("doc_id").distinct(), "copies")
     one = with_ids(docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)), copies, "left_anti")
 
-    prints = staged(fingerprints(one, shards), "prints")
-    back = repeated(prints, shards).unionByName(prints.where("shard is null").select("doc_id", "keys"))
-    back = staged(back.groupBy("doc_id").agg(F.collect_list("keys").alias("found")), "back")
-    some = with_ids(one, back.select("doc_id"), "left_semi").dropDuplicates(["doc_id"]).join(back, "doc_id").select("doc_id", "text", "found")
-    parts = staged(segments(some, shards), "segments")
-    least = sorted_shards(parts.where("bytes is not null"))
-    hits = parts.where("bytes is null").select("anchor", "segment", "doc_id", "start").join(least, ["anchor", "segment"]).where(F.exists("least", lambda x: x < F.col("doc_id")))
-    hits = staged(hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "ends", "least")).alias("found")), "hits")
-    cut = with_ids(one, hits.select("doc_id"), "left_semi").dropDuplicates(["doc_id"]).join(hits, "doc_id").select("doc_id", "text", "found")
-    cut = staged(remove(cut, keep_text), "cut")
+    back = staged(repeated(fingerprints(one, shards), shards), "back")
+    some = with_ids(one, back.select("doc_id"), "left_semi").join(back, "doc_id").select("doc_id", "text", "keys")
+    hits = staged(sorted_shards(segments(some, shards), shards), "hits")
+    cut = with_ids(one, hits.select("doc_id"), "left_semi").join(hits, "doc_id").select("doc_id", "text", "lows", "highs")
+    cut = staged(remove(cut, keep_text).dropDuplicates(["doc_id"]), "cut")
 
     nothing = hashlib.sha256(b"").hexdigest()
     gone = copies.select("doc_id", F.lit(True).alias("copy"))
