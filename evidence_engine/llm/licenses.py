@@ -101,15 +101,15 @@ class Index:
         for p in np.flatnonzero(np.isin(words, self.known)):
             places.setdefault(int(words[p]), []).append(int(p))
         votes: dict[tuple[int, int], set[int]] = {}
-        for h in sorted(places, key=lambda h: -self.idf.get(h, math.inf)):
-            for k, q in self.postings[h]:
-                for p in places[h]:
-                    start = p - q
-                    # only the rarest word opens a candidate; the others must agree with one that is open
-                    if q == self.rarest[k][0]:
-                        votes.setdefault((k, start), set()).add(q)
-                    elif (k, start) in votes:
-                        votes[k, start].add(q)
+        by_idf = sorted(places, key=lambda h: -self.idf.get(h, math.inf))
+        # a template's rarest word opens a candidate; its other words then agree with those that are open
+        for opens in (True, False):
+            for h in by_idf:
+                for k, q in self.postings[h]:
+                    if (q == self.rarest[k][0]) == opens:
+                        for start in (p - q for p in places[h]):
+                            if opens or (k, start) in votes:
+                                votes.setdefault((k, start), set()).add(q)
         found = []
         for (k, start), agree in sorted(votes.items()):
             if len(agree) < len(self.rarest[k]):
