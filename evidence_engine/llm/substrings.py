@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -28,6 +28,7 @@ GRAM = 16
 SEGMENT = 64
 #: Bytes of text for each shard of fingerprints.
 SHARD_BYTES = 12 << 20
+EVEN_SHARDS = 100_000
 #: Runs of windows whose fingerprints a task gathers before it sends them.
 FLUSH = 1_000_000
 #: Bytes of text whose segments a task gathers before it sends them.
@@ -78,10 +79,21 @@ def windows(piece: textkit.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return place[first], np.minimum(count[which] - off, SEGMENT), anchor[first], doc[first]
 
 
-def keys(anchor: np.ndarray, shards: int) -> np.ndarray:
-    """Shard and 40-bit fingerprint of anchors, in one number."""
+def even_slots(spark: SparkSession, shards: int) -> np.ndarray:
+    """For each shard a number that Spark's hash partitioning deals to a partition of its own, so that no task gets several
+    shards while others get none. Beyond EVEN_SHARDS the shards' own numbers, which are dealt by chance, are even enough."""
+    if shards > EVEN_SHARDS:
+        return np.arange(shards, dtype=U64)
+    numbers = spark.range(0, 40 * shards + 400).select(F.col("id").cast("int").alias("n"))
+    dealt = numbers.groupBy(F.pmod(F.hash("n"), F.lit(shards)).alias("p")).agg(F.min("n").alias("n")).collect()
+    found = {r["p"]: r["n"] for r in dealt}
+    return np.array([found.get(p, 40 * shards + 400 + p) for p in range(shards)], dtype=U64)
+
+
+def keys(anchor: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Shard (by its slot) and 40-bit fingerprint of anchors, in one number."""
     h = textkit.mix(anchor + textkit.GOLDEN)
-    return ((h >> U64(40)) % U64(shards)) << U64(40) | h & PRINT
+    return slots[((h >> U64(40)) % U64(len(slots))).astype(np.int64)] << U64(40) | h & PRINT
 
 
 def packets(place: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple[int, dict[str, bytes]]]:
@@ -94,8 +106,8 @@ def packets(place: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple
         yield int(place[lo]), {k: x[lo:hi].tobytes() for k, x in moved.items()}
 
 
-def buckets(ids: np.ndarray, shards: int) -> np.ndarray:
-    return (textkit.mix(ids.view(U64) + textkit.GOLDEN) % U64(shards)).astype(np.int64)
+def buckets(ids: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return slots[(textkit.mix(ids.view(U64) + textkit.GOLDEN) % U64(len(slots))).astype(np.int64)].astype(np.int64)
 
 
 def batch_of(rows: list[tuple[int, dict[str, bytes]]], names: list[str]) -> pa.RecordBatch:
@@ -106,7 +118,7 @@ def joined(parts: list[bytes], kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(parts), kind)
 
 
-def gathered(rows: DataFrame, shards: int, kinds: dict[str, str]) -> DataFrame:
+def gathered(rows: DataFrame, slots: np.ndarray, kinds: dict[str, str]) -> DataFrame:
     """One row a document of packets (task, ids and the columns of kinds): doc_id, and each column's values as one binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,13 +135,13 @@ def gathered(rows: DataFrame, shards: int, kinds: dict[str, str]) -> DataFrame:
             part = edge[at : at + 5001]
             yield pa.RecordBatch.from_arrays([pa.array(ids[part[:-1]], pa.int64()), *[pa.array([x[lo:hi].tobytes() for lo, hi in zip(part, part[1:])], pa.binary()) for x in data.values()]], ["doc_id", *kinds])
 
-    return rows.select("task", "ids", *kinds).repartition(shards, "task").select("ids", *kinds).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} binary" for k in kinds))
+    return rows.select("task", "ids", *kinds).repartition(len(slots), "task").select("ids", *kinds).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} binary" for k in kinds))
 
 
 PRINTS = ["prints", "codes", "docs", "ids", "keys"]
 
 
-def fingerprints(docs: DataFrame, shards: int) -> DataFrame:
+def fingerprints(docs: DataFrame, slots: np.ndarray) -> DataFrame:
     """Packets of two kinds, of the fingerprints in docs. For shards (task, prints, codes, docs): the distinct ones of a stretch
     of documents, each with a document that has it, as a place in docs. For documents (task, ids, keys): those that several
     documents of the stretch have, so that what is common costs the shards no more than a row for each stretch."""
@@ -141,7 +153,7 @@ def fingerprints(docs: DataFrame, shards: int) -> DataFrame:
         start = np.flatnonzero(new)
         several = np.repeat(np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start), np.diff(np.append(start, len(key))))
         own = ids[doc[several]]
-        rows = list(packets(buckets(own, shards), {"ids": own, "keys": key[several]}))
+        rows = list(packets(buckets(own, slots), {"ids": own, "keys": key[several]}))
         key, doc = key[start], doc[start]
         shard = (key >> U64(40)).astype(np.int64)
         edge = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
@@ -158,7 +170,7 @@ def fingerprints(docs: DataFrame, shards: int) -> DataFrame:
             for piece in textkit.pieces(batch.column(1)):
                 _, _, anchor, of = windows(piece)
                 ids.append(own[piece.lo : piece.hi])
-                key.append(keys(anchor, shards))
+                key.append(keys(anchor, slots))
                 doc.append(of + base)
                 n, base = n + len(anchor), base + len(piece)
                 if n >= FLUSH:
@@ -170,7 +182,7 @@ def fingerprints(docs: DataFrame, shards: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "task int, " + ", ".join(f"{n} binary" for n in PRINTS))
 
 
-def repeated(prints: DataFrame, shards: int) -> DataFrame:
+def repeated(prints: DataFrame, slots: np.ndarray) -> DataFrame:
     """(doc_id, keys) of the fingerprints that several documents have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,16 +207,16 @@ def repeated(prints: DataFrame, shards: int) -> DataFrame:
             key, doc = key[by], doc[by]
             same = key[1:] == key[:-1]
             twice = np.append(same, False) | np.append(False, same)
-            yield batch_of(list(packets(buckets(doc[twice], shards), {"ids": doc[twice], "keys": key[twice]})), ["ids", "keys"])
+            yield batch_of(list(packets(buckets(doc[twice], slots), {"ids": doc[twice], "keys": key[twice]})), ["ids", "keys"])
 
-    found = prints.repartition(shards, "task").mapInArrow(run, "task int, ids binary, keys binary")
-    return gathered(found, shards, {"keys": "<u8"})
+    found = prints.repartition(len(slots), "task").mapInArrow(run, "task int, ids binary, keys binary")
+    return gathered(found, slots, {"keys": "<u8"})
 
 
 SEGMENTS = ["anchors", "names", "docs", "starts", "counts", "bytes", "ids", "lows", "highs"]
 
 
-def segments(found: DataFrame, shards: int) -> DataFrame:
+def segments(found: DataFrame, slots: np.ndarray) -> DataFrame:
     """Packets of docs (doc_id, text, keys: the fingerprints that others have). For shards (task, anchors, names, docs, starts,
     counts, bytes): the distinct segments of a stretch, each of its smallest document. For documents (task, ids, lows, highs):
     bytes of segments that a smaller document of the stretch has."""
@@ -215,9 +227,9 @@ def segments(found: DataFrame, shards: int) -> DataFrame:
         new = np.append(True, (anchor[by][1:] != anchor[by][:-1]) | (name[by][1:] != name[by][:-1]))
         least = np.repeat(doc[by][new], np.diff(np.append(np.flatnonzero(new), len(by))))
         known = by[doc[by] > least]
-        rows = list(packets(buckets(doc[known], shards), {"ids": doc[known], "lows": start[known].astype("<u4"), "highs": (start + count + LENGTH - 1)[known].astype("<u4")}))
+        rows = list(packets(buckets(doc[known], slots), {"ids": doc[known], "lows": start[known].astype("<u4"), "highs": (start + count + LENGTH - 1)[known].astype("<u4")}))
         one = by[new]
-        shard = (textkit.mix(anchor[one] + textkit.GOLDEN) >> U64(40)) % U64(shards)
+        shard = keys(anchor[one], slots) >> U64(40)
         to = np.argsort(shard, kind="stable")
         one, shard = one[to], shard[to].astype(np.int64)
         # the bytes of the chosen segments, one after the other
@@ -238,7 +250,7 @@ def segments(found: DataFrame, shards: int) -> DataFrame:
             ids, want = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
             for piece in textkit.pieces(batch.column(1)):
                 start, count, anchor, doc = windows(piece)
-                key, keep = keys(anchor, shards), np.zeros(len(start), bool)
+                key, keep = keys(anchor, slots), np.zeros(len(start), bool)
                 edge = np.searchsorted(doc, np.arange(len(piece) + 1))
                 for i in range(len(piece)):
                     keep[edge[i] : edge[i + 1]] = np.isin(key[edge[i] : edge[i + 1]], np.frombuffer(want[piece.lo + i], "<u8"))
@@ -303,7 +315,7 @@ def intervals(hit: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return of, start - first[of], end - first[of]
 
 
-def sorted_shards(parts: DataFrame, shards: int, sort_bytes: int = SORT_BYTES) -> DataFrame:
+def sorted_shards(parts: DataFrame, slots: np.ndarray, sort_bytes: int = SORT_BYTES) -> DataFrame:
     """(doc_id, lows, highs): for each document the bytes that strings of LENGTH bytes cover which smaller documents have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,10 +360,10 @@ def sorted_shards(parts: DataFrame, shards: int, sort_bytes: int = SORT_BYTES) -
             of, begin, end = intervals(least < np.repeat(doc[part], count[part]), first)
             out.append((doc[part][of], start[part][of] + begin, start[part][of] + end + LENGTH))
         ids, low, high = (np.concatenate(x) for x in zip(*out))
-        yield batch_of(list(packets(buckets(ids, shards), {"ids": ids, "lows": low.astype("<u4"), "highs": high.astype("<u4")})), ["ids", "lows", "highs"])
+        yield batch_of(list(packets(buckets(ids, slots), {"ids": ids, "lows": low.astype("<u4"), "highs": high.astype("<u4")})), ["ids", "lows", "highs"])
 
-    found = parts.repartition(shards, "task").mapInArrow(run, "task int, ids binary, lows binary, highs binary")
-    return gathered(found, shards, {"lows": "<u4", "highs": "<u4"})
+    found = parts.repartition(len(slots), "task").mapInArrow(run, "task int, ids binary, lows binary, highs binary")
+    return gathered(found, slots, {"lows": "<u4", "highs": "<u4"})
 
 
 def remove(docs: DataFrame, keep_text: bool) -> DataFrame:
@@ -392,7 +404,7 @@ def deduplicated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     first = long.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("n_bytes").alias("n_bytes"))
     first = staged(first, "first")
     total = first.agg(F.sum("n_bytes")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
+    slots = even_slots(docs.sparkSession, max(1, -(-total // SHARD_BYTES)))
 
     # copies: documents with the text of a smaller one
     alike = first.where("first < last").select("sha", "first")
@@ -400,9 +412,9 @@ def deduplicated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     copies = staged(long.join(F.broadcast(alike) if few else alike, "sha").where("doc_id > first").select("doc_id").distinct(), "copies")
     one = with_ids(docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)), copies, "left_anti")
 
-    back = staged(repeated(fingerprints(one, shards), shards), "back")
+    back = staged(repeated(fingerprints(one, slots), slots), "back")
     some = with_ids(one, back.select("doc_id"), "left_semi").join(back, "doc_id").select("doc_id", "text", "keys")
-    hits = staged(sorted_shards(segments(some, shards), shards), "hits")
+    hits = staged(sorted_shards(segments(some, slots), slots), "hits")
     cut = with_ids(one, hits.select("doc_id"), "left_semi").join(hits, "doc_id").select("doc_id", "text", "lows", "highs")
     cut = staged(remove(cut, keep_text).dropDuplicates(["doc_id"]), "cut")
 
