@@ -218,7 +218,7 @@ SEGMENTS = ["anchors", "names", "docs", "starts", "counts", "bytes", "ids", "low
 
 def segments(found: DataFrame, slots: np.ndarray) -> DataFrame:
     """Packets of docs (doc_id, text, keys: the fingerprints that others have). For shards (task, anchors, names, docs, starts,
-    counts, bytes): the distinct segments of a stretch, each of its smallest document. For documents (task, ids, lows, highs):
+    counts, bytes): the distinct segments of a stretch, each with its places in its smallest document. For documents (task, ids, lows, highs):
     bytes of segments that a smaller document of the stretch has."""
 
     def send(held: list[tuple]) -> pa.RecordBatch:
@@ -228,7 +228,8 @@ def segments(found: DataFrame, slots: np.ndarray) -> DataFrame:
         least = np.repeat(doc[by][new], np.diff(np.append(np.flatnonzero(new), len(by))))
         known = by[doc[by] > least]
         rows = list(packets(buckets(doc[known], slots), {"ids": doc[known], "lows": start[known].astype("<u4"), "highs": (start + count + LENGTH - 1)[known].astype("<u4")}))
-        one = by[new]
+        # a document may have a segment at several places
+        one = by[doc[by] == least]
         shard = keys(anchor[one], slots) >> U64(40)
         to = np.argsort(shard, kind="stable")
         one, shard = one[to], shard[to].astype(np.int64)
@@ -340,8 +341,11 @@ def sorted_shards(parts: DataFrame, slots: np.ndarray, sort_bytes: int = SORT_BY
         anchor, name, doc, start, count, at = (x[by] for x in (anchor, name, doc, start, count, at))
         new = np.append(True, (anchor[1:] != anchor[:-1]) | (name[1:] != name[:-1]))
         one = np.flatnonzero(new)
+        alike = np.diff(np.append(one, len(doc)))
         # in a larger document than the segment's smallest, all windows are known
-        more = doc > np.repeat(doc[one], np.diff(np.append(one, len(doc))))
+        more = doc > np.repeat(doc[one], alike)
+        places = np.zeros(len(doc), np.int64)
+        places[one] = np.add.reduceat((~more).astype(np.int64), one)
         out = [(doc[more], start[more], (start + count + LENGTH - 1)[more])]
         # segments whose anchor others have too are compared with them
         a = anchor[one]
@@ -358,7 +362,10 @@ def sorted_shards(parts: DataFrame, slots: np.ndarray, sort_bytes: int = SORT_BY
             least = least_documents(text, at[part], count[part] + LENGTH - 1, doc[part])
             first = np.concatenate([[0], np.cumsum(count[part])[:-1]])
             of, begin, end = intervals(least < np.repeat(doc[part], count[part]), first)
-            out.append((doc[part][of], start[part][of] + begin, start[part][of] + end + LENGTH))
+            # at all places that the smallest document has the segment, which come first in its rows
+            times = places[part[of]]
+            at_place = np.repeat(part[of], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            out.append((doc[at_place], start[at_place] + np.repeat(begin, times), start[at_place] + np.repeat(end, times) + LENGTH))
         ids, low, high = (np.concatenate(x) for x in zip(*out))
         yield batch_of(list(packets(buckets(ids, slots), {"ids": ids, "lows": low.astype("<u4"), "highs": high.astype("<u4")})), ["ids", "lows", "highs"])
 
