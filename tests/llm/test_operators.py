@@ -175,7 +175,8 @@ def test_least_bytes_and_awkward_pages(spark):
 def test_loser_tree_merges_runs():
     rng = random.Random(9)
     for k in (0, 1, 2, 3, 7, 16):
-        runs = [sorted((rng.choice("abc"), rng.choice("12"), rng.choice([None, 1, 2, 30]), j) for j in range(rng.randint(0, 40))) if False else sorted([(rng.choice("abc"), rng.choice("12"), rng.choice([None, 1, 2, 30])) for _ in range(rng.randint(0, 40))], key=warc.order) for _ in range(k)]
+        row = lambda: (rng.choice("abc"), rng.choice("12"), rng.choice([None, 1, 2, 30]))
+        runs = [sorted((row() for _ in range(rng.randint(0, 40))), key=warc.order) for _ in range(k)]
         spool = warc.Spool(memory=200)
         for i, run in enumerate(runs):
             for row in run:

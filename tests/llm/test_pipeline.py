@@ -1,7 +1,5 @@
 import re
 
-from pyspark.sql import functions as F
-
 import corpus_pipeline
 from evidence_engine.llm import queries
 
@@ -52,4 +50,3 @@ def test_registered_queries_name_their_operators():
     names = [n for n in queries.QUERIES if re.match(r"op\d+_", n)]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "repeats", "decontamination", "packing"]
-    assert F is not None
