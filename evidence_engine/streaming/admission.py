@@ -26,7 +26,7 @@ def admissions(requests: DataFrame, limit: int = LIMIT, window: float = WINDOW)
     """client, ts, allowed and retry_after of a bounded table of requests (client, ts), by a fold over each client's requests in
     order. The fold keeps at most ``limit`` times."""
     order = F.array_sort(F.collect_list(F.struct("ts", "seq")))
-    per = requests.withColumn("seq", F.col("seq") if "seq" in requests.columns else F.lit(0)).groupBy("client").agg(order.alias("r"))
+    per = requests.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("seq", F.col("seq") if "seq" in requests.columns else F.lit(0)).groupBy("client").agg(order.alias("r"))
     seconds = lambda c: F.unix_micros(c) / 1e6
     log = F.array().cast("array<double>")
     start = F.struct(log.alias("log"), F.array().cast("array<struct<ts:timestamp,seq:int,allowed:boolean,retry_after:bigint>>").alias("out"))
