@@ -48,7 +48,7 @@ def cosines(claims: DataFrame, chunks: DataFrame, claim: str, chunk: str) -> Dat
     na, nb = norms(claims, claim).withColumnRenamed("norm", "n1"), norms(chunks, chunk).withColumnRenamed("norm", "n2")
     both = dots.join(na, claim).join(nb, chunk)
     length = lambda n: F.when(F.col(n) > 1e-6, F.col(n)).otherwise(1.0)
-    return both.select(claim, chunk, (F.col("dot").cast("double") / (length("n1") * length("n2"))).alias("similarity"))
+    return both.select(claim, chunk, F.round(F.col("dot").cast("double") / (length("n1") * length("n2")), 9).alias("similarity"))
 
 
 def cosine(a: Column, b: Column) -> Column:

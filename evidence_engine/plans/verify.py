@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from evidence_engine.operators import claims as claim_ops
 from evidence_engine.operators import entailment, retrieval, rollup, similarity
+from evidence_engine.plans.staging import cut
 from evidence_engine.sources import ingest
 
 
@@ -63,58 +64,65 @@ def candidates(claims: DataFrame, chunks: DataFrame, config: Config, claim: str
     Claims are the query side: the terms of a block are broadcast, and a block has at most BLOCK_TERMS of them.
     """
     chunk_counts = similarity.term_counts(chunks, chunk)
-    idf = similarity.inverse_frequencies(chunk_counts, chunks.count()).select("term", "idf")
+    idf = cut(similarity.inverse_frequencies(chunk_counts, chunks.count()).select("term", "idf"))
     wanted = similarity.weights(similarity.term_counts(claims, claim), idf, claim).groupBy(claim).agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
+    wanted = cut(wanted)
     total = wanted.agg(F.sum(F.size("terms"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_TERMS))
     # a chunk's norm takes all its terms, its product with claims only theirs
     weighted = similarity.weights(chunk_counts, idf, chunk)
-    query_terms = wanted.select(F.explode("terms.term").alias("term")).distinct()
-    lengths = similarity.norms(weighted, chunk)
-    shared = weighted.join(query_terms, "term").groupBy(chunk).agg(F.collect_list("term").alias("terms"), F.collect_list(F.col("weight").cast("double")).alias("weights"))
-    rows = chunks.select(chunk, source, "chunk_pos", "authority_weight").join(lengths, chunk).join(shared, chunk)
+    about = chunks.select(chunk, source, "chunk_pos", "authority_weight")
     out = None
     for i in range(blocks):
         part = wanted.where(F.pmod(F.xxhash64(claim), F.lit(blocks)) == i).collect()
-        scored = _scored(rows, part, config, claim, chunk, source)
+        scored = _scored(weighted, about, part, config, claim, chunk, source)
         out = scored if out is None else out.unionByName(scored)
     return out
 
 
-def _scored(rows: DataFrame, block: list, config: Config, claim: str, chunk: str, source: str) -> DataFrame:
+def _scored(weighted: DataFrame, about: DataFrame, block: list, config: Config, claim: str, chunk: str, source: str) -> DataFrame:
     keys = [r[claim] for r in block]
     place: dict[str, int] = {}
     entries = [(place.setdefault(t["term"], len(place)), j, float(t["weight"])) for j, r in enumerate(block) for t in r["terms"]]
-    weights = np.zeros((len(place), len(keys)))
+    matrix = np.zeros((len(place), len(keys)))
     for i, j, w in entries:
-        weights[i, j] = w
-    length = np.sqrt((weights**2).sum(axis=0))
-    weights /= np.where(length > 1e-6, length, 1.0)
+        matrix[i, j] = w
+    length = np.sqrt((matrix**2).sum(axis=0))
+    matrix /= np.where(length > 1e-6, length, 1.0)
+    codes = about.sparkSession.createDataFrame(list(place.items()), "term string, code int")
+    square = (F.col("weight") * F.col("weight")).cast("decimal(28,9)")
+    known = F.col("code").isNotNull()
+    marked = weighted.join(F.broadcast(codes), "term", "left").groupBy(chunk).agg(
+        F.sqrt(F.sum(square).cast("double")).alias("norm"), F.collect_list("code").alias("codes"), F.collect_list(F.when(known, F.col("weight").cast("double"))).alias("weights")
+    )
+    rows = about.join(marked.where(F.size("codes") > 0), chunk)
     kinds = dict(rows.dtypes)
-    schema = f"`{claim}` {dict(zip([claim], [type_of(block, claim)]))[claim]}, `{chunk}` {kinds[chunk]}, `{source}` {kinds[source]}, chunk_pos {kinds['chunk_pos']}, authority_weight double, similarity double"
+    schema = f"`{claim}` {type_of(block, claim)}, `{chunk}` {kinds[chunk]}, `{source}` {kinds[source]}, chunk_pos {kinds['chunk_pos']}, authority_weight double, similarity double"
+
+    def chosen(sim: np.ndarray, score: np.ndarray, pos: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Rows of one claim that retrieval could take: the best at all, of every source and top_k more above the threshold."""
+        passing = np.flatnonzero(sim >= config.threshold)
+        best = np.flatnonzero(score == score.max())
+        best = best[np.lexsort((pos[best], -sim[best]))[:1]]
+        passing = passing[np.lexsort((pos[passing], -sim[passing], -score[passing]))]
+        _, first = np.unique(of[passing], return_index=True)
+        keep = np.unique(np.concatenate([passing[first], passing[: config.top_k + len(first)], best]))
+        return keep[sim[keep] > 0]
 
     def run(batches):
         for batch in batches:
-            sim = np.zeros((len(batch), len(keys)))
-            for k, (terms, ws) in enumerate(zip(batch["terms"], batch["weights"])):
-                at = [(place[t], w) for t, w in zip(terms, ws) if t in place]
-                if at:
-                    idx, w = zip(*at)
-                    sim[k] = np.asarray(w) @ weights[list(idx)]
-            norm = batch["norm"].to_numpy()
+            if not len(batch):
+                continue
+            sim = np.stack([w @ matrix[c] for c, w in zip(batch["codes"], batch["weights"])])
+            norm, pos, of = batch["norm"].to_numpy(), batch["chunk_pos"].to_numpy(), pd.factorize(batch[source])[0]
             sim /= np.where(norm > 1e-6, norm, 1.0)[:, None]
-            score = sim * (0.75 + 0.25 * np.clip(batch["authority_weight"].to_numpy(), 0.5, 1.0))[:, None] if config.authority_weighting else sim
-            source_code = pd.factorize(batch[source])[0]
-            for j, key in enumerate(keys):
-                # near the best by rounded score: whatever could be chosen stays, and a little more
-                order = np.lexsort((batch["chunk_pos"].to_numpy(), -sim[:, j], -np.round(score[:, j], 4)))
-                order = order[sim[order, j] > 0]
-                passing = order[sim[order, j] >= config.threshold]
-                _, first = np.unique(source_code[passing], return_index=True)
-                keep = np.unique(np.concatenate([passing[first], passing[: config.top_k + len(first)], order[:1]])).astype(int)
-                if len(keep):
-                    part = batch.iloc[keep]
-                    yield pd.DataFrame({claim: key, chunk: part[chunk].to_numpy(), source: part[source].to_numpy(), "chunk_pos": part["chunk_pos"].to_numpy(), "authority_weight": part["authority_weight"].to_numpy(), "similarity": sim[keep, j]})
+            boost = 0.75 + 0.25 * np.clip(batch["authority_weight"].to_numpy(), 0.5, 1.0) if config.authority_weighting else np.ones(len(batch))
+            sim = np.round(sim, 9)
+            score = np.round(sim * boost[:, None], 4)
+            picked = [chosen(sim[:, j], score[:, j], pos, of) for j in range(len(keys))]
+            at, which = np.concatenate(picked), np.repeat(np.arange(len(keys)), [len(p) for p in picked])
+            part = batch.iloc[at]
+            yield pd.DataFrame({claim: [keys[j] for j in which], chunk: part[chunk].to_numpy(), source: part[source].to_numpy(), "chunk_pos": pos[at], "authority_weight": part["authority_weight"].to_numpy(), "similarity": sim[at, which]})
 
     return rows.mapInPandas(run, schema)
 
@@ -131,9 +139,11 @@ def verify(claims: DataFrame, chunks: DataFrame, pairs: DataFrame, config: Confi
     each claim and each chosen chunk once, before the two meet.
     """
     key = ["claim_key"]
-    chosen = pairs.select("claim_key", "chunk_key", "similarity").join(chunks.drop("text"), "chunk_key")
+    # scores and evidence are used several times below, so they are computed once
+    pairs = cut(pairs.select("claim_key", "chunk_key", "similarity"))
+    chosen = pairs.join(chunks.drop("text"), "chunk_key")
     chosen = retrieval.with_unmatched(chosen, claims, chunks.drop("text").select(*[c for c in chosen.columns if c not in ("claim_key", "similarity")]), key)
-    evidence = retrieval.retrieve(chosen, config.top_k, config.threshold, key, "filename", config.authority_weighting)
+    evidence = cut(retrieval.retrieve(chosen, config.top_k, config.threshold, key, "filename", config.authority_weighting))
     used = chunks.select("chunk_key", "text").join(evidence.select("chunk_key").distinct(), "chunk_key", "left_semi")
     left = entailment.features(claims.select("claim_key", F.col("text").alias("claim_text")), "claim_text", "claim")
     right = entailment.features(used, "text", "passage")

@@ -42,4 +42,5 @@ def test_query_runs(spark, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() > 0
+    keys = [r["claim_key"] for r in entry.entry(spark).collect()]
+    assert len(keys) == len(set(keys)) == spark.read.parquet(f"{entry.SMOKE_DIR}/benchmark.parquet").count()
