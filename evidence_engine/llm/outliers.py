@@ -26,6 +26,8 @@ LEAST_ROWS = 200
 CUTOFF = 50.0
 #: Medians of the chi-square distribution by degrees of freedom. Fixed values.
 CHI2_MEDIAN = {1: 0.4549, 2: 1.3863, 3: 2.3660, 4: 3.3567, 5: 4.3515}
+#: Up to so many groups are broadcast with their estimates (2 MB); beyond it rows and groups are joined by a shuffle.
+BROADCAST_GROUPS = 10_000
 #: The statistics' names and the least standard deviations that an estimate may give them.
 STATISTICS = {"x_word": 0.04, "x_symbol": 0.15, "x_repeat": 0.10, "x_line": 0.08}
 
@@ -104,11 +106,17 @@ def moments(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.groupBy("grp").agg(F.count("*").alias("n_in"), *at, *scatter)
 
 
+def with_groups(rows: DataFrame, groups: DataFrame, total: int, few: bool) -> DataFrame:
+    """Left join of rows with one-row-per-group values by grp."""
+    return rows.join(F.broadcast(groups), "grp", "left") if few else join_by_hot_key(rows, groups, "grp", "n", total)
+
+
 def covariances(rows: DataFrame, names: list[str], total: int, keep: float = KEEP, steps: int = STEPS) -> DataFrame:
     """Location, factor and size of the minimum-covariance-determinant estimate for every grp of rows (grp and the names)."""
     medians = rows.groupBy("grp").agg(F.count("*").alias("n"), *[F.percentile_approx(x, 0.5).alias(f"m_{i}") for i, x in enumerate(names)])
     medians = staged(medians, "medians")
-    off = join_by_hot_key(rows, medians, "grp", "n", total)
+    few = medians.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    off = with_groups(rows, medians, total, few)
     spread = off.groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5).alias(f"s_{i}") for i, x in enumerate(names)])
     start = medians.join(spread, "grp")
     for i in range(len(names)):
@@ -117,12 +125,12 @@ def covariances(rows: DataFrame, names: list[str], total: int, keep: float = KEE
     sizes = medians.select("grp", "n")
     groups = staged(factor(start, names).drop(*[f"s_{i}" for i in range(len(names))]), "scatter")
     for _ in range(steps):
-        far = join_by_hot_key(rows, groups, "grp", "n", total).select("grp", *names, distance(names).alias("d2"))
+        far = with_groups(rows, groups, total, few).select("grp", *names, distance(names).alias("d2"))
         cut = far.groupBy("grp").agg(F.percentile_approx("d2", keep).alias("cut")).join(sizes, "grp")
-        near = join_by_hot_key(far, cut, "grp", "n", total).where("d2 <= cut")
+        near = with_groups(far, cut, total, few).where("d2 <= cut")
         groups = staged(factor(moments(near, names).join(sizes, "grp"), names), "scatter")
     # for normal data the median distance is the chi-square median: scale the scatter so that it is here
-    far = join_by_hot_key(rows, groups, "grp", "n", total).select("grp", distance(names).alias("d2"))
+    far = with_groups(rows, groups, total, few).select("grp", distance(names).alias("d2"))
     scale = far.groupBy("grp").agg((F.percentile_approx("d2", 0.5) / CHI2_MEDIAN[len(names)]).alias("scale"))
     return groups.join(scale, "grp").withColumn("scale", F.greatest("scale", F.lit(1.0)))
 
@@ -148,14 +156,16 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS
     rows = passed.select(F.explode(F.array(*levels.values())).alias("grp"), *names)
     found = staged(covariances(rows, names, 3 * total).where(F.col("n") >= least_rows), "estimates")
     fields = [c for c in found.columns if c != "grp"]
+    few = found.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     near = counts.withColumns(levels)
     chosen = None
     for level in levels:
         # from the smallest group up: documents that have no estimate yet go on
-        joined = join_by_hot_key(near.withColumn("grp", F.col(level)), found, "grp", "n", total)
+        joined = with_groups(near.withColumn("grp", F.col(level)), found, total, few)
         good = joined.where("n is not null")
         chosen = good if chosen is None else chosen.unionByName(good)
         near = joined.where("n is null").drop("grp", *fields)
-    out = chosen.unionByName(near, allowMissingColumns=True).withColumn("distance", distance(names) / F.col("scale"))
+    # sums in another order differ in the last digits: rounded, the distance is the same in every run
+    out = chosen.unionByName(near, allowMissingColumns=True).withColumn("distance", F.round(distance(names) / F.col("scale"), 6))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
