@@ -20,13 +20,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters or without a known language; the language found becomes lang. What the model learns
-    from and the others are treated alike. Rows without doc_id stay as they are."""
-    docs = docs.select(*COLUMNS)
-    found = staged(language.identify(docs), "language").groupBy("doc_id").agg(F.first("lang_pred").alias("found"), F.max("score").alias("score"))
-    joined = docs.join(found, "doc_id", "left")
-    known = F.col("found").isNull() | ((F.col("found") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return joined.where(known).select("doc_id", "text", F.coalesce("found", "lang").alias("lang"), "source", "n_chars")
+    """Drops documents without letters or in no known language, whatever lang they bear. What the model learns from and the
+    others are treated alike. Rows without doc_id stay as they are."""
+    found = language.identify(docs)
+    unknown = (F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < LEAST_SCORE)
+    gone = staged(found.where(unknown & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "gone")
+    return substrings.with_ids(docs.select(*COLUMNS), gone, "left_anti")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
