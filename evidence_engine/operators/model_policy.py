@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 SECRETS = ("system_prompt", "system prompt", "api_key", "bearer ", "sk-")
-PLAIN_REASON = "Verdict evaluated according to evidence grounding rules."
+PLAIN_REASON = "Evaluated according to evidence grounding rules."
 UNCITED = "Unverified: Grounding evidence could not be confirmed with valid evidence ID."
 UNPARSED = "Failed to parse model output."
 ANSWER = "verdict string, confidence string, reason string, cited_evidence_ids string"

@@ -57,7 +57,7 @@ def claim_lines(claims: DataFrame, run: str) -> DataFrame:
     head = F.array(
         F.concat(F.lit("### Claim ["), "claim_id", F.lit("]: "), mark(F.col("outcome"))),
         F.concat(F.lit('**AI Claim**: "'), "text", F.lit('"')),
-        F.concat(F.lit("**Verdict Rationale**: "), "reason"),
+        F.concat(F.lit("**Rationale**: "), "reason"),
         F.concat(F.lit("**Semantic Similarity**: `"), two(F.coalesce(p["similarity"], F.lit(0.0))), F.lit("` | **Ranking Score**: `"), two(F.coalesce(p["ranking_score"], F.lit(0.0))), F.lit("` | **Confidence**: `"), two("confidence"), F.lit("`")),
     )
     none = F.array().cast("array<string>")

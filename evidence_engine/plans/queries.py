@@ -71,8 +71,8 @@ def source_metadata(spark, sf_dir):
 
 @query(
     f"""SELECT page_id, CASE WHEN contains(html, chr(0)) THEN 'nul' WHEN ext IN ({sql_list(ingest.PROHIBITED)}) THEN 'prohibited'
-    WHEN ext <> '' AND ext NOT IN ({sql_list(ingest.ALLOWED)}) THEN 'unsupported' ELSE 'ok' END AS verdict_on_file
-    FROM (SELECT page_id, html, lower(regexp_extract(url, '[^.]\\.([^./?#]+)$', 1)) AS ext FROM pages)""".replace("verdict_on_file", "file_state")
+    WHEN ext <> '' AND ext NOT IN ({sql_list(ingest.ALLOWED)}) THEN 'unsupported' ELSE 'ok' END AS file_state
+    FROM (SELECT page_id, html, lower(regexp_extract(url, '[^.]\\.([^./?#]+)$', 1)) AS ext FROM pages)"""
 )
 def content_validity(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").withColumn("ext", F.lower(F.regexp_extract("url", r"[^.]\.([^./?#]+)$", 1)))
