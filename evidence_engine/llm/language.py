@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns
+from .common import columns, release
 
 PROFILE = 400
 UNKNOWN = "und"
@@ -91,6 +91,8 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
                         yield from put_out()
                         held, size = {}, 0
         yield from put_out()
+        held = {}
+        release()
 
     return docs.mapInArrow(run, "lang string, gram long, n long")
 

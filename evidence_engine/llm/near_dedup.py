@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import columns, join_by_hot_key, staged
+from .common import columns, join_by_hot_key, release, staged
 from .graph import components
 
 REGISTERS = 128
@@ -112,6 +112,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 regs.append(registers(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "set_hash", "regs"])
+        release()
 
     return columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, regs binary")
 
@@ -134,6 +135,7 @@ def bands(sets: DataFrame, rows: int = ROWS) -> DataFrame:
                 key = textkit.mix(key ^ textkit.mix(np.arange(1, key.shape[1] + 1, dtype=U64) * textkit.GOLDEN))
                 ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), key.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids, pa.int64())], ["key", "doc_id"])
+        release()
 
     return sets.select("doc_id", "regs").mapInArrow(run, "key long, doc_id long")
 
@@ -173,6 +175,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                     common = len(np.intersect1d(kept, other, assume_unique=True))
                     keep.append(100 * common >= percent * (len(kept) + len(other) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")

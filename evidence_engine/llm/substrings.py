@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import columns, staged
+from .common import columns, release, staged
 from .induced import Sorter
 
 LENGTH = 50
@@ -30,11 +30,11 @@ SEGMENT = 64
 SHARD_BYTES = 12 << 20
 EVEN_SHARDS = 100_000
 #: Runs of windows whose fingerprints a task gathers before it sends them.
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: Bytes of text whose segments a task gathers before it sends them.
-STRETCH = 16 << 20
+STRETCH = 8 << 20
 #: Bytes of segments that one suffix sorting takes; a group of segments with a common anchor is not divided.
-SORT_BYTES = 4 << 20
+SORT_BYTES = 2 << 20
 #: Up to so many ids are broadcast (8 MB); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 PRINT = np.uint64((1 << 40) - 1)
@@ -178,6 +178,7 @@ def fingerprints(docs: DataFrame, slots: np.ndarray) -> DataFrame:
                     ids, key, doc, n, base = [], [], [], 0, 0
         if n:
             yield send(np.concatenate(ids), np.concatenate(key), np.concatenate(doc))
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "task int, " + ", ".join(f"{n} binary" for n in PRINTS))
 
@@ -233,16 +234,16 @@ def segments(found: DataFrame, slots: np.ndarray) -> DataFrame:
         shard = keys(anchor[one], slots) >> U64(40)
         to = np.argsort(shard, kind="stable")
         one, shard = one[to], shard[to].astype(np.int64)
-        # the bytes of the chosen segments, one after the other
         base = np.cumsum([0, *[len(x[5]) for x in held]])[:-1]
         at = np.concatenate([x[6] + b for x, b in zip(held, base)])
-        text, size = np.concatenate([x[5] for x in held]), count[one] + LENGTH - 1
-        data = text[np.repeat(at[one] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
+        text, size = np.concatenate([x[5] for x in held]), count + LENGTH - 1
         edge = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard))
-        where = np.concatenate([[0], np.cumsum(size)])
         for lo, hi in zip(edge, edge[1:]):
+            # shard by shard: the places of all bytes at once would take many times the text
             x = one[lo:hi]
-            rows.append((int(shard[lo]), {"anchors": anchor[x].tobytes(), "names": name[x].tobytes(), "docs": doc[x].tobytes(), "starts": start[x].astype("<u4").tobytes(), "counts": count[x].astype("u1").tobytes(), "bytes": data[where[lo] : where[hi]].tobytes()}))
+            begin = np.cumsum(size[x]) - size[x]
+            data = text[np.repeat(at[x] - begin, size[x]) + np.arange(int(size[x].sum()))]
+            rows.append((int(shard[lo]), {"anchors": anchor[x].tobytes(), "names": name[x].tobytes(), "docs": doc[x].tobytes(), "starts": start[x].astype("<u4").tobytes(), "counts": count[x].astype("u1").tobytes(), "bytes": data.tobytes()}))
         return batch_of(rows, SEGMENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +265,8 @@ def segments(found: DataFrame, slots: np.ndarray) -> DataFrame:
                         held, n = [], 0
         if held:
             yield send(held)
+        held = []
+        release()
 
     return found.mapInArrow(run, "task int, " + ", ".join(f"{x} binary" for x in SEGMENTS))
 
@@ -368,6 +371,8 @@ def sorted_shards(parts: DataFrame, slots: np.ndarray, sort_bytes: int = SORT_BY
             out.append((doc[at_place], start[at_place] + np.repeat(begin, times), start[at_place] + np.repeat(end, times) + LENGTH))
         ids, low, high = (np.concatenate(x) for x in zip(*out))
         yield batch_of(list(packets(buckets(ids, slots), {"ids": ids, "lows": low.astype("<u4"), "highs": high.astype("<u4")})), ["ids", "lows", "highs"])
+        del anchor, name, doc, start, count, text, at, by, new, more, places, out, ids, low, high
+        release()
 
     found = parts.repartition(len(slots), "task").mapInArrow(run, "task int, ids binary, lows binary, highs binary")
     return gathered(found, slots, {"lows": "<u4", "highs": "<u4"})
