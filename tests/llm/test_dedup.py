@@ -157,3 +157,19 @@ def test_components(spark):
 
 def test_schema_of_documents_is_what_operators_expect(spark):
     assert [f.name for f in documents(spark, ["x"]).schema.fields] == [x.split()[0] for x in DOCS.split(", ")]
+
+
+def test_components_of_long_chains(spark):
+    """Chains whose ids lie in random order: 60 rounds of taking neighbours' labels alone leave several labels in each."""
+    rng = random.Random(4)
+    ids = rng.sample(range(10_000), 2_000)
+    chains = [ids[:1_500], ids[1_500:]]
+    edges = [(a, b) for chain in chains for a, b in zip(chain, chain[1:])]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: min(chain) for chain in chains for i in chain}
+
+
+def test_components_never_returns_unfinished_labels(spark):
+    edges = [(a, a + 1) for a in range(50)]
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame(edges, "a long, b long"), rounds=2)
