@@ -3,11 +3,13 @@
 The standard library's parser streams its events into lines, one for each block. A line's ratio is its characters outside
 links and boilerplate over its tags. The ratios are smoothed with a Gaussian along the page; lines above a threshold, half a
 standard deviation of the smoothed ratios, form the dense cluster. The content region is the innermost element that holds
-nearly all of the cluster's text, and all its lines outside boilerplate are the article, short ones too.
+all of the cluster's text, or the outermost article or main element around it; all its lines outside boilerplate are the
+article, short ones too.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -26,8 +28,6 @@ NEVER = frozenset("aside button canvas datalist dialog embed fieldset footer for
 #: Words of a class or id that mark boilerplate.
 MARKS = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: The region's share of the dense cluster's text, at least.
-SHARE = 0.6
 SIGMA = 2.0
 SPLIT = re.compile(r"[^a-z]+")
 
@@ -40,6 +40,7 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
         self.open: list[tuple[str, bool, tuple[int, ...], bool]] = []  # tag, boilerplate, regions around, in an article
         self.regions = 0
+        self.articles: set[int] = set()  # regions that are an article or main element
         self.text: list[str] = []
         self.linked = self.tags = self.links = 0
 
@@ -75,6 +76,8 @@ class Lines(HTMLParser):
         if tag in REGION:
             self.regions += 1
             around = (*around, self.regions)
+            if tag in ("article", "main"):
+                self.articles.add(self.regions)
         self.links += tag == "a"
         self.open.append((tag, junk or self.boilerplate(tag, attrs, article), around, article))
 
@@ -118,7 +121,7 @@ class Lines(HTMLParser):
         self.linked += len(data) * (self.links > 0)
 
 
-def page_lines(html: str) -> list[tuple[str, int, int, tuple[int, ...], bool]]:
+def page_lines(html: str) -> tuple[list[tuple[str, int, int, tuple[int, ...], bool]], set[int]]:
     for text in (html, html.replace("<![", "&lt;![")):
         parser = Lines()
         try:
@@ -127,8 +130,8 @@ def page_lines(html: str) -> list[tuple[str, int, int, tuple[int, ...], bool]]:
         except AssertionError:  # a marked section that the parser knows nothing about: read again as text
             continue
         parser.end_line()
-        return parser.lines
-    return []
+        return parser.lines, parser.articles
+    return [], set()
 
 
 def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -138,20 +141,17 @@ def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def main_text(html: str) -> str:
-    lines = page_lines(html)
+    lines, articles = page_lines(html)
     body = [x for x in lines if not x[4]]
     if not body:
         return ""
     size = np.array([0 if x[4] else max(0, len(x[0]) - x[1]) for x in lines], dtype=np.float64)
     ratio = smoothed(size / np.maximum(1, [x[2] for x in lines]))
     dense = ratio >= 0.5 * ratio.std()
-    weight: dict[tuple[int, ...], float] = {}
-    for x, n, on in zip(lines, size, dense):
-        if on and n:
-            for depth in range(len(x[3]) + 1):
-                weight[x[3][:depth]] = weight.get(x[3][:depth], 0.0) + n
-    whole = weight.get((), 0.0)
-    region = max((k for k, n in weight.items() if n >= SHARE * whole), key=len, default=())
+    around = [x[3] for x, n, on in zip(lines, size, dense) if on and n]
+    region = tuple(os.path.commonprefix(around))
+    top = next((k for k, r in enumerate(region) if r in articles), len(region) - 1)
+    region = region[: top + 1]
     return " ".join(x[0] for x in body if x[3][: len(region)] == region)
 
 

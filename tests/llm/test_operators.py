@@ -299,6 +299,19 @@ def test_main_text(around):
     assert html_text.main_text(around.format(ARTICLE)) == TEXT
 
 
+@pytest.mark.parametrize("page", ["<body><article>{}</article></body>", "<body><main>{}</main></body>", "<body><nav>Home</nav><div>{}</div></body>"])
+def test_main_text_keeps_sibling_blocks(page):
+    long, short = ["<p>" + prose(i, 40) + "</p>" for i in range(13)], ["<p>" + prose(20 + i, 40) + "</p>" for i in range(7)]
+    blocks = "<section>" + "".join(long) + "</section><section>" + "".join(short) + "</section>"
+    assert html_text.main_text(page.format(blocks)) == " ".join([prose(i, 40) for i in range(13)] + [prose(20 + i, 40) for i in range(7)])
+
+
+def test_main_text_keeps_title_and_lead_beside_the_content():
+    paragraphs = "".join("<p>" + prose(i, 60) + "</p>" for i in range(12))
+    page = "<body><nav>Home</nav><article><h1>Title</h1><div>By <a href=x>me</a></div><br><p>Lead.</p><p>On.</p><div class=content>" + paragraphs + "</div></article><div class=ad>Buy</div></body>"
+    assert html_text.main_text(page) == " ".join(["Title By me Lead. On."] + [prose(i, 60) for i in range(12)])
+
+
 def test_main_text_of_odd_pages():
     assert html_text.main_text("") == "" and html_text.main_text("<nav>menu</nav>") == ""
     assert html_text.main_text("just words\n and  more") == "just words and more"
