@@ -1,17 +1,18 @@
 """Main text of HTML pages.
 
-The standard library's parser streams its events into lines, one for each block. A line's ratio is its characters outside
-links and boilerplate over its tags. The ratios are smoothed with a Gaussian along the page; lines above a threshold, half a
-standard deviation of the smoothed ratios, form the dense cluster. The content region is the innermost element that holds
-all of the cluster's text, or the outermost article or main element around it; all its lines outside boilerplate are the
-article, short ones too.
+The standard library's parser streams its events into lines, one for each block, and into a table of elements with their
+parents. A line's ratio is its characters outside links over its tags; lines in boilerplate elements count as having none. The
+ratios are smoothed with a Gaussian along the page. Lines whose smoothed ratio and own ratio reach the threshold, half a
+standard deviation of the smoothed ratios, are the dense cluster. The content region is the lowest container that holds every
+line of the cluster, or the outermost article or main element around it; all its lines outside boilerplate are the article,
+short ones too. What names no kind of boilerplate goes by density alone: blocks outside the region, and lists of links in it.
 """
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -23,115 +24,156 @@ from .common import columns
 #: The elements of HTML by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-REGION = frozenset("article body div main section td".split())
-NEVER = frozenset("aside button canvas datalist dialog embed fieldset footer form head iframe input map menu nav noscript object script select style svg template textarea title".split())
-#: Words of a class or id that mark boilerplate.
+CONTAINERS = frozenset("article body center div form html main section td".split())
+ARTICLES = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NEVER = frozenset("aside button canvas datalist dialog embed fieldset footer head iframe input map menu nav noscript object script select style svg template textarea title".split())
+#: Tags that a tag ends if they are open around it.
+ENDS = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("td", "th", "tr", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option", "p"), "body": ("head", "p"), "br": ()}
+#: Words that name boilerplate where they are a whole class or id, alone or with FILLERS.
 MARKS = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+FILLERS = frozenset("area bar big block body bottom box button buttons center col column container content fixed floating form global group head icons in inline inner item items layout left link links list main message middle mobile module notify outer page panel policy post posts primary reader row secondary section site slot small sticky stories sub text title to top unit user wrap wrapper".split())
+#: Where these words are among a header's, it is that of an article.
+OWN_HEADER = frozenset("article entry post story".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 SIGMA = 2.0
-SPLIT = re.compile(r"[^a-z]+")
+#: A form that holds so much of the page's text, and so many characters, is a wrapper.
+FORM_SHARE, FORM_CHARS = 0.8, 200
+#: A block outside an article is a list of links if it has so many, with so much of its text in them.
+LEAST_LINKS, LINK_SHARE = 3, 2 / 3
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-class Lines(HTMLParser):
-    """Collects the lines of a page: (text, characters in links, tags, elements it lies in, whether it is boilerplate)."""
+def boilerplate_name(name: str, article: bool = False) -> bool:
+    """Whether a class or id is the name of boilerplate: all its words are MARKS or FILLERS, with one mark. A header within
+    an article is the article's own."""
+    words = [w.lower() for w in WORDS.findall(name)]
+    marks = MARKS.intersection(words)
+    if not marks or marks == {"header"} and (article or OWN_HEADER.intersection(words)):
+        return False
+    return all(w in MARKS or w in FILLERS for w in words)
+
+
+@dataclass
+class Line:
+    text: str
+    plain: int  # characters outside links
+    tags: int
+    links: int
+    element: int
+    junk: bool = False
+
+
+@dataclass
+class Element:
+    tag: str
+    parent: int
+    junk: bool  # by its own tag, role, class or an element around it
+    article: bool  # in an article or main element, or one itself
+    name: str = ""  # its class
+
+
+class Page(HTMLParser):
+    """Collects the lines and elements of a page; elements come before those in them, the first is the page itself."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
-        self.open: list[tuple[str, bool, tuple[int, ...], bool]] = []  # tag, boilerplate, regions around, in an article
-        self.regions = 0
-        self.articles: set[int] = set()  # regions that are an article or main element
+        self.lines: list[Line] = []
+        self.elements = [Element("", -1, False, False)]
+        self.open: list[int] = [0]  # elements
+        self.blocks: list[int] = []  # places in open of block elements
+        self.places: dict[str, list[int]] = {}  # places in open by tag
         self.text: list[str] = []
         self.linked = self.tags = self.links = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            _, junk, around, _ = self.open[-1] if self.open else ("", False, (), False)
-            self.lines.append((text, self.linked, self.tags, around, junk))
-            self.tags = 0
+            self.lines.append(Line(text, max(0, len(text) - self.linked), self.tags, self.links, self.open[-1]))
+            self.tags = self.links = 0
         self.text, self.linked = [], 0
 
-    def boilerplate(self, tag: str, attrs: list, article: bool) -> bool:
+    def marked(self, tag: str, attrs: list, article: bool) -> bool:
         if tag in NEVER or tag == "header" and not article:
             return True
-        if tag in ("html", "body", "main", "article"):
-            return False
         for k, v in attrs:
-            if k == "hidden" or k == "role" and (v or "").strip().lower() in ROLES:
+            v = v or ""
+            if tag not in ("html", "body") and (k == "hidden" or k == "style" and re.search(r"display\s*:\s*none", v) or k == "aria-hidden" and v.strip().lower() == "true"):
+                return True
+            if k == "role" and v.strip().lower() in ROLES and tag != "form":
+                return True
+            if k in ("class", "id") and tag not in ("html", "body", "main", "header") and tag not in HEADINGS and any(boilerplate_name(x, article) for x in v.split()):
                 return True
-            if k in ("class", "id") and v and MARKS.intersection(SPLIT.split(v.lower())):
-                return tag != "header" and tag[0] != "h" or tag == "hr"
         return False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
         if tag in BLOCK:
             self.end_line()
-            self.close_implied(tag)
+            ends = ENDS.get(tag, ("p",))
+            while self.blocks and self.elements[self.open[self.blocks[-1]]].tag in ends:
+                self.cut(self.blocks[-1])
         if tag in VOID:
             return
-        _, junk, around, article = self.open[-1] if self.open else ("", False, (), False)
-        article = article or tag in ("article", "main")
-        if tag in REGION:
-            self.regions += 1
-            around = (*around, self.regions)
-            if tag in ("article", "main"):
-                self.articles.add(self.regions)
+        around = self.elements[self.open[-1]]
+        article = around.article or tag in ARTICLES
+        junk = around.junk or self.marked(tag, attrs, article)
         self.links += tag == "a"
-        self.open.append((tag, junk or self.boilerplate(tag, attrs, article), around, article))
-
-    def close_implied(self, tag: str) -> None:
-        """A block ends an open paragraph, an item the item before it, and so on."""
-        ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}.get(tag, ())
-        if tag != "br":
-            ends = (*ends, "p")
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in ends:
-                self.cut(k)
-                return
-            if self.open[k][0] in BLOCK and self.open[k][0] != "p":
-                return
-
-    def cut(self, k: int) -> None:
-        self.links -= sum(x[0] == "a" for x in self.open[k:])
-        del self.open[k:]
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCK:
+            self.blocks.append(len(self.open))
+        self.open.append(len(self.elements))
+        self.elements.append(Element(tag, self.open[-2], junk, article, next((v or "" for k, v in attrs if k == "class"), "")))
+
+    def cut(self, place: int) -> None:
+        """Closes the open elements from a place on."""
+        for e in self.open[place:]:
+            self.places[self.elements[e].tag].pop()
+        del self.open[place:]
+        while self.blocks and self.blocks[-1] >= place:
+            self.blocks.pop()
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in ("svg", "iframe", "a", "span"):
+        if tag in ("svg", "iframe", "a", "span"):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCK:
             self.end_line()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self.cut(k)
-                return
-            # an inline element does not end beyond the block that it is in
-            if tag not in BLOCK and self.open[k][0] in BLOCK:
-                return
+        at = self.places.get(tag)
+        # an inline element does not end beyond the block that it is in
+        if at and (tag in BLOCK or not self.blocks or at[-1] > self.blocks[-1]):
+            self.cut(at[-1])
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][0] in ("script", "style", "template"):
+        if self.elements[self.open[-1]].tag in ("script", "style", "template"):
             return
         self.text.append(data)
-        self.linked += len(data) * (self.links > 0)
+        self.linked += len(data) * bool(self.places.get("a"))
+
+
+def closed(html: str) -> str:
+    """The page with tags and comments that never end written as text; the parser would look for each one's end anew."""
+    last = html.rfind("-->")
+    html = html[: last + 1] + html[last + 1 :].replace("<!--", "&lt;!--")
+    last = html.rfind(">")
+    return html[: last + 1] + html[last + 1 :].replace("<", "&lt;")
 
 
-def page_lines(html: str) -> tuple[list[tuple[str, int, int, tuple[int, ...], bool]], set[int]]:
+def parsed(html: str) -> Page:
+    html = closed(html)
     for text in (html, html.replace("<![", "&lt;![")):
-        parser = Lines()
+        page = Page()
         try:
-            parser.feed(text)
-            parser.close()
+            page.feed(text)
+            page.close()
         except AssertionError:  # a marked section that the parser knows nothing about: read again as text
             continue
-        parser.end_line()
-        return parser.lines, parser.articles
-    return [], set()
+        page.end_line()
+        return page
+    return Page()
 
 
 def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -140,19 +182,93 @@ def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratio, kernel / kernel.sum(), "full")[reach : reach + len(ratio)]
 
 
+def dense_lines(plain: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Whether each line is in the dense cluster, from its characters outside links and boilerplate and its tags."""
+    own = plain / np.maximum(1, tags)
+    near = smoothed(own)
+    least = 0.5 * near.std()
+    return (near >= least) & (own >= least) & (plain > 0)
+
+
+def sums(elements: list[Element], values: dict[int, int]) -> list[int]:
+    """For each element, the sum of the values of all elements in it, itself included."""
+    out = [0] * len(elements)
+    for e, x in values.items():
+        out[e] = x
+    for e in range(len(elements) - 1, 0, -1):
+        out[elements[e].parent] += out[e]
+    return out
+
+
+def per_element(lines: list[Line], value) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for x in lines:
+        out[x.element] = out.get(x.element, 0) + value(x)
+    return out
+
+
+def drop_forms(page: Page) -> None:
+    """Marks the lines in boilerplate, and those in forms that do not hold the page's text."""
+    elements = page.elements
+    body = [x for x in page.lines if not elements[x.element].junk]
+    held = sums(elements, per_element(body, lambda x: x.plain))
+    small = [False] * len(elements)
+    for e, element in enumerate(elements):
+        small[e] = e > 0 and small[element.parent] or element.tag == "form" and (held[e] < FORM_SHARE * held[0] or held[e] < FORM_CHARS)
+    for x in page.lines:
+        x.junk = elements[x.element].junk or small[x.element]
+
+
+def inside(elements: list[Element], top: int) -> list[bool]:
+    """For each element, whether it is top or in it."""
+    out = [False] * len(elements)
+    for e in range(top, len(elements)):
+        out[e] = e == top or e > top and out[elements[e].parent]
+    return out
+
+
+def region(elements: list[Element], dense: dict[int, int]) -> int:
+    """The lowest container that holds all dense lines (their number by element), or the outermost article around it."""
+    total = sum(dense.values())
+    e = max(k for k, x in enumerate(sums(elements, dense)) if x == total)
+    while e and elements[e].tag not in CONTAINERS:
+        e = elements[e].parent
+    low = e
+    while e:
+        if elements[e].tag in ARTICLES:
+            low = e
+        e = elements[e].parent
+    return low
+
+
 def main_text(html: str) -> str:
-    lines, articles = page_lines(html)
-    body = [x for x in lines if not x[4]]
+    page = parsed(html)
+    drop_forms(page)
+    elements, lines = page.elements, page.lines
+    body = [x for x in lines if not x.junk]
     if not body:
         return ""
-    size = np.array([0 if x[4] else max(0, len(x[0]) - x[1]) for x in lines], dtype=np.float64)
-    ratio = smoothed(size / np.maximum(1, [x[2] for x in lines]))
-    dense = ratio >= 0.5 * ratio.std()
-    around = [x[3] for x, n, on in zip(lines, size, dense) if on and n]
-    region = tuple(os.path.commonprefix(around))
-    top = next((k for k, r in enumerate(region) if r in articles), len(region) - 1)
-    region = region[: top + 1]
-    return " ".join(x[0] for x in body if x[3][: len(region)] == region)
+    dense = dense_lines(np.array([0 if x.junk else x.plain for x in lines], dtype=np.float64), np.array([x.tags for x in lines]))
+    cluster = [x for x, on in zip(lines, dense) if on]
+    if not cluster:  # all text is in links
+        return " ".join(x.text for x in body)
+    top = region(elements, per_element(cluster, lambda x: 1))
+    within = inside(elements, top)
+    if not elements[top].article and top:
+        # its title before it, and blocks of its kind beside it
+        kind, around = elements[top], elements[top].parent
+        telling = bool(kind.name) or kind.tag == "section"
+        for e, other in enumerate(elements[1:], 1):
+            alike = telling and (other.tag, other.name) == (kind.tag, kind.name) or e < top and other.tag in HEADINGS
+            within[e] = within[e] or within[other.parent] or other.parent == around and alike
+    if not elements[top].article:
+        chars, plain, links = (sums(elements, per_element(body, v)) for v in (lambda x: len(x.text), lambda x: x.plain, lambda x: x.links))
+        listed = [False] * len(elements)
+        for e in range(1, len(elements)):
+            linked = links[e] >= LEAST_LINKS and plain[e] <= (1 - LINK_SHARE) * chars[e]
+            listed[e] = listed[elements[e].parent] or linked and elements[e].tag in BLOCK and e != top
+        body = [x for x in body if not listed[x.element]]
+    return " ".join(x.text for x in body if within[x.element])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -160,7 +276,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     pages has page_id, url and html; other columns are ignored. A null html counts as empty and gives an empty text, and so
     does a page of boilerplate alone. White space inside a block is one space, blocks are joined by one space in page order.
-    Repeated rows are extracted each.
+    Repeated rows are extracted each. Time and memory are linear in a page's tags, however deep they are nested.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

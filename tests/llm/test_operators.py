@@ -1,8 +1,10 @@
 import base64
 import hashlib
 import io
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -312,11 +314,89 @@ def test_main_text_keeps_title_and_lead_beside_the_content():
     assert html_text.main_text(page) == " ".join(["Title By me Lead. On."] + [prose(i, 60) for i in range(12)])
 
 
+PARAGRAPHS = ["<p>" + prose(i, 40) + "</p>" for i in range(13)]
+ARTICLE_TEXT = " ".join(prose(i, 40) for i in range(13))
+
+
+@pytest.mark.parametrize("page", ["<body><article>{}</article></body>", "<body><div>Home</div><section>{}</section><div>End.</div></body>", "<body><nav>Home</nav><div>{}</div></body>"])
+@pytest.mark.parametrize("cut", [1, 5, 12])
+def test_main_text_keeps_all_blocks_of_an_article(page, cut):
+    for tag in ("div", "section"):
+        blocks = f"<{tag}>" + "".join(PARAGRAPHS[:cut]) + f"</{tag}><{tag}>" + "".join(PARAGRAPHS[cut:]) + f"</{tag}>"
+        assert html_text.main_text(page.format(blocks)) == ARTICLE_TEXT
+
+
+def test_main_text_in_a_form_and_under_doubtful_names():
+    whole = "".join(PARAGRAPHS)
+    assert html_text.main_text(f"<body><form action=x><input name=state>{whole}<fieldset>Choose</fieldset></form></body>") == ARTICLE_TEXT
+    assert html_text.main_text(f"<body>{whole}<form><p>Subscribe to our letter, it comes every week.</p></form></body>") == ARTICLE_TEXT
+    for name in ("share-price", "notice-of-motion", "download", "header", "searching"):
+        tag = "article" if name == "header" else "div"
+        assert html_text.main_text(f"<body><nav>Home</nav><{tag} class='{name}'>{whole}</{tag}></body>") == ARTICLE_TEXT
+    last = f"<p class=notice-of-motion>{prose(50, 9)}</p>"
+    assert html_text.main_text(f"<article><header class=entry-header><h1>T</h1></header>{whole}{last}</article>") == f"T {ARTICLE_TEXT} {prose(50, 9)}"
+    for name in ("cookie-banner", "siteHeader", "comment_list", "ad-slot-3", "x newsletter-signup", "related-posts"):
+        assert html_text.main_text(f"<body><div class='{name}'><p>{prose(60, 30)}</p></div><div>{whole}</div></body>") == ARTICLE_TEXT
+
+
+def test_main_text_without_comments_and_hidden_parts():
+    whole = "".join(PARAGRAPHS)
+    for junk in ("<article class='comment'><p>{}</p></article>", "<section id=comments><article><p>{}</p></article></section>", "<div hidden>{}</div>", "<div role=alert>{}</div>", "<p style='display: none'>{}</p>", "<aside>{}</aside>"):
+        assert html_text.main_text("<article>" + whole + junk.format(prose(70, 50)) + "</article>") == ARTICLE_TEXT
+    assert html_text.main_text(f"<main hidden>{prose(70, 50)}</main><div>{whole}</div>") == ARTICLE_TEXT
+
+
+def test_density_decides_where_no_name_tells():
+    """Menus, short notices and lists of links without any class, role or telling element."""
+    menu = "".join(f"<div><a href=/{i}>{prose(200 + i, 2)}</a></div>" for i in range(8))
+    page = f"<body><div>{menu}</div><div>We use small files.</div><h1>Title</h1><div class=c>" + "".join(PARAGRAPHS[:6]) + "<p>Short.</p>" + "".join(PARAGRAPHS[6:]) + f"<ul>{menu}</ul></div><div>All rights are ours.</div><div>{menu}</div></body>"
+    want = "Title " + " ".join([prose(i, 40) for i in range(6)] + ["Short."] + [prose(i, 40) for i in range(6, 13)])
+    assert html_text.main_text(page) == want
+    lines = html_text.parsed(page).lines
+    dense = html_text.dense_lines(np.array([x.plain for x in lines], float), np.array([x.tags for x in lines]))
+    assert [x.text for x, on in zip(lines, dense) if on] == [prose(i, 40) for i in range(13)]
+
+
+def test_region_is_the_lowest_container_of_the_cluster():
+    rng = random.Random(12)
+    tags = ["article", "div", "p", "span", "main", "section", "ul"]
+    for _ in range(400):
+        elements = [html_text.Element("", -1, False, False)]
+        for e in range(1, rng.randint(2, 25)):
+            elements.append(html_text.Element(rng.choice(tags[1:] if rng.random() < 0.8 else tags), rng.randrange(e), False, False))
+        dense = {e: rng.randint(1, 3) for e in rng.sample(range(len(elements)), min(len(elements), rng.randint(1, 4)))}
+
+        def path(e):
+            return [*path(elements[e].parent), e] if e > 0 else [0]
+
+        shared = [e for e in range(len(elements)) if all(e in path(d) for d in dense)]
+        low = max((e for e in shared if elements[e].tag in html_text.CONTAINERS), key=lambda e: len(path(e)), default=0)
+        top = [e for e in path(low) if elements[e].tag in html_text.ARTICLES]
+        assert html_text.region(elements, dense) == (top[0] if top else low)
+
+
+@pytest.mark.parametrize("unit", ["<div>text ", "<b><p>x</p>", "<span>t </b>", "<ul><li>a ", "<td>x", "<!--", "<a href='", "<![if ", "</"])
+def test_main_text_takes_linear_time(unit):
+    began = time.process_time()
+    html_text.main_text(unit * 20_000)
+    assert time.process_time() - began < 2
+    assert html_text.main_text("<div>" * 20_000 + "deep text" + "</p>" * 20_000) == "deep text"
+
+
+def test_smoothing_against_brute_force():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 40):
+        x = rng.uniform(0, 100, n)
+        weight = [math.exp(-0.5 * (k / 2) ** 2) for k in range(-6, 7)]
+        want = [sum(w * x[i + k] for k, w in zip(range(-6, 7), weight) if 0 <= i + k < n) / sum(weight) for i in range(n)]
+        assert np.allclose(html_text.smoothed(x), want)
+
+
 def test_main_text_of_odd_pages():
     assert html_text.main_text("") == "" and html_text.main_text("<nav>menu</nav>") == ""
     assert html_text.main_text("just words\n and  more") == "just words and more"
     assert html_text.main_text("<p>a<![weird[ b</p><p>c</p>").endswith("c")
-    assert html_text.main_text("<div>" * 2000 + "deep text" + "</p>" * 2000) == "deep text"
+    assert html_text.main_text("<p>if a < b then c</p><!-- never ends <p>d</p>").startswith("if a < b then c")
 
 
 def test_extract_awkward(spark):
@@ -333,12 +413,11 @@ def tokens(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
 
 
 def test_packing_round_trip(spark):
-    texts = [prose(i, 3 + 37 * i % 900) for i in range(60)] + [None, "", "<|endoftext|> é🙂\n\n  x", "a" * 3000, prose(7, 9000)]
+    texts = [prose(i, 3 + 37 * i % 900) for i in range(60)] + [None, "", "<|endoftext|> é🙂\n\n  x", "hello <|endoftext|> there<|endoftext|><|endoftext", " <|endoftext|>\t\u3000x\U00031350", "a" * 3000, prose(7, 9000)]
     ids = tokens(texts)
     packed = packing.pack(documents(spark, texts).repartition(3), tokenizer_path(), with_ids=True)
     rows = packed.collect()
@@ -360,10 +439,34 @@ def test_packing_round_trip(spark):
     assert all(len(r["ids"]) == 1024 or len(r["ids"]).bit_count() == 1 for r in whole) and len(whole) == len(by_sequence)
 
 
-def test_cut_covers_and_classes_fill():
-    for n in [*range(1, 300), 1023, 1024, 1025, 5000]:
+def test_cut_covers_and_reciprocals_fill():
+    for n in [*range(1, 1400), 5000]:
         p = packing.cut(n)
-        assert sum(p) == n and all(x == 1024 or x in (512, 256, 128, 64) or x < 64 for x in p)
+        assert sum(p) == n and p[: n // 1024] == [1024] * (n // 1024) and len(p) <= n // 1024 + 4
+        # all but the last are a reciprocal of the capacity; the last is small or leaves little of a bin empty
+        assert all(x == 1024 // (1024 // x) for x in p[:-1])
+        assert p[-1] <= packing.LEAST or (1024 // p[-1]) * p[-1] >= 1024 * (1 - packing.SPARE)
+
+
+def test_bins_hold_a_fixed_number_of_a_class(spark):
+    texts = [prose(i, 1 + 13 * i % 1300) for i in range(700)]
+    packed = packing.pack(documents(spark, texts).repartition(3), tokenizer_path())
+    bins = {}
+    for r in packed.collect():
+        bins.setdefault(r["sequence_id"], []).append(r["length"])
+    kinds = Counter()
+    for lengths in bins.values():
+        k = {1024 // n for n in lengths}
+        assert sum(lengths) <= 1024
+        if len(k) > 1:  # what is left at the very end, together
+            assert max(lengths) <= packing.LEAST
+            kinds["together"] += 1
+        else:
+            kinds[min(k), len(lengths) == min(k)] += 1
+    # a class has one bin at most that is not full
+    assert all(n == 1 for kind, n in kinds.items() if kind != "together" and not kind[1]) and kinds["together"] < 64
+    padding = 1 - sum(map(sum, bins.values())) / (1024 * len(bins))
+    assert padding < 0.03
 
 
 def test_packing_awkward(spark):
