@@ -18,7 +18,7 @@ from .common import columns
 
 #: Edits allowed, as a share of an item's characters.
 ERRORS = 0.08
-#: Shorter items are not searched: a few characters occur by chance.
+#: Shorter items must stand word for word, from one word's begin to another's end: a few characters occur by chance in words.
 LEAST_CHARS = 16
 #: Characters of items that one pass over the documents searches, about; more items take more passes.
 BLOCK_CHARS = 1_000_000
@@ -35,16 +35,16 @@ def cut(m: int, parts: int) -> list[tuple[int, int]]:
     return list(zip(at, at[1:]))
 
 
-def best_end(item: str, text: str) -> tuple[int, int]:
-    """Least edit distance of the item to a substring of the text, and the first place where such a substring ends."""
+def distances(item: str, text: str) -> Iterator[int]:
+    """For every end in the text, from 0 on, the least edit distance of the item to a substring that ends there."""
     m = len(item)
     where: dict[str, int] = {}
     for i, c in enumerate(item):
         where[c] = where.get(c, 0) | 1 << i
     ones, top = (1 << m) - 1, 1 << (m - 1)
     plus, minus, now = ones, 0, m
-    best, end = m, 0
-    for j, c in enumerate(text, 1):
+    yield now
+    for c in text:
         eq = where.get(c, 0)
         x = eq | minus
         d0 = (((eq & plus) + plus) ^ plus) | x
@@ -55,16 +55,27 @@ def best_end(item: str, text: str) -> tuple[int, int]:
             now -= 1
         up <<= 1
         plus, minus = (down << 1 | ~(d0 | up)) & ones, up & d0 & ones
+        yield now
+
+
+def best_end(item: str, text: str, budget: int = -1) -> tuple[int, int, int]:
+    """Least edit distance of the item to a substring of the text, the first place where such a substring ends, and the number
+    of runs of neighbouring ends within the budget."""
+    best, end, runs, near = len(item) + 1, 0, 0, False
+    for j, now in enumerate(distances(item, text)):
         if now < best:
             best, end = now, j
-    return best, end
+        runs += now <= budget and not near
+        near = now <= budget
+    return best, end, runs
 
 
 class Items:
     """Test items and the automaton of their pieces."""
 
     def __init__(self, items: list[tuple[int, str]], errors: float, least: int):
-        self.items = [(i, t, int(len(t) * errors)) for i, t in ((i, normal(t)) for i, t in items) if len(t) >= max(1, least)]
+        self.least = least
+        self.items = [(i, t, int(len(t) * errors) * (len(t) >= least)) for i, t in ((i, normal(t)) for i, t in items) if t]
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t, budget) in enumerate(self.items):
             for lo, hi in cut(len(t), budget + 1):
@@ -97,20 +108,28 @@ class Items:
         return out
 
     def matches(self, text: str) -> list[tuple[int, int, int, int, int, int]]:
-        """(item id, distance, edits allowed, begin, end, windows that match) for every item found in a normalised text."""
+        """(item id, distance, edits allowed, begin, end, places) for every item found in a normalised text."""
         rows = []
         for k, windows in self.windows(text).items():
             item, t, budget = self.items[k]
-            good = []
+            if len(t) < self.least:
+                at = [i for lo, hi in windows for i in range(lo, hi - len(t) + 1) if text.startswith(t, i)]
+                edge = lambda i: not 0 <= i < len(text) or not text[i].isalnum()
+                found = [(i, i + len(t)) for i in at if edge(i - 1) and edge(i + len(t))]
+                if found:
+                    rows.append((item, 0, 0, *found[0], len(found)))
+                continue
+            good, places = [], 0
             for lo, hi in windows:
-                distance, end = best_end(t, text[lo:hi])
+                distance, end, runs = best_end(t, text[lo:hi], budget)
+                places += runs
                 if distance <= budget:
                     good.append((distance, lo + end, lo))
             if good:
                 distance, end, lo = min(good)
                 # the begin is the end of the best match of the reversed strings
-                _, back = best_end(t[::-1], text[lo:end][::-1])
-                rows.append((item, distance, budget, end - back, end, len(good)))
+                _, back, _ = best_end(t[::-1], text[lo:end][::-1])
+                rows.append((item, distance, budget, end - back, end, places))
         return rows
 
 
@@ -119,9 +138,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS,
 
     docs has doc_id and text, benchmark item_id and text; other columns are ignored. Texts are compared in lower case with
     single spaces; begin and end count characters of the document's text so written. A null text counts as empty and matches
-    nothing; items that are null, empty or shorter than ``least`` characters are not searched. An item that is there several
-    times has one row, with its nearest place (the first of them) and the number of places. Repeated rows give repeated
-    results. An empty table on either side gives no rows.
+    nothing; items that are null or empty are not searched, those shorter than ``least`` characters are found where they
+    stand unchanged as whole words. An item that is there several times has one row, with its nearest place (of equally near
+    ones the first) and the number of places, each a run of neighbouring ends within the budget. Repeated rows give
+    repeated results. An empty table on either side gives no rows.
 
     The items are taken in blocks of about ``block`` characters, each with a pass over the documents, so that neither the
     driver nor an executor holds more than a block however large the benchmark is.

@@ -18,7 +18,7 @@ from .common import columns, release
 
 PROFILE = 400
 UNKNOWN = "und"
-#: The text is taken in stretches of so many characters when n-grams are counted, so memory does not grow with a text's length times its n-grams.
+#: Characters of a text whose n-grams are counted at once, so that memory grows with its distinct n-grams alone.
 STRETCH = 1 << 20
 
 _letters: np.ndarray | None = None
@@ -32,24 +32,42 @@ def letters() -> np.ndarray:
     return _letters
 
 
-def ngrams(text: str) -> np.ndarray:
-    """Codes of all n-grams of a text: the code points, 21 bits each, the first lowest; a padding space is 0x20."""
-    out = []
-    for lo in range(0, len(text), STRETCH):
-        c = np.frombuffer(text[max(0, lo - 2) : lo + STRETCH].lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-        c = np.where(letters()[c], c, 0x20)
-        c = np.concatenate([[0x20], c, [0x20]]) if not lo or lo + STRETCH >= len(text) else c
-        gap = c == 0x20
-        one = c[~gap]
-        two = ~(gap[:-1] & gap[1:])
-        three = ~gap[1:-1]
-        out += [one, (c[:-1] | c[1:] << 21)[two], (c[:-2] | c[1:-1] << 21 | c[2:] << 42)[three]]
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+def ngrams(padded: str, begin: int) -> np.ndarray:
+    """Codes of the n-grams that begin among the first so many characters of a padded text, or of a part of one: the code
+    points, 21 bits each, the first lowest; whatever is no letter is a space, 0x20."""
+    c = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    c = np.where(letters()[c], c, 0x20)
+    gap = c == 0x20
+    one, two, three = ~gap, ~(gap[:-1] & gap[1:]), ~gap[1:-1]
+    one[begin:] = two[begin:] = three[begin:] = False
+    return np.concatenate([c[one], (c[:-1] | c[1:] << 21)[two], (c[:-2] | c[1:-1] << 21 | c[2:] << 42)[three]])
+
+
+def ngram_table(text: str, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a text, in order, and how often each occurs. The text, with a space on either side, is taken in
+    stretches; a stretch counts what begins in it."""
+    low, held = text.lower(), []
+    n = len(low) + 2 if low else 0
+    for lo in range(0, n, stretch):
+        end = min(n, lo + stretch + 2)
+        part = " " * (lo == 0) + low[max(0, lo - 1) : end - 1] + " " * (end == n)
+        held.append(np.unique(ngrams(part, stretch), return_counts=True))
+        if len(held) > 8:
+            held = [merged(held)]
+    return merged(held)
+
+
+def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One table of several with n-grams in common."""
+    if len(held) == 1:
+        return held[0]
+    gram, where = np.unique(np.concatenate([np.zeros(0, np.int64), *[g for g, _ in held]]), return_inverse=True)
+    return gram, np.bincount(where, weights=np.concatenate([np.zeros(0), *[n for _, n in held]])).astype(np.int64)
 
 
 def ranked(text: str, most: int) -> np.ndarray:
     """The most frequent n-grams of a text, best first; of equally frequent ones the smaller code first."""
-    gram, n = np.unique(ngrams(text), return_counts=True)
+    gram, n = ngram_table(text)
     if len(gram) > most:
         # only n-grams as frequent as the last one wanted can rank
         keep = n >= np.partition(n, len(n) - most)[len(n) - most]
@@ -68,24 +86,19 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
 
-        def merged(lang: str) -> tuple[np.ndarray, np.ndarray]:
-            grams, ns = (np.concatenate(x) for x in zip(*held[lang]))
-            gram, where = np.unique(grams, return_inverse=True)
-            return gram, np.bincount(where, weights=ns).astype(np.int64)
-
         def put_out() -> Iterator[pa.RecordBatch]:
             for lang in held:
-                gram, n = merged(lang)
+                gram, n = merged(held[lang])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
 
         size = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                gram, n = np.unique(ngrams(text.as_py() or ""), return_counts=True)
+                gram, n = ngram_table(text.as_py() or "")
                 held.setdefault(lang, []).append((gram, n))
                 size += len(gram)
                 if size > 1_000_000:
-                    held = {x: [merged(x)] for x in held}
+                    held = {x: [merged(held[x])] for x in held}
                     size = sum(len(x[0][0]) for x in held.values())
                     if size > 500_000:
                         yield from put_out()

@@ -49,14 +49,15 @@ def slow_distance(item, text):
         for j, b in enumerate(text, 1):
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
         row = new
-    return min(row), row.index(min(row))
+    return min(row), row.index(min(row)), row
 
 
 def test_bit_parallel_distance():
     rng = random.Random(2)
     for _ in range(500):
         a, b = ("".join(rng.choice("abc ") for _ in range(rng.randint(lo, 30))) for lo in (1, 0))
-        assert decontaminate.best_end(a, b) == slow_distance(a, b)
+        best, end, row = slow_distance(a, b)
+        assert decontaminate.best_end(a, b)[:2] == (best, end) and list(decontaminate.distances(a, b)) == row
 
 
 def test_contaminated_against_brute_force(spark):
@@ -64,7 +65,7 @@ def test_contaminated_against_brute_force(spark):
     items = [prose(50 + i, rng.randint(8, 40)) for i in range(12)]
     texts = []
     for i in range(40):
-        item = list(rng.choice(items))
+        item = list(rng.choice(items) * (1 + i % 2))
         for _ in range(rng.choice([0, 0, 1, 3, 9, 30])):
             item[rng.randrange(len(item))] = rng.choice("xyz ")
         texts.append(prose(i, 20) + " " + ("".join(item).upper() if i % 5 == 0 else "".join(item)) + "\n" + prose(900 + i, rng.randint(0, 60)))
@@ -73,21 +74,25 @@ def test_contaminated_against_brute_force(spark):
     for d, t in enumerate(texts):
         for i, item in enumerate(items):
             m = decontaminate.normal(item)
-            best, _ = slow_distance(m, decontaminate.normal(t))
-            if best <= int(len(m) * 0.08):
-                want[d, i] = best
+            best, end, row = slow_distance(m, decontaminate.normal(t))
+            near = [x <= int(len(m) * 0.08) for x in row]
+            if any(near):
+                want[d, i] = best, end, sum(x and not y for x, y in zip(near, [False, *near]))
     for block in (1_000_000, 300):
         rows = decontaminate.contaminated(documents(spark, texts), bench, block=block).collect()
-        assert {(r["doc_id"], r["item_id"]): r["distance"] for r in rows} == want
+        assert {(r["doc_id"], r["item_id"]): (r["distance"], r["end"], r["places"]) for r in rows} == want
+    assert {n for *_, n in want.values()} >= {1, 2}
     for r in rows:
         found = decontaminate.normal(texts[r["doc_id"]])[r["begin"] : r["end"]]
         assert slow_distance(decontaminate.normal(items[r["item_id"]]), found)[0] <= r["distance"]
 
 
 def test_contaminated_awkward(spark):
-    bench = spark.createDataFrame([(0, None), (1, ""), (2, "short"), (None, prose(2, 80)), (3, prose(2, 80))], "item_id long, text string").withColumn("doc_id", F.lit("clash"))
+    bench = spark.createDataFrame([(0, None), (1, ""), (2, "sho"), (4, "X"), (5, "stone m"), (None, prose(2, 80)), (3, prose(2, 80))], "item_id long, text string").withColumn("doc_id", F.lit("clash"))
     rows = decontaminate.contaminated(awkward(spark), bench).collect()
-    assert sorted((r["doc_id"], r["item_id"] is None) for r in rows) == [(0, False), (0, True), (1, False), (1, False), (1, True), (1, True)]
+    assert sorted((r["doc_id"], r["item_id"] is None) for r in rows) == [(0, False), (0, True), (1, False), (1, False), (1, True), (1, True), (6, False)]
+    twice = decontaminate.contaminated(documents(spark, ["a short word, Short\nword; shortword short wordy"]), spark.createDataFrame([(1, "short word")], "item_id long, text string"))
+    assert [(r["begin"], r["end"], r["places"]) for r in twice.collect()] == [(2, 12, 2)]
     assert decontaminate.contaminated(documents(spark, []), bench).count() == 0
     assert decontaminate.contaminated(awkward(spark), bench.limit(0)).count() == 0
 
@@ -212,19 +217,53 @@ def test_language_of_held_out_documents(spark):
     assert all(flipped[d] == got[d][1:] for d in flipped)
 
 
+def brute_ngrams(text):
+    padded = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    grams = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(padded) - n + 1):
+            g = padded[i : i + n]
+            if (n == 1 and g != " ") or (n == 2 and g != "  ") or (n == 3 and g[1] != " "):
+                grams[sum(ord(c) << 21 * k for k, c in enumerate(g))] += 1
+    return grams
+
+
+def best_first(grams, most):
+    return [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], x[0]))][:most]
+
+
 def test_ngrams_and_ranks():
-    def brute(text):
-        padded = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
-        grams = Counter()
-        for n in (1, 2, 3):
-            for i in range(len(padded) - n + 1):
-                g = padded[i : i + n]
-                if (n == 1 and g != " ") or (n == 2 and g != "  ") or (n == 3 and g[1] != " "):
-                    grams[sum(ord(c) << 21 * k for k, c in enumerate(g))] += 1
-        return [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], x[0]))]
-
-    for text in ("Ab ab, cd!", "x", "éÉ ß", "12 34", prose(4, 50)):
-        assert language.ranked(text, 30).tolist() == brute(text)[:30]
+    for text in ("Ab ab, cd!", "x", "éÉ ß", "12 34", "ΟΔΟΣ İstanbul", prose(4, 50)):
+        assert language.ranked(text, 30).tolist() == best_first(brute_ngrams(text), 30)
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 3, 37, 1000])
+def test_stretches_of_long_texts_count_every_ngram_once(stretch):
+    for text in (prose(4, 30), "a" * 75, "Σ, " * 40, "", "x", "İ" * 50 + " é"):
+        gram, n = language.ngram_table(text, stretch)
+        assert dict(zip(gram.tolist(), n.tolist())) == brute_ngrams(text)
+
+
+def test_out_of_place_distance_against_brute_force(spark):
+    """Profiles, distances, ties (the first language in order) and scores of all documents."""
+    rng = random.Random(21)
+    vocab = {"aa": "tor nis elm oda".split(), "bb": "tor nis elm odu".split(), "cc": "kal wim zet".split()}
+    rows = [(i, " ".join(rng.choice(vocab[lang]) for _ in range(rng.randint(1, 12))), lang, "s", 1) for i in range(90) for lang in [rng.choice(list(vocab))]]
+    rows += [(200, "elm", None, "s", 1), (201, "qqq", "cc", "s", 1), (202, "tor nis", None, "s", 1)]
+    most, learned = 25, {}
+    for i, text, lang, _, _ in rows:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            learned.setdefault(lang, Counter()).update(brute_ngrams(text))
+    table = {lang: best_first(grams, most) for lang, grams in learned.items()}
+    got = by_id(language.identify(documents(spark, rows), most), "lang_pred", "score")
+    ties = 0
+    for i, text, *_ in rows:
+        own = best_first(brute_ngrams(text), most)
+        far = {lang: sum(abs(t.index(g) - k) if g in t else most for k, g in enumerate(own)) for lang, t in table.items()}
+        least = min(far.values())
+        ties += sum(x == least for x in far.values()) > 1
+        assert got[i][0] == min(x for x in far if far[x] == least) and abs(got[i][1] - (1 - least / (most * len(own)))) < 1e-12
+    assert ties
 
 
 def test_language_awkward(spark):
