@@ -39,9 +39,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Takes strings of 50 bytes that a document with a smaller id has out of the texts; documents of which nothing is left go."""
     docs = docs.select(*COLUMNS)
     cut = substrings.deduplicated(docs, keep_text=True)
-    cut = staged(cut.where("n_removed > 0 and doc_id is not null").select("doc_id", "kept_text").dropDuplicates(["doc_id"]), "cut")
+    cut = staged(cut.where("n_removed > 0 and doc_id is not null").select("doc_id", "sha", "kept_text").dropDuplicates(["doc_id", "sha"]), "cut")
     changed = F.col("kept_text").isNotNull()
-    out = docs.join(cut, "doc_id", "left").where(~changed | (F.trim("kept_text") != ""))
+    whole = docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    out = whole.join(cut, ["doc_id", "sha"], "left").where(~changed | (F.trim("kept_text") != ""))
     return out.select("doc_id", F.when(changed, F.col("kept_text")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 

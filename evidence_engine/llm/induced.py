@@ -7,7 +7,8 @@ The other suffixes are induced: in ascending order every sorted suffix puts the
 suffix's first symbol, then in descending order the S suffixes likewise. A queue is served symbol by symbol and within a
 symbol first come, first served, which is the priority order, so it only needs appending blocks: they move to a file when all
 queues together exceed their memory. The tuples are (position, prefix shared with the one before in the queue); that prefix is
-one more than the least prefix shared along the sorted suffixes between the two that put them in.
+one more than the least prefix shared along the sorted suffixes between the two that put them in. The string of names has too
+many symbols for a queue each: there a queue is for a range of symbols, and a range is put in order when it is served.
 """
 
 from __future__ import annotations
@@ -199,29 +200,9 @@ class Sorter:
             if len(star) <= self.base:
                 name = doubled(name, last, limit)
             else:
-                inner = Sorter(np.where(stop, 0, name + 1), limit, self.memory, self.base, self.block, False)
-                rank = np.zeros(len(star), np.int64)
-                # the stops come first, then the others from the smallest symbol up
-                end, held, symbol = len(star), [], -1
-                for pos, _ in inner.descending():
-                    if held and inner.sym[pos[0]] != symbol:
-                        end = self.ranked(rank, held, end)
-                        held = []
-                    symbol = inner.sym[pos[0]]
-                    held.append(pos)
-                self.ranked(rank, held, end)
-                name = rank
+                name = induced_ranks(np.where(stop, 0, name + 1), limit, self.memory, self.base, self.block)
         return star[np.argsort(name, kind="stable")]
 
-    @staticmethod
-    def ranked(rank: np.ndarray, held: list[np.ndarray], end: int) -> int:
-        """Ranks the suffixes of one symbol, in ascending order, up to end; returns where they begin."""
-        at = begin = end - sum(map(len, held))
-        for pos in held:
-            rank[pos] = at + np.arange(len(pos))
-            at += len(pos)
-        return begin
-
     def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes, up to limit and not beyond a 0."""
         out = np.zeros(len(a), np.int16)
@@ -289,3 +270,76 @@ class Sorter:
             for pos, lcp in smalls[::-1]:
                 yield pos[::-1], np.append(np.int16(follows), lcp[:0:-1])
                 follows = lcp[0]
+
+
+def induced_ranks(sym: np.ndarray, limit: int, memory: int, base: int, block: int) -> np.ndarray:
+    """Ranks of the suffixes of a string of many symbols that ends with 0; those that begin with 0 have rank 0."""
+    inner = Sorter(sym, limit, memory, base, block, False)
+    # ranges of neighbouring symbols with about ``block`` suffixes each; 0 is one of its own
+    held = np.bincount(sym)
+    held[0] = 0
+    _, rest = np.unique(np.cumsum(held)[1:] // block, return_inverse=True)
+    range_of = np.append(0, rest + 1)
+    ranges, store = int(range_of[-1]) + 1, Store(memory)
+    try:
+        large, kept, small = (Queues(ranges, store) for _ in range(3))
+        where = range_of[sym[inner.order]]
+        for r in range(ranges):
+            lo, hi = np.searchsorted(where, [r, r + 1])
+            pos, first = in_order(inner, range_of, r, queued(large, r, block), inner.order[lo:hi], False)
+            onward(inner, large, range_of, r, pos, False)
+            if r:
+                kept.put(r, pos[first], np.zeros(int(first.sum()), np.int16))
+        rank, end = np.zeros(len(sym), np.int64), len(sym)
+        for r in range(ranges - 1, 0, -1):
+            pos, _ = in_order(inner, range_of, r, queued(small, r, block), queued(kept, r, block)[::-1], True)
+            onward(inner, small, range_of, r, pos, True)
+            rank[pos] = end - 1 - np.arange(len(pos))
+            end -= len(pos)
+        return rank
+    finally:
+        store.close()
+
+
+def queued(queue: Queues, r: int, block: int) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *[pos for pos, _ in queue.parts(r, block)]])
+
+
+def before_in(inner: Sorter, pos: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes before these, and whether each is one to be induced."""
+    before = np.maximum(pos - 1, 0)
+    return before, (pos > 0) & (inner.small[before] == small) & (inner.sym[before] != 0)
+
+
+def onward(inner: Sorter, queue: Queues, range_of: np.ndarray, r: int, pos: np.ndarray, small: bool) -> None:
+    """Puts the suffixes before the sorted ones of range r into the queues of other ranges."""
+    for lo in range(0, len(pos), inner.block):
+        before, wanted = before_in(inner, pos[lo : lo + inner.block], small)
+        into = range_of[inner.sym[before]]
+        queue.passed(np.zeros(len(before), np.int16), np.where(wanted & (into != r), into, -1), before, inner.limit)
+
+
+def in_order(inner: Sorter, range_of: np.ndarray, r: int, came: np.ndarray, last: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes of range r in the order of the pass, and whether each is of the kind that the pass induces. Within a symbol
+    those that came from other ranges are first, as they came, then those induced by suffixes of the range itself, in the
+    order of these, then the other kind (last). What is induced through d suffixes of the range has its order from those
+    through fewer, so the ranks are made anew for every d."""
+    pos = np.concatenate([came, last])
+    turn = np.concatenate([np.zeros(len(came), np.int64), np.full(len(last), 2)])
+    source, key = np.full(len(pos), -1), np.arange(len(pos))
+    rank, lo = key, 0
+    while True:
+        sign = -1 if small else 1
+        size = len(pos) + 1
+        order = np.argsort((sign * inner.sym[pos].astype(np.int64) * 3 + turn) * size + key, kind="stable")
+        rank = np.empty(len(pos), np.int64)
+        rank[order] = np.arange(len(pos))
+        before, wanted = before_in(inner, pos[lo:], small)
+        wanted &= range_of[inner.sym[before]] == r
+        if not wanted.any():
+            return pos[order], turn[order] < 2
+        via = lo + np.flatnonzero(wanted)
+        lo = len(pos)
+        pos, turn, source = np.concatenate([pos, before[wanted]]), np.concatenate([turn, np.ones(len(via), np.int64)]), np.concatenate([source, via])
+        key = np.concatenate([key, np.zeros(len(via), np.int64)])
+        key[turn == 1] = rank[source[turn == 1]]

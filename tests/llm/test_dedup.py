@@ -43,6 +43,84 @@ def test_substrings_against_brute_force(spark):
     assert got == brute_removed(list(enumerate(texts)))
 
 
+def test_substrings_with_several_texts_of_one_id(spark):
+    """Rows with one doc_id lose nothing to each other; others lose to each of them, and each row has its own result."""
+    a, b, c = prose(1, 40), prose(2, 40), prose(3, 40)
+    rows = [(5, f"{a} {b}"), (5, f"{c} {a}"), (5, f"{c} {a}"), (3, prose(4, 30)), (7, f"x{b} y {c}"), (9, f"{c} {a}"), (9, f"{prose(6, 9)} {b}"), (9, f"{a} {b}"), (2, f"{prose(4, 30)[:70]}")]
+    docs = documents(spark, [(i, t, "en", "s", 1) for i, t in rows])
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.deduplicated(docs).collect())
+    want = []
+    for i, t in rows:
+        smaller = [(k, x) for k, x in enumerate(x for d, x in rows if d < i)]
+        want.append((i, *brute_removed([*smaller, (10_000, t)])[10_000]))
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("memory", [0, 3000, 1 << 30])
+def test_spool_gives_back_all_rows_by_part(memory):
+    rng = np.random.default_rng(4)
+    spool, want = substrings.Spool({"key": "<u8", "counts": "u1", "bytes": "u1"}, 5, memory, "counts"), {}
+    for _ in range(7):
+        n = int(rng.integers(0, 60))
+        key, count, part = rng.integers(0, 1 << 60, n).astype(np.uint64), rng.integers(1, 65, n).astype(np.uint8), rng.integers(0, 5, n)
+        rows = [rng.integers(0, 256, int(c) + 49).astype(np.uint8) for c in count]
+        spool.add(part, {"key": key, "counts": count, "bytes": np.concatenate([np.zeros(0, np.uint8), *rows])})
+        for p, k, row in zip(part.tolist(), key.tolist(), rows):
+            want.setdefault(p, []).append((k, row.tobytes()))
+    assert (spool.file is not None) == (memory < 1 << 30)
+    got = []
+    for x in spool.read():
+        end = np.cumsum(x["counts"].astype(np.int64) + 49)
+        got.append([(k, x["bytes"][hi - c - 49 : hi].tobytes()) for k, c, hi in zip(x["key"].tolist(), x["counts"].tolist(), end.tolist())])
+    assert got == [want[p] for p in sorted(want)]
+
+
+def test_shards_larger_than_memory(spark, monkeypatch):
+    """One shard for everything, in parts that go through a file, gives what brute force gives."""
+    monkeypatch.setattr(substrings, "MOST_SHARDS", 1)
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 1)
+    monkeypatch.setattr(substrings, "PART_BYTES", 2000)
+    monkeypatch.setattr(substrings.Spool.__init__, "__defaults__", (500, ""))
+    shared = [prose(100 + i, 30) for i in range(4)]
+    texts = [f"{prose(i, 20)} {shared[i % 4]} {prose(50 + i, 15)}" for i in range(24)]
+    got = by_id(substrings.deduplicated(documents(spark, texts)), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute_removed(list(enumerate(texts)))
+
+
+def test_sorting_of_a_call_spills_and_recurses(monkeypatch):
+    """With the parameters of the registered query, a call of half its size writes queues to disk and sorts names by recursion."""
+    rng = np.random.default_rng(1)
+    seen = {"spilled": 0, "recursions": 0}
+    write, ranks = induced.Store.write, induced.induced_ranks
+
+    def counted(self, pos, lcp):
+        seen["spilled"] += len(pos)
+        return write(self, pos, lcp)
+
+    def called(*args):
+        seen["recursions"] += 1
+        return ranks(*args)
+
+    monkeypatch.setattr(induced.Store, "write", counted)
+    monkeypatch.setattr(induced, "induced_ranks", called)
+    size, n = 100, substrings.SORT_BYTES // 200
+    text = rng.integers(97, 123, size * n).astype(np.uint8)
+    text[size * (n // 2) : size * (n // 2) + 3 * size] = text[: 3 * size]
+    begin, low = np.arange(n) * size, rng.permutation(n)
+    least = substrings.least_documents(text, begin, np.full(n, size), low).reshape(n, -1)
+    want = np.repeat(low[:, None], size - 49, axis=1)
+    for k in range(3):
+        want[[k, n // 2 + k]] = min(low[k], low[n // 2 + k])
+    assert np.array_equal(least, want) and seen["spilled"] > 100_000 and seen["recursions"] >= 1
+
+
+def test_segments_of_one_name_are_compared():
+    text = np.frombuffer(b"abcabcabd", np.uint8)
+    substrings.check_names(text, np.array([0, 3]), np.array([3, 3]), np.array([True, False]))
+    with pytest.raises(RuntimeError):
+        substrings.check_names(text, np.array([0, 6]), np.array([3, 3]), np.array([True, False]))
+
+
 def test_substrings_awkward(spark):
     rows = substrings.deduplicated(awkward(spark), keep_text=True).collect()
     assert len(rows) == 12
