@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +41,12 @@ def sentences(text: pd.Series) -> pd.Series:
     return text.map(lambda x: [s for s, _ in formats.sentences(x or "")])
 
 
+@vectorised("array<struct<path:string,text:string>>")
+def json_leaves(content: pd.Series) -> pd.Series:
+    """Paths and texts of a JSON text's small objects and scalars, as the reader of JSON files has them."""
+    return content.map(lambda x: [{"path": path, "text": said} for path, said in formats.leaves(json.loads(x))] if x else [])
+
+
 def prose_chunks(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """(key, chunk_pos, chunk_id, text, begin, end) of packed sentences."""
     found = docs.select(key, F.posexplode(packed_sentences(column)).alias("chunk_pos", "c"))

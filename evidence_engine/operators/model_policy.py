@@ -60,16 +60,22 @@ def prompt(claim: Column, passages: Column) -> Column:
 
 
 def ask(claims: DataFrame, model: Callable[[list[str]], list[str | None]], run: list[str]) -> DataFrame:
-    """Adds raw, the model's answer to the claim's prompt, an Arrow batch at a time; null where it failed, for the rules to decide.
-    claims has the run columns and prompt."""
+    """Adds raw, the model's answer to the claim's prompt, an Arrow batch at a time; where a batch fails, prompt by prompt. Null
+    where a prompt failed alone, for the rules to decide. claims has the run columns and prompt."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in claims.schema.fields) + ", raw string"
 
+    def alone(prompt: str) -> str | None:
+        try:
+            return model([prompt])[0]
+        except Exception:  # whatever a client raises: the rules' outcome stands
+            return None
+
     def answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             try:
                 raw = model(batch["prompt"].tolist())
-            except Exception:  # whatever a client raises: the rules' outcome stands
-                raw = [None] * len(batch)
+            except Exception:
+                raw = [alone(x) for x in batch["prompt"]]
             yield batch.assign(raw=raw)
 
     return claims.mapInPandas(answers, schema)

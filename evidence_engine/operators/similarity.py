@@ -5,14 +5,21 @@ Weights are decimals before they are summed, so sums do not depend on the order
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidence_engine.functions import text
 
 WEIGHT = "decimal(18,9)"
-#: Rows of a query side that are broadcast, at most; larger sides are taken in blocks of it.
-BROADCAST_ROWS = 1_000_000
+#: Terms with their idf that are broadcast, at most (about 50 MB); a larger vocabulary meets the counts in a shuffle.
+BROADCAST_TERMS = 500_000
+#: Numbers of a query side that one pass over the other side takes along, at most (32 MB); larger ones are taken in blocks.
+BLOCK_NUMBERS = 4_000_000
 
 
 def decimal(c: Column) -> Column:
@@ -20,19 +27,26 @@ def decimal(c: Column) -> Column:
 
 
 def term_counts(texts: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """(key, term, tf) of texts (key, column)."""
-    return texts.select(key, F.explode(text.terms(F.col(column))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf) of texts (key, column). The texts are dealt by key, so that neither these counts nor sums of them by key
+    move a row for each term."""
+    return texts.select(key, column).repartition(F.col(key)).select(key, F.explode(text.terms(F.col(column))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def document_frequencies(texts: DataFrame, column: str = "text") -> DataFrame:
+    """(term, df): in how many rows of texts (column) a term occurs."""
+    return texts.select(F.explode(F.array_distinct(text.terms(F.col(column)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def inverse_frequencies(counts: DataFrame, documents: int) -> DataFrame:
-    """(term, df, idf) over counts (key, term, tf) of so many documents."""
-    frequent = counts.groupBy("term").agg(F.count("*").alias("df"))
-    return frequent.withColumn("idf", decimal(F.log((F.lit(documents) + 1.0) / (F.col("df") + 1.0)) + 1.0))
+def inverse_frequencies(frequencies: DataFrame, documents: int) -> DataFrame:
+    """(term, df, idf) over frequencies (term, df) among so many documents."""
+    return frequencies.withColumn("idf", decimal(F.log((F.lit(documents) + 1.0) / (F.col("df") + 1.0)) + 1.0))
 
 
 def weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """(key, term, weight), not normalised; terms without idf are dropped."""
-    return counts.join(idf.select("term", "idf"), "term").select(key, "term", (F.col("tf") * F.col("idf")).cast(WEIGHT).alias("weight"))
+    """(key, term, weight), not normalised; terms without idf are dropped. idf should be computed already: its size is looked at."""
+    idf = idf.select("term", "idf")
+    few = idf.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    return counts.join(F.broadcast(idf) if few else idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).cast(WEIGHT).alias("weight"))
 
 
 def norms(weighted: DataFrame, key: str) -> DataFrame:
@@ -41,9 +55,13 @@ def norms(weighted: DataFrame, key: str) -> DataFrame:
 
 
 def cosines(claims: DataFrame, chunks: DataFrame, claim: str, chunk: str) -> DataFrame:
-    """(claim, chunk, similarity) of all pairs that share a term, from weights of either side: an equi-join on the term."""
+    """(claim, chunk, similarity) of all pairs that share a term, from weights of either side: an equi-join on the term. Of the
+    chunks only the claims' terms go into the join."""
     a = claims.select(claim, "term", F.col("weight").alias("w1"))
     b = chunks.select(chunk, "term", F.col("weight").alias("w2"))
+    asked = claims.select("term").distinct()
+    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        b = b.join(F.broadcast(asked), "term", "left_semi")
     dots = a.join(b, "term").groupBy(claim, chunk).agg(F.sum((F.col("w1") * F.col("w2")).cast("decimal(28,9)")).alias("dot"))
     na, nb = norms(claims, claim).withColumnRenamed("norm", "n1"), norms(chunks, chunk).withColumnRenamed("norm", "n2")
     both = dots.join(na, claim).join(nb, chunk)
@@ -58,10 +76,66 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(lengths > 0, dot(a, b) / lengths).otherwise(0.0)
 
 
-def dense_pairs(claims: DataFrame, chunks: DataFrame) -> DataFrame:
-    """All pairs of a stated query set (claim_key, claim_vec), broadcast, with chunks (chunk_key, chunk_vec), and their dot
-    product. The claims are the query side of a search: every pair is asked for, and their number is checked."""
-    if claims.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} queries at once: take them in blocks")
-    dot = F.aggregate(F.zip_with("claim_vec", "chunk_vec", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return chunks.join(F.broadcast(claims)).withColumn("similarity", dot).drop("claim_vec", "chunk_vec")
+def unit_rows(vectors: list) -> np.ndarray:
+    """Vectors as rows of length 1; zeros where a vector is missing, empty or all zeros."""
+    width = max((len(v) for v in vectors if v is not None), default=0)
+    rows = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        if v is not None:
+            rows[i, : len(v)] = v
+    length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+
+
+def dense_pairs(claims: DataFrame, chunks: DataFrame, block: int = BLOCK_NUMBERS) -> DataFrame:
+    """All pairs of a stated query set (claim_key, claim_vec) with chunks (chunk_key, chunk_vec and what else there is) and their
+    cosine, 0 where a vector is all zeros. The claims are the query side of a search, every pair is asked for: an Arrow batch of
+    chunks times a block of claims is a matrix product. More claims than a block's numbers take more passes."""
+    kept = [c for c in chunks.columns if c != "chunk_vec"]
+    numbers = claims.agg(F.sum(F.size("claim_vec"))).first()[0] or 0
+    blocks, key_type = max(1, -(-int(numbers) // block)), dict(claims.dtypes)["claim_key"]
+    schema = ", ".join([f"`{c}` {dict(chunks.dtypes)[c]}" for c in kept] + [f"claim_key {key_type}", "similarity double"])
+
+    def scored(rows: list) -> DataFrame:
+        keys, asked = [r["claim_key"] for r in rows], unit_rows([r["claim_vec"] for r in rows])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, max(1, 200_000 // max(1, len(keys)))):
+                    part = batch.slice(lo, max(1, 200_000 // max(1, len(keys))))
+                    vectors = unit_rows(part.column(len(kept)).to_pylist())
+                    width = min(vectors.shape[1], asked.shape[1])
+                    near = vectors[:, :width] @ asked[:, :width].T
+                    at = pa.array(np.repeat(np.arange(part.num_rows), len(keys)))
+                    yield pa.RecordBatch.from_arrays([*[part.column(i).take(at) for i in range(len(kept))], pa.array(keys * part.num_rows), pa.array(near.ravel())], [*kept, "claim_key", "similarity"])
+
+        return chunks.select(*kept, "chunk_vec").mapInArrow(run, schema)
+
+    out = None
+    for i in range(blocks):
+        part = claims.where(F.pmod(F.xxhash64("claim_key"), F.lit(blocks)) == i) if blocks > 1 else claims
+        found = scored(part.select("claim_key", "claim_vec").collect())
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def embedded(texts: DataFrame, key: str, encoder: Callable[[list[str]], object], column: str = "text") -> DataFrame:
+    """(key, vec) of texts (key, column) by an encoder from texts to vectors, an Arrow batch at a time. A batch that the encoder
+    fails on is encoded text by text; a text it fails on has no vector."""
+
+    def one(x: str) -> list[float] | None:
+        try:
+            return [float(v) for v in encoder([x])[0]]
+        except Exception:  # whatever an encoder raises: that text alone is without vector
+            return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            said = batch[column].fillna("").tolist()
+            try:
+                vec = [[float(v) for v in x] for x in encoder(said)]
+            except Exception:
+                vec = [one(x) for x in said]
+            yield pd.DataFrame({key: batch[key], "vec": vec})
+
+    return texts.select(key, column).mapInPandas(run, f"`{key}` {dict(texts.dtypes)[key]}, vec array<double>")

@@ -50,7 +50,7 @@ BLOCK_TERMS = 2_000_000
 def sparse_pairs(claims: DataFrame, chunks: DataFrame, claim: str = "claim_key", chunk: str = "chunk_key") -> DataFrame:
     """(claim, chunk, similarity) of TF-IDF vectors whose idf is that of the chunks. claims and chunks have their key and text."""
     chunk_counts = similarity.term_counts(chunks, chunk)
-    idf = similarity.inverse_frequencies(chunk_counts, chunks.count())
+    idf = cut(similarity.inverse_frequencies(similarity.document_frequencies(chunks), chunks.count()))
     a = similarity.weights(similarity.term_counts(claims, claim), idf, claim)
     b = similarity.weights(chunk_counts, idf, chunk)
     return similarity.cosines(a, b, claim, chunk)
@@ -64,7 +64,7 @@ def candidates(claims: DataFrame, chunks: DataFrame, config: Config, claim: str
     Claims are the query side: the terms of a block are broadcast, and a block has at most BLOCK_TERMS of them.
     """
     chunk_counts = similarity.term_counts(chunks, chunk)
-    idf = cut(similarity.inverse_frequencies(chunk_counts, chunks.count()).select("term", "idf"))
+    idf = cut(similarity.inverse_frequencies(similarity.document_frequencies(chunks), chunks.count()).select("term", "idf"))
     wanted = similarity.weights(similarity.term_counts(claims, claim), idf, claim).groupBy(claim).agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
     wanted = cut(wanted)
     total = wanted.agg(F.sum(F.size("terms"))).first()[0] or 0

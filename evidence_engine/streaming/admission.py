@@ -23,24 +23,24 @@ def admit(log: list[float], now: float, limit: int, window: float) -> tuple[list
 
 
 def admissions(requests: DataFrame, limit: int = LIMIT, window: float = WINDOW) -> DataFrame:
-    """client, ts, allowed and retry_after of a bounded table of requests (client, ts), by a fold over each client's requests in
-    order. The fold keeps at most ``limit`` times."""
-    order = F.array_sort(F.collect_list(F.struct("ts", "seq")))
-    per = requests.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("seq", F.col("seq") if "seq" in requests.columns else F.lit(0)).groupBy("client").agg(order.alias("r"))
-    seconds = lambda c: F.unix_micros(c) / 1e6
-    log = F.array().cast("array<double>")
-    start = F.struct(log.alias("log"), F.array().cast("array<struct<ts:timestamp,seq:int,allowed:boolean,retry_after:bigint>>").alias("out"))
-
-    def step(s, x):
-        now = seconds(x["ts"])
-        live = F.filter(s["log"], lambda t: t > now - window)
-        ok = F.size(live) < limit
-        wait = F.when(ok, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.get(live, F.lit(0)) + window - now))).cast("long")
-        row = F.struct(x["ts"].alias("ts"), x["seq"].cast("int").alias("seq"), ok.alias("allowed"), wait.alias("retry_after"))
-        return F.struct(F.when(ok, F.concat(live, F.array(now))).otherwise(live).alias("log"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    folded = per.select("client", F.explode(F.aggregate("r", start, step, lambda s: s["out"])).alias("o"))
-    return folded.select("client", "o.ts", "o.allowed", "o.retry_after")
+    """client, ts, allowed and retry_after of a bounded table of requests (client, ts, and seq where times tie). A task reads its
+    clients' requests in order and keeps nothing but the ``limit`` times of the client it is at."""
+    rows = requests.select("client", F.col("ts").cast("timestamp").alias("ts"), (F.col("seq") if "seq" in requests.columns else F.lit(0)).alias("seq"))
+    ordered = rows.repartition("client").sortWithinPartitions("client", "ts", "seq").select("client", "ts", (F.unix_micros("ts") / 1e6).alias("now"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, log = None, []
+        for batch in batches:
+            allowed, wait = [], []
+            for client, now in zip(batch["client"], batch["now"]):
+                if client != at:
+                    at, log = client, []
+                log, ok, seconds = admit(log, now, limit, window)
+                allowed.append(ok)
+                wait.append(seconds)
+            yield pd.DataFrame({"client": batch["client"], "ts": batch["ts"], "allowed": allowed, "retry_after": wait})
+
+    return ordered.mapInPandas(run, OUTPUT)
 
 
 class Log(StatefulProcessor):
