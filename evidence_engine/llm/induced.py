@@ -275,10 +275,11 @@ class Sorter:
 def induced_ranks(sym: np.ndarray, limit: int, memory: int, base: int, block: int) -> np.ndarray:
     """Ranks of the suffixes of a string of many symbols that ends with 0; those that begin with 0 have rank 0."""
     inner = Sorter(sym, limit, memory, base, block, False)
-    # ranges of neighbouring symbols with about ``block`` suffixes each; 0 is one of its own
+    # ranges of neighbouring symbols with about an eighth of a block of suffixes each: the fewer, the fewer are induced within
+    # their own range; 0 is a range of its own
     held = np.bincount(sym)
     held[0] = 0
-    _, rest = np.unique(np.cumsum(held)[1:] // block, return_inverse=True)
+    _, rest = np.unique(np.cumsum(held)[1:] // max(1, block >> 3), return_inverse=True)
     range_of = np.append(0, rest + 1)
     ranges, store = int(range_of[-1]) + 1, Store(memory)
     try:
@@ -331,7 +332,7 @@ def in_order(inner: Sorter, range_of: np.ndarray, r: int, came: np.ndarray, last
     while True:
         sign = -1 if small else 1
         size = len(pos) + 1
-        order = np.argsort((sign * inner.sym[pos].astype(np.int64) * 3 + turn) * size + key, kind="stable")
+        order = np.argsort((sign * inner.sym[pos].astype(np.int64) * 3 + turn) * size + key)  # no two are equal
         rank = np.empty(len(pos), np.int64)
         rank[order] = np.arange(len(pos))
         before, wanted = before_in(inner, pos[lo:], small)
