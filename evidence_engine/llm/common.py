@@ -28,9 +28,12 @@ def release() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all run on one
+    machine. RuntimeError on a cluster without one: executors cannot see the driver's folders."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_to = "file://" + tempfile.mkdtemp(prefix="evidence-work-")
         spark.conf.set("spark.checkpoint.dir", set_to)
         spark.sparkContext.setCheckpointDir(set_to)
@@ -75,7 +78,8 @@ HOT_SHARE = 1000
 
 def join_by_hot_key(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """Left join of rows with one-row-per-key groups. Keys that hold over total / HOT_SHARE rows (so HOT_SHARE at most) are
-    broadcast; the others are joined by a shuffle, in which no key has many rows."""
+    broadcast; the others are joined by a shuffle, in which no key has more than that share of the rows, and adaptive execution
+    splits partitions of the rows that are far larger than others."""
     hot = F.col(count) > F.lit(max(1000, total // HOT_SHARE))
     few = F.broadcast(groups.where(hot).limit(HOT_SHARE).withColumn("_hot", F.lit(True)))
     names = [c for c in groups.columns if c != key]

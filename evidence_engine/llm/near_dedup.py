@@ -8,8 +8,10 @@ the share expected to collide at these set sizes, and those left are compared on
 
 Equal sets are one class from the start. In a bucket every member meets the smallest. Members of buckets that still hold
 several components are then compared across components wherever they share one of their rarest shingles, which sets of the
-similarity asked for always do. So a link can only be lost where no band of two sets is equal: at a similarity of 0.8 with
-the default 32 bands of 4, (1 - 0.8 ** 4) ** 32, less than 1 in 10 million.
+similarity asked for always do. So a link can be lost in two ways only. No band of two sets is equal: at a similarity of 0.8
+with the default 32 bands of 4, (1 - 0.8 ** 4) ** 32, less than 1 in 10 million. Or the estimate from the registers lies SLACK
+below the similarity, over 5 standard deviations: at 0.8 the share of equal ones among 128 is at most 0.6, less than 1 in 2
+million (the binomial distribution).
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ ROWS = 4
 MANTISSA = 10
 #: How far below the threshold an estimate may lie before the pair is dropped without comparing sets: over 5 standard deviations.
 SLACK = 0.2
+#: Rows of a rare shingle that meet all others of it in one task; a shingle with more is dealt to several.
+SHARED_ROWS = 1000
 #: Up to so many ids are broadcast when texts of candidates are fetched (8 MB); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -170,8 +174,8 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 for a, text, other in zip(part.column(0).to_pylist(), part.column(2), shingle_sets(part.column(3), size)):
-                    if last != a:
-                        last, kept = a, next(shingle_sets(pa.array([text.as_py()]), size))
+                    if last != (a, text):  # several texts may stand under one id
+                        last, kept = (a, text), next(shingle_sets(pa.array([text.as_py()]), size))
                     common = len(np.intersect1d(kept, other, assume_unique=True))
                     keep.append(100 * common >= percent * (len(kept) + len(other) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -179,7 +183,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-    return both.sortWithinPartitions("a").mapInArrow(run, "a long, b long")
+    return both.sortWithinPartitions("a", F.xxhash64("text_a")).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def shingle_rows(docs: DataFrame, size: int) -> DataFrame:
@@ -206,8 +210,9 @@ def sharing_rare(docs: DataFrame, members: DataFrame, size: int, percent: int) -
     + 1 shingles of a set that the fewest members have, in an order that is the same for all."""
     ids = members.select(F.col("doc_id").alias("id"))
     rows = staged(shingle_rows(texts_of(docs.where("doc_id is not null"), ids), size).distinct(), "shingles")
-    held = rows.groupBy("shingle").agg(F.count("*").alias("df"))
-    shared = rows.join(held.where("df > 1"), "shingle").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("common"))
+    held = staged(rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "held")
+    shared = join_by_hot_key(rows, held, "shingle", "df", rows.count()).where("df is not null")
+    shared = shared.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("common"))
     n = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
     # shingles that no other member has come first in the order, and need not be looked at; "left" counts a set's shingles
     # from a place on, which are all that it can share with a set whose first common shingle stands there
@@ -216,11 +221,15 @@ def sharing_rare(docs: DataFrame, members: DataFrame, size: int, percent: int) -
     rare = rare.select("doc_id", "own", "n", own.alias("alone"), F.posexplode("common.shingle").alias("place", "shingle"))
     rare = rare.where(100 * (F.col("n") - F.col("alone") - F.col("place")) >= percent * F.col("n")).select("doc_id", "own", "n", "shingle", (F.col("n") - F.col("alone") - F.col("place")).alias("left"))
     rare = staged(rare, "rare")
-    across = rare.groupBy("shingle").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("shingle")
-    rare = rare.join(across, "shingle", "left_semi")
-    x, y = (rare.toDF("shingle", *[f"{k}_{c}" for c in ("doc_id", "own", "n", "left")]) for k in "xy")
+    across = staged(rare.groupBy("shingle").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("k")).where("low <> high").select("shingle", "k"), "across")
+    rare = join_by_hot_key(rare, across, "shingle", "k", rare.count()).where("k is not null")
+    # one side of a shingle with many rows is dealt over several tasks, the other goes to all of them
+    deals = F.ceil(F.col("k") / SHARED_ROWS).cast("int")
+    names = ["doc_id", "own", "n", "left"]
+    x = rare.select("shingle", F.pmod(F.xxhash64("doc_id"), deals).cast("int").alias("deal"), *[F.col(c).alias(f"x_{c}") for c in names])
+    y = rare.select("shingle", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"), *[F.col(c).alias(f"y_{c}") for c in names])
     fits = (F.col("x_own") < F.col("y_own")) & ((100 + percent) * F.least("x_left", "y_left") >= percent * (F.col("x_n") + F.col("y_n")))
-    return x.join(y, "shingle").where(fits).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
+    return x.join(y, ["shingle", "deal"]).where(fits).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = ROWS) -> DataFrame:

@@ -32,6 +32,8 @@ BROADCAST_ROWS = 500_000
 #: A merge keeps runs in memory up to so many bytes, the rest in a file.
 SPOOL_BYTES = 32 << 20
 SPOOL_ROWS = 256
+#: Runs that one loser tree merges; more are merged in several passes.
+FAN_IN = 128
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -245,9 +247,11 @@ class LoserTree:
 
 
 class Spool:
-    """Runs kept in a temporary file beyond SPOOL_BYTES, in blocks of SPOOL_ROWS rows."""
+    """Runs kept in a temporary file beyond SPOOL_BYTES, in blocks of SPOOL_ROWS rows. A merge holds a block of FAN_IN runs,
+    however many runs there are."""
 
-    def __init__(self, memory: int = SPOOL_BYTES):
+    def __init__(self, memory: int = SPOOL_BYTES, fan_in: int = FAN_IN):
+        self.fan_in = fan_in
         self.file = tempfile.SpooledTemporaryFile(max_size=memory)
         self.blocks: dict[str, list[int]] = {}
         self.rows: list[tuple] = []
@@ -261,7 +265,7 @@ class Spool:
 
     def flush(self) -> None:
         if self.rows:
-            self.blocks.setdefault(self.run, []).append(self.file.tell())
+            self.blocks.setdefault(self.run, []).append(self.file.seek(0, 2))
             pickle.dump(self.rows, self.file, protocol=5)
             self.rows = []
 
@@ -272,7 +276,20 @@ class Spool:
 
     def merged(self) -> Iterator[tuple]:
         self.flush()
-        yield from LoserTree([self.read(x) for x in sorted(self.blocks)], order)
+        runs, passes = sorted(self.blocks), 0
+        while len(runs) > self.fan_in:
+            # neighbours are merged to runs of the next pass, which keep their order: of equal rows the earlier run's come first
+            passes, merged = passes + 1, []
+            for lo in range(0, len(runs), self.fan_in):
+                some = runs[lo : lo + self.fan_in]
+                merged.append(f"pass {passes} run {lo:012d}")
+                for row in LoserTree([self.read(x) for x in some], order):
+                    self.add(merged[-1], row)
+                self.flush()
+                for x in some:
+                    del self.blocks[x]
+            runs = [x for x in merged if x in self.blocks]
+        yield from LoserTree([self.read(x) for x in runs], order)
         self.file.close()
 
 

@@ -208,6 +208,28 @@ def test_near_duplicates_chain_beyond_the_leader(spark):
     assert {c for _, c, _ in got.values()} == {0}
 
 
+def test_near_duplicates_of_a_hot_shingle(spark, monkeypatch):
+    """Texts that all hold one passage, in classes of their own: whatever shingles many members share is dealt over tasks."""
+    monkeypatch.setattr(near_dedup, "SHARED_ROWS", 3)
+    rng = random.Random(3)
+    passage, texts = prose(500, 30), []
+    for base in range(14):
+        words = prose(600 + base, 12 + base % 3).split()
+        for _ in range(4):
+            edited = [*words]
+            edited[rng.randrange(len(edited))] = f"w{rng.randint(0, 5)}"
+            texts.append(passage + " " + " ".join(edited))
+    got = by_id(near_dedup.near_duplicates(documents(spark, texts), size=4), "n_shingles", "component_id", "kept")
+    assert got == brute_classes(list(enumerate(texts)), 4, 80)
+
+
+def test_near_duplicates_with_several_texts_of_one_id(spark):
+    """Rows of one doc_id are one document, which all their links join."""
+    rows = [(4, prose(1, 60)), (4, prose(2, 60)), (7, prose(1, 60) + " more"), (9, prose(2, 60) + " more"), (2, prose(3, 60))]
+    found = near_dedup.near_duplicates(documents(spark, [(i, t, "en", "s", 1) for i, t in rows])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(2, 2), (4, 4), (4, 4), (7, 4), (9, 4)]
+
+
 def test_near_duplicates_awkward(spark):
     rows = near_dedup.near_duplicates(awkward(spark)).collect()
     got = {r["doc_id"]: r for r in rows}

@@ -230,10 +230,10 @@ def test_least_bytes_and_awkward_pages(spark):
 
 def test_loser_tree_merges_runs():
     rng = random.Random(9)
-    for k in (0, 1, 2, 3, 7, 16):
+    for k, fan_in in ((0, 4), (1, 4), (2, 128), (3, 2), (7, 3), (16, 128), (16, 2), (40, 3)):
         row = lambda: (rng.choice("abc"), rng.choice("12"), rng.choice([None, 1, 2, 30]))
         runs = [sorted((row() for _ in range(rng.randint(0, 40))), key=warc.order) for _ in range(k)]
-        spool = warc.Spool(memory=200)
+        spool = warc.Spool(memory=200, fan_in=fan_in)
         for i, run in enumerate(runs):
             for row in run:
                 spool.add(f"r{i:02d}", row)
