@@ -366,6 +366,20 @@ def test_license_places_against_brute_force(spark):
         assert ("mit" in got[i][5].split(",")) == ("mit license" in " ".join(w))
 
 
+def test_whole_licences_are_told_apart(spark):
+    """Every licence text is found where it stands, with holders and edits around it, and relatives are not taken for it."""
+    labels = [label for label, _, _ in licenses.TEXTS]
+    texts = [f"{prose(i, 30)} Copyright 2001 {text} {prose(90 + i, 20)}" for i, (_, text, _) in enumerate(licenses.TEXTS)]
+    cut = [" ".join(text.split()[: len(text.split()) // 2]) for _, text, _ in licenses.TEXTS]
+    got = by_id(licenses.scan(documents(spark, texts + cut)), "labels", "score", "spans")
+    relatives = {label for label in labels if label not in ("mit", "apache-2.0", "unlicense")}  # those have short notices too
+    for i, label in enumerate(labels):
+        assert got[i][1] == 1.0 and label in got[i][0].split(",")
+        assert not (relatives - {label}) & set(got[i][0].split(","))
+    # half a text lacks words at their places
+    assert all(label not in got[len(labels) + i][0].split(",") for i, label in enumerate(labels) if label in ("0bsd", "bsd-3-clause", "zlib", "bsl-1.0", "gpl-3.0-or-later"))
+
+
 def test_licenses_awkward(spark):
     assert licenses.scan(awkward(spark)).count() == 12 and licenses.scan(documents(spark, [])).count() == 0
 
