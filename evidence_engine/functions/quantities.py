@@ -1,18 +1,18 @@
 """Quantities in text: dates, amounts, shares, years, durations and counts, with what bounds and describes them.
 
-The scan is one pure function, wrapped for Arrow batches; everything that compares quantities works on its arrays of structs.
+A pattern's matches in a text become spans, an array of structs; what bounds, measures and describes a quantity are column
+expressions over the text around its span, and everything that compares quantities works on the arrays.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evidence_engine.functions.vectorised import vectorised
+from evidence_engine.functions import text as words_of
 
 # Number words, months, units, patterns and their precedence.
 NUMBERS = {
@@ -24,13 +24,8 @@ MONTHS = {
     "january": 1, "jan": 1, "february": 2, "feb": 2, "march": 3, "mar": 3, "april": 4, "apr": 4, "may": 5, "june": 6, "jun": 6, "july": 7, "jul": 7,
     "august": 8, "aug": 8, "september": 9, "sep": 9, "sept": 9, "october": 10, "oct": 10, "november": 11, "nov": 11, "december": 12, "dec": 12,
 }
-UNITS = {
-    "business day": "day", "business days": "day", "calendar day": "day", "calendar days": "day", "working day": "day", "working days": "day",
-    "paid annual leave day": "day", "paid annual leave days": "day", "annual leave day": "day", "annual leave days": "day", "leave day": "day", "leave days": "day",
-    "day": "day", "days": "day", "week": "week", "weeks": "week", "month": "month", "months": "month", "year": "year", "years": "year",
-    "hour": "hour", "hours": "hour", "hr": "hour", "hrs": "hour", "minute": "minute", "minutes": "minute", "min": "minute", "mins": "minute",
-    "second": "second", "seconds": "second", "sec": "second", "secs": "second",
-}
+#: Ends of words that name a unit of time, and the units.
+TIME = {"days?": "day", "weeks?": "week", "months?": "month", "years?": "year", "hours?|hrs?": "hour", "minutes?|mins?": "minute", "seconds?|secs?": "second"}
 SCALES = {"million": 1e6, "m": 1e6, "billion": 1e9, "b": 1e9, "thousand": 1e3, "k": 1e3}
 COMMON = frozenset("the a an is are was were to of and in that it for on with all must be their by as at this per".split())
 GENERIC = ("employee", "employe", "user", "company", "customer", "person", "client", "worker", "staff", "member", "party", "parties", "individual", "policy", "rule", "system", "organization", "organ", "document", "section", "item")
@@ -47,125 +42,135 @@ MONTH = r"\b(" + "|".join(MONTHS) + r")\b"
 MONTH_DAY = MONTH + r"\s+(\d{1,2})(?:st|nd|rd|th)?\b"
 DAY_MONTH = r"\b(\d{1,2})(?:st|nd|rd|th)?\s+(?:of\s+)?" + MONTH
 AMOUNT = (
-    r"(?P<currency>\$|USD|EUR|€|GBP|£)?\s*(?P<number>\b\d+(?:\.\d+)?\b|\b(?:" + "|".join(NUMBERS) + r")\b)"
-    r"(?:\s*\b(?P<scale>million|billion|thousand|k|m|b)\b)?(?P<share>\s*(?:%|percent(?:age)?(?:\s+points?)?))?"
+    r"(?<currency>\$|USD|EUR|€|GBP|£)?\s*(?<number>\b\d+(?:\.\d+)?\b|\b(?:" + "|".join(NUMBERS) + r")\b)"
+    r"(?:\s*\b(?<scale>million|billion|thousand|k|m|b)\b)?(?<share>\s*(?:%|percent(?:age)?(?:\s+points?)?))?"
 )
 #: Pairs of (claimed, found) bounds that exclude each other.
 OPPOSED = (("AT_LEAST", "AT_MOST"), ("AT_MOST", "AT_LEAST"), ("GREATER_THAN", "LESS_THAN"), ("LESS_THAN", "GREATER_THAN"), ("GREATER_THAN", "AT_MOST"), ("LESS_THAN", "AT_LEAST"))
 PREFIXES = {"AT_MOST": "up to", "AT_LEAST": "at least", "GREATER_THAN": "more than", "LESS_THAN": "less than"}
 
-_flags = re.IGNORECASE
-_dates = ((re.compile(MONTH_DAY, _flags), 1, 2), (re.compile(DAY_MONTH, _flags), 2, 1))
-_amount, _outline = re.compile(AMOUNT, _flags), re.compile(OUTLINE)
-_before, _after = ([(name, re.compile(p)) for name, p in table] for table in (BEFORE, AFTER))
-_space = re.compile(r"\s+")
-
+#: Characters around a quantity in which what describes it is looked for, by what it is.
+NEAR, BOUND_BEFORE, BOUND_AFTER, OUTLINE_BEFORE, MONEY_AFTER, STATED = 45, 35, 25, 25, 15, 50
 SCHEMA = "array<struct<raw:string,value:double,category:string,unit:string,bound:string,context:array<string>,begin:int,end:int>>"
 
 
-def stem(word: str) -> str:
-    """The same as functions.text.stem, for one word."""
-    w = word.lower().strip(",.;:!?\"'()[]{}")
-    hit = next((s for s in ("ing", "ed", "es", "s", "tion", "ment", "ies") if w.endswith(s) and len(w) > len(s) + 2), "")
-    return w[: len(w) - len(hit)] + "y" * (hit == "ies")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def choice(cases: list[tuple[Column, Column | str]], other: Column) -> Column:
+    return reduce(lambda out, case: F.when(case[0], case[1]).otherwise(out), reversed(cases), other)
+
+
+def spans(s: Column, pattern: Column) -> Column:
+    """(raw, begin, end) of all matches in a text: the text between them, put together with them, gives their places."""
+    parts = F.arrays_zip(F.split(s, pattern, -1).alias("gap"), F.regexp_extract_all(s, pattern, F.lit(0)).alias("raw"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<raw:string,begin:int,end:int>>").alias("out"))
+
+    def onward(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.length(x["gap"])
+        end = begin + F.length(x["raw"])
+        return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(x["raw"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(x["raw"].alias("raw"), begin.alias("begin"), end.alias("end"))))).alias("out"))
+
+    return F.aggregate(parts, start, onward, lambda acc: acc["out"])
 
 
-@dataclass
-class Around:
-    """What stands near a match."""
+def ahead(s: Column, at: Column, n: int) -> Column:
+    return F.substring(s, at["end"] + 1, F.lit(n))
 
-    text: str
-    begin: int
-    end: int
 
-    def before(self, n: int) -> str:
-        return self.text[max(0, self.begin - n) : self.begin]
+def behind(s: Column, at: Column, n: int) -> Column:
+    begin = F.greatest(at["begin"] - n, F.lit(0))
+    return F.substring(s, begin + 1, at["begin"] - begin)
 
-    def after(self, n: int) -> str:
-        return self.text[self.end : self.end + n]
 
-    def context(self) -> list[str]:
-        left, right = ([stem(w) for w in _space.split(x.strip()) if w] for x in (self.before(45), self.after(45)))
-        near = left[-4:] + right[:4]
-        return sorted({w for w in near if w and w not in COMMON and not w.isdigit()})
+def words(c: Column) -> Column:
+    return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
 
-    def bound(self) -> str:
-        left, right = self.before(35).lower(), self.after(25).lower()
-        for name, pattern in _before:
-            if pattern.search(left):
-                return name
-        return next((name for name, pattern in _after if pattern.search(right)), "EXACT")
 
-    def duration(self) -> str | None:
-        """The unit of time that the next five words name, if they do."""
-        ahead = [w for w in _space.split(self.after(45).strip()) if w][:5]
-        for n in range(1, len(ahead) + 1):
-            phrase = " ".join(ahead[:n]).lower().strip(",.;:")
-            for name, unit in UNITS.items():
-                if phrase.endswith(name):
-                    return unit
-        return None
+def context(s: Column, at: Column) -> Column:
+    """Stems of the four words on either side, without common words and numbers."""
+    left = words(behind(s, at, NEAR))
+    near = F.concat(F.slice(left, F.greatest(F.size(left) - 3, F.lit(1)), F.lit(4)), F.slice(words(ahead(s, at, NEAR)), 1, 4))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(near, words_of.stem), lambda w: (w != "") & ~w.isin(*COMMON) & ~w.rlike(r"^\d+$"))))
 
-    def noun(self) -> str:
-        """The first following word that can be what is counted."""
-        for w in _space.split(self.after(45).strip()):
-            s = stem(w) if w else ""
-            if w and s not in NOT_UNITS:
-                return "" if s in COMMON else s
-        return ""
 
+def bound(s: Column, at: Column) -> Column:
+    left, right = F.lower(behind(s, at, BOUND_BEFORE)), F.lower(ahead(s, at, BOUND_AFTER))
+    cases = [(left.rlike("(?U)" + p), name) for name, p in BEFORE] + [(right.rlike("(?U)" + p), name) for name, p in AFTER]
+    return choice([(test, F.lit(name)) for test, name in cases], F.lit("EXACT"))
 
-def _is_outline(near: Around, m: re.Match) -> bool:
+
+def time_unit(following: Column) -> Column:
+    """The unit of time that the first of the next five words to name one names; null if none does."""
+    named = lambda w: choice([(F.rtrim(F.lower(w), F.lit(",.;:")).rlike(f"(?:{p})$"), F.lit(unit)) for p, unit in TIME.items()], F.lit(None).cast("string"))
+    return F.get(F.filter(F.transform(F.slice(following, 1, 5), named), lambda u: u.isNotNull()), F.lit(0))
+
+
+def counted(following: Column) -> Column:
+    """The stem of the first following word that can be what is counted."""
+    first = F.get(F.filter(F.transform(following, words_of.stem), lambda w: ~w.isin(*NOT_UNITS)), F.lit(0))
+    return F.when(first.isNull() | first.isin(*COMMON), "").otherwise(first)
+
+
+def numbers_outline(s: Column, m: Column) -> Column:
     """Whether a number only numbers a section, a rule, a line."""
-    if _outline.search(near.before(25).lower().strip()):
-        return True
-    if m["currency"] or m["share"] or m["scale"]:
-        return False
-    rest = near.text[near.end :]
-    line_start = near.begin == 0 or near.text[near.begin - 1] in "\r\n"
-    return bool(line_start and re.match(r"\.\s+[A-Z]", rest)) or bool("." in m["number"] and re.match(r"\s+[A-Z]", rest))
-
-
-def _kind(near: Around, m: re.Match, value: float) -> tuple[str, str]:
-    money = bool(m["currency"]) or "dollar" in near.after(15).lower()
-    unit = near.duration()
-    if unit:
-        return "duration", unit
-    if 1900 <= value <= 2099 and not m["currency"] and not m["share"]:
-        return "year", "year"
-    if money:
-        return "currency", "currency"
-    if m["share"]:
-        return "percentage", "percent"
-    return "count", near.noun()
-
-
-def scan(text: str | None) -> list[dict]:
-    """All quantities of a text: the dates first, then the amounts, each in order. Offsets are those of the text without
-    thousands commas."""
-    text = re.sub(r"(\d),(\d)", r"\1\2", text or "")
-    found: list[dict] = []
-
-    def put(raw: str, value: float, category: str, unit: str, bound: str, near: Around) -> None:
-        found.append({"raw": raw, "value": value, "category": category, "unit": unit, "bound": bound, "context": near.context(), "begin": near.begin, "end": near.end})
-
-    for pattern, month, day in _dates:
-        for m in pattern.finditer(text):
-            put(m[0], float(MONTHS[m[month].lower()] * 100 + int(m[day])), "date", "date", "EXACT", Around(text, *m.span()))
-    for m in _amount.finditer(text):
-        near = Around(text, *m.span())
-        if any(d["begin"] <= near.begin < d["end"] for d in found) or _is_outline(near, m):
-            continue
-        word = m["number"].lower()
-        value = float(NUMBERS[word] if word in NUMBERS else word) * SCALES.get((m["scale"] or "").lower(), 1)
-        put(m[0].strip(), value, *_kind(near, m, value), near.bound(), near)
-    return found
-
-
-@vectorised(SCHEMA)
-def quantities(text: pd.Series) -> pd.Series:
-    """The quantities of a text column, an Arrow batch at a time."""
-    return text.map(scan)
+    plain = (m["currency"] == "") & (m["share"] == "") & (m["scale"] == "")
+    line_start = (m["begin"] == 0) | F.substring(s, m["begin"], F.lit(1)).isin("\r", "\n")
+    follows = lambda p: F.substring(s, m["end"] + 1, F.length(s)).rlike(p)
+    titled = F.when(plain & line_start, follows(r"(?U)^\.\s+[A-Z]")).otherwise(False) | F.when(plain & F.contains(m["number"], F.lit(".")), follows(r"(?U)^\s+[A-Z]")).otherwise(False)
+    headed = F.regexp_replace(F.lower(behind(s, m, OUTLINE_BEFORE)), r"(?U)\s+$", "").rlike("(?U)" + OUTLINE)
+    return headed | titled
+
+
+def dates(s: Column) -> Column:
+    """Quantities that are days of a year: month times 100 and day."""
+    months = F.create_map(*[F.lit(x) for item in MONTHS.items() for x in item])
+
+    def found(pattern: str, month: int, day: int) -> Column:
+        group = lambda x, i: F.regexp_extract(x["raw"], "(?iU)" + pattern, i)
+        value = lambda x: (F.element_at(months, F.lower(group(x, month))) * 100 + group(x, day).cast("int")).cast("double")
+        return F.transform(spans(s, F.lit("(?iU)" + pattern)), lambda x: quantity(s, x, x["raw"], value(x), F.lit("date"), F.lit("date"), F.lit("EXACT")))
+
+    return F.concat(found(MONTH_DAY, 1, 2), found(DAY_MONTH, 2, 1))
+
+
+def quantity(s: Column, at: Column, raw: Column, value: Column, category: Column, unit: Column, of_bound: Column) -> Column:
+    return F.struct(raw.alias("raw"), value.alias("value"), category.alias("category"), unit.alias("unit"), of_bound.alias("bound"), context(s, at).alias("context"), at["begin"].alias("begin"), at["end"].alias("end"))
+
+
+def amounts(s: Column, taken: Column) -> Column:
+    """Quantities that are amounts, shares, years, durations and counts, outside the spans that are taken."""
+    pattern = "(?iU)" + AMOUNT
+    part = lambda x, i: F.regexp_extract(x["raw"], pattern, i)
+    free = F.filter(spans(s, F.lit(pattern)), lambda x: ~F.exists(taken, lambda d: (d["begin"] <= x["begin"]) & (x["begin"] < d["end"])))
+    read = F.transform(free, lambda x: F.struct(x["raw"].alias("raw"), x["begin"].alias("begin"), x["end"].alias("end"), *[part(x, i).alias(name) for i, name in enumerate(("currency", "number", "scale", "share"), 1)]))
+    spelled = F.create_map(*[F.lit(x) for k, v in NUMBERS.items() for x in (k, float(v))])
+    scaled = F.create_map(*[F.lit(x) for item in SCALES.items() for x in item])
+
+    def one(m: Column) -> Column:
+        word = F.lower(m["number"])
+        value = F.coalesce(F.try_element_at(spelled, word), word.try_cast("double")) * F.coalesce(F.try_element_at(scaled, F.lower(m["scale"])), F.lit(1.0))
+        return let(F.struct(value.alias("value"), words(ahead(s, m, NEAR)).alias("following")), lambda v: let(time_unit(v["following"]), lambda unit: told(m, v, unit)))
+
+    def told(m: Column, v: Column, unit: Column) -> Column:
+        year = (v["value"] >= 1900) & (v["value"] <= 2099) & (m["currency"] == "") & (m["share"] == "")
+        money = (m["currency"] != "") | F.contains(F.lower(ahead(s, m, MONEY_AFTER)), F.lit("dollar"))
+        kinds = [(unit.isNotNull(), "duration", unit), (year, "year", F.lit("year")), (money, "currency", F.lit("currency")), (m["share"] != "", "percentage", F.lit("percent"))]
+        category = choice([(test, F.lit(name)) for test, name, _ in kinds], F.lit("count"))
+        measure = choice([(test, x) for test, _, x in kinds], counted(v["following"]))
+        raw = F.regexp_replace(m["raw"], r"(?U)^\s+|\s+$", "")
+        return quantity(s, m, raw, v["value"], category, measure, bound(s, m))
+
+    return F.transform(F.filter(read, lambda m: ~numbers_outline(s, m)), one)
+
+
+def quantities(text: Column | str) -> Column:
+    """All quantities of a text as SCHEMA: the dates first, then the amounts, each in order. Offsets are those of the text
+    without thousands commas."""
+    plain = F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"(\d),(\d)", "$1$2")
+    return let(plain, lambda s: let(dates(s), lambda d: F.concat(d, amounts(s, d)))).cast(SCHEMA)
 
 
 def display(q: Column) -> Column:
@@ -212,39 +217,28 @@ def contradiction(claimed: Column, found: Column) -> Column:
     return F.get(F.filter(each, lambda x: x.isNotNull()), F.lit(0))
 
 
-def grounded(claimed: Column, found: Column) -> Column:
-    """Whether each claimed quantity is found with the same value, a compatible bound and enough shared context."""
+def grounds(c: Column, e: Column) -> Column:
+    """Whether a found quantity grounds a claimed one: the same value, a compatible bound and enough shared context."""
     hard = ("currency", "percentage", "date")
+    kinds = (c["category"] == e["category"]) | ~(c["category"].isin(*hard) | e["category"].isin(*hard))
+    bounds = (c["bound"] == e["bound"]) | (c["bound"] == "EXACT") | (e["bound"] == "EXACT")
+    enough = F.when((c["category"] == "year") | ((c["unit"] == e["unit"]) & (c["unit"] != "")), 1).otherwise(2)
+    return kinds & _same_value(c, e) & bounds & (_meaning(c, e, generic=True) >= enough)
 
-    def by(c: Column, e: Column) -> Column:
-        kinds = (c["category"] == e["category"]) | ~(c["category"].isin(*hard) | e["category"].isin(*hard))
-        bounds = (c["bound"] == e["bound"]) | (c["bound"] == "EXACT") | (e["bound"] == "EXACT")
-        enough = F.when((c["category"] == "year") | ((c["unit"] == e["unit"]) & (c["unit"] != "")), 1).otherwise(2)
-        return kinds & _same_value(c, e) & bounds & (_meaning(c, e, generic=True) >= enough)
 
-    return F.forall(claimed, lambda c: F.exists(found, lambda e: by(c, e)))
+def grounded(claimed: Column, found: Column) -> Column:
+    """Whether each claimed quantity is grounded by one that was found."""
+    return F.forall(claimed, lambda c: F.exists(found, lambda e: grounds(c, e)))
 
 
-@vectorised("boolean")
-def stated(claimed: pd.Series, found: pd.Series, text: pd.Series) -> pd.Series:
+def stated(claimed: Column, found: Column, text: Column) -> Column:
     """grounded(), and for quantities that are not, whether their plain value stands in the text near a word of their context."""
-    hard = {"currency", "percentage", "date"}
-
-    def by(c: dict, e: dict) -> bool:
-        if c["category"] != e["category"] and (c["category"] in hard or e["category"] in hard):
-            return False
-        if abs(c["value"] - e["value"]) > 0.001 or (c["bound"] != e["bound"] and "EXACT" not in (c["bound"], e["bound"])):
-            return False
-        enough = 1 if c["category"] == "year" or (c["unit"] and c["unit"] == e["unit"]) else 2
-        return sum(len(w) > 2 for w in set(c["context"]) & set(e["context"])) >= enough
-
-    def near(c: dict, t: str) -> bool:
-        value = str(int(c["value"])) if float(c["value"]).is_integer() else str(c["value"])
-        spans = (t[max(0, m.start() - 50) : m.end() + 50].lower() for m in re.finditer(rf"\b{re.escape(value)}\b", t))
-        return any({stem(w) for w in _space.split(s) if len(w) > 2} & set(c["context"]) for s in spans)
-
-    def one(cs, es, t) -> bool:
-        cs, es = ([] if x is None else list(x) for x in (cs, es))
-        return all(any(by(c, e) for e in es) or near(c, t or "") for c in cs)
-
-    return pd.Series([one(*x) for x in zip(claimed, found, text)])
+
+    def near(c: Column) -> Column:
+        value = F.when(c["value"] == F.floor(c["value"]), c["value"].cast("decimal(38,0)").cast("string")).otherwise(c["value"].cast("string"))
+        places = spans(text, F.concat(F.lit("(?U)\\b"), F.regexp_replace(value, r"\.", r"\\\\."), F.lit("\\b")))
+        around = lambda x: F.lower(F.concat(behind(text, x, STATED), x["raw"], ahead(text, x, STATED)))
+        said = lambda x: F.transform(F.filter(words(around(x)), lambda w: F.length(w) > 2), words_of.stem)
+        return F.exists(places, lambda x: F.arrays_overlap(said(x), c["context"]))
+
+    return F.forall(claimed, lambda c: F.exists(found, lambda e: grounds(c, e)) | near(c))

@@ -61,7 +61,7 @@ def ladder(contradiction: Column, is_grounded: Column, share: Column, where: Col
 def judge(pairs: DataFrame) -> DataFrame:
     """Adds outcome, confidence and reason to pairs with the features of both sides, filename, location, page and text."""
     where = F.coalesce("location", F.concat(F.lit("Page "), F.col("page").cast("string")), F.lit("Source Document"))
-    seen = pairs.withColumn("_stated", quantities.stated("claim_quantities", "passage_quantities", "passage_facts"))
+    seen = pairs.withColumn("_stated", quantities.stated(F.col("claim_quantities"), F.col("passage_quantities"), F.col("passage_facts")))
     seen = seen.withColumn("_against", quantities.contradiction(F.col("claim_quantities"), F.col("passage_quantities")))
     judged = seen.withColumn("_j", ladder(F.col("_against"), F.col("_stated"), overlap(), where, F.trim("text")))
     return judged.select(*pairs.columns, "_j.*")

@@ -232,6 +232,33 @@ def draft_claims(spark, sf_dir):
     return claims.from_drafts(drafts, "draft_id")
 
 
+#: Drafts by rule, x being a nation's name, and the claims that they hold.
+_DRAFTS = [
+    ('["{x} keeps records.", "It pays taxes"]', ["{x} keeps records.", "It pays taxes."]),
+    ("claims = ['{x} keeps records', 'No']", ["{x} keeps records."]),
+    ("CLAIM 1: {x} keeps records of staff. CLAIM 2: {x} pays taxes.\nFACT 3: Reports are due.", ["{x} keeps records of staff. CLAIM 2: {x} pays taxes.", "Reports are due."]),
+    ('He wrote "{x} keeps all records" and "{x} pays all of its taxes".', ["{x} keeps all records.", "{x} pays all of its taxes."]),
+    ("Source 1:\nClaim 1\n{x} keeps records.\n- Dr. Smith of {x} files reports. It pays taxes!\n\n* 'Reports are due'", ["{x} keeps records.", "Dr. Smith of {x} files reports.", "It pays taxes!", "Reports are due."]),
+    ("The office of {x} must keep records and submit reports.\nshort", ["The office of {x} must keep records.", "The office of {x} must submit reports.."]),
+    ("Banks of {x} open at nine; shops of {x} open at ten.", ["Banks of {x} open at nine.", "shops of {x} open at ten."]),
+]
+
+
+def _draft_sql() -> str:
+    say = lambda t: "'" + t.replace("'", "''").replace("{x}", "' || x || '").replace("\n", "' || chr(10) || '") + "'"
+    rows = [f"SELECT n_nationkey * 10 + {i} AS draft_id, [{', '.join(map(say, found))}] AS c FROM n" for i, (_, found) in enumerate(_DRAFTS)]
+    return "WITH n AS (SELECT n_nationkey, upper(left(n_name, 1)) || lower(substr(n_name, 2)) AS x FROM nation), d AS (" + " UNION ALL ".join(rows) + ") SELECT draft_id::BIGINT AS draft_id, u.pos::INTEGER AS claim_pos, u.text AS text FROM (SELECT draft_id, unnest(list_transform(c, lambda x, i: {'text': x, 'pos': i})) AS u FROM d)"
+
+
+@query(_draft_sql())
+def draft_cascade(spark, sf_dir):
+    """Drafts of every kind about every nation: lists, labels, quotes, titled and bulleted lines, abbreviations, compounds."""
+    fill = lambda t: F.concat(*[y for k, piece in enumerate(t.split("{x}")) for y in ([F.col("x")] * (k > 0) + [F.lit(piece)])])
+    named = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.upper(F.substring("n_name", 1, 1)), F.lower(F.expr("substring(n_name, 2)"))).alias("x"))
+    drafts = named.select((F.col("n_nationkey") * 10).cast("long").alias("base"), F.posexplode(F.array(*[fill(t) for t, _ in _DRAFTS])).alias("i", "draft"))
+    return claims.from_drafts(drafts.select((F.col("base") + F.col("i")).alias("draft_id"), F.col("draft").cast("binary").alias("draft")), "draft_id").select("draft_id", "claim_pos", "text")
+
+
 _COMPOUND = [
     (1, "The policy requires companies to file within 30 days and submit the report electronically."),
     (2, "The first rule covers all staff; the second rule covers only contractors here."),
@@ -449,13 +476,37 @@ def quantities_found(spark, sf_dir):
     return docs.select("doc_id", F.explode(quantities.quantities("text")).alias("q")).select("doc_id", "q.raw", "q.value", "q.category", "q.unit", "q.bound", "q.begin", "q.end")
 
 
-@query(r"""SELECT p_partkey, CASE WHEN regexp_matches(s, '\$\s*[0-9]') THEN 'currency' WHEN regexp_matches(s, '[0-9]\s*%') THEN 'percentage' ELSE 'count' END AS category, regexp_extract(s, '([0-9]+(?:\.[0-9]+)?)', 1)::DOUBLE AS value
-    FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'costs $' || p_size || ' each' WHEN 1 THEN 'grew ' || p_size || '% overall' ELSE 'has ' || p_size || ' pieces' END AS s FROM part)""")
-def simple_numbers(spark, sf_dir):
-    size = F.col("p_size").cast("string")
-    s = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("costs $"), size, F.lit(" each"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("grew "), size, F.lit("% overall"))).otherwise(F.concat(F.lit("has "), size, F.lit(" pieces")))
-    q = F.get(quantities.quantities(s), F.lit(0))
-    return table(spark, sf_dir, "part").select("p_partkey", q.alias("q")).select("p_partkey", F.col("q.category").alias("category"), F.col("q.value").alias("value"))
+#: Texts by rule, n being a part's size: what is before, the quantity, what is after; its value as SQL, kind, unit, bound, and
+#: whether the white space before it belongs to its span.
+_SCANNED = [
+    ("costs ", "${n}", " each", "n", "currency", "currency", "EXACT", False),
+    ("grew ", "{n}%", " overall", "n", "percentage", "percent", "EXACT", True),
+    ("has ", "{n}", " pieces", "n", "count", "piec", "EXACT", True),
+    ("takes up to ", "{n}", " days", "n", "duration", "day", "AT_MOST", True),
+    ("at least ", "{n}", " business hours", "n", "duration", "hour", "AT_LEAST", True),
+    ("more than ", "{n} million", " dollars", "n * 1e6", "currency", "currency", "GREATER_THAN", True),
+    ("less than ", "{n} percent", "", "n", "percentage", "percent", "LESS_THAN", True),
+    ("due on ", "June {n}", "", "600 + n", "date", "date", "EXACT", False),
+    ("built in ", "20{n}", "", "nn", "year", "year", "EXACT", True),
+    ("", "{n}", " items or more", "n", "count", "item", "AT_LEAST", False),
+    ("see Section {n} and ", "twelve", " weeks", "12", "duration", "week", "EXACT", True),
+]
+
+
+def _scanned_sql(i: int, x: tuple) -> str:
+    lead, raw, trail, value, category, unit, bound, space = x
+    say = lambda t: "'" + t.replace("{n}", "' || n || '") + "'"
+    value = "(20 || n)::DOUBLE" if value == "nn" else f"({value})::DOUBLE"
+    return f"SELECT k, {say(lead + raw + trail)} AS said, {say(raw)} AS raw, {value} AS value, '{category}' AS category, '{unit}' AS unit, '{bound}' AS bound, (length({say(lead)}) - {int(space)})::INTEGER AS begin, length({say(lead + raw)})::INTEGER AS \"end\" FROM n WHERE k % {len(_SCANNED)} = {i}"
+
+
+@query("WITH n AS (SELECT p_partkey AS k, (10 + p_size % 20)::VARCHAR AS n FROM part) SELECT k AS p_partkey, raw, value, category, unit, bound, begin, \"end\" FROM (" + " UNION ALL ".join(_scanned_sql(i, x) for i, x in enumerate(_SCANNED)).replace("(n)::DOUBLE", "n::DOUBLE").replace("n * 1e6", "n::DOUBLE * 1e6").replace("600 + n", "600 + n::DOUBLE") + ")")
+def scanned_quantities(spark, sf_dir):
+    """One text by rule for every part, and the quantities found in it."""
+    n = (F.col("p_size") % 20 + 10).cast("string")
+    texts = F.array(*[F.concat(*[x for t in ((lead + raw + trail).split("{n}"),) for k, piece in enumerate(t) for x in ([n] * (k > 0) + [F.lit(piece)])]) for lead, raw, trail, *_ in _SCANNED])
+    said = table(spark, sf_dir, "part").select("p_partkey", F.get(texts, (F.col("p_partkey") % len(_SCANNED)).cast("int")).alias("said"))
+    return said.select("p_partkey", F.explode(quantities.quantities("said")).alias("q")).select("p_partkey", "q.raw", "q.value", "q.category", "q.unit", "q.bound", "q.begin", "q.end")
 
 
 def _parts(spark, sf_dir):
