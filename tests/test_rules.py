@@ -89,7 +89,7 @@ WORDS = ["running", "Filed", "boxes", "cats", "nation", "payment", "policies", "
 def test_stems(spark):
     rows = spark.createDataFrame([(w,) for w in WORDS], "w string").select("w", text.stem(F.col("w")).alias("s")).collect()
     assert {r["w"]: r["s"] for r in rows} == {
-        "running": "runn", "Filed": "fil", "boxes": "box", "cats": "cat", "nation": "na", "payment": "pay", "policies": "polici", "ring": "ring", "bed": "bed", "is": "is", "(Tests).": "test", "mention": "men", "xies": "xie", "As": "as",
+        "running": "runn", "Filed": "fil", "boxes": "box", "cats": "cat", "nation": "nation", "payment": "pay", "policies": "polici", "ring": "ring", "bed": "bed", "is": "is", "(Tests).": "test", "mention": "men", "xies": "xie", "As": "as",
     }
 
 
