@@ -31,19 +31,19 @@ GRAM = 16
 #: Windows of a segment, at most.
 SEGMENT = 64
 #: Bytes of text for each shard of fingerprints and segments, unless that makes more than MOST_SHARDS.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
 MOST_SHARDS = 10_000
 #: Bytes of text for each part of a shard, and bytes of what it receives that a shard keeps in memory.
-PART_BYTES, SPOOL_BYTES = 3 << 20, 32 << 20
+PART_BYTES, SPOOL_BYTES = 2 << 20, 32 << 20
 #: Runs of windows whose fingerprints a task gathers before it sends them.
 FLUSH = 500_000
 #: Bytes of text whose segments a task gathers before it sends them.
 STRETCH = 8 << 20
 #: Bytes of segments that one suffix sorting takes; a group of segments with a common anchor is not divided.
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 20
 #: Memory of a sorting's queues, tuples that it takes from one at once, and the names that it sorts without recursion: the
 #: sorting of a call spills its queues and recurses.
-QUEUE_BYTES, BLOCK, BASE = 2 << 20, 1 << 16, 1 << 18
+QUEUE_BYTES, BLOCK, BASE = 1 << 20, 1 << 16, 1 << 17
 #: Up to so many ids are broadcast (8 MB); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 PRINT = np.uint64((1 << 40) - 1)
