@@ -851,6 +851,6 @@ def verified_benchmark(spark, sf_dir):
         F.col("chunk_id").alias("chunk_key"), (F.col("doc_id") * 100_000 + F.col("line_pos")).alias("chunk_pos"), "chunk_id", F.col("doc_id").cast("string").alias("source_id"), filename().alias("filename"),
         F.concat(F.lit("Line "), (F.col("line_pos") + 1).cast("string")).alias("location"), F.lit(1).alias("page"), "text", F.lit(authority.DEFAULT).alias("authority_level"), authority.weight(F.lit(authority.DEFAULT)).alias("authority_weight"),
     )
-    pairs = verify.candidates(asked.select("claim_key", "text"), chunks, config)
+    pairs, _ = verify.scored_pairs(asked.select("claim_key", "text"), chunks, config)
     found = verify.verify(asked, chunks, pairs, config)
     return found.results.select("claim_key", "claim_id", "outcome", F.round("confidence", 2).alias("confidence"), "conflict_detected", F.size("evidence").alias("n_evidence"), F.col("primary.filename").alias("primary_file"), F.col("primary.similarity").alias("similarity"))

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read from the checkpoint folder from then on; a temporary folder where none is set, as in tests."""
+    """df, computed once and read from the checkpoint folder from then on; a temporary folder where none is set and all run on
+    one machine, as in tests. RuntimeError on a cluster without one: executors cannot see the driver's folders."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="evidence-cut-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="evidence-cut-"))
     return df.checkpoint()

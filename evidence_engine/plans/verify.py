@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,14 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidence_engine.operators import claims as claim_ops
-from evidence_engine.operators import entailment, retrieval, rollup, similarity
+from evidence_engine.operators import entailment, model_policy, retrieval, rollup, similarity
 from evidence_engine.plans.staging import cut
 from evidence_engine.sources import ingest
 
 
+EMBEDDINGS, ENTAILMENTS = ("tfidf", "dense"), ("rules", "model")
+
+
 @dataclass(frozen=True)
 class Config:
-    """What a run may set."""
+    """What a run may set. embedding "dense" takes vectors from the encoder (texts to vectors), and TF-IDF where there is none or
+    it fails on a claim; entailment "model" has the model (prompts to answers) judge after the rules, which stand where there is
+    none or it fails."""
 
     top_k: int = 3
     threshold: float = 0.25
@@ -25,9 +31,15 @@ class Config:
     conflict_detection: bool = True
     embedding: str = "tfidf"
     entailment: str = "rules"
+    encoder: Callable[[list[str]], object] | None = None
+    model: Callable[[list[str]], list[str | None]] | None = None
+
+    def __post_init__(self) -> None:
+        if self.embedding not in EMBEDDINGS or self.entailment not in ENTAILMENTS:
+            raise ValueError(f"embedding is one of {EMBEDDINGS}, entailment one of {ENTAILMENTS}")
 
     def labels(self) -> dict[str, str]:
-        return {k: str(v) for k, v in asdict(self).items()}
+        return {k: str(getattr(self, k)) for k in ("top_k", "threshold", "authority_weighting", "conflict_detection", "embedding", "entailment")}
 
 
 @dataclass
@@ -41,10 +53,14 @@ class Verification:
     judged: DataFrame
     results: DataFrame
     summary: DataFrame
+    #: what scored the pairs in the end: dense or tfidf
+    embedding: str = "tfidf"
 
 
-#: Query terms that a scoring pass broadcasts, at most; more claims are scored in blocks.
+#: Query terms (or numbers of vectors) that a scoring pass takes along, at most; more claims are scored in blocks.
 BLOCK_TERMS = 2_000_000
+#: Similarities that a task holds at once, and cells of a block's matrix; a block that has more cells is multiplied sparsely.
+CELLS, MATRIX_CELLS = 2_000_000, 4_000_000
 
 
 def sparse_pairs(claims: DataFrame, chunks: DataFrame, claim: str = "claim_key", chunk: str = "chunk_key") -> DataFrame:
@@ -58,71 +74,154 @@ def sparse_pairs(claims: DataFrame, chunks: DataFrame, claim: str = "claim_key",
 
 def candidates(claims: DataFrame, chunks: DataFrame, config: Config, claim: str = "claim_key", chunk: str = "chunk_key", source: str = "filename") -> DataFrame:
     """The pairs of sparse_pairs() that retrieval can choose from, scored where the chunks are: an Arrow batch of chunks times a
-    block of claims as a matrix product, of which only each claim's best rows of every source, top_k best rows and best row at
-    all leave the task. chunks has its key, text, chunk_pos, authority_weight and the source column.
+    block of claims, of which only each claim's best rows of every source, top_k best rows and a task's best row at all leave the
+    task. chunks has its key, text, chunk_pos, authority_weight and the source column.
 
-    Claims are the query side: the terms of a block are broadcast, and a block has at most BLOCK_TERMS of them.
+    Claims are the query side: the terms of a block go to every task, and a block has about BLOCK_TERMS of them.
     """
-    chunk_counts = similarity.term_counts(chunks, chunk)
     idf = cut(similarity.inverse_frequencies(similarity.document_frequencies(chunks), chunks.count()).select("term", "idf"))
     wanted = similarity.weights(similarity.term_counts(claims, claim), idf, claim).groupBy(claim).agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
     wanted = cut(wanted)
     total = wanted.agg(F.sum(F.size("terms"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_TERMS))
     # a chunk's norm takes all its terms, its product with claims only theirs
-    weighted = similarity.weights(chunk_counts, idf, chunk)
+    weighted = similarity.weights(similarity.term_counts(chunks, chunk), idf, chunk)
     about = chunks.select(chunk, source, "chunk_pos", "authority_weight")
+    return blockwise(wanted, -(-total // BLOCK_TERMS), claim, lambda block: _by_terms(weighted, about, block, config, claim, chunk, source))
+
+
+def dense_candidates(claims: DataFrame, chunks: DataFrame, config: Config, claim: str = "claim_key", chunk: str = "chunk_key", source: str = "filename") -> DataFrame | None:
+    """The same by the encoder's vectors; null if it has none for some claim. A chunk without vector is like no claim."""
+    asked = cut(similarity.embedded(claims, claim, config.encoder))
+    if not asked.where("vec is null").isEmpty():
+        return None
+    vectors = similarity.embedded(chunks, chunk, config.encoder)
+    rows = chunks.select(chunk, source, "chunk_pos", "authority_weight").join(vectors, chunk)
+    total = asked.agg(F.sum(F.size("vec"))).first()[0] or 0
+    return blockwise(asked, -(-total // BLOCK_TERMS), claim, lambda block: _by_vectors(rows, block, config, claim, chunk, source))
+
+
+def blockwise(claims: DataFrame, blocks: int, claim: str, scored: Callable[[list], DataFrame]) -> DataFrame:
+    """The union of what scored gives for the rows of each of so many blocks of claims."""
     out = None
-    for i in range(blocks):
-        part = wanted.where(F.pmod(F.xxhash64(claim), F.lit(blocks)) == i).collect()
-        scored = _scored(weighted, about, part, config, claim, chunk, source)
-        out = scored if out is None else out.unionByName(scored)
+    for i in range(max(1, blocks)):
+        part = scored(claims.where(F.pmod(F.xxhash64(claim), F.lit(max(1, blocks))) == i).collect())
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def _scored(weighted: DataFrame, about: DataFrame, block: list, config: Config, claim: str, chunk: str, source: str) -> DataFrame:
-    keys = [r[claim] for r in block]
-    place: dict[str, int] = {}
-    entries = [(place.setdefault(t["term"], len(place)), j, float(t["weight"])) for j, r in enumerate(block) for t in r["terms"]]
-    matrix = np.zeros((len(place), len(keys)))
-    for i, j, w in entries:
-        matrix[i, j] = w
-    length = np.sqrt((matrix**2).sum(axis=0))
-    matrix /= np.where(length > 1e-6, length, 1.0)
-    codes = about.sparkSession.createDataFrame(list(place.items()), "term string, code int")
+class Entries:
+    """A block of claims as lists of (claim, weight) by term; its product with a chunk's terms sums over the lists."""
+
+    def __init__(self, block: list, claim: str):
+        self.keys = [r[claim] for r in block]
+        self.place: dict[str, int] = {}
+        term, of, weight = [], [], []
+        for j, r in enumerate(block):
+            w = np.array([float(t["weight"]) for t in r["terms"]])
+            length = float(np.sqrt((w * w).sum()))
+            term += [self.place.setdefault(t["term"], len(self.place)) for t in r["terms"]]
+            of += [j] * len(w)
+            weight += (w / (length if length > 1e-6 else 1.0)).tolist()
+        by = np.argsort(np.array(term, dtype=np.int64), kind="stable")
+        self.of, self.weight = np.array(of, dtype=np.int64)[by], np.array(weight)[by]
+        self.first = np.searchsorted(np.array(term, dtype=np.int64)[by], np.arange(len(self.place) + 1))
+
+    def similarities(self, codes: list, weights: list, dense: bool) -> np.ndarray:
+        """Rows of products for chunks given by their terms' codes and weights."""
+        if dense:
+            matrix = self.matrix()
+            return np.stack([w @ matrix[c] for c, w in zip(codes, weights)])
+        n = len(self.keys)
+        out = np.zeros((len(codes), n))
+        for k, (c, w) in enumerate(zip(codes, weights)):
+            size = self.first[c + 1] - self.first[c]
+            at = np.repeat(self.first[c] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            out[k] = np.bincount(self.of[at], weights=self.weight[at] * np.repeat(w, size), minlength=n)
+        return out
+
+    def matrix(self) -> np.ndarray:
+        if not hasattr(self, "_matrix"):
+            self._matrix = np.zeros((len(self.place), len(self.keys)))
+            self._matrix[np.repeat(np.arange(len(self.place)), np.diff(self.first)), self.of] = self.weight
+        return self._matrix
+
+
+def _by_terms(weighted: DataFrame, about: DataFrame, block: list, config: Config, claim: str, chunk: str, source: str) -> DataFrame:
+    entries = Entries(block, claim)
+    dense = len(entries.place) * len(entries.keys) <= MATRIX_CELLS
+    codes = about.sparkSession.createDataFrame(list(entries.place.items()), "term string, code int")
     square = (F.col("weight") * F.col("weight")).cast("decimal(28,9)")
     known = F.col("code").isNotNull()
     marked = weighted.join(F.broadcast(codes), "term", "left").groupBy(chunk).agg(
         F.sqrt(F.sum(square).cast("double")).alias("norm"), F.collect_list("code").alias("codes"), F.collect_list(F.when(known, F.col("weight").cast("double"))).alias("weights")
     )
-    rows = about.join(marked.where(F.size("codes") > 0), chunk)
+
+    def product(batch: pd.DataFrame) -> np.ndarray:
+        norm = batch["norm"].to_numpy()
+        return entries.similarities(batch["codes"].tolist(), batch["weights"].tolist(), dense) / np.where(norm > 1e-6, norm, 1.0)[:, None]
+
+    return picked(about.join(marked.where(F.size("codes") > 0), chunk), entries.keys, product, block, config, claim, chunk, source)
+
+
+def _by_vectors(rows: DataFrame, block: list, config: Config, claim: str, chunk: str, source: str) -> DataFrame:
+    asked = similarity.unit_rows([r["vec"] for r in block])
+
+    def product(batch: pd.DataFrame) -> np.ndarray:
+        found = similarity.unit_rows(batch["vec"].tolist())
+        width = min(found.shape[1], asked.shape[1])
+        return found[:, :width] @ asked[:, :width].T
+
+    return picked(rows, [r[claim] for r in block], product, block, config, claim, chunk, source)
+
+
+def picked(rows: DataFrame, keys: list, product: Callable[[pd.DataFrame], np.ndarray], block: list, config: Config, claim: str, chunk: str, source: str) -> DataFrame:
+    """What retrieval could take of the products of rows with a block of claims: of those that reach the threshold the best of
+    every source and top_k more, and a task's best at all."""
     kinds = dict(rows.dtypes)
     schema = f"`{claim}` {type_of(block, claim)}, `{chunk}` {kinds[chunk]}, `{source}` {kinds[source]}, chunk_pos {kinds['chunk_pos']}, authority_weight double, similarity double"
+    names = [chunk, source, "chunk_pos", "authority_weight"]
 
-    def chosen(sim: np.ndarray, score: np.ndarray, pos: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Rows of one claim that retrieval could take: the best at all, of every source and top_k more above the threshold."""
+    def chosen(sim: np.ndarray, score: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Places, in order of position, of one claim's rows that reach the threshold."""
         passing = np.flatnonzero(sim >= config.threshold)
-        best = np.flatnonzero(score == score.max())
-        best = best[np.lexsort((pos[best], -sim[best]))[:1]]
-        passing = passing[np.lexsort((pos[passing], -sim[passing], -score[passing]))]
+        passing = passing[np.lexsort((passing, -sim[passing], -score[passing]))]
         _, first = np.unique(of[passing], return_index=True)
-        keep = np.unique(np.concatenate([passing[first], passing[: config.top_k + len(first)], best]))
-        return keep[sim[keep] > 0]
+        return np.unique(np.concatenate([passing[first], passing[: config.top_k + len(first)]]))
 
     def run(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            sim = np.stack([w @ matrix[c] for c, w in zip(batch["codes"], batch["weights"])])
-            norm, pos, of = batch["norm"].to_numpy(), batch["chunk_pos"].to_numpy(), pd.factorize(batch[source])[0]
-            sim /= np.where(norm > 1e-6, norm, 1.0)[:, None]
-            boost = 0.75 + 0.25 * np.clip(batch["authority_weight"].to_numpy(), 0.5, 1.0) if config.authority_weighting else np.ones(len(batch))
-            sim = np.round(sim, 9)
-            score = np.round(sim * boost[:, None], 4)
-            picked = [chosen(sim[:, j], score[:, j], pos, of) for j in range(len(keys))]
-            at, which = np.concatenate(picked), np.repeat(np.arange(len(keys)), [len(p) for p in picked])
-            part = batch.iloc[at]
-            yield pd.DataFrame({claim: [keys[j] for j in which], chunk: part[chunk].to_numpy(), source: part[source].to_numpy(), "chunk_pos": pos[at], "authority_weight": part["authority_weight"].to_numpy(), "similarity": sim[at, which]})
+        n = len(keys)
+        best = {"score": np.full(n, -np.inf), "sim": np.full(n, -np.inf), "pos": np.full(n, np.inf)}
+        row: dict[str, np.ndarray] = {c: np.empty(n, object) for c in names}
+
+        def out(which: np.ndarray, columns: dict[str, np.ndarray], sim: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({claim: [keys[j] for j in which], **columns, "similarity": sim})
+
+        for whole in batches:
+            for lo in range(0, len(whole), max(1, CELLS // max(1, n))):
+                batch = whole.iloc[lo : lo + max(1, CELLS // max(1, n))].sort_values("chunk_pos", kind="stable")
+                boost = 0.75 + 0.25 * np.clip(batch["authority_weight"].to_numpy(), 0.5, 1.0) if config.authority_weighting else np.ones(len(batch))
+                sim = np.round(product(batch), 9)
+                score = np.round(sim * boost[:, None], 4)
+                of, cells = pd.factorize(batch[source])[0], {c: batch[c].to_numpy() for c in names}
+                # the best at all: by score, similarity, position
+                top = score.max(axis=0)
+                near = np.where(score == top, sim, -np.inf)
+                at = near.argmax(axis=0)
+                high, pos = near.max(axis=0), cells["chunk_pos"][at]
+                new = (top > best["score"]) | (top == best["score"]) & ((high > best["sim"]) | (high == best["sim"]) & (pos < best["pos"]))
+                best = {k: np.where(new, x, best[k]) for k, x in (("score", top), ("sim", high), ("pos", pos))}
+                for c in names:
+                    row[c][new] = cells[c][at[new]]
+                asked = np.flatnonzero((sim >= config.threshold).any(axis=0))
+                if len(asked):
+                    places = [chosen(sim[:, j], score[:, j], of) for j in asked]
+                    at, which = np.concatenate(places), np.repeat(asked, [len(p) for p in places])
+                    keep = sim[at, which] > 0
+                    yield out(which[keep], {c: cells[c][at[keep]] for c in names}, sim[at[keep], which[keep]])
+        # those that reach the threshold have left already
+        which = np.flatnonzero((best["sim"] > 0) & (best["sim"] < config.threshold))
+        if len(which):
+            yield out(which, {c: row[c][which] for c in names}, best["sim"][which])
 
     return rows.mapInPandas(run, schema)
 
@@ -131,6 +230,18 @@ def type_of(block: list, column: str) -> str:
     return "string" if not block or isinstance(block[0][column], str) else "long"
 
 
+def with_model(results: DataFrame, model: Callable[[list[str]], list[str | None]]) -> DataFrame:
+    """Results with what the model says of each claim and its first passages, where the policy lets it."""
+    passages = F.coalesce("evidence", F.array().cast(dict(results.dtypes)["evidence"]))
+    asked = results.select("claim_key", model_policy.prompt(F.col("text"), passages).alias("prompt"))
+    said = model_policy.ask(asked, model, ["claim_key"]).select("claim_key", "raw")
+    given = F.transform(F.slice(passages, 1, model_policy.PASSAGES), lambda p, i: F.format_string("E%03d", i + 1))
+    both = results.join(cut(said), "claim_key", "left")
+    answer = F.when(F.col("raw").isNotNull(), model_policy.validated(model_policy.answer(F.col("raw")), given))
+    rules = F.struct("outcome", "confidence", "reason", "conflict_detected")
+    return both.withColumn("_said", model_policy.combined(rules, answer)).withColumns({c: F.col(f"_said.{c}") for c in ("outcome", "confidence", "reason")}).drop("_said", "raw")
+
+
 def verify(claims: DataFrame, chunks: DataFrame, pairs: DataFrame, config: Config = Config(), sources: DataFrame | None = None) -> Verification:
     """Judges claims on the evidence that the scored pairs give.
 
@@ -159,15 +270,28 @@ def verify(claims: DataFrame, chunks: DataFrame, pairs: DataFrame, config: Confi
             "conflict_detected": F.coalesce("conflict_detected", F.lit(False)),
         }
     )
+    if config.entailment == "model" and config.model:
+        results = with_model(results, config.model)
     return Verification(sources, chunks, claims, evidence, judged, results, rollup.summary(results, ["run_id"]))
 
 
+def scored_pairs(claims: DataFrame, chunks: DataFrame, config: Config) -> tuple[DataFrame, str]:
+    """Pairs that retrieval can choose from, and what scored them."""
+    if config.embedding == "dense" and config.encoder:
+        pairs = dense_candidates(claims, chunks, config)
+        if pairs is not None:
+            return pairs, "dense"
+    return candidates(claims, chunks, config), "tfidf"
+
+
 def verify_files(drafts: DataFrame, files: DataFrame, authorities: DataFrame | None = None, config: Config = Config()) -> Verification:
     """Verifies drafts (run_id, draft) against all files (filename, content)."""
     parsed = ingest.parse(files)
     passages = ingest.authorized(ingest.passages(parsed), authorities)
     chunks = passages.withColumn("chunk_key", F.concat_ws("/", "filename", "chunk_id", F.col("chunk_pos").cast("string")))
     claims = claim_ops.from_drafts(drafts, "run_id").withColumn("claim_key", F.concat_ws("/", F.col("run_id").cast("string"), "claim_id"))
-    pairs = sparse_pairs(claims.select("claim_key", "text"), chunks.select("chunk_key", "text"))
+    pairs, scored_by = scored_pairs(claims.select("claim_key", "text"), chunks, config)
     sources = ingest.authorized(ingest.sources(parsed), authorities)
-    return verify(claims, chunks, pairs, config, sources)
+    found = verify(claims, chunks, pairs, config, sources)
+    found.embedding = scored_by
+    return found

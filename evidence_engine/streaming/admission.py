@@ -23,22 +23,27 @@ def admit(log: list[float], now: float, limit: int, window: float) -> tuple[list
 
 
 def admissions(requests: DataFrame, limit: int = LIMIT, window: float = WINDOW) -> DataFrame:
-    """client, ts, allowed and retry_after of a bounded table of requests (client, ts, and seq where times tie). A task reads its
-    clients' requests in order and keeps nothing but the ``limit`` times of the client it is at."""
-    rows = requests.select("client", F.col("ts").cast("timestamp").alias("ts"), (F.col("seq") if "seq" in requests.columns else F.lit(0)).alias("seq"))
-    ordered = rows.repartition("client").sortWithinPartitions("client", "ts", "seq").select("client", "ts", (F.unix_micros("ts") / 1e6).alias("now"))
+    """client, ts, allowed and retry_after of a bounded table of requests (client, ts, and seq where times tie). A row whose
+    column reset is true is no request: the client's log begins anew. A task reads its clients' requests in order and keeps
+    nothing but the ``limit`` times of the client it is at."""
+    own = lambda c, other: (F.col(c) if c in requests.columns else F.lit(other)).alias(c)
+    rows = requests.select("client", F.col("ts").cast("timestamp").alias("ts"), own("seq", 0), F.coalesce(own("reset", False), F.lit(False)).alias("reset"))
+    ordered = rows.repartition("client").sortWithinPartitions("client", "ts", "seq").select("client", "ts", (F.unix_micros("ts") / 1e6).alias("now"), "reset")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, log = None, []
         for batch in batches:
             allowed, wait = [], []
-            for client, now in zip(batch["client"], batch["now"]):
-                if client != at:
+            for client, now, reset in zip(batch["client"], batch["now"], batch["reset"]):
+                if client != at or reset:
                     at, log = client, []
+                if reset:
+                    continue
                 log, ok, seconds = admit(log, now, limit, window)
                 allowed.append(ok)
                 wait.append(seconds)
-            yield pd.DataFrame({"client": batch["client"], "ts": batch["ts"], "allowed": allowed, "retry_after": wait})
+            kept = batch[~batch["reset"]]
+            yield pd.DataFrame({"client": kept["client"].to_numpy(), "ts": kept["ts"].to_numpy(), "allowed": allowed, "retry_after": wait})
 
     return ordered.mapInPandas(run, OUTPUT)
 
@@ -54,10 +59,13 @@ class Log(StatefulProcessor):
         self.log = handle.getListState("log", schema, self.ttl_ms) if self.ttl_ms else handle.getListState("log", schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = sorted(t for batch in rows for t in batch["ts"])
+        times = sorted((t, bool(r)) for batch in rows for t, r in zip(batch["ts"], batch.get("reset", [False] * len(batch))))
         log = [x[0] for x in self.log.get()] if self.log.exists() else []
         out = []
-        for ts in times:
+        for ts, reset in times:
+            if reset:
+                log = []
+                continue
             log, ok, wait = admit(log, ts.timestamp(), self.limit, self.window)
             out.append((key[0], ts, ok, wait))
         self.log.put([(t,) for t in log])
@@ -68,5 +76,5 @@ class Log(StatefulProcessor):
 
 
 def admission_stream(requests: DataFrame, limit: int = LIMIT, window: float = WINDOW, ttl_ms: int | None = None) -> DataFrame:
-    """The same of a stream of requests (client, ts); needs a state store that transformWithState supports."""
+    """The same of a stream of requests (client, ts, and reset if there is one); needs a state store that transformWithState supports."""
     return requests.groupBy("client").transformWithStateInPandas(statefulProcessor=Log(limit, window, ttl_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")

@@ -8,6 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from evidence_engine.operators import claims as claim_ops
 from evidence_engine.operators import chunking, evaluation, report, retrieval, rollup, store
 from evidence_engine.plans import verify
 from evidence_engine.sources import formats, ingest
@@ -150,6 +151,90 @@ def test_scored_candidates_lead_to_the_same_evidence(spark):
     assert pick(slow) == pick(fast)
 
 
+def test_blocks_of_claims_and_sparse_products(spark, monkeypatch):
+    """Many blocks and products without a matrix lead to the same evidence."""
+    from tests.texts import prose
+
+    chunks = spark.createDataFrame([(i, i, f"f{i % 5}", prose(i % 30, 12), 1.0) for i in range(60)], "chunk_key int, chunk_pos int, filename string, text string, authority_weight double")
+    claims = spark.createDataFrame([(i, prose(i, 8)) for i in range(9)] + [(90, "quixotic")], "claim_key long, text string")
+    pick = lambda df: sorted((r["claim_key"], r["chunk_key"], r["evidence_rank"], r["similarity"]) for r in retrieval.retrieve(df, 3, 0.25, ["claim_key"]).collect())
+    plain = pick(verify.candidates(claims, chunks, verify.Config()))
+    monkeypatch.setattr(verify, "MATRIX_CELLS", 0)
+    monkeypatch.setattr(verify, "BLOCK_TERMS", 100)
+    assert pick(verify.candidates(claims, chunks, verify.Config())) == plain and len(plain) > 9
+
+
+def letter_counts(texts):
+    return [[t.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+
+
+def no_encoder(texts):
+    raise OSError("no such model")
+
+
+def test_encoder_and_its_fallback(spark):
+    draft = "Claim 1: Employees receive 20 days of paid annual leave.\nClaim 2: All laptops must be encrypted with full disk encryption."
+    found, claims, _ = go(spark, draft, [LEAVE, SECURITY], config=verify.Config(embedding="dense", encoder=letter_counts))
+    assert found.embedding == "dense" and [c["primary"]["filename"] for c in claims] == ["leave.txt", "security.txt"]
+    vectors = letter_counts([claims[0]["text"], LEAVE[1]])
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    assert claims[0]["primary"]["similarity"] == round(dot(*vectors) / (dot(vectors[0], vectors[0]) * dot(vectors[1], vectors[1])) ** 0.5, 4)
+    for config in (verify.Config(embedding="dense", encoder=no_encoder), verify.Config(embedding="dense")):
+        found, claims, _ = go(spark, draft, [LEAVE, SECURITY], config=config)
+        assert found.embedding == "tfidf" and [c["outcome"] for c in claims] == ["SUPPORTED", "SUPPORTED"]
+    with pytest.raises(ValueError):
+        verify.Config(embedding="other")
+
+
+def says_supported(prompts):
+    return ['{"verdict": "SUPPORTED", "confidence": 0.77, "reason": "The model says so.", "cited_evidence_ids": ["E001"]}' if "office" in p else "garbage" for p in prompts]
+
+
+def test_model_judges_after_the_rules(spark):
+    draft = "Claim 1: The office garden has a roof terrace with wooden benches.\nClaim 2: Employees receive 25 days of paid annual leave per calendar year."
+    named = [LEAVE, ("office.txt", "Our office garden was planted by the staff.")]
+    _, claims, _ = go(spark, draft, named, config=verify.Config(entailment="model", model=says_supported))
+    assert (claims[0]["outcome"], claims[0]["confidence"], claims[0]["reason"]) == ("SUPPORTED", 0.77, "The model says so.")
+    assert claims[1]["outcome"] == "REFUTED" and "25" in claims[1]["reason"]
+    _, rules, _ = go(spark, draft, named, config=verify.Config(entailment="model"))
+    assert rules[0]["outcome"] == "UNVERIFIED"
+
+
+def test_evaluation_runs_cases_and_keeps_results(spark, tmp_path):
+    import json
+
+    from evidence_engine.plans.evaluate import evaluate
+
+    cases = [("T1", "Employees receive 20 days of paid annual leave.", "SUPPORTED", ["20 days"]), ("T2", "Employees receive 25 days of paid annual leave per calendar year.", "REFUTED", ["annual leave"]), ("T3", "Quixotic zebras wander.", "UNVERIFIED", [])]
+    path = tmp_path / "cases.json"
+    path.write_text(json.dumps({"dataset_name": "d", "source_document": LEAVE[0], "source_content": LEAVE[1], "test_cases": [{"claim_id": i, "claim": c, "ground_truth_verdict": t, "expected_evidence_keywords": k} for i, c, t, k in cases]}))
+    run = lambda fresh=False: evaluate(spark, f"file://{path}", cache=f"file://{tmp_path}/cache", fresh=fresh)
+    found = run()
+    assert found.accuracy.first()["accuracy"] == 100.0 and found.macro_f1.first()["macro_f1"] == 100.0 and found.retrieval.first()["eligible"] == 2 and found.retrieval.first()["retrieval_precision"] == 100.0
+    path.write_text(path.read_text().replace("REFUTED", "SUPPORTED"))
+    assert run().accuracy.first()["accuracy"] == 100.0 and run(fresh=True).accuracy.first()["accuracy"] == 66.67
+
+
+def test_reset_of_a_client(spark):
+    at = [(f"2024-01-01 00:00:0{i}", c, r) for i, c, r in [(0, "a", False), (1, "a", False), (2, "a", True), (3, "a", None), (4, "a", False), (4, "b", False)]]
+    rows = spark.createDataFrame(at, "ts string, client string, reset boolean")
+    got = [(r["client"], r["ts"].second, r["allowed"]) for r in admission.admissions(rows, 1, 60.0).orderBy("client", "ts").collect()]
+    assert got == [("a", 0, True), ("a", 1, False), ("a", 3, True), ("a", 4, False), ("b", 4, True)]
+
+
+def test_lists_as_text_or_bytes(spark):
+    said = [(1, '["One claim here", "Two claims"]'), (2, "['Three claims', 4444]"), (3, "First line of it\n\nSecond line"), (4, None), (5, "[broken list")]
+    rows = spark.createDataFrame(said, "k long, claims string")
+    want = {1: ["One claim here.", "Two claims."], 2: ["Three claims.", "4444."], 3: ["First line of it.", "Second line."], 5: ["[broken list."]}
+    for df in (rows, rows.withColumn("claims", F.col("claims").cast("binary"))):
+        got = {}
+        for r in claim_ops.from_input(df, "k").orderBy("k", "claim_pos").collect():
+            got.setdefault(r["k"], []).append(r["text"])
+        assert got == want
+    broken = spark.createDataFrame([(1, b"Caf\xe9 opens at nine today.")], "k long, draft binary")
+    assert claim_ops.from_drafts(broken, "k").first()["text"] == "Caf\ufffd opens at nine today."
+
+
 def saved(spark, n, run="run_1"):
     t = store.TABLES
     df = lambda name, rows: spark.createDataFrame(rows, t[name])
