@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows of an Arrow batch while a work table is written: whole texts are long, and a batch stands in memory several times.
+#: Rows and bytes of an Arrow batch while a work table is written: whole texts are long, and a batch stands in memory several
+#: times; a pair of long texts is a large row.
 ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def release() -> None:
@@ -47,12 +49,14 @@ def work_path(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path, kept = work_path(spark, name), spark.conf.get(ARROW_ROWS)
-    spark.conf.set(ARROW_ROWS, str(min(int(kept), BATCH_ROWS)) if int(kept) > 0 else str(BATCH_ROWS))
+    path, rows, size = work_path(spark, name), spark.conf.get(ARROW_ROWS), spark.conf.get(ARROW_BYTES)
+    spark.conf.set(ARROW_ROWS, str(min(int(rows), BATCH_ROWS)) if int(rows) > 0 else str(BATCH_ROWS))
+    spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(ARROW_ROWS, kept)
+        spark.conf.set(ARROW_ROWS, rows)
+        spark.conf.set(ARROW_BYTES, size)
     return spark.read.schema(df.schema).parquet(path)
 
 
