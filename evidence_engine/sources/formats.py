@@ -292,45 +292,170 @@ def read_xlsx(data: bytes) -> Read:
     return "xlsx", max(1, len(titles)), chars, out
 
 
-_STREAM = re.compile(rb"<<(?P<head>.*?)>>\s*stream\r?\n(?P<body>.*?)\r?\nendstream", re.DOTALL)
-_SHOWN = re.compile(rb"\((?P<text>(?:\\.|[^\\()])*)\)\s*(?P<op>Tj|'|\")|\[(?P<array>(?:\((?:\\.|[^\\()])*\)|[^\]])*)\]\s*TJ|(?P<line>T\*|T[dDm]\b|ET\b)", re.DOTALL)
+_OBJECT = re.compile(rb"(?P<n>\d+)\s+\d+\s+obj\b(?P<body>.*?)\bendobj", re.DOTALL)
+_STREAM = re.compile(rb"^(?P<head>.*?>>)\s*stream\r?\n(?P<body>.*?)\r?\n?endstream", re.DOTALL)
+_LOOSE = re.compile(rb"<<(?P<head>.*?)>>\s*stream\r?\n(?P<body>.*?)\r?\n?endstream", re.DOTALL)
+_REF = rb"(\d+)\s+\d+\s+R\b"
+_LITERAL = rb"\((?:\\.|[^\\()])*\)"
+_HEX = rb"<[0-9A-Fa-f\s]*>"
+_SHOWN = re.compile(rb"/(?P<font>[^\s/\[\]()<>]+)\s+[-\d.]+\s+Tf\b|(?P<one>" + _LITERAL + b"|" + _HEX + rb")\s*(?P<op>Tj|'|\")|\[(?P<array>(?:" + _LITERAL + b"|" + _HEX + rb"|[^\]()])*)\]\s*TJ|(?P<line>T\*|T[dDm]\b|ET\b)", re.DOTALL)
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+#: Thousandths of an em that a TJ array goes on by where a space is meant.
+_GAP = -180
+
+
+def _unescaped(raw: bytes) -> bytes:
+    return re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else b"" if m[1][-1:] == b"\n" else _ESCAPES.get(m[1], m[1]), raw, flags=re.DOTALL)
+
+
+def _shown(token: bytes) -> bytes:
+    """The character codes of a string, written plainly or in hexadecimal."""
+    if token[:1] == b"(":
+        return _unescaped(token[1:-1])
+    digits = re.sub(rb"\s", b"", token[1:-1])
+    return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+
+
+class Pdf:
+    """The objects of a PDF file: those that stand in it and those in its object streams. Encryption is not read."""
+
+    def __init__(self, data: bytes):
+        self.heads: dict[int, bytes] = {}
+        self.streams: dict[int, bytes] = {}
+        for m in _OBJECT.finditer(data):
+            stream = _STREAM.match(m["body"])
+            self.heads[int(m["n"])] = stream["head"] if stream else m["body"]
+            if stream:
+                self.streams[int(m["n"])] = self.inflated(stream["head"], stream["body"])
+        for n, head in list(self.heads.items()):
+            first = re.search(rb"/First\s+(\d+)", head)
+            if b"/ObjStm" in head and first:
+                packed, at = self.streams.get(n, b""), int(first[1])
+                places = [int(x) for x in packed[:at].split()]
+                for number, lo, hi in zip(places[::2], places[1::2], [*places[3::2], len(packed) - at]):
+                    self.heads.setdefault(number, packed[at + lo : at + hi])
+
+    @staticmethod
+    def inflated(head: bytes, body: bytes) -> bytes:
+        if b"FlateDecode" not in head:
+            return body
+        try:
+            return zlib.decompressobj().decompress(body)
+        except zlib.error:
+            return b""
+
+    def value(self, head: bytes, key: bytes) -> bytes:
+        """What a dictionary has under a key: a dictionary or array in it, or what a reference leads to."""
+        m = re.search(rb"/" + key + rb"\s*(?:" + _REF + rb"|(?=[\[<]))", head)
+        if not m:
+            return b""
+        if m[1]:
+            return self.heads.get(int(m[1]), b"")
+        depth, at = 0, m.end()
+        for k in re.finditer(rb"<<|>>|\[|\]", head[at:]):
+            depth += 1 if k[0] in (b"<<", b"[") else -1
+            if not depth:
+                return head[at : at + k.end()]
+        return head[at:]
+
+    def pages(self) -> list[int]:
+        """Objects of the pages, in their order in the page tree."""
+        found: list[int] = []
+        seen: set[int] = set()
+
+        def walk(n: int) -> None:
+            if n in seen:
+                return
+            seen.add(n)
+            head = self.heads.get(n, b"")
+            if re.search(rb"/Type\s*/Pages\b", head):
+                for kid in re.findall(_REF, self.value(head, b"Kids")):
+                    walk(int(kid))
+            elif re.search(rb"/Type\s*/Page\b", head):
+                found.append(n)
+
+        for n, head in self.heads.items():
+            if re.search(rb"/Type\s*/Pages\b", head) and not re.search(rb"/Parent\b", head):
+                walk(n)
+        return found or [n for n, head in self.heads.items() if re.search(rb"/Type\s*/Page\b", head)]
+
+    def fonts(self, page: int) -> dict[bytes, dict[bytes, str]]:
+        """Character maps of a page's fonts by name; resources may be those of a node above."""
+        head = self.heads[page]
+        for _ in range(50):
+            parent = re.search(rb"/Parent\s+" + _REF, head)
+            if re.search(rb"/Resources\b", head) or not parent:
+                break
+            head = self.heads.get(int(parent[1]), b"")
+        fonts = self.value(self.value(head, b"Resources"), b"Font")
+        maps = {}
+        for name, n in re.findall(rb"/([^\s/\[\]()<>]+)\s+" + _REF, fonts):
+            to = re.search(rb"/ToUnicode\s+" + _REF, self.heads.get(int(n), b""))
+            if to:
+                maps[name] = character_map(self.streams.get(int(to[1]), b""))
+        return maps
+
+    def content(self, page: int) -> bytes:
+        m = re.search(rb"/Contents\s*(?:" + _REF + rb"|\[([^\]]*)\])", self.heads[page])
+        refs = [] if not m else [m[1]] if m[1] else re.findall(_REF, m[2])
+        if len(refs) == 1 and int(refs[0]) not in self.streams:
+            refs = re.findall(_REF, self.heads.get(int(refs[0]), b""))
+        return b"\n".join(self.streams.get(int(n), b"") for n in refs)
+
+
+def character_map(cmap: bytes) -> dict[bytes, str]:
+    """Text by character code, from a font's map to Unicode."""
+    said = lambda x: bytes.fromhex(x.decode()).decode("utf-16-be", "replace")
+    out: dict[bytes, str] = {}
+    hexed = rb"<\s*([0-9A-Fa-f]+)\s*>"
+    for block in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.DOTALL):
+        out |= {bytes.fromhex(a.decode()): said(b) for a, b in re.findall(hexed + rb"\s*" + hexed, block)}
+    for block in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.DOTALL):
+        for a, b, first, each in re.findall(hexed + rb"\s*" + hexed + rb"\s*(?:" + hexed + rb"|\[([^\]]*)\])", block):
+            lo, hi, width = int(a, 16), min(int(b, 16), int(a, 16) + 0xFFFF), len(a) // 2
+            texts = [said(x) for x in re.findall(hexed, each)] if each else [said(first)[:-1] + chr(ord(said(first)[-1]) + k) for k in range(hi - lo + 1)]
+            out |= {(lo + k).to_bytes(width, "big"): t for k, t in enumerate(texts)}
+    return out
 
 
-def _unescaped(raw: bytes) -> str:
-    out = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _ESCAPES.get(m[1], m[1]), raw, flags=re.DOTALL)
-    return out.decode("latin-1")
+def shown_text(content: bytes, fonts: dict[bytes, dict[bytes, str]]) -> str:
+    """The text that a content stream shows, line by line."""
+    text, font = "", {}
+
+    def told(token: bytes) -> str:
+        codes = _shown(token)
+        if not font:
+            return codes.decode("cp1252", "replace")
+        width = max(map(len, font))
+        return "".join(font.get(codes[i : i + width], "") for i in range(0, len(codes), width))
+
+    for x in _SHOWN.finditer(content):
+        if x["font"] is not None:
+            font = fonts.get(x["font"], {})
+        elif x["line"] is not None:
+            text += "\n" if text and not text.endswith("\n") else ""
+        elif x["array"] is not None:
+            for token in re.findall(_LITERAL + b"|" + _HEX + rb"|-?[\d.]+", x["array"]):
+                text += told(token) if token[:1] in b"(<" else " " if float(token) < _GAP and not text.endswith((" ", "\n")) else ""
+        else:
+            text += ("\n" if x["op"] != b"Tj" else "") + told(x["one"])
+    return text.strip()
 
 
 def pdf_pages(data: bytes) -> list[str]:
-    """Text that the content streams of a PDF show with plain strings, one entry a stream; flate streams are inflated."""
-    pages = []
-    for m in _STREAM.finditer(data):
-        body = m["body"]
-        if b"FlateDecode" in m["head"]:
-            try:
-                body = zlib.decompress(body)
-            except zlib.error:
-                continue
-        if b"BT" not in body:
-            continue
-        text = ""
-        for x in _SHOWN.finditer(body):
-            if x["line"] is not None:
-                text += "\n" if text and not text.endswith("\n") else ""
-            elif x["array"] is not None:
-                text += "".join(_unescaped(s) for s in re.findall(rb"\(((?:\\.|[^\\()])*)\)", x["array"], re.DOTALL))
-            else:
-                text += ("\n" if x["op"] != b"Tj" else "") + _unescaped(x["text"])
-        pages.append(text.strip())
-    return pages
+    """The text of every page of a PDF, in order; of a file whose pages lead to none, that of every stream that shows text."""
+    pdf = Pdf(data)
+    pages = [shown_text(pdf.content(n), pdf.fonts(n)) for n in pdf.pages()]
+    if any(pages):
+        return pages
+    streams = [pdf.inflated(m["head"], m["body"]) for m in _LOOSE.finditer(data)]
+    return [shown_text(x, {}) for x in streams if b"BT" in x] or pages
 
 
 def read_pdf(data: bytes) -> Read:
     pages = pdf_pages(data)
-    count = len(re.findall(rb"/Type\s*/Page\b", data)) or len(pages)
     out = [p for n, text in enumerate(pages, 1) for p in prose(text, n, "page", lambda _, n=n: f"Page {n}")]
-    return "pdf", max(1, count), sum(map(len, pages)), out
+    return "pdf", max(1, len(pages)), sum(map(len, pages)), out
 
 
 READERS: dict[str, Callable[[bytes], Read]] = {

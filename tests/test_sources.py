@@ -49,6 +49,35 @@ def test_office_formats():
     assert "30 days" in read("pdf", PDF)[3][0][1] and "15,000 (net)" in read("pdf", PDF)[3][0][1] and read("pdf", PACKED)[3][0][1] == "Compressed"
 
 
+def pdf_file(objects):
+    return b"%PDF-1.5\n" + b"\n".join(b"%d 0 obj\n%s\nendobj" % (n, x) for n, x in objects.items()) + b"\n%%EOF"
+
+
+def stream(head, body, flate=True):
+    body = zlib.compress(body) if flate else body
+    return b"<< %s %s /Length %d >>\nstream\n%s\nendstream" % (head, b"/Filter /FlateDecode" * flate, len(body), body)
+
+
+def test_pdf_pages_fonts_and_object_streams():
+    """Pages in the order of their tree, several streams a page, fonts of their own, objects inside object streams."""
+    cmap = b"begincmap 1 beginbfchar <0001> <0048> endbfchar 2 beginbfrange <0002> <0004> <0069> <0005> <0006> [<0020> <00660066>] endbfrange endcmap"
+    packed = [(4, b"<< /Type /Page /Parent 2 0 R /Contents [8 0 R 9 0 R] >>"), (5, b"<< /Type /Page /Parent 3 0 R /Contents 10 0 R /Resources << /Font << /F1 11 0 R >> >> >>"), (3, b"<< /Type /Pages /Parent 2 0 R /Kids [5 0 R] >>")]
+    body, places = b"", []
+    for n, x in packed:
+        places.append(b"%d %d" % (n, len(body)))
+        body += x + b" "
+    index = b" ".join(places) + b" "
+    data = pdf_file({
+        1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R 4 0 R] /Count 2 >>",
+        7: stream(b"/Type /ObjStm /N 3 /First %d" % len(index), index + body),
+        8: stream(b"", b"BT /F9 12 Tf (The second page has a first stream) Tj ET"), 9: stream(b"", b"BT [(and) -250 (a \\(second\\)) -20 ( one.)] TJ ET", False),
+        10: stream(b"", b"BT /F1 9 Tf <000100020003> Tj <0005> Tj [<0004> <0006>] TJ T* ET"), 11: b"<< /Type /Font /ToUnicode 12 0 R >>", 12: stream(b"", cmap),
+    })
+    assert formats.pdf_pages(data) == ["Hij kff", "The second page has a first stream\nand a (second) one."]
+    kind, count, chars, found = formats.read_pdf(data)
+    assert (kind, count) == ("pdf", 2) and found[-1]["location"] == "Page 2" and found[-1]["page"] == 2
+
+
 def test_text_formats():
     csv = b"Name,Dept,\nAnn,IT,\n\nBob,,x\n"
     assert [t for _, t, _ in read("csv", csv)[3]] == ["Columns: Name, Dept", "Ann | IT", "Bob | x"]
