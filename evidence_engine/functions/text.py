@@ -26,6 +26,7 @@ INJECTIONS = (
     "call this url", "execute this command",
 )
 INQUIRIES = ("system prompt", "reveal prompt", "api key", "ignore instruction")
+WITHHELD = ("api_key", "key", "secret", "password", "token", "auth", "draft_text", "content")
 TOKEN = r"[a-z0-9_](?:[a-z0-9_\-$]*[a-z0-9_])?"
 GRAMS = 50
 
@@ -127,3 +128,14 @@ def safe_filename(c: Column) -> Column:
 
 def safe_id(c: Column) -> Column:
     return c.rlike("^[A-Za-z0-9_-]{1,64}$")
+
+
+def audited(fields: Column) -> Column:
+    """The fields (a map of texts) of an event that may be logged: none that are withheld, whatever the case, and none without value."""
+    return F.map_filter(fields, lambda k, v: ~F.lower(k).isin(*WITHHELD) & v.isNotNull())
+
+
+def audit_line(event: Column, fields: Column) -> Column:
+    """An event as a line of the audit log, its fields by name."""
+    shown = F.transform(F.array_sort(F.map_entries(audited(fields))), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return F.concat_ws(" ", F.concat(F.lit("[SECURITY_EVENT] type="), event), F.array_join(shown, " "))

@@ -837,6 +837,14 @@ def rate_limit(spark, sf_dir):
     return admission.admissions(events, 3, 86400.0)
 
 
+@query("""SELECT event_id, '[SECURITY_EVENT] type=' || event_type || ' user=' || user_id || CASE WHEN event_id % 3 > 0 THEN ' value=' || event_id % 7 ELSE '' END AS line FROM events""")
+def audit_lines(spark, sf_dir):
+    fields = F.create_map(
+        F.lit("user"), F.col("user_id").cast("string"), F.lit("API_Key"), F.lit("k"), F.lit("token"), F.lit("t"), F.lit("value"), F.when(F.col("event_id") % 3 > 0, (F.col("event_id") % 7).cast("string")), F.lit("content"), F.col("props")
+    )
+    return table(spark, sf_dir, "events").select("event_id", text.audit_line(F.col("event_type"), fields).alias("line"))
+
+
 # --- everything --------------------------------------------------------------------------------------------------------------
 
 
@@ -854,3 +862,25 @@ def verified_benchmark(spark, sf_dir):
     pairs, _ = verify.scored_pairs(asked.select("claim_key", "text"), chunks, config)
     found = verify.verify(asked, chunks, pairs, config)
     return found.results.select("claim_key", "claim_id", "outcome", F.round("confidence", 2).alias("confidence"), "conflict_detected", F.size("evidence").alias("n_evidence"), F.col("primary.filename").alias("primary_file"), F.col("primary.similarity").alias("similarity"))
+
+
+#: What a region's source says, x being its name and k a number, with words of its own.
+_SAYS = ("The {x} office employs {k} engineers.", "Warehouse {x} stores {k} laptops.", "School {x} teaches {k} pupils.", "Hotel {x} rents {k} rooms.", "Farm {x} grows {k} orchards.")
+
+
+@query(
+    """WITH r AS (SELECT r_regionkey AS id FROM region WHERE r_regionkey < 5)
+    SELECT 'region_' || id AS run_id, c.claim_id, c.outcome, false AS conflict_detected, CASE WHEN c.outcome <> 'UNVERIFIED' THEN 'region_' || id || '.txt' END AS primary_file
+    FROM r, (VALUES ('C001', 'SUPPORTED'), ('C002', 'REFUTED'), ('C003', 'UNVERIFIED')) AS c(claim_id, outcome)"""
+)
+def verified_regions(spark, sf_dir):
+    """Files by rule about every region, and a draft about each with a claim that is right, one with a wrong number and one about
+    nothing: the way in for files and drafts, whole."""
+    rows = table(spark, sf_dir, "region").where("r_regionkey < 5").select(F.concat(F.lit("region_"), F.col("r_regionkey").cast("string")).alias("run_id"), F.col("r_regionkey").cast("int").alias("i"), "r_name")
+    said = lambda k: F.replace(F.replace(F.get(F.array(*[F.lit(x) for x in _SAYS]), F.col("i")), F.lit("{x}"), F.col("r_name")), F.lit("{k}"), k.cast("string"))
+    right = F.col("i") * 3 + 11
+    files = rows.select(F.concat("run_id", F.lit(".txt")).alias("filename"), said(right).cast("binary").alias("content"))
+    drafts = rows.select("run_id", F.to_json(F.array(said(right), said(right + 40), F.lit("Penguins whisper quietly."))).alias("draft"))
+    found = verify.verify_files(drafts, files).results
+    unsaid = F.col("outcome") == entailment.UNVERIFIED
+    return found.select("run_id", "claim_id", "outcome", "conflict_detected", F.when(~unsaid, F.col("primary.filename")).alias("primary_file"))

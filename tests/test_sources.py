@@ -8,6 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from evidence_engine.functions import text
 from evidence_engine.operators import claims as claim_ops
 from evidence_engine.operators import chunking, evaluation, report, retrieval, rollup, store
 from evidence_engine.plans import verify
@@ -360,3 +361,19 @@ def test_chunk_operators(spark):
     docs = spark.createDataFrame([(1, "One.\n\n  Two  \nSection 3 x\nmore")], "doc_id long, text string")
     assert [r["text"] for r in chunking.line_chunks(docs, "doc_id").orderBy("line_pos").collect()] == ["One.", "Two", "Section 3 x", "more"]
     assert [r["text"] for r in chunking.paragraphs(docs, "doc_id").orderBy("paragraph").collect()] == formats.paragraphs("One.\n\n  Two  \nSection 3 x\nmore")
+
+
+def test_demonstration(spark):
+    from evidence_engine.plans import demo
+
+    rows = verify.verify_files(*demo.package(spark)).results.orderBy("claim_pos").collect()
+    assert {r["text"]: r["outcome"] for r in rows if r["text"][0] in "ET" and "know" not in r["text"]} == {
+        "Every vessel must register with the harbour office within 7 days of its arrival.": "SUPPORTED",
+        "The mooring fee is $90 per week for vessels under 12 metres.": "REFUTED",
+        "The harbour museum sells postcards of lighthouses.": "UNVERIFIED",
+    }
+
+
+def test_withheld_fields_are_not_logged(spark):
+    fields = F.create_map(*[F.lit(x) for x in ("Password", "x", "user", "u1", "draft_text", "long", "ip", "1.2.3.4")])
+    assert spark.range(1).select(text.audit_line(F.lit("denied"), fields).alias("l")).first()["l"] == "[SECURITY_EVENT] type=denied ip=1.2.3.4 user=u1"
