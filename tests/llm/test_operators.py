@@ -342,6 +342,67 @@ def test_quality_of_held_out_documents(spark):
     assert all(again[i][0] == got[i][1] for i in got)
 
 
+def test_a_step_follows_the_gradient():
+    """One step of descent is the numerical gradient of the cross entropy, with the rates of vectors, weights and biases."""
+    ids, n = np.array([5, 900, 41_000]), np.array([2, 1, 4], np.float32)
+    vectors, out, bias = (x.astype(np.float64) for x in quality.descend([(1, ids, n)], epochs=0))
+    after = quality.descend([(1, ids, n)], epochs=1, rate=1.0)
+
+    def loss(v, o, b):
+        z = o @ (n / n.sum() @ v) + b
+        return math.log(np.exp(z).sum()) - z[1]
+
+    def gradient(k):
+        parts = [vectors[ids], out, bias]
+        grad = np.zeros(parts[k].shape)
+        for at in np.ndindex(grad.shape):
+            moved = [x.copy() for x in parts]
+            moved[k][at] += 1e-6
+            grad[at] = (loss(*moved) - loss(*parts)) / 1e-6
+        return grad
+
+    assert np.allclose(after[0][ids] - vectors[ids], -(len(ids) ** 0.5) * gradient(0), atol=1e-4)
+    assert np.allclose(after[1] - out, -gradient(1), atol=1e-4) and np.allclose(after[2] - bias, -0.1 * gradient(2), atol=1e-4)
+    untouched = np.setdiff1d(np.arange(quality.BUCKETS), ids)
+    assert np.array_equal(after[0][untouched], vectors[untouched].astype(np.float32))
+
+
+def test_features_against_brute_force():
+    def brute(text):
+        data, w = lower(text).encode(), [x.encode() for x in WORD.findall(lower(text))]
+        found = Counter(("word", x) for x in w) + Counter(("pair", *x) for x in zip(w, w[1:]))
+        found += Counter(("again", lag) for lag in (1, 2, 3) for a, b in zip(w, w[lag:]) if a == b)
+        return found + Counter((k, data[i : i + k]) for k in (3, 4, 5) for i in range(len(data) - k + 1))
+
+    texts = ["The cat the cat sat", "no no no no", "é ü", "", "ab", "A b\tC  d a"]
+    piece = next(textkit.pieces(pa.array(texts)))
+    bucket, doc = quality.features(piece)
+    for i, text in enumerate(texts):
+        own = Counter(bucket[doc == i].tolist())
+        assert sorted(own.values()) == sorted(brute(text).values())
+    shared = set(bucket[doc == 0].tolist()) & set(bucket[doc == 1].tolist())
+    assert len(shared) == len(brute(texts[0]).keys() & brute(texts[1]).keys())
+
+
+def test_quality_score_is_the_softmax_of_the_average(spark):
+    rows = [(i, prose(i, 10 + i), "en", "s", 1) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    docs = documents(spark, rows)
+    got = by_id(quality.scored(docs, labels), "score")
+    learned = [(r[0], r[1]) for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    order = {r["doc_id"]: r["o"] for r in docs.select("doc_id", F.xxhash64("doc_id").alias("o")).collect()}
+    counted = []
+    for i, text in sorted(learned, key=lambda x: order[x[0]]):
+        bucket, _ = quality.features(next(textkit.pieces(pa.array([text]))))
+        ids, n = np.unique(bucket, return_counts=True)
+        counted.append((i % 2, ids, n.astype(np.float32)))
+    vectors, out, bias = quality.descend(counted)
+    for i, text, *_ in rows:
+        bucket, _ = quality.features(next(textkit.pieces(pa.array([text]))))
+        z = out @ vectors[bucket].astype(np.float64).mean(axis=0) + bias
+        assert abs(got[i][0] - math.exp(z[1]) / np.exp(z).sum()) < 1e-4
+
+
 def test_quality_awkward(spark):
     labels = spark.createDataFrame([(0, 1), (0, 0), (2, None), (None, 1), (6, 0), (99, 1)], "doc_id long, quality int").withColumn("text", F.lit("clash"))
     rows = quality.scored(awkward(spark), labels).collect()
