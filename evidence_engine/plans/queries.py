@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from evidence_engine.functions import authority, quantities, text
 from evidence_engine.operators import chunking, claims, entailment, evaluation, model_policy, report, retrieval, rollup, similarity, store
 from evidence_engine.plans import verify
-from evidence_engine.plans.staging import cut
+from evidence_engine.plans.staging import cut, own_folder
 from evidence_engine.sources import ingest
 from evidence_engine.streaming import admission
 
@@ -288,9 +288,13 @@ def compound_split(spark, sf_dir):
     return both.select("sid", F.posexplode(claims.compound(F.col("sentence"))).alias("pos", "part"))
 
 
-@query(r"""SELECT conv_id, turn, CASE WHEN length(f) > 250 THEN left(f, 250) || '...' ELSE f END AS draft_snippet FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM conversations)""")
+@query(
+    r"""SELECT conv_id, turn, CASE WHEN length(f) > 250 THEN left(f, 250) || '...' ELSE f END AS draft_snippet, CASE WHEN length(text) <= 100 THEN text ELSE rtrim(left(text, 100), ' ') || '...' END AS truncated, left(trim(text, ' '), 1000) AS evidence_snippet
+    FROM (SELECT conv_id, turn, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM conversations)"""
+)
 def draft_snippet(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.snippet(F.col("text")).alias("draft_snippet"))
+    said = F.col("text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.snippet(said).alias("draft_snippet"), text.truncated(said).alias("truncated"), text.evidence_snippet(said).alias("evidence_snippet"))
 
 
 # --- vectors -----------------------------------------------------------------------------------------------------------------
@@ -837,6 +841,52 @@ def rate_limit(spark, sf_dir):
     return admission.admissions(events, 3, 86400.0)
 
 
+@query(
+    f"""WITH o AS (SELECT o_orderkey::VARCHAR AS id, strftime(o_orderdate, '%Y-%m-%d') AS created_at, o_orderstatus AS overall, o_orderkey FROM orders WHERE o_orderkey > (SELECT min(o_orderkey) FROM orders)),
+    l AS (SELECT l_orderkey, {_NTH_SQL} AS n, l_returnflag FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)), kept AS (SELECT * FROM l WHERE l_orderkey IN (SELECT o_orderkey FROM o)),
+    h AS (SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) AS nth FROM o), last AS (SELECT max(o_orderkey) AS k FROM o)
+    SELECT 'version' AS what, '1' AS said UNION ALL SELECT 'healthy', 'true' UNION ALL SELECT 'deleted', 'true' UNION ALL SELECT 'deleted again', 'false' UNION ALL SELECT 'saved twice', 'false' UNION ALL SELECT 'malformed', '0'
+    UNION ALL SELECT 'runs before', (count(*) + 1)::VARCHAR FROM o UNION ALL SELECT 'runs', count(*)::VARCHAR FROM o UNION ALL SELECT 'claims', count(*)::VARCHAR FROM kept UNION ALL SELECT 'evidence', count(*)::VARCHAR FROM kept UNION ALL SELECT 'certificates', count(*)::VARCHAR FROM o
+    UNION ALL SELECT 'history', string_agg(id, ',' ORDER BY nth) FROM h WHERE nth BETWEEN 4 AND 13
+    UNION ALL SELECT 'detail', k || ':' || coalesce((SELECT string_agg(n || l_returnflag, ',' ORDER BY n) FROM kept WHERE l_orderkey = k), '') FROM last UNION ALL SELECT 'certificate', '{{"run": ' || k || '}}' FROM last"""
+)
+def stored_runs(spark, sf_dir):
+    """A store with all orders as runs: two saves, a save that is refused, reading, paging and deleting."""
+    found = store.Store(spark, own_folder(spark, "store"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("run_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"), F.col("o_orderstatus").alias("overall"))
+    lines = cut(_lines(spark, sf_dir).join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").select("l_orderkey", "n", "l_returnflag"))
+    first, last = (str(x) for x in orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first())
+
+    def rows(test: str) -> dict[str, DataFrame]:
+        some, of = orders.where(test), lines.withColumnRenamed("l_orderkey", "o_orderkey").where(test).withColumn("run_id", F.col("o_orderkey").cast("string"))
+        claim = F.concat_ws("_", "run_id", F.col("n").cast("string"))
+        filled = lambda df, name, **own: df.select(*[own[c] if c in own else F.lit(None).alias(c) for c in (x.split()[0] for x in store.TABLES[name].split(", "))])
+        vc = F.concat(F.lit("vc_"), "run_id").alias("certificate_id")
+        return {
+            "runs": filled(some, "runs", id=F.col("run_id").alias("id"), certificate_id=vc, created_at=F.col("created_at"), overall=F.col("overall")),
+            "claims": filled(of, "claims", id=claim.alias("id"), run_id=F.col("run_id"), claim_index=F.col("n").alias("claim_index"), outcome=F.col("l_returnflag").alias("outcome")),
+            "evidence": filled(of, "evidence", id=F.concat(claim, F.lit("_ev1")).alias("id"), claim_id=claim.alias("claim_id"), is_primary=F.lit(True).alias("is_primary")),
+            "certificates": filled(some, "certificates", certificate_id=vc, run_id=F.col("run_id"), created_at=F.col("created_at"), overall=F.col("overall"), raw_json=F.concat(F.lit('{"run": '), "run_id", F.lit("}")).alias("raw_json")),
+        }
+
+    found.save(rows("o_orderkey % 2 = 0"))
+    found.save(rows("o_orderkey % 2 = 1"))
+    try:
+        found.save(rows(f"o_orderkey = {last}"))
+        twice = True
+    except ValueError:
+        twice = False
+    before, deleted, again = found.count(), found.delete(f"vc_{first}"), found.delete(first)
+    told = lambda x: str(x).lower() if isinstance(x, bool) else str(x)
+    detail = found.get(last).select(F.concat(F.lit(f"{last}:"), F.coalesce(F.array_join(F.transform("claims", lambda c: F.concat(c["claim_index"].cast("string"), c["outcome"])), ","), F.lit(""))).alias("said"))
+    facts = {
+        "version": found.version(), "healthy": found.healthy(), "deleted": deleted, "deleted again": again, "saved twice": twice, "malformed": found.get("x' OR 1=1").count(),
+        "runs before": before, **{name: found.table(name).count() for name in store.TABLES}, "history": ",".join(r["id"] for r in found.history(10, 3).collect()),
+        "detail": detail.first()["said"], "certificate": found.certificate(f"vc_{last}").first()["raw_json"],
+    }
+    return spark.createDataFrame([(k, told(v)) for k, v in facts.items()], "what string, said string")
+
+
 @query("""SELECT event_id, '[SECURITY_EVENT] type=' || event_type || ' user=' || user_id || CASE WHEN event_id % 3 > 0 THEN ' value=' || event_id % 7 ELSE '' END AS line FROM events""")
 def audit_lines(spark, sf_dir):
     fields = F.create_map(

@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read from the checkpoint folder from then on; a temporary folder where none is set and all run on
-    one machine, as in tests. RuntimeError on a cluster without one: executors cannot see the driver's folders."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder; a temporary one where none is set and all run on one machine, as in tests. RuntimeError on a cluster
+    without one: executors cannot see the driver's folders."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="evidence-cut-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and read from the checkpoint folder from then on."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of that name in the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
