@@ -1,7 +1,9 @@
 """The corpus pipeline: from raw documents to packed training sequences, one operator a stage.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet in the shared folder and read again as
-the next one's docs. All but the last return the columns of documents. Nulls are what the stage's operator says of them.
+the next one's docs. All but the last return the columns of documents. Nulls are what the stage's operator says of them. Rows
+that repeat a doc_id stay or go together, whatever their texts are: one rejected text rejects them all. Only the removal of
+repeats treats each text for itself, and packing packs every row.
 """
 
 from __future__ import annotations
@@ -40,10 +42,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     docs = docs.select(*COLUMNS)
     cut = substrings.deduplicated(docs, keep_text=True)
     cut = staged(cut.where("n_removed > 0 and doc_id is not null").select("doc_id", "sha", "kept_text").dropDuplicates(["doc_id", "sha"]), "cut")
+    whole, ids = docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), cut.select("doc_id").distinct()
+    # only texts of documents that lose something are moved
+    touched = substrings.with_ids(whole, ids, "left_semi").join(cut, ["doc_id", "sha"], "left")
     changed = F.col("kept_text").isNotNull()
-    whole = docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    out = whole.join(cut, ["doc_id", "sha"], "left").where(~changed | (F.trim("kept_text") != ""))
-    return out.select("doc_id", F.when(changed, F.col("kept_text")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    touched = touched.where(~changed | (F.trim("kept_text") != ""))
+    touched = touched.select("doc_id", F.coalesce("kept_text", "text").alias("text"), "lang", "source", F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    return substrings.with_ids(docs, ids, "left_anti").unionByName(touched)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
