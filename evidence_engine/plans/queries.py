@@ -149,16 +149,37 @@ def paragraph_chunks(spark, sf_dir):
     return chunking.paragraphs(policy.unionByName(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
+#: Ends of sentences as SQL can write them: the space that must follow is part of the match.
+_SENTENCE_SQL = r"""'[A-Z0-9$"''(][^.?!]*[.?!]+(?:\s|$)|\S[^.?!]*$'"""
+
+
 @query(
-    r"""WITH m AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[A-Z0-9$"''(][^.?!]*[.?!]+(?:\s|$)|\S[^.?!]*$'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 10) AS s, regexp_replace(text, '^\s+|\s+$', '', 'g') AS whole FROM documents),
-    u AS (SELECT doc_id, unnest(list_transform(CASE WHEN len(s) > 0 THEN s WHEN whole <> '' THEN [whole] ELSE [] END, lambda x, i: {'s': x, 'pos': i - 1})) AS u FROM m) SELECT doc_id, u.pos::INTEGER AS pos, u.s AS sentence FROM u"""
+    rf"""WITH m AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, {_SENTENCE_SQL}), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 10) AS s, regexp_replace(text, '^\s+|\s+$', '', 'g') AS whole FROM documents),
+    u AS (SELECT doc_id, unnest(list_transform(CASE WHEN len(s) > 0 THEN s WHEN whole <> '' THEN [whole] ELSE [] END, lambda x, i: {{'s': x, 'pos': i - 1}})) AS u FROM m) SELECT doc_id, u.pos::INTEGER AS pos, u.s AS sentence FROM u"""
 )
 def sentence_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(chunking.sentences("text")).alias("pos", "sentence"))
 
 
-@query()
+@query(
+    rf"""WITH RECURSIVE d AS (SELECT doc_id, text FROM documents), {_PARAGRAPHS_SQL},
+    pp AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp) AS k, text AS para FROM p),
+    b AS (SELECT d.doc_id, k, CASE WHEN instr(d.text, para) > 0 THEN instr(d.text, para) - 1 ELSE 0 END AS begin, length(para) AS n FROM d JOIN pp ON pp.doc_id = d.doc_id AND k = 1
+      UNION ALL SELECT b.doc_id, pp.k, CASE WHEN instr(substr(d.text, b.begin + b.n + 2), para) > 0 THEN b.begin + b.n + instr(substr(d.text, b.begin + b.n + 2), para) ELSE b.begin + b.n + 1 END, length(para)
+        FROM b JOIN pp ON pp.doc_id = b.doc_id AND pp.k = b.k + 1 JOIN d ON d.doc_id = b.doc_id),
+    s AS (SELECT doc_id, k, para, list_transform(regexp_extract_all(para, {_SENTENCE_SQL}), lambda x: CASE WHEN regexp_matches(x, '[.?!]\s$') THEN left(x, length(x) - 1) ELSE x END) AS found FROM pp WHERE length(para) > 300),
+    f AS (SELECT doc_id, k, 0 AS i, 0::BIGINT AS at, '' AS held, 0::BIGINT AS off, []::STRUCT(t VARCHAR, o BIGINT)[] AS parts FROM s
+      UNION ALL SELECT doc_id, k, i, stop, CASE WHEN full_now THEN '' ELSE now END, CASE WHEN full_now THEN stop ELSE off END, CASE WHEN full_now THEN list_append(parts, {{'t': now, 'o': off}}) ELSE parts END
+      FROM (SELECT *, length(said) > 10 AND length(now) >= 300 AS full_now FROM (SELECT *, CASE WHEN length(said) <= 10 THEN held WHEN held = '' THEN said ELSE held || ' ' || said END AS now
+        FROM (SELECT f.doc_id, f.k, f.i + 1 AS i, f.held, f.off, f.parts, trim(found[f.i + 1], ' ') AS said, f.at + instr(substr(para, f.at + 1), found[f.i + 1]) - 1 + length(found[f.i + 1]) AS stop
+          FROM f JOIN s ON s.doc_id = f.doc_id AND s.k = f.k AND f.i < len(found))))),
+    packed AS (SELECT f.doc_id, f.k, CASE WHEN held <> '' THEN list_append(parts, {{'t': held, 'o': off}}) WHEN len(parts) = 0 THEN [{{'t': para, 'o': 0::BIGINT}}] ELSE parts END AS parts FROM f JOIN s ON s.doc_id = f.doc_id AND s.k = f.k AND f.i = len(found)
+      UNION ALL SELECT doc_id, k, [{{'t': para, 'o': 0::BIGINT}}] FROM pp WHERE length(para) <= 300),
+    u AS (SELECT packed.doc_id, packed.k, b.begin, unnest(list_transform(parts, lambda x, i: {{'t': x.t, 'o': x.o, 'i': i}})) AS u FROM packed JOIN b ON b.doc_id = packed.doc_id AND b.k = packed.k)
+    SELECT doc_id, (row_number() OVER w - 1)::INTEGER AS chunk_pos, doc_id || '-P1-C' || CASE WHEN row_number() OVER w < 1000 THEN lpad((row_number() OVER w)::VARCHAR, 3, '0') ELSE (row_number() OVER w)::VARCHAR END AS chunk_id, u.t AS text, (begin + u.o)::INTEGER AS begin, (begin + u.o + length(u.t))::INTEGER AS "end"
+    FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY k, u.i)"""
+)
 def greedy_chunks(spark, sf_dir):
     return chunking.prose_chunks(table(spark, sf_dir, "documents"), "doc_id")
 
