@@ -32,7 +32,8 @@ def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.capture_index(_table(spark, sf_dir, "pages"))
+    """The digest of every record that the index holds; places in archives differ from run to run."""
+    return warc.capture_index(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +73,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_harmonic_packing": op10_harmonic_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Every 50-byte string by its hexadecimal digits, the smallest document that has it, runs of what later ones have, what is left.
+_REPEATS = """WITH t AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h FROM documents),
+    w AS (SELECT doc_id, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i, h FROM t),
+    x AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM w),
+    first AS (SELECT s, min(doc_id) AS least, max(doc_id) AS last FROM x GROUP BY s HAVING min(doc_id) < max(doc_id)),
+    hit AS (SELECT x.doc_id, x.i FROM x JOIN first USING (s) WHERE x.doc_id > least),
+    g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+    r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+    spans AS (SELECT doc_id, run, min(i) AS lo, max(i) + 50 AS hi FROM r GROUP BY doc_id, run),
+    gaps AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM spans),
+    cut AS (SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS kept FROM gaps JOIN t USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM t LEFT JOIN cut USING (doc_id)"""
+
+#: Sets of four words, pairs that share some, links, and whatever can be reached.
+_CLASSES = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+    link AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+    reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+    c AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, least(doc_id, coalesce(least, doc_id)) = doc_id AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op2_suffix_array": _REPEATS, "op8_hyperminhash": _CLASSES}

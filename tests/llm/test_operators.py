@@ -219,6 +219,23 @@ def test_capture_index_round_trip(spark):
     assert ordered == sorted(ordered)
 
 
+#: Payloads by their hash; base 32 from its bits, five at a time.
+CAPTURES = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, unhex(sha1(html))::BIT::VARCHAR AS bits FROM p),
+    c AS (SELECT *, max(page_id) OVER (PARTITION BY bits) AS last, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + list_sum(list_transform(range(0, 5), lambda j: substr(bits, (5 * k + j + 1)::BIGINT, 1)::INTEGER * (16 >> j))))::BIGINT, 1)), '') AS payload_digest FROM d)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM c"""
+
+
+def test_capture_index_equals_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    html = ["<p>one</p>", "<p>two</p>", "", None, "é🙂"]
+    rows = [(i, f"http://b{i % 3}.example.com/{i}", html[i % 5] if i % 4 else f"<b>{i}</b>") for i in range(80)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert {tuple(r) for r in warc.capture_index(pages(spark, rows)).select(names).collect()} == set(con.execute(CAPTURES).fetchall())
+
+
 def test_least_bytes_and_awkward_pages(spark):
     rows = [(1, "http://a.com/", "x" * 40), (2, "http://a.com/", "x" * 40), (3, None, "y"), (4, "not a url\nwith a line", "y"), (None, "http://[bad", "z"), (5, "http://a.com/", None), (5, "http://a.com/", None)]
     clash = pages(spark, rows).withColumn("refers_to", F.lit("c")).withColumn("n", F.lit(1)).withColumn("path", F.lit("p"))
