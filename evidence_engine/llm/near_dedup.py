@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import columns, join_by_hot_key, release, staged
+from .common import columns, discard, join_by_hot_key, release, staged
 from .graph import components
 
 REGISTERS = 128
@@ -252,7 +252,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
 
     star = staged(likely(buckets.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), sets, percent / 100), "stars")
     ids = lambda p: p.select(F.col("a").alias("id")).union(p.select("b")).distinct()
-    links = staged(verified(star, staged(texts_of(docs, ids(star)), "texts"), size, percent).distinct(), "links")
+    texts = staged(texts_of(docs, ids(star)), "texts")
+    links = staged(verified(star, texts, size, percent).distinct(), "links")
+    discard(texts)
     found = components(links)
 
     # the rest: members of buckets that hold several components
@@ -262,7 +264,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     members = staged(placed.join(mixed, "key", "left_semi").select("doc_id", "own").distinct(), "members")
     rest = sharing_rare(docs, members, size, percent).join(star.select("a", "b"), ["a", "b"], "left_anti")
     rest = staged(likely(rest, sets, percent / 100), "rest")
-    more = staged(verified(rest, staged(texts_of(docs, ids(rest)), "texts"), size, percent).distinct(), "links")
+    texts = staged(texts_of(docs, ids(rest)), "texts")
+    more = staged(verified(rest, texts, size, percent).distinct(), "links")
+    discard(texts, members, buckets)
     if not more.isEmpty():
         found = components(links.union(more))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import columns, release, staged
+from .common import columns, discard, release, staged
 from .induced import Sorter
 
 LENGTH = 50
@@ -554,8 +554,10 @@ def deduplicated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     back = staged(repeated(fingerprints(one, slots), slots, parts), "back")
     some = with_ids(one, back.select("doc_id"), "left_semi").join(back, "doc_id").select("doc_id", "text", "keys", "begin")
     hits = staged(sorted_shards(segments(some, slots), slots, parts), "hits")
+    discard(first)
     cut = with_ids(one, hits.select("doc_id"), "left_semi").join(hits, "doc_id").select("doc_id", "sha", "text", "begin", "lows", "highs")
     cut = staged(remove(cut, keep_text).dropDuplicates(["doc_id", "sha"]), "cut")
+    discard(back, hits)
 
     nothing = hashlib.sha256(b"").hexdigest()
     gone = copies.select("doc_id", "sha", F.lit(True).alias("copy"))
