@@ -170,7 +170,11 @@ def quantities(text: Column | str) -> Column:
     """All quantities of a text as SCHEMA: the dates first, then the amounts, each in order. Offsets are those of the text
     without thousands commas."""
     plain = F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"(\d),(\d)", "$1$2")
-    return let(plain, lambda s: let(dates(s), lambda d: F.concat(d, amounts(s, d)))).cast(SCHEMA)
+    none, digit = F.array().cast(SCHEMA), lambda s: s.rlike(r"(?U)\d")
+    # most texts have no number at all, and no date is without digits
+    number = lambda s: digit(s) | s.rlike(r"(?iU)\b(?:" + "|".join(NUMBERS) + r")\b")
+    found = lambda s: let(F.when(digit(s), dates(s).cast(SCHEMA)).otherwise(none), lambda d: F.concat(d, amounts(s, d).cast(SCHEMA)))
+    return let(plain, lambda s: F.when(number(s), found(s)).otherwise(none))
 
 
 def display(q: Column) -> Column:

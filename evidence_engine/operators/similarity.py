@@ -57,15 +57,18 @@ def norms(weighted: DataFrame, key: str) -> DataFrame:
 def cosines(claims: DataFrame, chunks: DataFrame, claim: str, chunk: str) -> DataFrame:
     """(claim, chunk, similarity) of all pairs that share a term, from weights of either side: an equi-join on the term. Of the
     chunks only the claims' terms go into the join."""
-    a = claims.select(claim, "term", F.col("weight").alias("w1"))
-    b = chunks.select(chunk, "term", F.col("weight").alias("w2"))
+    length = lambda n: F.when(F.col(n) > 1e-6, F.col(n)).otherwise(1.0)
+    dot = F.sum((F.col("w1") * F.col("w2")).cast("decimal(28,9)")).alias("dot")
+    a = claims.join(norms(claims, claim).withColumnRenamed("norm", "n1"), claim).select(claim, "term", F.col("weight").alias("w1"), "n1")
     asked = claims.select("term").distinct()
     if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        b = b.join(F.broadcast(asked), "term", "left_semi")
-    dots = a.join(b, "term").groupBy(claim, chunk).agg(F.sum((F.col("w1") * F.col("w2")).cast("decimal(28,9)")).alias("dot"))
-    na, nb = norms(claims, claim).withColumnRenamed("norm", "n1"), norms(chunks, chunk).withColumnRenamed("norm", "n2")
-    both = dots.join(na, claim).join(nb, chunk)
-    length = lambda n: F.when(F.col(n) > 1e-6, F.col(n)).otherwise(1.0)
+        # a chunk's norm and its part in the products come from one pass over its terms
+        square = (F.col("weight") * F.col("weight")).cast("decimal(28,9)")
+        marked = chunks.join(F.broadcast(asked.withColumn("_asked", F.lit(True))), "term", "left").groupBy(chunk).agg(F.sqrt(F.sum(square).cast("double")).alias("n2"), F.collect_list(F.when(F.col("_asked"), F.struct("term", F.col("weight").alias("w2")))).alias("_terms"))
+        b = marked.select(chunk, "n2", F.explode("_terms").alias("_t")).select(chunk, "n2", "_t.term", "_t.w2")
+    else:
+        b = chunks.select(chunk, "term", F.col("weight").alias("w2")).join(norms(chunks, chunk).withColumnRenamed("norm", "n2"), chunk)
+    both = a.join(b, "term").groupBy(claim, chunk, "n1", "n2").agg(dot)
     return both.select(claim, chunk, F.round(F.col("dot").cast("double") / (length("n1") * length("n2")), 9).alias("similarity"))
 
 
