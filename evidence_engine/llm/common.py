@@ -63,13 +63,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Removes work tables that nothing reads any more, and has the driver let go of what it holds of plans that have ended: files
-    of their shuffles are removed with them."""
+    """Removes work tables that nothing reads any more."""
     for df in tables:
         drop_path(df.sparkSession, df.work_path)
-    for df in tables[:1]:
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
