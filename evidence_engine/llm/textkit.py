@@ -138,3 +138,14 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
         h = np.where(there, w.hash[np.minimum(at + j, len(w.hash) - 1)], U64(0))
         out = mix(out * U64(0xD6E8FEB86659FD93) + h + U64(j + 1) * there)
     return out, first
+
+
+def spelled(piece: Piece, w: Words, fold: np.ndarray | None = None) -> pa.Array:
+    """The piece's words themselves, as an Arrow column; w has to come from words() with the same fold."""
+    buf = piece.buf if fold is None else fold[piece.buf]
+    edge = np.zeros(len(buf) + 1, np.int8)
+    edge[w.start] += 1
+    edge[w.end] -= 1
+    data = buf[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
+    offsets = np.concatenate([[0], np.cumsum(w.end - w.start)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_utf8(), len(w.start), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
