@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidence_engine.operators import keywords
+
 CLASSES = ("SUPPORTED", "REFUTED", "UNVERIFIED")
 
 
@@ -52,20 +54,13 @@ def hits(cases: DataFrame, retrieved: DataFrame, case: str) -> DataFrame:
 
 
 def hits_anywhere(cases: DataFrame, texts: DataFrame, case: str) -> DataFrame:
-    """(case, hit) of cases (case, keywords) that have keywords: whether any of them stands in any of the texts (text). A keyword
-    of four words or more is looked up by the two words after its first, which stand whole wherever it stands: an equi-join of
-    word pairs; shorter ones by comparing every text with each of their distinct values."""
-    wanted = cases.where(F.size("keywords") > 0).select(case, F.explode("keywords").alias("k")).withColumn("k", F.lower("k"))
-    words = F.split("k", " ")
-    inner = wanted.where(F.size(words) >= 4).select(case, "k", F.concat_ws(" ", words[1], words[2]).alias("pair"))
-    lowered = texts.select(F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    split = F.split("text", " ")
-    near = F.transform(F.sequence(F.lit(1), F.size(split) - 1), lambda i: F.concat_ws(" ", F.get(split, i - 1), F.get(split, i)))
-    paired = lowered.where(F.size(split) > 1).select("text", F.explode(F.array_distinct(near)).alias("pair"))
-    found = paired.join(inner.select("pair", "k").distinct(), "pair").where(F.contains("text", F.col("k"))).select("k").distinct()
-    short = wanted.where(F.size(words) < 4).select("k").distinct()
-    found = found.unionByName(short.join(lowered, F.contains("text", F.col("k")), "left_semi"))
-    marked = wanted.join(found.withColumn("hit", F.lit(True)), "k", "left")
+    """(case, hit) of cases (case, keywords) that have keywords: whether any of them stands in any of the texts (text), in either
+    case of letters. All keywords are searched for in one pass over the texts. An empty keyword stands in every text."""
+    wanted = cases.where(F.size("keywords") > 0).select(case, F.explode("keywords").alias("keyword")).withColumn("keyword", F.lower("keyword"))
+    lowered = texts.select(F.lower("text").alias("text"))
+    found = keywords.present(lowered, wanted.select("keyword"))
+    anything = texts.select(F.lit("").alias("keyword")).limit(1)
+    marked = wanted.join(found.unionByName(anything).withColumn("hit", F.lit(True)), "keyword", "left")
     return marked.groupBy(case).agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("hit"))
 
 

@@ -10,10 +10,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidence_engine.functions import text
+from evidence_engine.operators import inverted
+from evidence_engine.plans.staging import cut
 
 WEIGHT = "decimal(18,9)"
 #: Terms with their idf that are broadcast, at most (about 50 MB); a larger vocabulary meets the counts in a shuffle.
@@ -27,9 +30,8 @@ def decimal(c: Column) -> Column:
 
 
 def term_counts(texts: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """(key, term, tf) of texts (key, column). The texts are dealt by key, so that neither these counts nor sums of them by key
-    move a row for each term."""
-    return texts.select(key, column).repartition(F.col(key)).select(key, F.explode(text.terms(F.col(column))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf) of texts (key, column). Terms are counted where a text is; rows of one key add up."""
+    return texts.select(key, F.explode(text.terms(F.col(column))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(texts: DataFrame, column: str = "text") -> DataFrame:
@@ -49,6 +51,37 @@ def weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return counts.join(F.broadcast(idf) if few else idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).cast(WEIGHT).alias("weight"))
 
 
+def vocabulary(idf: DataFrame) -> Broadcast | None:
+    """The terms of idf (term, idf) with their idf, sent to all executors; None if there are more than BROADCAST_TERMS. idf should
+    be computed already: its size is looked at."""
+    if idf.limit(BROADCAST_TERMS + 1).count() > BROADCAST_TERMS:
+        return None
+    known = idf.select("term", F.col("idf").cast("double").alias("idf")).toArrow()
+    return idf.sparkSession.sparkContext.broadcast(inverted.Vocabulary(known.column("term").combine_chunks(), known.column("idf").to_numpy()))
+
+
+def all_cosines(claims: DataFrame, chunks: DataFrame, claim: str, chunk: str) -> DataFrame:
+    """(claim, chunk, similarity) of all pairs that share a term, from texts (key, text) of either side; idf is that of the
+    chunks. Chunks are indexed where they are, a batch at a time, so nothing but document frequencies is shuffled; claims are
+    the query side, all of which go to every task. With more terms than a task can know, weights meet in a join."""
+    idf = cut(inverse_frequencies(document_frequencies(chunks), chunks.count()))
+    known = vocabulary(idf)
+    if known is None:
+        return cosines(weights(term_counts(claims, claim), idf, claim), weights(term_counts(chunks, chunk), idf, chunk), claim, chunk)
+    rows = claims.select(claim, text.terms(F.col("text")).alias("terms")).collect()
+    keys, lists = [r[claim] for r in rows], [list(r["terms"] or []) for r in rows]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = inverted.Claims(lists, known.value)
+        names = pa.array(keys) if keys else pa.array([], pa.int64())
+        for batch in batches:
+            row, which, near = inverted.Segment(batch.column(1), known.value, asked).reaching(np.zeros(len(keys)))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(which)), batch.column(0).take(pa.array(row)), pa.array(near)], [claim, chunk, "similarity"])
+
+    kinds = dict(claims.dtypes)[claim], dict(chunks.dtypes)[chunk]
+    return chunks.select(chunk, text.terms(F.col("text")).alias("terms")).mapInArrow(run, f"`{claim}` {kinds[0]}, `{chunk}` {kinds[1]}, similarity double")
+
+
 def norms(weighted: DataFrame, key: str) -> DataFrame:
     """(key, norm) of weights (key, term, weight)."""
     return weighted.groupBy(key).agg(F.sqrt(F.sum((F.col("weight") * F.col("weight")).cast("decimal(28,9)")).cast("double")).alias("norm"))

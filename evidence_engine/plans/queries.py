@@ -361,8 +361,8 @@ def tfidf_norms(spark, sf_dir):
     SELECT item_id, doc_id, round(dot / (nb.n * nd.n), 4) AS similarity FROM s JOIN nd USING (doc_id) JOIN nb USING (item_id)"""
 )
 def tfidf_cosine(spark, sf_dir):
-    items, docs = _weights(spark, sf_dir)
-    return similarity.cosines(items, docs, "item_id", "doc_id").withColumn("similarity", F.round("similarity", 4))
+    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    return similarity.all_cosines(items, docs, "item_id", "doc_id").withColumn("similarity", F.round("similarity", 4))
 
 
 _DENSE_SQL = """c AS (SELECT vec_id AS claim_key, embedding::DOUBLE[] AS cv FROM embeddings WHERE vec_id % 50 = 0), k AS (SELECT vec_id AS chunk_key, 'file_' || label AS filename, embedding::DOUBLE[] AS kv FROM embeddings),

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidence_engine.functions import text
 from evidence_engine.operators import claims as claim_ops
-from evidence_engine.operators import entailment, model_policy, retrieval, rollup, similarity
+from evidence_engine.operators import entailment, inverted, model_policy, retrieval, rollup, similarity
 from evidence_engine.plans.staging import cut
 from evidence_engine.sources import ingest
 
@@ -73,13 +75,20 @@ def sparse_pairs(claims: DataFrame, chunks: DataFrame, claim: str = "claim_key",
 
 
 def candidates(claims: DataFrame, chunks: DataFrame, config: Config, claim: str = "claim_key", chunk: str = "chunk_key", source: str = "filename") -> DataFrame:
-    """The pairs of sparse_pairs() that retrieval can choose from, scored where the chunks are: an Arrow batch of chunks times a
-    block of claims, of which only each claim's best rows of every source, top_k best rows and a task's best row at all leave the
-    task. chunks has its key, text, chunk_pos, authority_weight and the source column.
+    """The pairs of sparse_pairs() that retrieval can choose from, scored where the chunks are: an Arrow batch of chunks is indexed
+    and searched for a block of claims, and only each claim's best rows of every source, top_k best rows and a task's best row at
+    all leave the task. chunks has its key, text, chunk_pos, authority_weight and the source column.
 
-    Claims are the query side: the terms of a block go to every task, and a block has about BLOCK_TERMS of them.
+    Claims are the query side: the terms of a block go to every task, and a block has about BLOCK_TERMS of them. Chunks are read
+    once for a block, in one stage; only where there are more terms than a task can know, their weights come from a shuffle.
     """
     idf = cut(similarity.inverse_frequencies(similarity.document_frequencies(chunks), chunks.count()).select("term", "idf"))
+    vocabulary = similarity.vocabulary(idf)
+    if vocabulary is not None:
+        asked = claims.select(claim, text.terms(F.col("text")).alias("terms"))
+        total = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
+        rows = chunks.select(chunk, source, "chunk_pos", F.col("authority_weight").cast("double").alias("authority_weight"), text.terms(F.col("text")).alias("terms"))
+        return blockwise(asked, -(-total // BLOCK_TERMS), claim, lambda block: _by_index(rows, vocabulary, block, config, claim, chunk, source))
     wanted = similarity.weights(similarity.term_counts(claims, claim), idf, claim).groupBy(claim).agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
     wanted = cut(wanted)
     total = wanted.agg(F.sum(F.size("terms"))).first()[0] or 0
@@ -156,78 +165,110 @@ def _by_terms(weighted: DataFrame, about: DataFrame, block: list, config: Config
         F.sqrt(F.sum(square).cast("double")).alias("norm"), F.collect_list("code").alias("codes"), F.collect_list(F.when(known, F.col("weight").cast("double"))).alias("weights")
     )
 
-    def product(batch: pd.DataFrame) -> np.ndarray:
-        norm = batch["norm"].to_numpy()
-        return entries.similarities(batch["codes"].tolist(), batch["weights"].tolist(), dense) / np.where(norm > 1e-6, norm, 1.0)[:, None]
+    def product(batch: pa.RecordBatch) -> np.ndarray:
+        norm = batch.column("norm").to_numpy()
+        codes, weights = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("codes", "weights"))
+        return entries.similarities(codes, weights, dense) / np.where(norm > 1e-6, norm, 1.0)[:, None]
 
-    return picked(about.join(marked.where(F.size("codes") > 0), chunk), entries.keys, product, block, config, claim, chunk, source)
+    return picked(about.join(marked.where(F.size("codes") > 0), chunk), entries.keys, lambda: of_products(product, len(entries.keys)), config, claim, chunk, source)
 
 
 def _by_vectors(rows: DataFrame, block: list, config: Config, claim: str, chunk: str, source: str) -> DataFrame:
     asked = similarity.unit_rows([r["vec"] for r in block])
 
-    def product(batch: pd.DataFrame) -> np.ndarray:
-        found = similarity.unit_rows(batch["vec"].tolist())
+    def product(batch: pa.RecordBatch) -> np.ndarray:
+        found = similarity.unit_rows(batch.column("vec").to_pylist())
         width = min(found.shape[1], asked.shape[1])
         return found[:, :width] @ asked[:, :width].T
 
-    return picked(rows, [r[claim] for r in block], product, block, config, claim, chunk, source)
-
-
-def picked(rows: DataFrame, keys: list, product: Callable[[pd.DataFrame], np.ndarray], block: list, config: Config, claim: str, chunk: str, source: str) -> DataFrame:
-    """What retrieval could take of the products of rows with a block of claims: of those that reach the threshold the best of
-    every source and top_k more, and a task's best at all."""
-    kinds = dict(rows.dtypes)
-    schema = f"`{claim}` {type_of(block, claim)}, `{chunk}` {kinds[chunk]}, `{source}` {kinds[source]}, chunk_pos {kinds['chunk_pos']}, authority_weight double, similarity double"
-    names = [chunk, source, "chunk_pos", "authority_weight"]
-
-    def chosen(sim: np.ndarray, score: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Places, in order of position, of one claim's rows that reach the threshold."""
-        passing = np.flatnonzero(sim >= config.threshold)
-        passing = passing[np.lexsort((passing, -sim[passing], -score[passing]))]
-        _, first = np.unique(of[passing], return_index=True)
-        return np.unique(np.concatenate([passing[first], passing[: config.top_k + len(first)]]))
-
-    def run(batches):
-        n = len(keys)
-        best = {"score": np.full(n, -np.inf), "sim": np.full(n, -np.inf), "pos": np.full(n, np.inf)}
-        row: dict[str, np.ndarray] = {c: np.empty(n, object) for c in names}
-
-        def out(which: np.ndarray, columns: dict[str, np.ndarray], sim: np.ndarray) -> pd.DataFrame:
-            return pd.DataFrame({claim: [keys[j] for j in which], **columns, "similarity": sim})
-
-        for whole in batches:
-            for lo in range(0, len(whole), max(1, CELLS // max(1, n))):
-                batch = whole.iloc[lo : lo + max(1, CELLS // max(1, n))].sort_values("chunk_pos", kind="stable")
-                boost = 0.75 + 0.25 * np.clip(batch["authority_weight"].to_numpy(), 0.5, 1.0) if config.authority_weighting else np.ones(len(batch))
-                sim = np.round(product(batch), 9)
-                score = np.round(sim * boost[:, None], 4)
-                of, cells = pd.factorize(batch[source])[0], {c: batch[c].to_numpy() for c in names}
-                # the best at all: by score, similarity, position
-                top = score.max(axis=0)
-                near = np.where(score == top, sim, -np.inf)
-                at = near.argmax(axis=0)
-                high, pos = near.max(axis=0), cells["chunk_pos"][at]
-                new = (top > best["score"]) | (top == best["score"]) & ((high > best["sim"]) | (high == best["sim"]) & (pos < best["pos"]))
-                best = {k: np.where(new, x, best[k]) for k, x in (("score", top), ("sim", high), ("pos", pos))}
-                for c in names:
-                    row[c][new] = cells[c][at[new]]
-                asked = np.flatnonzero((sim >= config.threshold).any(axis=0))
-                if len(asked):
-                    places = [chosen(sim[:, j], score[:, j], of) for j in asked]
-                    at, which = np.concatenate(places), np.repeat(asked, [len(p) for p in places])
-                    keep = sim[at, which] > 0
-                    yield out(which[keep], {c: cells[c][at[keep]] for c in names}, sim[at[keep], which[keep]])
+    return picked(rows, [r[claim] for r in block], lambda: of_products(product, len(block)), config, claim, chunk, source)
+
+
+def _by_index(rows: DataFrame, vocabulary: Broadcast, block: list, config: Config, claim: str, chunk: str, source: str) -> DataFrame:
+    lists = [list(r["terms"] or []) for r in block]
+
+    def search() -> Callable[[pa.RecordBatch, np.ndarray], tuple]:
+        asked = inverted.Claims(lists, vocabulary.value)
+        return lambda batch, bound: inverted.Segment(batch.column("terms"), vocabulary.value, asked).reaching(bound)
+
+    return picked(rows, [r[claim] for r in block], search, config, claim, chunk, source)
+
+
+def of_products(product: Callable[[pa.RecordBatch], np.ndarray], n: int) -> Callable[[pa.RecordBatch, np.ndarray], tuple]:
+    """A search (see picked) by a function that multiplies the rows of a batch with all n claims."""
+
+    def search(batch: pa.RecordBatch, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        step, out = max(1, CELLS // max(1, n)), []
+        for lo in range(0, batch.num_rows, step):
+            found = np.round(product(batch.slice(lo, step)), 9)
+            row, which = np.nonzero((found > 0) & (found >= bound))
+            out.append((row + lo, which, found[row, which]))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    return search
+
+
+def firsts(*keys: np.ndarray) -> np.ndarray:
+    """Which rows of sorted keys differ from the row before."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return new
+
+
+def picked(rows: DataFrame, keys: list, search: Callable[[], Callable], config: Config, claim: str, chunk: str, source: str) -> DataFrame:
+    """What retrieval could take of rows for a block of claims: of those that reach the threshold the best of every source and
+    top_k more, and a task's best at all. search makes, in a task, the function that gives (row, claim, similarity) of a batch for
+    all pairs above 0 that reach the bound of their claim."""
+    kinds, names = dict(rows.dtypes), [chunk, source, "chunk_pos", "authority_weight"]
+    kind = "string" if not keys or isinstance(keys[0], str) else "long"
+    schema = f"`{claim}` {kind}, `{chunk}` {kinds[chunk]}, `{source}` {kinds[source]}, chunk_pos {kinds['chunk_pos']}, authority_weight double, similarity double"
+    of_key = pa.string() if kind == "string" else pa.int64()
+
+    def out(which: np.ndarray, columns: list, sim: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([keys[j] for j in which], of_key), *columns, pa.array(sim, pa.float64())], [claim, *names, "similarity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, found, types = len(keys), search(), []
+        score_of, sim_of, pos_of = np.full(n, -np.inf), np.full(n, -np.inf), np.full(n, np.inf)
+        best: list[list] = [[None] * n for _ in names]
+        passed = np.zeros(n, bool)
+        for batch in batches:
+            types = [batch.column(c).type for c in names]
+            # a row counts if it reaches the threshold, or, while no row has, the best score so far (of four digits)
+            bound = np.where(passed, config.threshold, np.minimum(config.threshold, score_of - 1e-4))
+            row, which, sim = found(batch, bound)
+            weight = batch.column("authority_weight").to_numpy(zero_copy_only=False).astype(float)
+            boost = 0.75 + 0.25 * np.clip(weight, 0.5, 1.0) if config.authority_weighting else np.ones(batch.num_rows)
+            score, pos = np.round(sim * boost[row], 4), batch.column("chunk_pos").to_numpy(zero_copy_only=False)[row]
+            by = np.lexsort((pos, -sim, -score, which))
+            row, which, sim, score, pos = row[by], which[by], sim[by], score[by], pos[by]
+            # the best at all: by score, similarity, position
+            top = np.flatnonzero(firsts(which)) if len(which) else np.zeros(0, np.int64)
+            j = which[top]
+            better = (score[top] > score_of[j]) | (score[top] == score_of[j]) & ((sim[top] > sim_of[j]) | (sim[top] == sim_of[j]) & (pos[top] < pos_of[j]))
+            top, j = top[better], j[better]
+            score_of[j], sim_of[j], pos_of[j] = score[top], sim[top], pos[top]
+            for i, c in enumerate(names):
+                for k, v in zip(j, batch.column(c).take(pa.array(row[top])).to_pylist()):
+                    best[i][k] = v
+            # those that reach the threshold
+            high = sim >= config.threshold
+            row, which, sim = row[high], which[high], sim[high]
+            if len(row):
+                passed[which] = True
+                of = np.asarray(batch.column(source).dictionary_encode().indices.fill_null(-1))[row]
+                nth = np.arange(len(which)) - np.maximum.accumulate(np.where(firsts(which), np.arange(len(which)), 0))
+                by = np.lexsort((nth, of, which))
+                own = np.zeros(len(which), bool)
+                own[by] = firsts(which[by], of[by])
+                keep = own | (nth < config.top_k + np.bincount(which, own, n)[which])
+                yield out(which[keep], [batch.column(c).take(pa.array(row[keep])) for c in names], sim[keep])
         # those that reach the threshold have left already
-        which = np.flatnonzero((best["sim"] > 0) & (best["sim"] < config.threshold))
-        if len(which):
-            yield out(which, {c: row[c][which] for c in names}, best["sim"][which])
+        alone = np.flatnonzero((sim_of > 0) & (sim_of < config.threshold) & ~passed)
+        if len(alone):
+            yield out(alone, [pa.array([values[j] for j in alone], t) for values, t in zip(best, types)], sim_of[alone])
 
-    return rows.mapInPandas(run, schema)
-
-
-def type_of(block: list, column: str) -> str:
-    return "string" if not block or isinstance(block[0][column], str) else "long"
+    return rows.mapInArrow(run, schema)
 
 
 def with_model(results: DataFrame, model: Callable[[list[str]], list[str | None]]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evidence_engine.functions import text
 from evidence_engine.operators import claims as claim_ops
-from evidence_engine.operators import chunking, evaluation, report, retrieval, rollup, store
+from evidence_engine.operators import chunking, evaluation, report, retrieval, rollup, similarity, store
 from evidence_engine.plans import verify
 from evidence_engine.sources import formats, ingest
 from evidence_engine.streaming import admission
@@ -191,6 +191,7 @@ def test_blocks_of_claims_and_sparse_products(spark, monkeypatch):
     plain = pick(verify.candidates(claims, chunks, verify.Config()))
     monkeypatch.setattr(verify, "MATRIX_CELLS", 0)
     monkeypatch.setattr(verify, "BLOCK_TERMS", 100)
+    monkeypatch.setattr(similarity, "BROADCAST_TERMS", 0)  # weights by a shuffle
     assert pick(verify.candidates(claims, chunks, verify.Config())) == plain and len(plain) > 9
 
 
