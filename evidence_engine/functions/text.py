@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -126,8 +127,22 @@ def safe_filename(c: Column) -> Column:
     return F.when(F.coalesce(F.trim(c), F.lit("")) == "", "unnamed_document.txt").when(name == "", "unnamed_document.txt").otherwise(name)
 
 
+SAFE_ID = "[A-Za-z0-9_-]{1,64}"
+
+
 def safe_id(c: Column) -> Column:
-    return c.rlike("^[A-Za-z0-9_-]{1,64}$")
+    return c.rlike(f"^{SAFE_ID}$")
+
+
+def is_safe_id(s: str) -> bool:
+    return re.fullmatch(SAFE_ID, s) is not None
+
+
+def inside(base: str, c: Column) -> Column:
+    """The place below a base folder that a user's file name stands for; null if it would lie outside: names with empty or dot
+    parts after cleaning have none."""
+    name = safe_filename(c)
+    return F.when(name.isin("", ".", "..") | F.contains(name, F.lit("/")) | F.contains(name, F.lit("\\")), F.lit(None)).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), name))
 
 
 def audited(fields: Column) -> Column:

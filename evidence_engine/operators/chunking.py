@@ -15,10 +15,11 @@ NUMBERED = r"(?i)^(?:section\s+\d+|[0-9]+[.)]|rule\s+\d+|article\s+\d+)"
 
 
 def line_chunks(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """One passage for every line with text: (key, line_pos, chunk_id, text); ids count the passages of a document."""
-    lines = docs.select(key, F.posexplode(F.split(column, "\n")).alias("line_pos", "text")).withColumn("text", F.trim("text")).where("text <> ''")
-    nth = F.row_number().over(Window.partitionBy(key).orderBy("line_pos"))
-    return lines.select(key, "line_pos", F.format_string("%d-P1-C%03d", F.col(key), nth).alias("chunk_id"), "text")
+    """One passage for every line with text: (key, line_pos, chunk_id, text); ids count the passages of a row's text. Lines are
+    numbered where the text is, so no line is moved."""
+    lines = F.transform(F.split(column, "\n"), lambda x, i: F.struct(i.alias("line_pos"), F.trim(x).alias("text")))
+    filled = docs.select(key, F.posexplode(F.filter(lines, lambda x: x["text"] != "")).alias("_nth", "_line"))
+    return filled.select(key, "_line.line_pos", F.format_string("%d-P1-C%03d", F.col(key), F.col("_nth") + 1).alias("chunk_id"), "_line.text")
 
 
 def paragraphs(docs: DataFrame, key: str, column: str = "text") -> DataFrame:

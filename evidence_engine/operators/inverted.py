@@ -119,17 +119,27 @@ class Segment:
         upto = total - before[claim - lo]
         leading = (upto + SLACK >= bound[claim]) & (could > 0)
         spare = np.bincount(claim[~leading] - lo, could[~leading], hi - lo)
-        at, which = expanded(self.of_term, term[leading])
-        cell = (claim[leading][which] - lo) * self.rows + self.list_row[at]
-        part = np.bincount(cell, weight[leading][which] * self.list_weight[at], (hi - lo) * self.rows)
+        part = self._summed(lo, hi, claim[leading], term[leading], weight[leading])
         found = np.flatnonzero(part)
         found = found[part[found] + spare[found // self.rows] + SLACK >= bound[lo + found // self.rows]]
-        # whole products of what is left, from the passages' own terms
         row, of = found % self.rows, lo + found // self.rows
-        at, which = expanded(self.of_row, row)
-        key = of[which] * max(1, len(c.known)) + self.term[at]
-        place = np.minimum(np.searchsorted(c.key, key), len(c.key) - 1)
-        both = c.key[place] == key if len(c.key) else np.zeros(0, bool)
-        similarity = np.round(np.bincount(which[both], self.weight[at[both]] * c.weight[place[both]], len(found)), 9)
+        # the rest of their products: from the lists not yet read, or from the passages' own terms, whichever are fewer
+        rest = ~leading & (could > 0)
+        lists, own = np.diff(self.of_term)[term[rest]].sum(), np.diff(self.of_row)[row].sum()
+        if lists <= own:
+            more = self._summed(lo, hi, claim[rest], term[rest], weight[rest])
+            similarity = np.round(part[found] + (more[found] if len(more) else 0.0), 9)
+        else:
+            at, which = expanded(self.of_row, row)
+            key = of[which] * max(1, len(c.known)) + self.term[at]
+            place = np.minimum(np.searchsorted(c.key, key), len(c.key) - 1)
+            both = c.key[place] == key if len(c.key) else np.zeros(0, bool)
+            similarity = np.round(np.bincount(which[both], self.weight[at[both]] * c.weight[place[both]], len(found)), 9)
         keep = (similarity > 0) & (similarity >= bound[of])
         return row[keep], of[keep], similarity[keep]
+
+    def _summed(self, lo: int, hi: int, claim: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Sums over the lists of the terms, for each claim from lo to hi - 1 and passage."""
+        at, which = expanded(self.of_term, term)
+        cell = ((claim - lo) * self.rows)[which] + self.list_row[at]
+        return np.bincount(cell, weight[which] * self.list_weight[at], (hi - lo) * self.rows)

@@ -1,13 +1,20 @@
 """The relational store: runs, claims, evidence and certificates as Parquet tables that are published together.
 
-A save writes a directory of its own below the store; a marker file, written last, makes it visible, so a run is there with all
-its rows or not at all. Deletes write the marker's counterpart. Tables are the union of the visible directories.
+A store is a row of snapshots. Each write puts its rows into a part (a folder with the four tables) that nobody reads yet, and then
+publishes the next version: a manifest that names the parts of that version, moved to its place in one atomic step that fails if
+somebody else was there first. Readers take the parts of one version, so they see all of a write or nothing of it, and what they
+opened stays as it is until vacuum() removes the parts that no manifest names any more. A run's rows of all tables are in one
+part, so a delete writes anew only the part that holds the run.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+import zlib
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,61 +72,174 @@ def detail(tables: dict[str, DataFrame], run: Column) -> DataFrame:
     return runs.join(nested, runs["id"] == nested["run_id"], "left").drop("run_id").join(raw, runs["id"] == raw["run_id"], "left").drop("run_id")
 
 
+class Conflict(RuntimeError):
+    """Others published versions faster than this writer could."""
+
+
 class Store:
     """Tables below a path that every node reaches."""
 
+    #: How often a write is tried again on top of versions that others published meanwhile.
+    TRIES = 10
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.path).getFileSystem(conf)
+        self._context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.path).toUri(), conf)
 
     def create(self) -> None:
         """Makes the store and records the layout's version; does nothing where both are there."""
-        self._fs.mkdirs(self._path(f"{self.path}/_visible"))
-        self._mark(f"_version-{SCHEMA_VERSION}")
+        self._fs.mkdirs(self._path(f"{self.path}/manifests"))
+        if not self._fs.exists(self._path(f"{self.path}/_version-{SCHEMA_VERSION}")):
+            self._fs.create(self._path(f"{self.path}/_version-{SCHEMA_VERSION}"), True).close()
 
     def version(self) -> int:
+        """The version of the layout."""
         return max((int(n.rpartition("-")[2]) for n in self._names("") if n.startswith("_version-")), default=0)
 
     def _names(self, below: str) -> list[str]:
         at = self._path(f"{self.path}/{below}")
         return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
 
-    def _mark(self, name: str) -> None:
-        self._fs.create(self._path(f"{self.path}/{name}"), True).close()
+    # --- snapshots
 
-    def table(self, name: str) -> DataFrame:
-        parts = [f"{self.path}/parts/{p}/{name}" for p in self._names("_visible")]
-        parts = [p for p in parts if self._fs.exists(self._path(p))]
-        return self.spark.read.schema(TABLES[name]).parquet(*parts) if parts else self.spark.createDataFrame([], TABLES[name])
+    def versions(self) -> list[int]:
+        """The versions that are there, ascending."""
+        return sorted(int(n[1:-5]) for n in self._names("manifests") if n.startswith("v") and n.endswith(".json"))
+
+    def parts(self, version: int | None = None) -> list[str]:
+        """The parts of a version, of the last one if none is named."""
+        known = self.versions()
+        if not known and version is None:
+            return []
+        at = self._path(f"{self.path}/manifests/v{known[-1] if version is None else version:010d}.json")
+        stream = self._fs.open(at)
+        try:
+            return json.loads(bytes(stream.readAllBytes()))["parts"]
+        finally:
+            stream.close()
+
+    def _publish(self, version: int, parts: list[str]) -> bool:
+        """Makes the parts the given version; whether nobody had published it before."""
+        draft = self._path(f"{self.path}/manifests/_{uuid.uuid4().hex}")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(json.dumps({"parts": parts}).encode()))
+        out.close()
+        none = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+        try:
+            self._context.rename(draft, self._path(f"{self.path}/manifests/v{version:010d}.json"), none)
+            return True
+        except Py4JJavaError as e:
+            self._fs.delete(draft, False)
+            if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+                return False
+            raise
 
-    def tables(self) -> dict[str, DataFrame]:
-        return {name: self.table(name) for name in TABLES}
+    def _changed(self, change: Callable[[list[str]], tuple[list[str], list[str]] | None], again: bool = True) -> bool:
+        """Publishes what change makes of the last version's parts: (parts to drop, parts to add), or None for no change. If others
+        publish meanwhile, change is asked again for what is there then; again: it makes new parts each time."""
+        for _ in range(self.TRIES):
+            last = (self.versions() or [0])[-1]
+            old = self.parts(last) if last else []
+            made = change(old)
+            if made is None:
+                return False
+            dropped, added = made
+            try:
+                if self._publish(last + 1, [p for p in old if p not in dropped] + added):
+                    return True
+            except Exception:
+                self._discard(added)
+                raise
+            if again:
+                self._discard(added)
+        raise Conflict(f"{self.path}: {self.TRIES} versions were published by others")
+
+    def _discard(self, parts: list[str]) -> None:
+        for p in parts:
+            self._fs.delete(self._path(f"{self.path}/parts/{p}"), True)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Removes all versions but the last ones and the parts that none of these names, also those that failed writes left; how
+        many parts went. Not to be called while others write, or read older versions."""
+        known = self.versions()
+        live = {p for v in known[-max(1, keep) :] for p in self.parts(v)}
+        for v in known[: -max(1, keep)]:
+            self._fs.delete(self._path(f"{self.path}/manifests/v{v:010d}.json"), False)
+        dead = [p for p in self._names("parts") if p not in live]
+        self._discard(dead)
+        for draft in (n for n in self._names("manifests") if n.startswith("_")):
+            self._fs.delete(self._path(f"{self.path}/manifests/{draft}"), False)
+        return len(dead)
+
+    def _read(self, name: str, parts: list[str]) -> DataFrame:
+        paths = [f"{self.path}/parts/{p}/{name}" for p in parts]
+        return self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name])
+
+    def table(self, name: str, version: int | None = None) -> DataFrame:
+        return self._read(name, self.parts(version))
+
+    def tables(self, version: int | None = None) -> dict[str, DataFrame]:
+        """All tables of one version."""
+        parts = self.parts(version)
+        return {name: self._read(name, parts) for name in TABLES}
+
+    # --- writes
+
+    def _written(self, rows: dict[str, DataFrame]) -> str:
+        part = uuid.uuid4().hex
+        for name, schema in TABLES.items():
+            cast = [F.col(c).cast(kind).alias(c) for c, kind in (x.split() for x in schema.split(", "))]
+            rows[name].select(*cast).write.parquet(f"{self.path}/parts/{part}/{name}")
+        return part
 
     def save(self, rows: dict[str, DataFrame]) -> None:
         """Publishes rows of all tables together. Ids must be well-formed and new, children must have parents: else nothing
-        is visible and an error is raised."""
+        is visible and an error is raised. Ids are compared again with what others publish meanwhile."""
         self.create()
-        part = uuid.uuid4().hex
-        staged = {}
+        part = self._written(rows)
+
+        def change(old: list[str]) -> tuple[list[str], list[str]]:
+            self._checked({name: self._read(name, [part]) for name in TABLES}, old)
+            return [], [part]
+
         try:
-            for name, schema in TABLES.items():
-                names = [x.split()[0] for x in schema.split(", ")]
-                cast = [F.col(n).cast(x.split()[1]).alias(n) for n, x in zip(names, schema.split(", "))]
-                rows[name].select(*cast).write.parquet(f"{self.path}/parts/{part}/{name}")
-                staged[name] = self.spark.read.schema(schema).parquet(f"{self.path}/parts/{part}/{name}")
-            self._checked(staged)
+            self._changed(change, again=False)
         except Exception:
-            self._fs.delete(self._path(f"{self.path}/parts/{part}"), True)
+            self._discard([part])
             raise
-        self._mark(f"_visible/{part}")
 
-    def _checked(self, staged: dict[str, DataFrame]) -> None:
+    def delete(self, run: str) -> bool:
+        """Removes a run by id or certificate_id with all that belongs to it; whether it was there. Only the parts that hold it are
+        written anew; older versions keep it until vacuum()."""
+
+        def change(old: list[str]) -> tuple[list[str], list[str]] | None:
+            runs = self._read("runs", old)
+            found = runs.where((F.col("id") == run) | (F.col("certificate_id") == run)).select("id", F.regexp_extract(F.input_file_name(), "/parts/([0-9a-f]+)/runs/", 1).alias("part")).collect()
+            if not found:
+                return None
+            touched = sorted({r["part"] for r in found})
+            ids = self.spark.createDataFrame([(r["id"],) for r in found], "id string")
+            return touched, [self._written(delete_cascade({name: self._read(name, touched) for name in TABLES}, F.broadcast(ids)))]
+
+        return self._changed(change)
+
+    def compact(self, least: int = 2) -> bool:
+        """Puts all parts into one where there are so many; whether it did. Runs that others save meanwhile stay."""
+
+        def change(old: list[str]) -> tuple[list[str], list[str]] | None:
+            return (old, [self._written({name: self._read(name, old) for name in TABLES})]) if len(old) >= max(2, least) else None
+
+        return self._changed(change)
+
+    def _checked(self, staged: dict[str, DataFrame], old: list[str]) -> None:
         for name, key in (("runs", "id"), ("claims", "id"), ("evidence", "id"), ("certificates", "certificate_id")):
             if not staged[name].where(F.col(key).isNull()).isEmpty():
                 raise ValueError(f"{name}: a row has no {key}")
-            if not staged[name].groupBy(key).count().where("count > 1").isEmpty() or not staged[name].join(self.table(name).select(key), key, "left_semi").isEmpty():
+            if not staged[name].groupBy(key).count().where("count > 1").isEmpty() or not staged[name].join(self._read(name, old).select(key), key, "left_semi").isEmpty():
                 raise ValueError(f"{name}: {key} is there already")
         if not staged["runs"].where(~text.safe_id(F.col("certificate_id"))).isEmpty():
             raise ValueError("runs: a certificate_id is malformed")
@@ -127,22 +247,7 @@ class Store:
             if not staged[child].join(staged[parent].select(F.col(key).alias(column)), column, "left_anti").isEmpty():
                 raise ValueError(f"{child}: {column} without its row of {parent}")
 
-    def delete(self, run: str) -> bool:
-        """Removes a run by id or certificate_id with all that belongs to it; whether it was there. The parts that hold none of
-        its rows stay as they are."""
-        wanted = (F.col("id") == run) | (F.col("certificate_id") == run)
-        ids = self.table("runs").where(wanted).select("id")
-        if ids.isEmpty():
-            return False
-        old = self._names("_visible")
-        left = delete_cascade(self.tables(), ids)
-        part = uuid.uuid4().hex
-        for name, df in left.items():
-            df.write.parquet(f"{self.path}/parts/{part}/{name}")
-        self._mark(f"_visible/{part}")
-        for p in old:
-            self._fs.delete(self._path(f"{self.path}/_visible/{p}"), False)
-        return True
+    # --- reads
 
     def history(self, limit: int = 50, offset: int = 0) -> DataFrame:
         return page(self.table("runs"), limit, offset)
@@ -156,18 +261,33 @@ class Store:
         return detail(self.tables(), known)
 
     def certificate(self, certificate_id: str, folder: str | None = None) -> DataFrame:
-        """raw_json of a certificate: of the store, or else of the files below a folder."""
-        stored = self.table("certificates").where(F.col("certificate_id") == certificate_id).select("certificate_id", "raw_json", F.lit(0).alias("_from"))
-        if folder:
-            files = self.spark.read.option("wholetext", "true").text(f"{folder.rstrip('/')}/*.json")
-            on_disk = files.select(F.get_json_object("value", "$.certificate_id").alias("certificate_id"), F.col("value").alias("raw_json"), F.lit(1).alias("_from"))
-            stored = stored.unionByName(on_disk.where(F.col("certificate_id") == certificate_id))
+        """raw_json of a certificate: of the store, or else of the files that write_certificates() makes below a folder, or of a
+        file with the certificate's name there. Only that file and one bucket of the others are read. No row if there is none or
+        the id is malformed."""
+        stored = self.table("certificates").where((F.col("certificate_id") == certificate_id) & text.safe_id(F.lit(certificate_id))).select("certificate_id", "raw_json", F.lit(0).alias("_from"))
+        if folder and text.is_safe_id(certificate_id):
+            folder = folder.rstrip("/")
+            for path, options in ((f"{folder}/bucket={bucket_of(certificate_id)}", {}), (f"{folder}/{certificate_id}.json", {"wholetext": "true"})):
+                if self._fs.exists(self._path(path)):
+                    lines = self.spark.read.options(**options).text(path)
+                    on_disk = lines.select(F.get_json_object("value", "$.certificate_id").alias("certificate_id"), F.col("value").alias("raw_json"), F.lit(1).alias("_from"))
+                    stored = stored.unionByName(on_disk.where(F.col("certificate_id") == certificate_id))
         return stored.orderBy("_from").limit(1).drop("_from")
 
     def healthy(self) -> bool:
         return self.spark.sql("SELECT 1 AS one").first()["one"] == 1 and self._fs.exists(self._path(self.path))
 
 
+#: Folders that certificates on disk are dealt into.
+BUCKETS = 256
+
+
+def bucket_of(certificate_id: str) -> int:
+    return zlib.crc32(certificate_id.encode()) % BUCKETS
+
+
 def write_certificates(certificates: DataFrame, folder: str) -> None:
-    """One JSON document a line, partitioned by certificate, as text files."""
-    certificates.select("certificate_id", F.col("raw_json").alias("value")).write.partitionBy("certificate_id").mode("append").text(folder)
+    """Adds certificates (certificate_id, raw_json) to the text files below a folder: one JSON document a line, in BUCKETS folders
+    by certificate, whatever their number. Line breaks between parts of a document become spaces."""
+    lines = certificates.select(F.regexp_replace("raw_json", r"\s*[\r\n]+\s*", " ").alias("value"), (F.crc32("certificate_id") % BUCKETS).alias("bucket"))
+    lines.repartition("bucket").write.partitionBy("bucket").mode("append").text(folder)

@@ -867,12 +867,15 @@ def rate_limit(spark, sf_dir):
     l AS (SELECT l_orderkey, {_NTH_SQL} AS n, l_returnflag FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)), kept AS (SELECT * FROM l WHERE l_orderkey IN (SELECT o_orderkey FROM o)),
     h AS (SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) AS nth FROM o), last AS (SELECT max(o_orderkey) AS k FROM o)
     SELECT 'version' AS what, '1' AS said UNION ALL SELECT 'healthy', 'true' UNION ALL SELECT 'deleted', 'true' UNION ALL SELECT 'deleted again', 'false' UNION ALL SELECT 'saved twice', 'false' UNION ALL SELECT 'malformed', '0'
+    UNION ALL SELECT 'versions', '1,2,3' UNION ALL SELECT 'lost the race', 'false' UNION ALL SELECT 'parts written anew', '1' UNION ALL SELECT 'parts removed', '1' UNION ALL SELECT 'versions left', '3' UNION ALL SELECT 'bytes of the run left', '0'
+    UNION ALL SELECT 'open reader during the delete', (count(*) + 1)::VARCHAR || ',' || (SELECT count(*) FROM l) FROM o UNION ALL SELECT 'runs of version 2', (count(*) + 1)::VARCHAR FROM o UNION ALL SELECT 'certificate on disk', '{{"certificate_id": "vc_' || k || '", "run": ' || k || '}}' FROM last
     UNION ALL SELECT 'runs before', (count(*) + 1)::VARCHAR FROM o UNION ALL SELECT 'runs', count(*)::VARCHAR FROM o UNION ALL SELECT 'claims', count(*)::VARCHAR FROM kept UNION ALL SELECT 'evidence', count(*)::VARCHAR FROM kept UNION ALL SELECT 'certificates', count(*)::VARCHAR FROM o
     UNION ALL SELECT 'history', string_agg(id, ',' ORDER BY nth) FROM h WHERE nth BETWEEN 4 AND 13
     UNION ALL SELECT 'detail', k || ':' || coalesce((SELECT string_agg(n || l_returnflag, ',' ORDER BY n) FROM kept WHERE l_orderkey = k), '') FROM last UNION ALL SELECT 'certificate', '{{"run": ' || k || '}}' FROM last"""
 )
 def stored_runs(spark, sf_dir):
-    """A store with all orders as runs: two saves, a save that is refused, reading, paging and deleting."""
+    """A store with all orders as runs: two saves, a save that is refused, reading, paging, deleting while somebody reads, removal
+    of what is dead, and certificates as files."""
     found = store.Store(spark, own_folder(spark, "store"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("run_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"), F.col("o_orderstatus").alias("overall"))
     lines = cut(_lines(spark, sf_dir).join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").select("l_orderkey", "n", "l_returnflag"))
@@ -897,13 +900,24 @@ def stored_runs(spark, sf_dir):
         twice = True
     except ValueError:
         twice = False
+    open_reader, parts = found.tables(), found.parts()
     before, deleted, again = found.count(), found.delete(f"vc_{first}"), found.delete(first)
+    reader = f"{open_reader['runs'].count()},{open_reader['claims'].count()}"
+    versions, anew, older = found.versions(), len(set(found.parts()) - set(parts)), found.table("runs", 2).count()
+    lost = found._publish(versions[-1], parts)
+    gone = found.vacuum()
+    files = spark.read.option("recursiveFileLookup", "true").schema(store.TABLES["runs"]).parquet(f"{found.path}/parts/*/runs")
+    disk = own_folder(spark, "certificates")
+    store.write_certificates(orders.select(F.concat(F.lit("vc_"), "run_id").alias("certificate_id"), F.concat(F.lit('{"certificate_id": "vc_'), "run_id", F.lit('",\n "run": '), "run_id", F.lit("}")).alias("raw_json")), disk)
+    empty = store.Store(spark, own_folder(spark, "store"))
     told = lambda x: str(x).lower() if isinstance(x, bool) else str(x)
     detail = found.get(last).select(F.concat(F.lit(f"{last}:"), F.coalesce(F.array_join(F.transform("claims", lambda c: F.concat(c["claim_index"].cast("string"), c["outcome"])), ","), F.lit(""))).alias("said"))
     facts = {
         "version": found.version(), "healthy": found.healthy(), "deleted": deleted, "deleted again": again, "saved twice": twice, "malformed": found.get("x' OR 1=1").count(),
         "runs before": before, **{name: found.table(name).count() for name in store.TABLES}, "history": ",".join(r["id"] for r in found.history(10, 3).collect()),
-        "detail": detail.first()["said"], "certificate": found.certificate(f"vc_{last}").first()["raw_json"],
+        "versions": ",".join(map(str, versions)), "lost the race": lost, "parts written anew": anew, "parts removed": gone, "versions left": ",".join(map(str, found.versions())),
+        "bytes of the run left": files.where(F.col("id") == first).count(), "open reader during the delete": reader, "runs of version 2": older,
+        "certificate on disk": empty.certificate(f"vc_{last}", disk).first()["raw_json"], "detail": detail.first()["said"], "certificate": found.certificate(f"vc_{last}").first()["raw_json"],
     }
     return spark.createDataFrame([(k, told(v)) for k, v in facts.items()], "what string, said string")
 
@@ -919,17 +933,45 @@ def audit_lines(spark, sf_dir):
 # --- everything --------------------------------------------------------------------------------------------------------------
 
 
+_RETRIEVED_SQL = f"""WITH {_LINES_SQL}, k AS (SELECT doc_id * 100000 + line_pos AS pos, doc_id, doc_id || '-P1-C' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS chunk_id, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_pos) AS n FROM chunks)),
+    d AS (SELECT pos, term, count(*) AS tf FROM ({_terms_sql("k", "pos")}) GROUP BY pos, term), b AS (SELECT item_id, term, count(*) AS tf FROM ({_terms_sql("benchmark", "item_id")}) GROUP BY item_id, term),
+    f AS (SELECT term, round(ln(((SELECT count(*) FROM k) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) + 1.0, 9)::DECIMAL(18,9) AS idf FROM d GROUP BY term),
+    wd AS (SELECT pos, term, (tf * idf)::DECIMAL(18,9)::DOUBLE AS w FROM d JOIN f USING (term)), wb AS (SELECT item_id, term, (tf * idf)::DECIMAL(18,9)::DOUBLE AS w FROM b JOIN f USING (term)),
+    nd AS (SELECT pos, sqrt(sum(w * w)) AS n FROM wd GROUP BY pos), nb AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM wb GROUP BY item_id),
+    dot AS (SELECT item_id, pos, sum(wb.w * wd.w) AS dot FROM wb JOIN wd USING (term) GROUP BY item_id, pos),
+    scored AS (SELECT item_id, pos, round(dot / (nb.n * nd.n), 9) AS sim, round(round(dot / (nb.n * nd.n), 9) * (0.75 + 0.25 * {authority.LEVELS[authority.DEFAULT][0]}::DOUBLE), 4) AS r FROM dot JOIN nd USING (pos) JOIN nb USING (item_id)),
+    m AS (SELECT *, max(CASE WHEN sim >= 0.25 THEN 1 ELSE 0 END) OVER (PARTITION BY item_id) AS any_one, row_number() OVER (PARTITION BY item_id ORDER BY r DESC, sim DESC, pos) AS nth FROM scored),
+    o AS (SELECT *, row_number() OVER (PARTITION BY item_id, pos // 100000 ORDER BY r DESC, sim DESC, pos) AS own FROM m WHERE sim >= 0.25 OR (any_one = 0 AND nth = 1)),
+    s AS (SELECT *, sum(CASE WHEN own = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY item_id) AS sources, sum(CASE WHEN own > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY r DESC, sim DESC, pos ROWS UNBOUNDED PRECEDING) AS fill FROM o)
+    SELECT item_id AS claim_key, chunk_id AS chunk_key, (row_number() OVER (PARTITION BY item_id ORDER BY r DESC, sim DESC, CASE WHEN own > 1 THEN 1 ELSE 0 END, pos))::INTEGER AS evidence_rank, round(sim, 4) AS similarity
+    FROM s JOIN k USING (pos) WHERE own = 1 OR fill <= greatest(0, 3 - sources)"""
+
+
+def _line_passages(spark, sf_dir):
+    """The lines of all documents as passages."""
+    lines = chunking.line_chunks(table(spark, sf_dir, "documents"), "doc_id")
+    return lines.select(
+        F.col("chunk_id").alias("chunk_key"), (F.col("doc_id") * 100_000 + F.col("line_pos")).alias("chunk_pos"), "chunk_id", F.col("doc_id").cast("string").alias("source_id"), filename().alias("filename"),
+        F.concat(F.lit("Line "), (F.col("line_pos") + 1).cast("string")).alias("location"), F.lit(1).alias("page"), "text", F.lit(authority.DEFAULT).alias("authority_level"), authority.weight(F.lit(authority.DEFAULT)).alias("authority_weight"),
+    )
+
+
+@query(_RETRIEVED_SQL)
+def retrieved_benchmark(spark, sf_dir):
+    """The evidence that retrieval chooses for every benchmark item among the lines of all documents."""
+    config = verify.Config()
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_key"), "text")
+    pairs = verify.candidates(items, _line_passages(spark, sf_dir), config)
+    return retrieval.retrieve(pairs, config.top_k, config.threshold, ["claim_key"]).select("claim_key", "chunk_key", "evidence_rank", "similarity")
+
+
 @query()
 def verified_benchmark(spark, sf_dir):
     """Benchmark items as claims against the lines of all documents: one row a claim."""
     config = verify.Config()
     items = table(spark, sf_dir, "benchmark")
     asked = items.select(F.lit("benchmark").alias("run_id"), F.col("item_id").alias("claim_key"), F.format_string("C%03d", F.col("item_id") + 1).alias("claim_id"), F.col("item_id").alias("claim_pos"), text.claim_text(F.col("text")).alias("text"))
-    lines = chunking.line_chunks(table(spark, sf_dir, "documents"), "doc_id")
-    chunks = lines.select(
-        F.col("chunk_id").alias("chunk_key"), (F.col("doc_id") * 100_000 + F.col("line_pos")).alias("chunk_pos"), "chunk_id", F.col("doc_id").cast("string").alias("source_id"), filename().alias("filename"),
-        F.concat(F.lit("Line "), (F.col("line_pos") + 1).cast("string")).alias("location"), F.lit(1).alias("page"), "text", F.lit(authority.DEFAULT).alias("authority_level"), authority.weight(F.lit(authority.DEFAULT)).alias("authority_weight"),
-    )
+    chunks = _line_passages(spark, sf_dir)
     pairs, _ = verify.scored_pairs(asked.select("claim_key", "text"), chunks, config)
     found = verify.verify(asked, chunks, pairs, config)
     return found.results.select("claim_key", "claim_id", "outcome", F.round("confidence", 2).alias("confidence"), "conflict_detected", F.size("evidence").alias("n_evidence"), F.col("primary.filename").alias("primary_file"), F.col("primary.similarity").alias("similarity"))

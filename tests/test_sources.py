@@ -297,7 +297,7 @@ def test_store(spark, tmp_path):
     assert s.count() == 3 and s.get("x' OR 1=1").count() == 0
     assert s.delete("run_2") and not s.delete("run_2") and s.count() == 2 and s.table("evidence").count() == 2 and s.table("claims").count() == 2
     (tmp_path / "disk").mkdir()
-    (tmp_path / "disk" / "c.json").write_text('{"certificate_id": "vc_disk"}')
+    (tmp_path / "disk" / "vc_disk.json").write_text('{"certificate_id": "vc_disk"}')
     assert s.certificate("vc_run_1").count() == 1 and s.certificate("vc_disk", f"file://{tmp_path}/disk").first()["raw_json"] == '{"certificate_id": "vc_disk"}'
 
 
@@ -310,6 +310,8 @@ def test_certificates_and_timings(spark, tmp_path):
     assert one["certificate_id"].startswith("vc_") and json.loads(one["raw_json"])["overall"] == "VERIFIED" and one["sha256_hash"] == certs.select(F.sha2("raw_json", 256)).first()[0]
     store.write_certificates(certs, f"file://{tmp_path}/certs")
     assert spark.read.text(f"file://{tmp_path}/certs").count() == 1
+    read = store.Store(spark, f"file://{tmp_path}/empty").certificate(one["certificate_id"], f"file://{tmp_path}/certs")
+    assert [tuple(r) for r in read.collect()] == [(one["certificate_id"], one["raw_json"])]
 
 
 def test_evaluation_replays_known_predictions(spark, tmp_path):
