@@ -532,8 +532,9 @@ def test_density_decides_where_no_name_tells():
     page = f"<body><div>{menu}</div><div>We use small files.</div><h1>Title</h1><div class=c>" + "".join(PARAGRAPHS[:6]) + "<p>Short.</p>" + "".join(PARAGRAPHS[6:]) + f"<ul>{menu}</ul></div><div>All rights are ours.</div><div>{menu}</div></body>"
     want = "Title " + " ".join([prose(i, 40) for i in range(6)] + ["Short."] + [prose(i, 40) for i in range(6, 13)])
     assert html_text.main_text(page) == want
-    lines = html_text.parsed(page).lines
-    dense = html_text.dense_lines(np.array([x.plain for x in lines], float), np.array([x.tags for x in lines]))
+    read = html_text.parsed(page)
+    html_text.settle(read)
+    lines, dense = read.lines, html_text.density(read.lines)
     assert [x.text for x, on in zip(lines, dense) if on] == [prose(i, 40) for i in range(13)]
 
 
@@ -541,9 +542,10 @@ def test_region_is_the_lowest_container_of_the_cluster():
     rng = random.Random(12)
     tags = ["article", "div", "p", "span", "main", "section", "ul"]
     for _ in range(400):
-        elements = [html_text.Element("", -1, False, False)]
+        none = frozenset()
+        elements = [html_text.Element("", -1, False, none, False)]
         for e in range(1, rng.randint(2, 25)):
-            elements.append(html_text.Element(rng.choice(tags[1:] if rng.random() < 0.8 else tags), rng.randrange(e), False, False))
+            elements.append(html_text.Element(rng.choice(tags[1:] if rng.random() < 0.8 else tags), rng.randrange(e), False, none, False))
         dense = {e: rng.randint(1, 3) for e in rng.sample(range(len(elements)), min(len(elements), rng.randint(1, 4)))}
 
         def path(e):
@@ -551,8 +553,57 @@ def test_region_is_the_lowest_container_of_the_cluster():
 
         shared = [e for e in range(len(elements)) if all(e in path(d) for d in dense)]
         low = max((e for e in shared if elements[e].tag in html_text.CONTAINERS), key=lambda e: len(path(e)), default=0)
-        top = [e for e in path(low) if elements[e].tag in html_text.ARTICLES]
-        assert html_text.region(elements, dense) == (top[0] if top else low)
+        held = {e: sum(n for d, n in dense.items() if e in path(d)) for e in range(len(elements))}
+        articles = [e for e in held if elements[e].tag in html_text.ARTICLES and 2 * held[e] >= sum(dense.values())]
+        assert html_text.region(elements, dense) == (max(articles) if articles else low)
+
+
+SAID = "A sentence of the article that goes on for quite some words, so that its line is dense enough to count."
+
+
+@pytest.mark.parametrize("html,want", [
+    (f"<p>BEFORE {SAID} <svg><title>icon</title></svg> AFTER</p>", f"BEFORE {SAID} AFTER"),
+    ("<p>BEFORE <select><option>1</option></select> AFTER</p>", "BEFORE AFTER"),
+    (f"<p>BEFORE {SAID} <object><p>in it</p></object> AFTER</p>", f"BEFORE {SAID} AFTER"),
+    (f"<p>BEFORE <span class=share>{SAID}</p><p>{SAID}</p>", f"BEFORE {SAID} {SAID}"),
+    ("<p>A <button>Share</button> <span hidden>H</span> <span style='display:none'>D</span> <noscript>N</noscript><textarea>T</textarea><iframe>I</iframe> <span class='ad'>BUY NOW</span> Z</p>", "A Z"),
+    ("<form><p>A short page in a form.</p></form>", "A short page in a form."),
+    ("<form><label>User</label><input><label>Password</label><button>Go</button></form>", ""),
+    (f"<div><p>{SAID} {SAID}</p><ul><li><a href=x>One</a></li><li><a>Two</a></li><li><a>Three</a></li></ul><p>{SAID}</p></div>", f"{SAID} {SAID} One Two Three {SAID}"),
+    (f"<div id=menu><h1>T</h1><p>{SAID} {SAID}</p></div><div class=footer>Imprint</div>", f"T {SAID} {SAID}"),
+    (f"<article><p>{SAID} {SAID}</p><section id=social><h2>Us</h2><p>{SAID}</p></section><div class=search><p>{SAID}</p></div></article>", f"{SAID} {SAID} Us {SAID} {SAID}"),
+    (f"<article><p>{SAID} {SAID}</p><div id=disqus_thread><p>{SAID}</p></div><div class=replies><p>So</p></div><div class=user-reviews>{SAID}</div><div id=respond-thread>R</div></article>", f"{SAID} {SAID}"),
+    (f"<body><div>We use cookies {SAID}</div><main><div>Teaser {SAID}</div><article><p>{SAID} {SAID} {SAID}</p><p>{SAID}</p></article></main></body>", " ".join([SAID] * 4)),
+    (f"<body><ul><li><a>Home</a></li><li><a>News</a></li></ul><p>{SAID} {SAID}</p><div><a>Next story</a> <a>Other</a></div></body>", f"{SAID} {SAID}"),
+    (f"<div id=content><p>{SAID}</p></div><div id=comments>" + f"<p>{SAID}</p>" * 9 + "</div>", SAID),
+    ("<div class='ad'>Buy these things of ours today, they are the very best.</div><article><h1>Short.</h1></article>", "Short."),
+    (f"<div class=comments><p>{SAID}</p></div>", SAID),
+])
+def test_runs_names_and_shares(html, want):
+    assert html_text.main_text(html) == want
+
+
+def test_boilerplate_within_lines_against_the_tree():
+    """Random articles with inline boilerplate: what is left is the text of the tree without those elements, by blocks."""
+    rng = random.Random(21)
+    inline = ["<button>{}</button>", "<svg><title>{}</title><text>{}</text></svg>", "<span class=share>{}</span>", "<span hidden>{} <b>{}</b></span>", "<select><option>{}</option><option>{}</option></select>", "<noscript>{}</noscript>", "<i class='ad'>{}</i>", "<object><p>{}</p></object>"]
+    kept = ["<b>{}</b>", "<a href=x>{}</a>", "<span>{} <em>{}</em></span>", "<code>{}</code>"]
+    for trial in range(150):
+        blocks, want = [], []
+        for b in range(rng.randint(2, 8)):
+            html, said = [], []
+            for _ in range(rng.randint(1, 6)):
+                words = [prose(rng.randrange(10**6), rng.randint(1, 6)) for _ in range(2)]
+                kind = rng.choice("tki")
+                part = "{}" if kind == "t" else rng.choice(kept if kind == "k" else inline)
+                html.append(part.format(*words))
+                said += words[: part.count("{}")] if kind != "i" else []
+            tag = rng.choice(["p", "div", "blockquote", "h2", "li"])
+            blocks.append(f"<{tag}>" + rng.choice([" ", "\n ", "\t"]).join(html) + f"</{tag}>")
+            want += said
+        blocks.append(f"<p>{SAID} {SAID}</p>")
+        page = f"<body><nav>{prose(trial, 9)}</nav><article>{''.join(blocks)}</article><footer>{prose(trial, 30)}</footer></body>"
+        assert html_text.main_text(page) == " ".join([*want, SAID, SAID])
 
 
 @pytest.mark.parametrize("unit", ["<div>text ", "<b><p>x</p>", "<span>t </b>", "<ul><li>a ", "<td>x", "<!--", "<a href='", "<![if ", "</"])
