@@ -251,11 +251,10 @@ def density(lines: list[Line]) -> np.ndarray:
     return dense_lines(np.array([0 if x.junk else x.plain for x in lines], dtype=np.float64), np.array([x.tags for x in lines]))
 
 
-def settle(page: Page) -> None:
-    """Decides which elements and lines of a page are boilerplate."""
+def held_against_text(page: Page, fixed: list[bool]) -> list[bool]:
+    """For each element, whether its name makes it boilerplate, also in view of what it holds."""
     elements = page.elements
-    fixed = [e.fixed for e in elements]
-    # what names say is held against the text: first without what readers wrote, then all
+    # first without what readers wrote, then all
     readers = [bool(e.marks & READERS) for e in elements]
     fill(page, spread(elements, [a or b for a, b in zip(fixed, readers)]))
     held = sums(elements, per_element(page.lines, lambda x: x.plain))
@@ -269,11 +268,20 @@ def settle(page: Page) -> None:
         most = held[0] > 0 and held[e] >= NAME_SHARE * held[0] and element.marks <= VAGUE | LAYOUT and (element.article or in_articles[0] == in_articles[e])
         own = element.article and element.marks <= VAGUE - READERS and 2 * prose[e] >= chars[e] > 0
         named.append(bool(element.marks) and not (element.tag in BLOCK and (most or own)))
+    return named
+
+
+def settle(page: Page) -> None:
+    """Decides which elements and lines of a page are boilerplate."""
+    elements = page.elements
+    fixed = [e.fixed for e in elements]
+    named = held_against_text(page, fixed) if any(e.marks for e in elements) else [False] * len(elements)
+    fill(page, spread(elements, fixed))
     # a form goes unless it holds the page's text, that of its labels not counted
     label = spread(elements, [e.tag in ("label", "legend") for e in elements])
     text = per_element([x for x in page.lines if not label[x.element]], lambda x: x.plain)
     of_form, whole = sums(elements, text), sum(text.values())
-    forms = [e.tag == "form" and not (whole > 0 and of_form[i] >= FORM_SHARE * whole) for i, e in enumerate(elements)]
+    forms = [False] * len(elements) if not any(e.tag == "form" for e in elements) else [e.tag == "form" and not (whole > 0 and of_form[i] >= FORM_SHARE * whole) for i, e in enumerate(elements)]
     for own in ([a or b or c for a, b, c in zip(fixed, named, forms)], [a or b for a, b in zip(fixed, forms)]):
         junk = spread(elements, own)
         fill(page, junk)
