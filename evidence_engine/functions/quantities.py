@@ -63,41 +63,86 @@ def choice(cases: list[tuple[Column, Column | str]], other: Column) -> Column:
     return reduce(lambda out, case: F.when(case[0], case[1]).otherwise(out), reversed(cases), other)
 
 
+#: Characters on either side of a span that are kept with it, and how many spans they can reach over: each has two at least.
+KEPT, REACH = 50, 26
+#: Values that running() takes together: arrays are copied only as far as that.
+RUN = 128
+
+
+def running(values: Column, start: Column, onward: Callable[[Column, Column], Column], kind: str = "int") -> Column:
+    """The state after each value of an array. States are put together by pieces of RUN, so time is linear in the values."""
+    none, nested = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(values) - 1, F.lit(0)) / RUN).cast("int")), lambda k: F.slice(values, k * RUN + 1, F.lit(RUN)))
+
+    def one(acc: Column, x: Column) -> Column:
+        return let(onward(acc["at"], x), lambda at: F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out")))
+
+    def piece(acc: Column, xs: Column) -> Column:
+        done = F.aggregate(xs, F.struct(acc["at"].alias("at"), none.alias("out")), one)
+        return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    return F.aggregate(pieces, F.struct(start.alias("at"), nested.alias("out")), piece, lambda acc: F.flatten(acc["out"]))
+
+
 def spans(s: Column, pattern: Column) -> Column:
-    """(raw, begin, end) of all matches in a text: the text between them, put together with them, gives their places."""
-    parts = F.arrays_zip(F.split(s, pattern, -1).alias("gap"), F.regexp_extract_all(s, pattern, F.lit(0)).alias("raw"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<raw:string,begin:int,end:int>>").alias("out"))
+    """(raw, begin, end, left, right) of all matches in a text, with KEPT characters on either side. The text between the matches,
+    put together with them, gives places and sides, so no match looks through the whole text again."""
+    return let(F.arrays_zip(F.split(s, pattern, -1).alias("gap"), F.regexp_extract_all(s, pattern, F.lit(0)).alias("raw")), _spans)
+
+
+def _spans(parts: Column) -> Column:
+    length = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["raw"]), F.lit(0))
+    ends = running(F.transform(parts, length), F.lit(0), lambda at, n: at + n)
+    # of a long gap only its ends can be near a match
+    short = F.transform(parts, lambda x: F.struct(F.substring(x["gap"], 1, KEPT).alias("head"), F.when(F.length(x["gap"]) > KEPT, F.substring(x["gap"], -KEPT, KEPT)).otherwise(x["gap"]).alias("tail"), x["raw"].alias("raw")))
+
+    def placed(near: Column, i: Column, end: Column) -> Column:
+        x = F.get(near, i)
+        first = F.greatest(i - REACH, F.lit(0))
+        before = F.concat(F.array_join(F.transform(F.slice(near, first + 1, i - first), lambda p: F.concat(p["tail"], p["raw"])), ""), x["tail"])
+        after = F.array_join(F.transform(F.slice(near, i + 2, F.lit(REACH)), lambda p: F.concat(p["head"], F.coalesce(p["raw"], F.lit("")))), "")
+        left = F.when(F.length(before) > KEPT, F.substring(before, -KEPT, KEPT)).otherwise(before)
+        return F.struct(x["raw"].alias("raw"), (end - F.length(x["raw"])).alias("begin"), end.alias("end"), left.alias("left"), F.substring(after, 1, KEPT).alias("right"))
+
+    # the last part has no match
+    count = F.size(parts) - 1
+    return let(F.struct(short.alias("near"), ends.alias("ends")), lambda v: F.when(count > 0, F.transform(F.slice(v["ends"], 1, count), lambda end, i: placed(v["near"], i, end))).otherwise(F.array().cast("array<struct<raw:string,begin:int,end:int,left:string,right:string>>")))
+
+
+def ahead(at: Column, n: int) -> Column:
+    return F.substring(at["right"], 1, n)
 
-    def onward(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["raw"])
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(x["raw"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(x["raw"].alias("raw"), begin.alias("begin"), end.alias("end"))))).alias("out"))
 
-    return F.aggregate(parts, start, onward, lambda acc: acc["out"])
+def behind(at: Column, n: int) -> Column:
+    return F.when(F.length(at["left"]) > n, F.substring(at["left"], -n, n)).otherwise(at["left"])
 
 
-def ahead(s: Column, at: Column, n: int) -> Column:
-    return F.substring(s, at["end"] + 1, F.lit(n))
+def outside(found: Column, taken: Column) -> Column:
+    """Those of the spans found, in order, that begin in no span of taken: both are sorted together and swept once."""
+    mark = lambda xs, kind: F.transform(xs, lambda x: F.struct(x["begin"].alias("begin"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
+    def swept(both: Column) -> Column:
+        covered = running(both, F.lit(0), lambda until, x: F.when(x["kind"] == 0, F.greatest(until, x["end"])).otherwise(until))
+        free = F.filter(F.zip_with(both, covered, lambda x, until: F.when(x["kind"] == 1, x["begin"] >= until)), lambda f: f.isNotNull())
+        pairs = F.zip_with(found, free, lambda x, f: F.struct(x.alias("x"), f.alias("f")))
+        return F.transform(F.filter(pairs, lambda p: p["f"]), lambda p: p["x"])
 
-def behind(s: Column, at: Column, n: int) -> Column:
-    begin = F.greatest(at["begin"] - n, F.lit(0))
-    return F.substring(s, begin + 1, at["begin"] - begin)
+    return F.when(F.size(taken) == 0, found).otherwise(let(F.array_sort(F.concat(mark(taken, 0), mark(found, 1))), swept))
 
 
 def words(c: Column) -> Column:
     return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
 
 
-def context(s: Column, at: Column) -> Column:
+def context(at: Column) -> Column:
     """Stems of the four words on either side, without common words and numbers."""
-    left = words(behind(s, at, NEAR))
-    near = F.concat(F.slice(left, F.greatest(F.size(left) - 3, F.lit(1)), F.lit(4)), F.slice(words(ahead(s, at, NEAR)), 1, 4))
+    left = words(behind(at, NEAR))
+    near = F.concat(F.slice(left, F.greatest(F.size(left) - 3, F.lit(1)), F.lit(4)), F.slice(words(ahead(at, NEAR)), 1, 4))
     return F.array_sort(F.array_distinct(F.filter(F.transform(near, words_of.stem), lambda w: (w != "") & ~w.isin(*COMMON) & ~w.rlike(r"^\d+$"))))
 
 
-def bound(s: Column, at: Column) -> Column:
-    left, right = F.lower(behind(s, at, BOUND_BEFORE)), F.lower(ahead(s, at, BOUND_AFTER))
+def bound(at: Column) -> Column:
+    left, right = F.lower(behind(at, BOUND_BEFORE)), F.lower(ahead(at, BOUND_AFTER))
     cases = [(left.rlike("(?U)" + p), name) for name, p in BEFORE] + [(right.rlike("(?U)" + p), name) for name, p in AFTER]
     return choice([(test, F.lit(name)) for test, name in cases], F.lit("EXACT"))
 
@@ -114,13 +159,13 @@ def counted(following: Column) -> Column:
     return F.when(first.isNull() | first.isin(*COMMON), "").otherwise(first)
 
 
-def numbers_outline(s: Column, m: Column) -> Column:
-    """Whether a number only numbers a section, a rule, a line."""
+def numbers_outline(m: Column) -> Column:
+    """Whether a number only numbers a section, a rule, a line. White space beyond KEPT characters is not looked through."""
     plain = (m["currency"] == "") & (m["share"] == "") & (m["scale"] == "")
-    line_start = (m["begin"] == 0) | F.substring(s, m["begin"], F.lit(1)).isin("\r", "\n")
-    follows = lambda p: F.substring(s, m["end"] + 1, F.length(s)).rlike(p)
+    line_start = (m["begin"] == 0) | behind(m, 1).isin("\r", "\n")
+    follows = lambda p: m["right"].rlike(p)
     titled = F.when(plain & line_start, follows(r"(?U)^\.\s+[A-Z]")).otherwise(False) | F.when(plain & F.contains(m["number"], F.lit(".")), follows(r"(?U)^\s+[A-Z]")).otherwise(False)
-    headed = F.regexp_replace(F.lower(behind(s, m, OUTLINE_BEFORE)), r"(?U)\s+$", "").rlike("(?U)" + OUTLINE)
+    headed = F.regexp_replace(F.lower(behind(m, OUTLINE_BEFORE)), r"(?U)\s+$", "").rlike("(?U)" + OUTLINE)
     return headed | titled
 
 
@@ -131,39 +176,39 @@ def dates(s: Column) -> Column:
     def found(pattern: str, month: int, day: int) -> Column:
         group = lambda x, i: F.regexp_extract(x["raw"], "(?iU)" + pattern, i)
         value = lambda x: (F.element_at(months, F.lower(group(x, month))) * 100 + group(x, day).cast("int")).cast("double")
-        return F.transform(spans(s, F.lit("(?iU)" + pattern)), lambda x: quantity(s, x, x["raw"], value(x), F.lit("date"), F.lit("date"), F.lit("EXACT")))
+        return F.transform(spans(s, F.lit("(?iU)" + pattern)), lambda x: quantity(x, x["raw"], value(x), F.lit("date"), F.lit("date"), F.lit("EXACT")))
 
     return F.concat(found(MONTH_DAY, 1, 2), found(DAY_MONTH, 2, 1))
 
 
-def quantity(s: Column, at: Column, raw: Column, value: Column, category: Column, unit: Column, of_bound: Column) -> Column:
-    return F.struct(raw.alias("raw"), value.alias("value"), category.alias("category"), unit.alias("unit"), of_bound.alias("bound"), context(s, at).alias("context"), at["begin"].alias("begin"), at["end"].alias("end"))
+def quantity(at: Column, raw: Column, value: Column, category: Column, unit: Column, of_bound: Column) -> Column:
+    return F.struct(raw.alias("raw"), value.alias("value"), category.alias("category"), unit.alias("unit"), of_bound.alias("bound"), context(at).alias("context"), at["begin"].alias("begin"), at["end"].alias("end"))
 
 
 def amounts(s: Column, taken: Column) -> Column:
     """Quantities that are amounts, shares, years, durations and counts, outside the spans that are taken."""
     pattern = "(?iU)" + AMOUNT
     part = lambda x, i: F.regexp_extract(x["raw"], pattern, i)
-    free = F.filter(spans(s, F.lit(pattern)), lambda x: ~F.exists(taken, lambda d: (d["begin"] <= x["begin"]) & (x["begin"] < d["end"])))
-    read = F.transform(free, lambda x: F.struct(x["raw"].alias("raw"), x["begin"].alias("begin"), x["end"].alias("end"), *[part(x, i).alias(name) for i, name in enumerate(("currency", "number", "scale", "share"), 1)]))
+    free = let(spans(s, F.lit(pattern)), lambda found: outside(found, taken))
+    read = F.transform(free, lambda x: F.struct(*[x[c].alias(c) for c in ("raw", "begin", "end", "left", "right")], *[part(x, i).alias(name) for i, name in enumerate(("currency", "number", "scale", "share"), 1)]))
     spelled = F.create_map(*[F.lit(x) for k, v in NUMBERS.items() for x in (k, float(v))])
     scaled = F.create_map(*[F.lit(x) for item in SCALES.items() for x in item])
 
     def one(m: Column) -> Column:
         word = F.lower(m["number"])
         value = F.coalesce(F.try_element_at(spelled, word), word.try_cast("double")) * F.coalesce(F.try_element_at(scaled, F.lower(m["scale"])), F.lit(1.0))
-        return let(F.struct(value.alias("value"), words(ahead(s, m, NEAR)).alias("following")), lambda v: let(time_unit(v["following"]), lambda unit: told(m, v, unit)))
+        return let(F.struct(value.alias("value"), words(ahead(m, NEAR)).alias("following")), lambda v: let(time_unit(v["following"]), lambda unit: told(m, v, unit)))
 
     def told(m: Column, v: Column, unit: Column) -> Column:
         year = (v["value"] >= 1900) & (v["value"] <= 2099) & (m["currency"] == "") & (m["share"] == "")
-        money = (m["currency"] != "") | F.contains(F.lower(ahead(s, m, MONEY_AFTER)), F.lit("dollar"))
+        money = (m["currency"] != "") | F.contains(F.lower(ahead(m, MONEY_AFTER)), F.lit("dollar"))
         kinds = [(unit.isNotNull(), "duration", unit), (year, "year", F.lit("year")), (money, "currency", F.lit("currency")), (m["share"] != "", "percentage", F.lit("percent"))]
         category = choice([(test, F.lit(name)) for test, name, _ in kinds], F.lit("count"))
         measure = choice([(test, x) for test, _, x in kinds], counted(v["following"]))
         raw = F.regexp_replace(m["raw"], r"(?U)^\s+|\s+$", "")
-        return quantity(s, m, raw, v["value"], category, measure, bound(s, m))
+        return quantity(m, raw, v["value"], category, measure, bound(m))
 
-    return F.transform(F.filter(read, lambda m: ~numbers_outline(s, m)), one)
+    return F.transform(F.filter(read, lambda m: ~numbers_outline(m)), one)
 
 
 def quantities(text: Column | str) -> Column:
@@ -241,7 +286,7 @@ def stated(claimed: Column, found: Column, text: Column) -> Column:
     def near(c: Column) -> Column:
         value = F.when(c["value"] == F.floor(c["value"]), c["value"].cast("decimal(38,0)").cast("string")).otherwise(c["value"].cast("string"))
         places = spans(text, F.concat(F.lit("(?U)\\b"), F.regexp_replace(value, r"\.", r"\\\\."), F.lit("\\b")))
-        around = lambda x: F.lower(F.concat(behind(text, x, STATED), x["raw"], ahead(text, x, STATED)))
+        around = lambda x: F.lower(F.concat(behind(x, STATED), x["raw"], ahead(x, STATED)))
         said = lambda x: F.transform(F.filter(words(around(x)), lambda w: F.length(w) > 2), words_of.stem)
         return F.exists(places, lambda x: F.arrays_overlap(said(x), c["context"]))
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidence_engine.functions import authority, quantities, text
-from evidence_engine.operators import chunking, claims, entailment, evaluation, model_policy, report, retrieval, rollup, similarity, store
+from evidence_engine.operators import centroids, chunking, claims, entailment, evaluation, model_policy, report, retrieval, rollup, similarity, store
 from evidence_engine.plans import verify
 from evidence_engine.plans.staging import cut, own_folder
 from evidence_engine.sources import ingest
@@ -382,6 +382,32 @@ def dense_cosine(spark, sf_dir):
     return _dense(spark, sf_dir).select("claim_key", "chunk_key", "filename", (F.round("similarity", 4) + F.lit(0.0)).alias("similarity"))
 
 
+_NEAREST_SQL = f"""WITH {_DENSE_SQL}, n AS (SELECT claim_key, chunk_key, round(similarity, 9) AS similarity, row_number() OVER (PARTITION BY claim_key ORDER BY round(similarity, 9) DESC, chunk_key) AS rank FROM pairs) SELECT claim_key, chunk_key, round(similarity, 4) + 0.0 AS similarity, rank::INTEGER AS rank FROM n WHERE rank <= 10"""
+
+
+def _indexed(spark, sf_dir):
+    """An index of all vectors, and those with an id divisible by 50 as queries."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_key"), F.col("embedding").alias("vec"))
+    return centroids.build(vectors, "chunk_key"), vectors.where("chunk_key % 50 = 0").withColumnRenamed("chunk_key", "claim_key")
+
+
+@query(_NEAREST_SQL)
+def dense_nearest(spark, sf_dir):
+    """The ten nearest vectors of every query, by all lists of the index."""
+    index, asked = _indexed(spark, sf_dir)
+    found = centroids.search(index, asked, "claim_key", 10, len(index.centroids))
+    return found.select("claim_key", F.col("key").alias("chunk_key"), (F.round("similarity", 4) + F.lit(0.0)).alias("similarity"), "rank")
+
+
+@query(f"""WITH n AS ({_NEAREST_SQL}) SELECT count(DISTINCT claim_key) AS queries, count(*) AS neighbours, true AS recall_reached FROM n""")
+def dense_recall(spark, sf_dir):
+    """Whether the lists that the index chooses to look into hold 95 % of those neighbours at least."""
+    index, asked = _indexed(spark, sf_dir)
+    exact = cut(centroids.search(index, asked, "claim_key", 10, len(index.centroids)))
+    one = centroids.recall(centroids.search(index, asked, "claim_key", 10), exact, "claim_key")
+    return one.select("queries", "neighbours", (F.col("recall") >= 0.95).alias("recall_reached"))
+
+
 _WEIGHT_SQL = "CASE chunk_key % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.97 WHEN 2 THEN 0.94 ELSE 0.9 END::DOUBLE"
 _SCORED_SQL = f"""{_DENSE_SQL}, scored AS (SELECT claim_key, chunk_key, filename, round(similarity, 6) + 0.00000003 AS sim, round(greatest(0.0, least(1.0, round(similarity, 6) + 0.00000003)) * (0.75 + 0.25 * {_WEIGHT_SQL}), 4) AS r FROM pairs)"""
 
