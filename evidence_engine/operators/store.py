@@ -115,18 +115,25 @@ class Store:
         known = self.versions()
         if not known and version is None:
             return []
-        at = self._path(f"{self.path}/manifests/v{known[-1] if version is None else version:010d}.json")
-        stream = self._fs.open(at)
+        return self._manifest(known[-1] if version is None else version)["parts"]
+
+    def batches(self) -> dict[str, int]:
+        """The last batch that each stream has saved."""
+        known = self.versions()
+        return self._manifest(known[-1])["batches"] if known else {}
+
+    def _manifest(self, version: int) -> dict:
+        stream = self._fs.open(self._path(f"{self.path}/manifests/v{version:010d}.json"))
         try:
-            return json.loads(bytes(stream.readAllBytes()))["parts"]
+            return json.loads(bytes(stream.readAllBytes()))
         finally:
             stream.close()
 
-    def _publish(self, version: int, parts: list[str]) -> bool:
-        """Makes the parts the given version; whether nobody had published it before."""
+    def _publish(self, version: int, parts: list[str], batches: dict[str, int] | None = None) -> bool:
+        """Makes the parts, and the batches that streams have saved, the given version; whether nobody had published it before."""
         draft = self._path(f"{self.path}/manifests/_{uuid.uuid4().hex}")
         out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps({"parts": parts}).encode()))
+        out.write(bytearray(json.dumps({"parts": parts, "batches": batches or {}}).encode()))
         out.close()
         none = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
         try:
@@ -138,18 +145,22 @@ class Store:
                 return False
             raise
 
-    def _changed(self, change: Callable[[list[str]], tuple[list[str], list[str]] | None], again: bool = True) -> bool:
+    def _changed(self, change: Callable[[list[str]], tuple[list[str], list[str]] | None], again: bool = True, batch: tuple[str, int] | None = None) -> bool:
         """Publishes what change makes of the last version's parts: (parts to drop, parts to add), or None for no change. If others
-        publish meanwhile, change is asked again for what is there then; again: it makes new parts each time."""
+        publish meanwhile, change is asked again for what is there then; again: it makes new parts each time. A batch of a
+        stream, by name and number, is recorded in the same step, and nothing changes if it was before."""
         for _ in range(self.TRIES):
             last = (self.versions() or [0])[-1]
-            old = self.parts(last) if last else []
+            was = self._manifest(last) if last else {"parts": [], "batches": {}}
+            old, batches = was["parts"], was["batches"]
+            if batch and batches.get(batch[0], -1) >= batch[1]:
+                return False
             made = change(old)
             if made is None:
                 return False
             dropped, added = made
             try:
-                if self._publish(last + 1, [p for p in old if p not in dropped] + added):
+                if self._publish(last + 1, [p for p in old if p not in dropped] + added, batches | ({batch[0]: batch[1]} if batch else {})):
                     return True
             except Exception:
                 self._discard(added)
@@ -196,21 +207,26 @@ class Store:
             rows[name].select(*cast).write.parquet(f"{self.path}/parts/{part}/{name}")
         return part
 
-    def save(self, rows: dict[str, DataFrame]) -> None:
+    def save(self, rows: dict[str, DataFrame], batch: tuple[str, int] | None = None) -> bool:
         """Publishes rows of all tables together. Ids must be well-formed and new, children must have parents: else nothing
-        is visible and an error is raised. Ids are compared again with what others publish meanwhile."""
+        is visible and an error is raised. Ids are compared again with what others publish meanwhile. A stream names its batch,
+        by its own name and the batch's number: one that was saved before adds nothing. Whether the rows are new."""
         self.create()
+        if batch and self.batches().get(batch[0], -1) >= batch[1]:
+            return False
         part = self._written(rows)
 
         def change(old: list[str]) -> tuple[list[str], list[str]]:
             self._checked({name: self._read(name, [part]) for name in TABLES}, old)
             return [], [part]
 
+        done = False
         try:
-            self._changed(change, again=False)
-        except Exception:
-            self._discard([part])
-            raise
+            done = self._changed(change, False, batch)
+        finally:
+            if not done:
+                self._discard([part])
+        return done
 
     def delete(self, run: str) -> bool:
         """Removes a run by id or certificate_id with all that belongs to it; whether it was there. Only the parts that hold it are
@@ -267,9 +283,9 @@ class Store:
         stored = self.table("certificates").where((F.col("certificate_id") == certificate_id) & text.safe_id(F.lit(certificate_id))).select("certificate_id", "raw_json", F.lit(0).alias("_from"))
         if folder and text.is_safe_id(certificate_id):
             folder = folder.rstrip("/")
-            for path, options in ((f"{folder}/bucket={bucket_of(certificate_id)}", {}), (f"{folder}/{certificate_id}.json", {"wholetext": "true"})):
+            for path, whole in ((f"{folder}/bucket={bucket_of(certificate_id)}", False), (f"{folder}/{certificate_id}.json", True)):
                 if self._fs.exists(self._path(path)):
-                    lines = self.spark.read.options(**options).text(path)
+                    lines = self.spark.read.text(path, wholetext=whole)
                     on_disk = lines.select(F.get_json_object("value", "$.certificate_id").alias("certificate_id"), F.col("value").alias("raw_json"), F.lit(1).alias("_from"))
                     stored = stored.unionByName(on_disk.where(F.col("certificate_id") == certificate_id))
         return stored.orderBy("_from").limit(1).drop("_from")

@@ -42,11 +42,11 @@ def test_writers_that_meet(spark, tmp_path, monkeypatch):
     one.save(saved(spark, 1, "a"))
     publish, done = store.Store._publish, []
 
-    def late(self, version, parts):
+    def late(self, version, *rest):
         if self is one and not done:
             done.append(1)
             two.save(saved(spark, 2, "b"))
-        return publish(self, version, parts)
+        return publish(self, version, *rest)
 
     monkeypatch.setattr(store.Store, "_publish", late)
     one.save(saved(spark, 3, "c"))
@@ -63,7 +63,7 @@ def test_writers_that_meet(spark, tmp_path, monkeypatch):
     assert one.delete("a") and ids(one) == ["b", "c"]
     one.vacuum()
     assert texts_on_disk(spark, tmp_path) == ["b", "c"] and len([p for p in (tmp_path / "s" / "parts").iterdir()]) == len(one.parts())
-    monkeypatch.setattr(store.Store, "_publish", lambda self, version, parts: False)
+    monkeypatch.setattr(store.Store, "_publish", lambda self, *rest: False)
     with pytest.raises(store.Conflict):
         one.save(saved(spark, 5, "d"))
     monkeypatch.undo()
@@ -96,6 +96,8 @@ def test_certificates_as_files(spark, tmp_path):
         found = s.certificate(f"vc_{i}", folder).collect()
         assert len(found) == 1 and json.loads(found[0]["raw_json"]) == json.loads(rows[i][1])
     assert s.certificate("vc_300", folder).count() == 0 and s.certificate("../vc_1", folder).count() == 0 and s.certificate("*", folder).count() == 0
+    (tmp_path / "certs" / "vc_own.json").write_text('{\n "certificate_id": "vc_own",\n "n": 1\n}')
+    assert json.loads(s.certificate("vc_own", folder).first()["raw_json"])["n"] == 1
     store.write_certificates(spark.createDataFrame(rows[:1], "certificate_id string, raw_json string"), folder)
     assert s.certificate("vc_0", folder).count() == 1
 
