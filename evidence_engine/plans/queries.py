@@ -764,7 +764,7 @@ def history_page(spark, sf_dir):
 
 @query("SELECT count(*) AS total, max(o_orderkey) AS last_id FROM orders")
 def history_count(spark, sf_dir):
-    return table(spark, sf_dir, "orders").agg(F.count("*").alias("total"), F.max("o_orderkey").alias("last_id"))
+    return store.totals(_runs(spark, sf_dir))
 
 
 def _tables(spark, sf_dir):
@@ -859,20 +859,30 @@ def report_details(spark, sf_dir):
     return report.source_lines(files, "run_id").unionByName(report.claim_lines(rows, "run_id"))
 
 
+#: Answers by rule, for an order's key modulo 7: the text before and after the key, and the outcome, confidence and reason that
+#: follow from it, as SQL.
 _ANSWERS = [
-    (1, '{"verdict": "supported", "confidence": 0.9, "reason": "It says <b>so</b>.", "cited_evidence_ids": ["E001"]}', "SUPPORTED", 0.9, "It says so."),
-    (2, '{"verdict": "SUPPORTED", "confidence": 0.9, "reason": "x", "cited_evidence_ids": ["E009"]}', "UNVERIFIED", 0.3, model_policy.UNCITED),
-    (3, 'Here: {"verdict": "REFUTED", "confidence": 1.7, "reason": "No.", "cited_evidence_ids": []} done', "REFUTED", 1.0, "No."),
-    (4, '{"verdict": "maybe", "confidence": "high", "reason": "the api_key is", "cited_evidence_ids": "E001"}', "UNVERIFIED", 0.5, model_policy.PLAIN_REASON),
-    (5, "no json at all", "UNVERIFIED", 0.0, model_policy.UNPARSED),
-    (6, '{"verdict": "SUPPORTED", "reason": "ok", "cited_evidence_ids": "E002"}', "SUPPORTED", 0.8, "ok"),
+    ('{{"verdict": "supported", "confidence": 0.9, "reason": "Order <b>{k}</b> says so.", "cited_evidence_ids": ["E001"]}}', "'SUPPORTED'", "0.9", "'Order ' || k || ' says so.'"),
+    ('{{"verdict": "SUPPORTED", "confidence": 0.9, "reason": "x", "cited_evidence_ids": ["E9{k}"]}}', "'UNVERIFIED'", "0.3", f"'{model_policy.UNCITED}'"),
+    ('Here: {{"verdict": "REFUTED", "confidence": 1.{k}, "reason": "No, {k}.", "cited_evidence_ids": []}} done', "'REFUTED'", "1.0", "'No, ' || k || '.'"),
+    ('{{"verdict": "maybe", "confidence": "high", "reason": "the api_key is {k}", "cited_evidence_ids": "E001"}}', "'UNVERIFIED'", "0.5", f"'{model_policy.PLAIN_REASON}'"),
+    ("no json at all, order {k}", "'UNVERIFIED'", "0.0", f"'{model_policy.UNPARSED}'"),
+    ('{{"verdict": "SUPPORTED", "reason": "ok {k}", "cited_evidence_ids": "E002"}}', "'SUPPORTED'", "0.8", "'ok ' || k"),
+    ('{{"verdict": " refuted ", "confidence": -{k}, "reason": "", "cited_evidence_ids": ["E001", "E002"]}}', "'REFUTED'", "0.0", "''"),
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{o}', {c}::DOUBLE, '{r}')" for i, _, o, c, r in _ANSWERS) + ") AS t(aid, outcome, confidence, reason)")
+def _answer_case(i: int) -> str:
+    return "CASE k % 7 " + " ".join(f"WHEN {n} THEN {a[i]}" for n, a in enumerate(_ANSWERS)) + " END"
+
+
+@query(f"""SELECT k AS aid, {_answer_case(1)} AS outcome, {_answer_case(2)}::DOUBLE AS confidence, {_answer_case(3)} AS reason FROM (SELECT o_orderkey AS k FROM orders)""")
 def model_answers(spark, sf_dir):
-    rows = spark.createDataFrame([x[:2] for x in _ANSWERS], "aid long, raw string")
+    """What is taken from a model's answers, one for each order."""
+    key = F.col("o_orderkey")
+    raw = reduce(lambda out, n: F.when(key % 7 == n, F.replace(F.lit(_ANSWERS[n][0].replace("{{", "{").replace("}}", "}")), F.lit("{k}"), key.cast("string"))).otherwise(out), range(7), F.lit(None).cast("string"))
     ids = F.array(F.lit("E001"), F.lit("E002"))
+    rows = table(spark, sf_dir, "orders").select(key.alias("aid"), raw.alias("raw"))
     return rows.select("aid", model_policy.validated(model_policy.answer(F.col("raw")), ids).alias("v")).select("aid", "v.*")
 
 
