@@ -5,7 +5,11 @@ The model is a callable that the caller brings, from prompts to answers; without
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import queue
+import threading
+import time
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +22,8 @@ UNCITED = "Unverified: Grounding evidence could not be confirmed with valid evid
 UNPARSED = "Failed to parse model output."
 ANSWER = "verdict string, confidence string, reason string, cited_evidence_ids string"
 PASSAGES = 3
+#: Seconds that a prompt may take, how often a provider is asked, and prompts that a task has under way at once.
+DEADLINE, ATTEMPTS, PARALLEL = 12.0, 2, 8
 
 
 def answer(raw: Column) -> Column:
@@ -79,3 +85,54 @@ def ask(claims: DataFrame, model: Callable[[list[str]], list[str | None]], run:
             yield batch.assign(raw=raw)
 
     return claims.mapInPandas(answers, schema)
+
+
+def in_time(call: Callable[[str], str | None], prompts: list[str], deadline: float = DEADLINE, parallel: int = PARALLEL) -> list[str | None]:
+    """What call says of each prompt, so many under way at once; null where it fails or is not done by the deadline. A call that
+    stalls is left behind on a thread of its own, which ends with the worker, and its answer is not waited for."""
+    out: list[str | None] = [None] * len(prompts)
+    done: queue.SimpleQueue = queue.SimpleQueue()
+
+    def one(i: int) -> None:
+        try:
+            done.put((i, call(prompts[i])))
+        except Exception:  # whatever a client raises: that prompt alone is without answer
+            done.put((i, None))
+
+    left, under_way = deque(range(len(prompts))), {}
+    while left or under_way:
+        while left and len(under_way) < parallel:
+            i = left.popleft()
+            under_way[i] = time.monotonic() + deadline
+            threading.Thread(target=one, args=(i,), daemon=True).start()
+        try:
+            i, said = done.get(timeout=max(0.0, min(under_way.values()) - time.monotonic()))
+            if under_way.pop(i, None) is not None:
+                out[i] = said
+        except queue.Empty:
+            late = time.monotonic()
+            under_way = {i: until for i, until in under_way.items() if until > late}
+    return out
+
+
+def ask_providers(claims: DataFrame, providers: Sequence[Callable[[str], str | None]], run: list[str], deadline: float = DEADLINE, attempts: int = ATTEMPTS, parallel: int = PARALLEL) -> DataFrame:
+    """Adds raw and provider to claims (the run columns, prompt): the answer of the first provider, in their order, that gives one
+    within the deadline, and its place in the order. A provider is asked so often for what it fails on before the next one is.
+    Null where all fail, for the rules to decide. A prompt that is asked takes providers times attempts times deadline at most."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in claims.schema.fields) + ", raw string, provider int"
+
+    def answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            prompts = batch["prompt"].tolist()
+            raw: list[str | None] = [None] * len(prompts)
+            by: list[int | None] = [None] * len(prompts)
+            left = list(range(len(prompts)))
+            for place, provider in enumerate(providers):
+                for _ in range(attempts):
+                    for i, said in zip(left, in_time(provider, [prompts[i] for i in left], deadline, parallel)):
+                        if said is not None:
+                            raw[i], by[i] = said, place
+                    left = [i for i in left if raw[i] is None]
+            yield batch.assign(raw=pd.Series(raw, batch.index, dtype=object), provider=pd.Series(by, batch.index, dtype="Int32"))
+
+    return claims.mapInPandas(answers, schema)

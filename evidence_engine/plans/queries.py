@@ -7,6 +7,7 @@ events are requests, orders and lineitem are stored runs and claims, pages are H
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from functools import reduce
 
@@ -886,6 +887,28 @@ def model_answers(spark, sf_dir):
     return rows.select("aid", model_policy.validated(model_policy.answer(F.col("raw")), ids).alias("v")).select("aid", "v.*")
 
 
+def _first_provider(prompt: str) -> str | None:
+    """Answers a third of the orders, refuses a third, has nothing to say of others, and stalls on some."""
+    key = int(prompt)
+    if key % 10_000 == 1:
+        time.sleep(60)
+    if key % 3 == 1:
+        raise ConnectionError(prompt)
+    return f"one {key}" if key % 3 == 0 else None
+
+
+def _second_provider(prompt: str) -> str | None:
+    return None if int(prompt) % 7 == 6 else f"two {prompt}"
+
+
+@query("""SELECT o_orderkey AS aid, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 10000 <> 1 THEN 0 WHEN o_orderkey % 7 <> 6 THEN 1 ELSE -1 END::INTEGER AS provider,
+    CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 10000 <> 1 THEN 'one ' || o_orderkey WHEN o_orderkey % 7 <> 6 THEN 'two ' || o_orderkey ELSE '' END AS raw FROM orders""")
+def model_providers(spark, sf_dir):
+    """Which of two providers, by rule, answers for each order within the deadline."""
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("aid"), F.col("o_orderkey").cast("string").alias("prompt"))
+    return model_policy.ask_providers(asked, (_first_provider, _second_provider), ["aid"], deadline=2.0, attempts=1, parallel=16).select("aid", F.coalesce("provider", F.lit(-1)).alias("provider"), F.coalesce("raw", F.lit("")).alias("raw"))
+
+
 @query(
     """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS client, ts, epoch_us(ts) / 1e6 AS now, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
     f AS (SELECT client, ts, n, [now] AS log, true AS allowed, 0::BIGINT AS retry_after FROM e WHERE n = 1

@@ -25,7 +25,7 @@ EMBEDDINGS, ENTAILMENTS = ("tfidf", "dense"), ("rules", "model")
 class Config:
     """What a run may set. embedding "dense" takes vectors from the encoder (texts to vectors), and TF-IDF where there is none or
     it fails on a claim; entailment "model" has the model (prompts to answers) judge after the rules, which stand where there is
-    none or it fails."""
+    none or it fails. Or there are providers (a prompt to its answer), asked one after the other, each prompt within a deadline."""
 
     top_k: int = 3
     threshold: float = 0.25
@@ -35,6 +35,8 @@ class Config:
     entailment: str = "rules"
     encoder: Callable[[list[str]], object] | None = None
     model: Callable[[list[str]], list[str | None]] | None = None
+    providers: tuple[Callable[[str], str | None], ...] = ()
+    deadline: float = model_policy.DEADLINE
 
     def __post_init__(self) -> None:
         if self.embedding not in EMBEDDINGS or self.entailment not in ENTAILMENTS:
@@ -271,11 +273,12 @@ def picked(rows: DataFrame, keys: list, search: Callable[[], Callable], config:
     return rows.mapInArrow(run, schema)
 
 
-def with_model(results: DataFrame, model: Callable[[list[str]], list[str | None]]) -> DataFrame:
+def with_model(results: DataFrame, config: Config) -> DataFrame:
     """Results with what the model says of each claim and its first passages, where the policy lets it."""
     passages = F.coalesce("evidence", F.array().cast(dict(results.dtypes)["evidence"]))
     asked = results.select("claim_key", model_policy.prompt(F.col("text"), passages).alias("prompt"))
-    said = model_policy.ask(asked, model, ["claim_key"]).select("claim_key", "raw")
+    told = model_policy.ask_providers(asked, config.providers, ["claim_key"], config.deadline) if config.providers else model_policy.ask(asked, config.model, ["claim_key"])
+    said = told.select("claim_key", "raw")
     given = F.transform(F.slice(passages, 1, model_policy.PASSAGES), lambda p, i: F.format_string("E%03d", i + 1))
     both = results.join(cut(said), "claim_key", "left")
     answer = F.when(F.col("raw").isNotNull(), model_policy.validated(model_policy.answer(F.col("raw")), given))
@@ -311,8 +314,8 @@ def verify(claims: DataFrame, chunks: DataFrame, pairs: DataFrame, config: Confi
             "conflict_detected": F.coalesce("conflict_detected", F.lit(False)),
         }
     )
-    if config.entailment == "model" and config.model:
-        results = with_model(results, config.model)
+    if config.entailment == "model" and (config.model or config.providers):
+        results = with_model(results, config)
     return Verification(sources, chunks, claims, evidence, judged, results, rollup.summary(results, ["run_id"]))
 
 
