@@ -27,7 +27,9 @@ from .common import columns, discard, release, staged
 from .induced import Sorter
 
 LENGTH = 50
-GRAM = 16
+#: Bytes of an anchor, whole words of 8. Shorter ones are shared by chance, ever more so in a larger corpus, and what they bring
+#: together is sorted for nothing; longer ones make more and shorter segments.
+GRAM = 24
 #: Windows of a segment, at most.
 SEGMENT = 64
 #: Bytes of text for each shard of fingerprints and segments, unless that makes more than MOST_SHARDS.
@@ -63,7 +65,9 @@ def windows(piece: textkit.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     if n < LENGTH:
         return none, none, none.astype(U64), none
     eight = np.ndarray(n - 7, dtype="<u8", buffer=np.ascontiguousarray(buf), strides=(1,))
-    least = textkit.mix(eight[: n - GRAM + 1] * textkit.GOLDEN ^ eight[8:] * U64(0xD6E8FEB86659FD93))
+    least = np.zeros(n - GRAM + 1, U64)
+    for k in range(0, GRAM, 8):
+        least = textkit.mix(least * U64(0xD6E8FEB86659FD93) + eight[k : k + n - GRAM + 1] * textkit.GOLDEN)
     width, want = 1, LENGTH - GRAM + 1
     while 2 * width <= want:
         least = np.minimum(least[:-width], least[width:])

@@ -149,6 +149,15 @@ def test_induced_sorting(base):
                 assert lcp == n
 
 
+def test_strings_shared_by_chance_bring_no_segments_together():
+    rng = np.random.default_rng(3)
+    own = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    common = own(23)
+    texts = [b"".join(own(40) + common for _ in range(20)).decode() for _ in range(2)]
+    _, _, anchor, doc = substrings.windows(next(textkit.pieces(pa.array(texts))))
+    assert not set(anchor[doc == 0].tolist()) & set(anchor[doc == 1].tolist())
+
+
 def test_windows_cover_every_place():
     texts = ["x" * 49, prose(3, 50), "ab" * 100, "", prose(4, 9)]
     piece = next(textkit.pieces(pa.array(texts)))
