@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,49 @@ def diverse_top_k(scored: DataFrame, top_k: int, claim: list[str], source: str =
     return kept.withColumn("evidence_rank", F.row_number().over(final)).drop("_own", "_sources", "_fill")
 
 
+class Leading:
+    """The pairs of a batch of passages and some claims that the operators above can choose: those that reach the threshold, of
+    every source only the top_k + 1 best (one of its own and top_k that fill up) where top_k is given, and the best at all. A
+    task has one, which remembers each claim's best scores, those of the sources up to HELD numbers. Batches have
+    authority_weight and, with top_k, the source column."""
+
+    #: What rounding of scores to four digits, and of similarities, may change in an order.
+    SCORE_SLACK, SLACK = 2e-4, 1e-5
+    HELD = 4_000_000
+
+    def __init__(self, claims: int, threshold: float, top_k: int | None = None, source: str = "filename"):
+        self.threshold, self.top_k, self.source = threshold, top_k, source
+        self.best = np.full(claims, -np.inf)
+        self.held: dict[str | None, np.ndarray] = {}
+
+    def __call__(self, batch: pa.RecordBatch, near: np.ndarray, lo: int) -> np.ndarray:
+        """A mask over near, the similarities of the batch's rows to the claims from lo on."""
+        weight = batch.column("authority_weight").to_numpy(zero_copy_only=False).astype(float)
+        score = np.clip(near, 0.0, 1.0) * (0.75 + 0.25 * np.clip(weight, 0.5, 1.0))[:, None]
+        best = self.best[lo : lo + near.shape[1]]
+        np.maximum(best, score.max(axis=0), out=best)
+        passing = near >= self.threshold - self.SLACK
+        if self.top_k is not None:
+            sure = np.where(near >= self.threshold + self.SLACK, score, -np.inf)
+            found, most = batch.column(self.source).dictionary_encode(), self.top_k + 1
+            names, of = [*found.dictionary.to_pylist(), None], np.asarray(found.indices.fill_null(-1))
+            by = np.argsort(of, kind="stable")
+            edge = np.append(np.flatnonzero(np.append(True, of[by][1:] != of[by][:-1])), len(by))
+            for a, b in zip(edge, edge[1:]):
+                rows, name = by[a:b], names[of[by[a]]]
+                if name not in self.held and (len(self.held) + 1) * most * len(self.best) <= self.HELD:
+                    self.held[name] = np.full((most, len(self.best)), -np.inf)
+                seen = sure[rows]
+                if name in self.held:
+                    seen = np.concatenate([self.held[name][:, lo : lo + near.shape[1]], seen])
+                if len(seen) >= most:
+                    top = np.partition(seen, len(seen) - most, axis=0)[len(seen) - most :]
+                    passing[rows] &= score[rows] >= top[0] - self.SCORE_SLACK
+                    if name in self.held:
+                        self.held[name][:, lo : lo + near.shape[1]] = top
+        return passing | (score >= best - self.SCORE_SLACK)
+
+
 def retrieve(pairs: DataFrame, top_k: int = 3, threshold: float = 0.25, claim: list[str] | None = None, source: str = "filename", weighted: bool = True) -> DataFrame:
     """Evidence of every claim from scored pairs (claim columns, similarity, authority_weight, chunk_pos, source, ...)."""
     claim = claim or ["claim_id"]

@@ -1,7 +1,9 @@
 """Work that must not grow faster than its tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from evidence_engine.operators import retrieval, similarity
 from evidence_engine.plans import queries
 
 PARTS = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
@@ -25,3 +27,21 @@ def test_parts_alike_are_compared_once(spark, tmp_path):
     assert {(r["p_partkey"], r["other_key"], r["told"]) for r in got} == {(a, b, f"{size(a)}{bound(a)} {size(b)}{bound(b)}") for a in asked for b in range(1001)}
     assert len(got) == 1001 * len(asked)
     assert calls.value <= 49
+
+
+def test_only_pairs_that_retrieval_can_choose_leave_a_task(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"file_{i % 3}", [float(x) for x in v], (1.0, 0.97, 0.94, 0.9)[i % 4]) for i, v in enumerate(rng.normal(size=(3000, 6)).round(1))] + [(3000, "file_0", [0.0] * 6, 1.0)]
+    chunks = spark.createDataFrame(rows, "chunk_key long, filename string, chunk_vec array<double>, authority_weight double").coalesce(2)
+    claims = chunks.where("chunk_key % 50 = 0").select(F.col("chunk_key").alias("claim_key"), F.col("chunk_vec").alias("claim_vec"))
+    scored = lambda df: df.withColumn("chunk_pos", F.col("chunk_key"))
+    everything = similarity.dense_pairs(claims, chunks)
+    for threshold, top_k in ((0.25, 12), (0.8, 3), (1.5, 2)):
+        some = similarity.dense_pairs(claims, chunks, leading=lambda n: retrieval.Leading(n, threshold, top_k))  # noqa: B023
+        want, got = (sorted(map(tuple, retrieval.retrieve(scored(df), top_k, threshold, ["claim_key"]).select("claim_key", "chunk_key", "evidence_rank", "similarity").where("claim_key < 3000").collect())) for df in (everything, some))
+        assert got == want
+        assert some.where("claim_key < 3000").count() < everything.count() / 10
+    alone = similarity.dense_pairs(claims, chunks, leading=lambda n: retrieval.Leading(n, 0.99))
+    ranked = lambda df: scored(df).withColumn("rank_score", retrieval.ranking_score(F.col("similarity"), F.col("authority_weight")))
+    want, got = (sorted(map(tuple, retrieval.above_threshold(ranked(df), 0.99, ["claim_key"]).select("claim_key", "chunk_key").collect())) for df in (everything, alone))
+    assert got == want
