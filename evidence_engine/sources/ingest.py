@@ -16,6 +16,8 @@ from evidence_engine.sources.formats import READERS
 ALLOWED = ("csv", "docx", "htm", "html", "json", "markdown", "md", "pdf", "pptx", "txt", "xlsx")
 PROHIBITED = ("exe", "bat", "cmd", "sh", "py", "php", "js", "vbs", "ps1", "jar", "bin", "dll", "so", "dylib", "msi", "scr", "cgi", "pl", "rb", "elf", "com", "pif", "c", "cpp")
 FILE_BYTES, TOTAL_BYTES, FILES, DRAFT_CHARS = 25 << 20, 50 << 20, 15, 50_000
+#: Bytes of files that are read before their rows leave a task.
+READ_BYTES = 4 << 20
 EMPTY = "Empty document (0 bytes)"
 UNUSABLE = "Unable to process this document. The file may be corrupted or unsupported."
 
@@ -89,11 +91,13 @@ def parse(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = batch.to_dict("records")
-            out = pd.DataFrame([one(r) for r in rows], columns=[*[x.split()[0] for x in SOURCE.split(", ")], "passages"])
-            for c in carried:
-                out[c] = batch[c].to_numpy()
-            yield out
+            # some files at a time, so what they become does not stay in memory for a whole batch
+            before = batch["content"].map(len).cumsum() // READ_BYTES
+            for _, some in batch.groupby(before.to_numpy(), sort=False):
+                out = pd.DataFrame([one(r) for r in some.to_dict("records")], columns=[*[x.split()[0] for x in SOURCE.split(", ")], "passages"])
+                for c in carried:
+                    out[c] = some[c].to_numpy()
+                yield out
 
     return checked.mapInPandas(run, schema)
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from evidence_engine.operators import retrieval, similarity
 from evidence_engine.plans import queries
+from evidence_engine.sources import ingest
 
 PARTS = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
 
@@ -45,3 +46,16 @@ def test_only_pairs_that_retrieval_can_choose_leave_a_task(spark):
     ranked = lambda df: scored(df).withColumn("rank_score", retrieval.ranking_score(F.col("similarity"), F.col("authority_weight")))
     want, got = (sorted(map(tuple, retrieval.above_threshold(ranked(df), 0.99, ["claim_key"]).select("claim_key", "chunk_key").collect())) for df in (everything, alone))
     assert got == want
+
+
+def test_files_leave_a_task_before_its_batch_is_read(spark, monkeypatch):
+    """One batch of a hundred files: no more than a few are held as passages at once."""
+    monkeypatch.setattr(ingest, "READ_BYTES", 1000)
+    files = spark.createDataFrame([(i, f"f{i}.txt", bytearray(b"A line of words.\n" * 20)) for i in range(100)], "doc_id long, filename string, content binary").coalesce(1)
+    taken = {}
+    real = type(files).mapInPandas
+    monkeypatch.setattr(type(files), "mapInPandas", lambda df, run, schema: taken.update(run=run, df=df) or real(df, run, schema))
+    found = ingest.parse(files)
+    sizes = [len(x) for x in taken["run"](iter([taken["df"].toPandas()]))]
+    assert sum(sizes) == 100 and max(sizes) <= 4
+    assert sorted(r["doc_id"] for r in ingest.sources(found).collect()) == list(range(100))
