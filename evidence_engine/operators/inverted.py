@@ -10,10 +10,14 @@ Weights are rounded to nine digits, as in SQL; norms take all terms of a passage
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+from evidence_engine.functions import text
 
 #: Products that are looked at together: passages of a segment times claims.
 CELLS = 2_000_000
@@ -28,36 +32,62 @@ def expanded(first: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[of], size), which
 
 
+def marks_of(words: list[str]) -> np.ndarray:
+    """A number of 64 bits for each word; that of two words may be the same."""
+    return np.frombuffer(b"".join([hashlib.blake2b(w.encode(), digest_size=8).digest() for w in words]), np.uint64)
+
+
 @dataclass
 class Vocabulary:
-    """Every known term and its idf. It is sent once to each executor; a worker makes the table of places when it needs it."""
+    """Terms and their idf, sent once to each executor. Terms are found by their marks, in order, and compared. Words that are not
+    listed have the idf alone, or are left out where that is not given."""
 
     terms: pa.Array
     idf: np.ndarray
-    places: dict[str, int] | None = field(default=None)
-
-    def __getstate__(self):
-        return self.terms, self.idf
-
-    def __setstate__(self, state):
-        self.terms, self.idf = state
-        self.places = None
-
-    def place(self, words: list[str]) -> np.ndarray:
-        """Places of words, -1 for an unknown one."""
-        if self.places is None:
-            self.places = {t: i for i, t in enumerate(self.terms.to_pylist())}
-        return np.array([self.places.get(w, -1) for w in words], dtype=np.int64)
-
-    def weighed(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, place, weight) for the distinct known terms of each list of words, by row and place."""
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-        words = lists.flatten().dictionary_encode()
-        row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64))
-        place = self.place(words.dictionary.to_pylist())[np.asarray(words.indices)] if len(words) else np.zeros(0, np.int64)
-        n = max(1, len(self.idf))
-        key, tf = np.unique((row * n + place)[place >= 0], return_counts=True)
-        return key // n, key % n, np.round(tf * self.idf[key % n], 9)
+    alone: float | None = None
+    marks: np.ndarray = field(init=False)
+    order: np.ndarray = field(init=False)
+    #: Places of terms whose marks are those of others.
+    twins: dict[str, int] = field(init=False)
+
+    def __post_init__(self):
+        step = 1 << 18
+        marks = [marks_of(self.terms.slice(lo, step).to_pylist()) for lo in range(0, len(self.terms), step)]
+        self._arranged(np.concatenate(marks) if marks else np.zeros(0, np.uint64))
+
+    def _arranged(self, marks: np.ndarray) -> None:
+        self.order = np.argsort(marks, kind="stable").astype(np.int32)
+        self.marks = marks[self.order]
+        same = np.zeros(len(marks), bool)
+        same[1:] = self.marks[1:] == self.marks[:-1]
+        same[:-1] |= same[1:]
+        self.twins = {self.terms[int(i)].as_py(): int(i) for i in self.order[same]}
+
+    def place(self, words: pa.Array) -> np.ndarray:
+        """Places of words, -1 for one that is not listed."""
+        if not len(self.marks) or not len(words):
+            return np.full(len(words), -1, np.int64)
+        said = words.to_pylist()
+        marks = marks_of(said)
+        at = np.minimum(np.searchsorted(self.marks, marks), len(self.marks) - 1)
+        place = self.order[at].astype(np.int64)
+        alike = pc.equal(self.terms.take(pa.array(place)), words).to_numpy(zero_copy_only=False)
+        place[~alike.astype(bool)] = -1
+        if self.twins:
+            place = np.array([self.twins.get(w, p) for w, p in zip(said, place)], np.int64)
+        return place
+
+    def weighed(self, terms: text.Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, weight) for the distinct terms of each text, by row and place; words that are not listed have places
+        behind all others."""
+        listed = len(self.idf)
+        place = self.place(terms.words)
+        row, place, tf = terms.counted(np.where(place >= 0, place, listed + np.arange(len(place))), listed + len(place))
+        if self.alone is None:
+            known = place < listed
+            row, place, tf = row[known], place[known], tf[known]
+        idf = np.append(self.idf, self.alone or 0.0)[np.minimum(place, listed)]
+        return row, place, np.round(tf * idf, 9)
 
 
 def lengths(row: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
@@ -70,18 +100,21 @@ class Claims:
 
     def __init__(self, lists: list[list[str]], vocabulary: Vocabulary):
         self.n = len(lists)
-        row, place, weight = vocabulary.weighed(pa.array(lists, pa.list_(pa.string())))
+        row, place, weight = vocabulary.weighed(text.listed_terms(pa.array(lists, pa.list_(pa.string()))))
+        listed = place < len(vocabulary.idf)
+        row, place, weight = row[listed], place[listed], weight[listed]
         self.known, self.term = np.unique(place, return_inverse=True)
         self.claim, self.weight = row, weight / lengths(row, weight, self.n)[row]
         self.key = self.claim * max(1, len(self.known)) + self.term
 
 
 class Segment:
-    """Inverted index of a batch of passages, given their lists of words; only terms of claims have lists."""
+    """Inverted index of a batch of passages, given their terms or lists of words; only terms of claims have lists."""
 
-    def __init__(self, lists: pa.Array, vocabulary: Vocabulary, claims: Claims):
-        row, place, weight = vocabulary.weighed(lists)
-        self.rows, self.claims = len(lists), claims
+    def __init__(self, lists: text.Terms | pa.Array, vocabulary: Vocabulary, claims: Claims):
+        terms = lists if isinstance(lists, text.Terms) else text.listed_terms(lists)
+        row, place, weight = vocabulary.weighed(terms)
+        self.rows, self.claims = terms.texts, claims
         weight = weight / lengths(row, weight, self.rows)[row]
         at = np.minimum(np.searchsorted(claims.known, place), max(0, len(claims.known) - 1))
         asked = claims.known[at] == place if len(claims.known) else np.zeros(len(place), bool)

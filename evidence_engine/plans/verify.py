@@ -70,7 +70,7 @@ CELLS, MATRIX_CELLS = 2_000_000, 4_000_000
 def sparse_pairs(claims: DataFrame, chunks: DataFrame, claim: str = "claim_key", chunk: str = "chunk_key") -> DataFrame:
     """(claim, chunk, similarity) of TF-IDF vectors whose idf is that of the chunks. claims and chunks have their key and text."""
     chunk_counts = similarity.term_counts(chunks, chunk)
-    idf = cut(similarity.inverse_frequencies(similarity.document_frequencies(chunks), chunks.count()))
+    idf = similarity.inverse_frequencies(*similarity.counted_frequencies(chunks))
     a = similarity.weights(similarity.term_counts(claims, claim), idf, claim)
     b = similarity.weights(chunk_counts, idf, chunk)
     return similarity.cosines(a, b, claim, chunk)
@@ -84,12 +84,12 @@ def candidates(claims: DataFrame, chunks: DataFrame, config: Config, claim: str
     Claims are the query side: the terms of a block go to every task, and a block has about BLOCK_TERMS of them. Chunks are read
     once for a block, in one stage; only where there are more terms than a task can know, their weights come from a shuffle.
     """
-    idf = cut(similarity.inverse_frequencies(similarity.document_frequencies(chunks), chunks.count()).select("term", "idf"))
-    vocabulary = similarity.vocabulary(idf)
+    idf = similarity.inverse_frequencies(*similarity.counted_frequencies(chunks))
+    vocabulary = similarity.vocabulary(idf, claims)
     if vocabulary is not None:
         asked = claims.select(claim, text.terms(F.col("text")).alias("terms"))
         total = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
-        rows = chunks.select(chunk, source, "chunk_pos", F.col("authority_weight").cast("double").alias("authority_weight"), text.terms(F.col("text")).alias("terms"))
+        rows = chunks.select(chunk, source, "chunk_pos", F.col("authority_weight").cast("double").alias("authority_weight"), *text.lowered(F.col("text")))
         return blockwise(asked, -(-total // BLOCK_TERMS), claim, lambda block: _by_index(rows, vocabulary, block, config, claim, chunk, source))
     wanted = similarity.weights(similarity.term_counts(claims, claim), idf, claim).groupBy(claim).agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
     wanted = cut(wanted)
@@ -191,7 +191,7 @@ def _by_index(rows: DataFrame, vocabulary: Broadcast, block: list, config: Confi
 
     def search() -> Callable[[pa.RecordBatch, np.ndarray], tuple]:
         asked = inverted.Claims(lists, vocabulary.value)
-        return lambda batch, bound: inverted.Segment(batch.column("terms"), vocabulary.value, asked).reaching(bound)
+        return lambda batch, bound: inverted.Segment(text.batch_terms(batch), vocabulary.value, asked).reaching(bound)
 
     return picked(rows, [r[claim] for r in block], search, config, claim, chunk, source)
 
@@ -221,7 +221,7 @@ def picked(rows: DataFrame, keys: list, search: Callable[[], Callable], config:
     """What retrieval could take of rows for a block of claims: of those that reach the threshold the best of every source and
     top_k more, and a task's best at all. search makes, in a task, the function that gives (row, claim, similarity) of a batch for
     all pairs above 0 that reach the bound of their claim."""
-    kinds, names = dict(rows.dtypes), [chunk, source, "chunk_pos", "authority_weight"]
+    kinds, names, by_terms = dict(rows.dtypes), [chunk, source, "chunk_pos", "authority_weight"], "_low" in rows.columns
     kind = "string" if not keys or isinstance(keys[0], str) else "long"
     schema = f"`{claim}` {kind}, `{chunk}` {kinds[chunk]}, `{source}` {kinds[source]}, chunk_pos {kinds['chunk_pos']}, authority_weight double, similarity double"
     of_key = pa.string() if kind == "string" else pa.int64()
@@ -234,7 +234,7 @@ def picked(rows: DataFrame, keys: list, search: Callable[[], Callable], config:
         score_of, sim_of, pos_of = np.full(n, -np.inf), np.full(n, -np.inf), np.full(n, np.inf)
         best: list[list] = [[None] * n for _ in names]
         passed = np.zeros(n, bool)
-        for batch in batches:
+        for batch in text.slices(batches) if by_terms else batches:
             types = [batch.column(c).type for c in names]
             # a row counts if it reaches the threshold, or, while no row has, the best score so far (of four digits)
             bound = np.where(passed, config.threshold, np.minimum(config.threshold, score_of - 1e-4))
