@@ -8,7 +8,6 @@ from __future__ import annotations
 import queue
 import threading
 import time
-from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -87,52 +86,120 @@ def ask(claims: DataFrame, model: Callable[[list[str]], list[str | None]], run:
     return claims.mapInPandas(answers, schema)
 
 
-def in_time(call: Callable[[str], str | None], prompts: list[str], deadline: float = DEADLINE, parallel: int = PARALLEL) -> list[str | None]:
-    """What call says of each prompt, so many under way at once; null where it fails or is not done by the deadline. A call that
-    stalls is left behind on a thread of its own, which ends with the worker, and its answer is not waited for."""
-    out: list[str | None] = [None] * len(prompts)
-    done: queue.SimpleQueue = queue.SimpleQueue()
+class _Slot:
+    """A thread that asks one prompt after the other; job and since say what it is about."""
 
-    def one(i: int) -> None:
-        try:
-            done.put((i, call(prompts[i])))
-        except Exception:  # whatever a client raises: that prompt alone is without answer
-            done.put((i, None))
-
-    left, under_way = deque(range(len(prompts))), {}
-    while left or under_way:
-        while left and len(under_way) < parallel:
-            i = left.popleft()
-            under_way[i] = time.monotonic() + deadline
-            threading.Thread(target=one, args=(i,), daemon=True).start()
-        try:
-            i, said = done.get(timeout=max(0.0, min(under_way.values()) - time.monotonic()))
-            if under_way.pop(i, None) is not None:
-                out[i] = said
-        except queue.Empty:
-            late = time.monotonic()
-            under_way = {i: until for i, until in under_way.items() if until > late}
-    return out
+    def __init__(self, jobs: queue.SimpleQueue, done: queue.SimpleQueue, deadline: float):
+        self.job, self.since, self.left_behind, self.lock = None, 0.0, False, threading.Lock()
+        threading.Thread(target=self._work, args=(jobs, done, deadline), daemon=True).start()
+
+    def _work(self, jobs: queue.SimpleQueue, done: queue.SimpleQueue, deadline: float) -> None:
+        while (job := jobs.get()) is not None:
+            number, prompt, step, call = job
+            self.since = time.monotonic()
+            self.job = job
+            try:
+                said = call(prompt)
+            except Exception:  # whatever a client raises: that prompt alone is without answer
+                said = None
+            with self.lock:
+                if self.left_behind:
+                    return
+                self.job = None
+            done.put((number, prompt, step, said if time.monotonic() - self.since <= deadline else None))
+
+
+class Callers:
+    """Prompts that are asked of providers in order, so many at once, each call within the deadline. A thread whose call stalls is
+    left behind, and another takes its place; it ends with the call or the worker, and its answer is not waited for."""
+
+    def __init__(self, providers: Sequence[Callable[[str], str | None]], deadline: float, attempts: int, parallel: int):
+        self.providers, self.deadline, self.attempts, self.parallel = providers, deadline, attempts, parallel
+        self.jobs, self.done = queue.SimpleQueue(), queue.SimpleQueue()
+        self.slots: list[_Slot] = []
+        self.open = 0
+
+    def ask(self, number: int, prompt: str, step: int = 0) -> None:
+        """Puts a prompt in line; step counts the calls made for it before."""
+        self.open += step == 0
+        if step >= len(self.providers) * self.attempts:
+            self.done.put((number, prompt, step, None))
+            return
+        self.jobs.put((number, prompt, step, self.providers[step // self.attempts]))
+        if len(self.slots) < self.parallel:
+            self.slots.append(_Slot(self.jobs, self.done, self.deadline))
+
+    def answered(self, left: int = 0) -> dict[int, tuple[str | None, int | None]]:
+        """Answers by number, with the provider's place, until no more than so many prompts are open."""
+        found: dict[int, tuple[str | None, int | None]] = {}
+        while self.open > left:
+            try:
+                number, prompt, step, said = self.done.get(timeout=self.deadline / 10)
+            except queue.Empty:
+                self._leave_stalled()
+                continue
+            if said is None and step + 1 < len(self.providers) * self.attempts:
+                self.ask(number, prompt, step + 1)
+            else:
+                found[number] = (said, None if said is None else step // self.attempts)
+                self.open -= 1
+                if not len(found) % 1000:
+                    self._leave_stalled()
+        return found
+
+    def _leave_stalled(self) -> None:
+        for k, slot in enumerate(self.slots):
+            with slot.lock:
+                job = slot.job
+                slot.left_behind = job is not None and time.monotonic() - slot.since > self.deadline
+            if slot.left_behind:
+                self.done.put((*job[:3], None))
+                self.slots[k] = _Slot(self.jobs, self.done, self.deadline)
+
+    def close(self) -> None:
+        for _ in self.slots:
+            self.jobs.put(None)
+
+
+def in_time(call: Callable[[str], str | None], prompts: list[str], deadline: float = DEADLINE, parallel: int = PARALLEL) -> list[str | None]:
+    """What call says of each prompt, so many under way at once; null where it fails or is not done by the deadline."""
+    callers = Callers([call], deadline, 1, parallel)
+    for i, prompt in enumerate(prompts):
+        callers.ask(i, prompt)
+    found = callers.answered()
+    callers.close()
+    return [found[i][0] for i in range(len(prompts))]
 
 
 def ask_providers(claims: DataFrame, providers: Sequence[Callable[[str], str | None]], run: list[str], deadline: float = DEADLINE, attempts: int = ATTEMPTS, parallel: int = PARALLEL) -> DataFrame:
     """Adds raw and provider to claims (the run columns, prompt): the answer of the first provider, in their order, that gives one
     within the deadline, and its place in the order. A provider is asked so often for what it fails on before the next one is.
-    Null where all fail, for the rules to decide. A prompt that is asked takes providers times attempts times deadline at most."""
+    Null where all fail, for the rules to decide. A prompt that is asked takes providers times attempts times deadline at most.
+    Prompts that stall hold up no others: what is open at a batch's end, parallel rows at most, comes with a later one."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in claims.schema.fields) + ", raw string, provider int"
 
     def answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            prompts = batch["prompt"].tolist()
-            raw: list[str | None] = [None] * len(prompts)
-            by: list[int | None] = [None] * len(prompts)
-            left = list(range(len(prompts)))
-            for place, provider in enumerate(providers):
-                for _ in range(attempts):
-                    for i, said in zip(left, in_time(provider, [prompts[i] for i in left], deadline, parallel)):
-                        if said is not None:
-                            raw[i], by[i] = said, place
-                    left = [i for i in left if raw[i] is None]
-            yield batch.assign(raw=pd.Series(raw, batch.index, dtype=object), provider=pd.Series(by, batch.index, dtype="Int32"))
+        callers, waiting, first = Callers(providers, deadline, attempts, parallel), None, 0
+
+        def told(left: int) -> pd.DataFrame:
+            nonlocal waiting
+            found = callers.answered(left)
+            ready = waiting.index.isin(list(found))
+            rows, waiting = waiting[ready], waiting[~ready]
+            raw, by = zip(*(found[i] for i in rows.index)) if len(rows) else ((), ())
+            return rows.assign(raw=pd.Series(raw, rows.index, dtype=object), provider=pd.Series(by, rows.index, dtype="Int32"))
+
+        try:
+            for batch in batches:
+                batch.index = range(first, first + len(batch))
+                first += len(batch)
+                for i, prompt in zip(batch.index, batch["prompt"].tolist()):
+                    callers.ask(i, prompt)
+                waiting = batch if waiting is None or not len(waiting) else pd.concat([waiting, batch])
+                yield told(parallel)
+            if waiting is not None:
+                yield told(0)
+        finally:
+            callers.close()
 
     return claims.mapInPandas(answers, schema)

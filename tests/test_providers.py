@@ -79,3 +79,27 @@ def test_providers_judge_after_the_rules(spark, broken):
     said = {r["text"]: r["outcome"] for r in verify.verify_files(*demo.package(spark), config=config).results.collect()}
     museum = "The harbour museum sells postcards of lighthouses."
     assert said[museum] == ("UNVERIFIED" if broken else "SUPPORTED") and said["The mooring fee is $90 per week for vessels under 12 metres."] == "REFUTED"
+
+
+def test_stalls_hold_up_no_others(spark):
+    """Ten batches with a prompt each that stalls: the others go on, and no thread is made for a prompt."""
+    threads = spark.sparkContext.accumulator(0)
+
+    def first(prompt):
+        if threading.current_thread() not in seen:
+            seen.add(threading.current_thread())
+            threads.add(1)
+        if int(prompt) % 100 == 7:
+            time.sleep(30)
+        return prompt
+
+    seen = set()
+    df = spark.range(1000).selectExpr("id", "string(id) prompt").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        began = time.monotonic()
+        got = {r["id"]: (r["raw"], r["provider"]) for r in model_policy.ask_providers(df, (first, lambda p: "second " + p), ["id"], deadline=1.5, attempts=1, parallel=16).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert time.monotonic() - began < 10
+    assert got == {i: (f"second {i}", 1) if i % 100 == 7 else (str(i), 0) for i in range(1000)}
