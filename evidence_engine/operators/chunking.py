@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidence_engine.functions import text as text_of
 from evidence_engine.functions.vectorised import vectorised
 from evidence_engine.sources import formats
 
@@ -31,12 +34,6 @@ def paragraphs(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     return whole.select(key, F.row_number().over(Window.partitionBy(key).orderBy("group")).alias("paragraph"), "text")
 
 
-@vectorised("array<struct<text:string,begin:int,end:int>>")
-def packed_sentences(text: pd.Series) -> pd.Series:
-    """Passages of prose: paragraphs, long ones as sentences gathered until they have the target's characters."""
-    return text.map(lambda x: [{k: p[k] for k in ("text", "begin", "end")} for p in formats.prose(x or "", 1, "paragraph", str)])
-
-
 @vectorised("array<string>")
 def sentences(text: pd.Series) -> pd.Series:
     return text.map(lambda x: [s for s, _ in formats.sentences(x or "")])
@@ -49,9 +46,18 @@ def json_leaves(content: pd.Series) -> pd.Series:
 
 
 def prose_chunks(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """(key, chunk_pos, chunk_id, text, begin, end) of packed sentences."""
-    found = docs.select(key, F.posexplode(packed_sentences(column)).alias("chunk_pos", "c"))
-    return found.select(key, "chunk_pos", F.format_string("%d-P1-C%03d", F.col(key), F.col("chunk_pos") + 1).alias("chunk_id"), "c.text", "c.begin", "c.end")
+    """(key, chunk_pos, chunk_id, text, begin, end) of packed sentences: paragraphs, long ones as sentences gathered until they have
+    the target's characters. Passages of some texts leave a task before the next ones are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_of.slices(batches, column):
+            found = [(i, k, p["text"], p["begin"], p["end"]) for i, x in enumerate(batch.column(column).to_pylist()) for k, p in enumerate(formats.prose(x or "", 1, "paragraph", str))]
+            of, *rest = zip(*found) if found else ((),) * 5
+            kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(of, pa.int64())), *map(pa.array, rest, kinds)], [key, "chunk_pos", "text", "begin", "end"])
+
+    found = docs.select(key, column).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, chunk_pos int, text string, begin int, end int")
+    return found.select(key, "chunk_pos", F.format_string("%d-P1-C%03d", F.col(key), F.col("chunk_pos") + 1).alias("chunk_id"), "text", "begin", "end")
 
 
 def sections(docs: DataFrame, key: str, column: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidence_engine.functions import text
-from evidence_engine.operators import inverted, similarity
+from evidence_engine.operators import chunking, inverted, similarity
 from evidence_engine.plans import verify
 from tests.texts import prose
 
@@ -88,3 +88,15 @@ def test_candidates_of_many_terms(spark, monkeypatch, many_terms, listed):
     for (a, d), near in got.items():
         assert near == pytest.approx(sum(x * docs[d][t] for t, x in asked[a].items() if t in docs[d]) / (length(asked[a]) * length(docs[d])), abs=1e-8)
     assert {a for a, _ in got} == {"a", "b"} and ("b", 9) in got
+
+
+def test_passages_leave_a_task_before_its_batch_is_read(spark, monkeypatch):
+    """One batch of a hundred texts: the passages of a few at a time."""
+    monkeypatch.setattr(text, "SLICE_CHARS", 1000)
+    docs = spark.createDataFrame([(i, "A sentence of words. " * 20) for i in range(100)] + [(100, None)], "doc_id long, text string").coalesce(1)
+    taken, real = {}, type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, schema: taken.update(run=run, df=df) or real(df, run, schema))
+    found = chunking.prose_chunks(docs, "doc_id")
+    sizes = [len(set(x.column("doc_id").to_pylist())) for x in taken["run"](iter(taken["df"].toArrow().combine_chunks().to_batches()))]
+    assert sum(sizes) == 100 and max(sizes) <= 3
+    assert found.select("doc_id").distinct().count() == 100
