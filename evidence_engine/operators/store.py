@@ -29,6 +29,8 @@ TABLES = {
 }
 #: Foreign keys: (table, column) to (table, key).
 PARENTS = {("claims", "run_id"): ("runs", "id"), ("evidence", "claim_id"): ("claims", "id"), ("certificates", "run_id"): ("runs", "id")}
+#: New rows of a table whose keys go to every task.
+FEW = 500_000
 
 
 def evidence_rows(lists: DataFrame, claim: str, compat: bool = False) -> DataFrame:
@@ -55,18 +57,29 @@ def totals(runs: DataFrame) -> DataFrame:
     return runs.agg(F.count("*").alias("total"), F.max("id").alias("last_id"))
 
 
-def delete_cascade(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
-    """The tables without the runs of ids (id) and what belongs to them."""
+def delete_cascade(tables: dict[str, DataFrame], ids: DataFrame, few: bool = False) -> dict[str, DataFrame]:
+    """The tables without the runs of ids (id) and what belongs to them; few: their claims go to every task."""
     gone = tables["runs"].join(ids.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("run_id"))
+    gone = F.broadcast(gone) if few else gone
     lost = tables["claims"].join(gone, "run_id", "left_semi").select(F.col("id").alias("claim_id"))
     return {
         "runs": tables["runs"].join(gone.withColumnRenamed("run_id", "id"), "id", "left_anti"),
         "claims": tables["claims"].join(gone, "run_id", "left_anti"),
-        "evidence": tables["evidence"].join(lost, "claim_id", "left_anti"),
+        "evidence": tables["evidence"].join(F.broadcast(lost) if few else lost, "claim_id", "left_anti"),
         "certificates": tables["certificates"].join(gone, "run_id", "left_anti"),
     }
 
 
+def only(tables: dict[str, DataFrame], runs: DataFrame) -> dict[str, DataFrame]:
+    """The tables with no more than a few runs and what belongs to them: nothing of the others is shuffled."""
+    of = F.broadcast(runs.select(F.col("id").alias("run_id")))
+    claims = tables["claims"].join(of, "run_id", "left_semi")
+    return {
+        "runs": runs, "claims": claims, "evidence": tables["evidence"].join(F.broadcast(claims.select(F.col("id").alias("claim_id"))), "claim_id", "left_semi"),
+        "certificates": tables["certificates"].join(of, "run_id", "left_semi"),
+    }
+
+
 def detail(tables: dict[str, DataFrame], run: Column) -> DataFrame:
     """One row for each run that the condition selects, with its claims, their evidence and its certificate."""
     runs = tables["runs"].where(run)
@@ -244,7 +257,7 @@ class Store:
                 return None
             touched = sorted({r["part"] for r in found})
             ids = self.spark.createDataFrame([(r["id"],) for r in found], "id string")
-            return touched, [self._written(delete_cascade({name: self._read(name, touched) for name in TABLES}, F.broadcast(ids)))]
+            return touched, [self._written(delete_cascade({name: self._read(name, touched) for name in TABLES}, F.broadcast(ids), True))]
 
         return self._changed(change)
 
@@ -260,7 +273,10 @@ class Store:
         for name, key in (("runs", "id"), ("claims", "id"), ("evidence", "id"), ("certificates", "certificate_id")):
             if not staged[name].where(F.col(key).isNull()).isEmpty():
                 raise ValueError(f"{name}: a row has no {key}")
-            if not staged[name].groupBy(key).count().where("count > 1").isEmpty() or not staged[name].join(self._read(name, old).select(key), key, "left_semi").isEmpty():
+            own, known = staged[name].select(key), self._read(name, old).select(key)
+            # few new keys are looked for among the old ones where these are
+            both = known.join(F.broadcast(own), key, "left_semi") if own.count() <= FEW else own.join(known, key, "left_semi")
+            if not own.groupBy(key).count().where("count > 1").isEmpty() or not both.isEmpty():
                 raise ValueError(f"{name}: {key} is there already")
         if not staged["runs"].where(~text.safe_id(F.col("certificate_id"))).isEmpty():
             raise ValueError("runs: a certificate_id is malformed")
@@ -279,7 +295,8 @@ class Store:
     def get(self, run: str) -> DataFrame:
         """The run with this id or certificate_id, nested; no row if there is none or the id is malformed."""
         known = text.safe_id(F.lit(run)) & ((F.col("id") == run) | (F.col("certificate_id") == run))
-        return detail(self.tables(), known)
+        tables = self.tables()
+        return detail(only(tables, tables["runs"].where(known)), F.lit(True))
 
     def certificate(self, certificate_id: str, folder: str | None = None) -> DataFrame:
         """raw_json of a certificate: of the store, or else of the files that write_certificates() makes below a folder, or of a

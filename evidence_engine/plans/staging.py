@@ -29,3 +29,10 @@ def cut(df: DataFrame) -> DataFrame:
 def own_folder(spark: SparkSession, name: str) -> str:
     """A new folder of that name in the shared one."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once and read from Parquet files in the shared folder from then on, by the columns and rows that are asked for."""
+    path = own_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

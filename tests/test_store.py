@@ -107,3 +107,26 @@ def test_places_inside_a_folder(spark):
     got = [r[0] for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(text.inside("/data/", F.col("n"))).collect()]
     assert all(p is None or p.startswith("/data/") and "/" not in p[6:] and p[6:] not in ("", ".", "..") for p in got)
     assert got[0] == "/data/a.txt" and got[1] == "/data/passwd" and got[4] == "/data/z.csv"
+
+
+def test_of_one_run_nothing_else_is_shuffled(spark, tmp_path, monkeypatch):
+    """A run that is read or deleted is looked for where the rows are; so are the ids of a small save."""
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    s.save(saved(spark, 1, "a"))
+    s.save(saved(spark, 2, "b"))
+    real, taken = store.detail, {}
+    monkeypatch.setattr(store, "detail", lambda tables, run: taken.update(tables) or real(tables, run))
+    found = s.get("vc_a").first()
+    assert found["id"] == "a" and len(found["claims"]) == 1 and len(found["claims"][0]["evidence"]) == 1 and found["raw_json"]
+    assert {name: df.count() for name, df in taken.items()} == dict.fromkeys(store.TABLES, 1)
+    gone = spark.createDataFrame([("a",)], "id string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (*taken.values(), *store.delete_cascade(s.tables(), F.broadcast(gone), few=True).values()):
+            assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    with pytest.raises(ValueError, match="runs: id is there already"):
+        s.save(saved(spark, 3, "b"))
+    assert ids(s) == ["a", "b"]
