@@ -59,3 +59,11 @@ def test_files_leave_a_task_before_its_batch_is_read(spark, monkeypatch):
     sizes = [len(x) for x in taken["run"](iter([taken["df"].toPandas()]))]
     assert sum(sizes) == 100 and max(sizes) <= 4
     assert sorted(r["doc_id"] for r in ingest.sources(found).collect()) == list(range(100))
+
+
+def test_parts_of_one_file_are_scanned_by_all_tasks(spark, tmp_path):
+    rows = [(i, "n", "b", "SMALL STEEL", 3 + i % 2, 1.0) for i in range(1000)]
+    spark.createDataFrame(rows, PARTS).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    per_task = queries.scanned_quantities(spark, str(tmp_path)).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_distinct("p_partkey").alias("parts")).collect()
+    assert sum(r["n"] for r in per_task) == sum(r["parts"] for r in per_task) == 1000
+    assert len(per_task) == 4 and max(r["n"] for r in per_task) < 300
