@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evidence_engine.functions import text as words_of
+from evidence_engine.functions.text import let
 
 # Number words, months, units, patterns and their precedence.
 NUMBERS = {
@@ -54,11 +55,6 @@ NEAR, BOUND_BEFORE, BOUND_AFTER, OUTLINE_BEFORE, MONEY_AFTER, STATED = 45, 35, 2
 SCHEMA = "array<struct<raw:string,value:double,category:string,unit:string,bound:string,context:array<string>,begin:int,end:int>>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def choice(cases: list[tuple[Column, Column | str]], other: Column) -> Column:
     return reduce(lambda out, case: F.when(case[0], case[1]).otherwise(out), reversed(cases), other)
 

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from evidence_engine.operators import retrieval, similarity
+from evidence_engine.operators import claims, retrieval, similarity
 from evidence_engine.plans import queries
 from evidence_engine.sources import ingest
 
@@ -67,3 +67,13 @@ def test_parts_of_one_file_are_scanned_by_all_tasks(spark, tmp_path):
     per_task = queries.scanned_quantities(spark, str(tmp_path)).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_distinct("p_partkey").alias("parts")).collect()
     assert sum(r["n"] for r in per_task) == sum(r["parts"] for r in per_task) == 1000
     assert len(per_task) == 4 and max(r["n"] for r in per_task) < 300
+
+
+def test_a_draft_is_taken_apart_once(spark):
+    """The split of a text stands once in its expression, not once for each use of a part, within functions over all parts."""
+    drafts = spark.createDataFrame([("a", " ".join(f"Staff number {i} keep records." for i in range(1500)))], "k string, d string")
+    plan = lambda c: drafts.select(c.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan(claims.line_sentences(F.col("d"))).count(claims.BOUNDARY) == 1
+    assert plan(claims.titled_lines(F.col("d"))).count("split(") == 1
+    got = [(r["claim_pos"], r["text"]) for r in claims.from_drafts(drafts, "k", "d").collect()]
+    assert sorted(got) == [(i + 1, f"Staff number {i} keep records.") for i in range(1500)]
