@@ -33,6 +33,20 @@ def test_terms_in_tasks_are_those_of_columns(spark, monkeypatch):
     assert n == len(ODD) and {r["term"]: r["df"] for r in found.collect()} == df_of
 
 
+def test_texts_too_short_for_triples(spark):
+    """One or two letters that are not all ASCII, among others."""
+    rows = list(enumerate(["È.", "é", "É", "ß", "🙂", "🙂x", "Ñ1", "ab", "a", "", None, "È.x", "a longer text é"]))
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    want = {r["id"]: r["terms"] or [] for r in df.select("id", text.terms(F.col("text")).alias("terms")).collect()}
+    found, n = similarity.counted_frequencies(df)
+    assert n == len(rows) and {r["term"]: r["df"] for r in found.collect()} == {t: sum(t in v for v in want.values()) for x in want.values() for t in x}
+    assert {r["id"] for r in similarity.text_norms(df, "id").collect()} == {i for i, v in want.items() if v}
+    claims = spark.createDataFrame([(0, "È.x"), (1, "🙂"), (2, "ab é")], "claim long, text string")
+    asked = {r["claim"]: set(r["terms"]) for r in claims.select("claim", text.terms(F.col("text")).alias("terms")).collect()}
+    pairs = {(r["claim"], r["id"]) for r in similarity.all_cosines(claims, df, "claim", "id").collect()}
+    assert pairs == {(a, i) for a, x in asked.items() for i, v in want.items() if x & set(v)} and len(pairs) > 2
+
+
 def test_marks_that_are_the_same(monkeypatch):
     monkeypatch.setattr(inverted, "marks_of", lambda words: np.array([len(w) for w in words], np.uint64))
     known = inverted.Vocabulary(pa.array(["aa", "b", "cc", "dddd"]), np.arange(4.0))
