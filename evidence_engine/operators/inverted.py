@@ -21,6 +21,8 @@ from evidence_engine.functions import text
 
 #: Products that are looked at together: passages of a segment times claims.
 CELLS = 2_000_000
+#: Digits of similarities.
+DIGITS = 9
 #: What rounding of sums may take away from a bound.
 SLACK = 1e-7
 
@@ -129,17 +131,18 @@ class Segment:
         if len(some):
             self.most[some] = np.maximum.reduceat(self.list_weight, self.of_term[some])
 
-    def reaching(self, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, claim, similarity) of all pairs with a similarity above 0 that reaches their claim's bound."""
+    def reaching(self, bound: np.ndarray, digits: int = DIGITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, claim, similarity) of all pairs with a similarity, rounded to so many digits, above 0 that reaches their claim's
+        bound."""
         out = []
         for lo in range(0, self.claims.n, max(1, CELLS // max(1, self.rows))):
             hi = min(self.claims.n, lo + max(1, CELLS // max(1, self.rows)))
-            out.append(self._reaching(lo, hi, bound))
+            out.append(self._reaching(lo, hi, bound, digits))
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         return tuple(np.concatenate(x) for x in zip(*out))
 
-    def _reaching(self, lo: int, hi: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _reaching(self, lo: int, hi: int, bound: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         c = self.claims
         a, b = np.searchsorted(c.claim, (lo, hi))
         claim, term, weight = c.claim[a:b], c.term[a:b], c.weight[a:b]
@@ -161,13 +164,13 @@ class Segment:
         lists, own = np.diff(self.of_term)[term[rest]].sum(), np.diff(self.of_row)[row].sum()
         if lists <= own:
             more = self._summed(lo, hi, claim[rest], term[rest], weight[rest])
-            similarity = np.round(part[found] + (more[found] if len(more) else 0.0), 9)
+            similarity = np.round(part[found] + (more[found] if len(more) else 0.0), digits)
         else:
             at, which = expanded(self.of_row, row)
             key = of[which] * max(1, len(c.known)) + self.term[at]
             place = np.minimum(np.searchsorted(c.key, key), len(c.key) - 1)
             both = c.key[place] == key if len(c.key) else np.zeros(0, bool)
-            similarity = np.round(np.bincount(which[both], self.weight[at[both]] * c.weight[place[both]], len(found)), 9)
+            similarity = np.round(np.bincount(which[both], self.weight[at[both]] * c.weight[place[both]], len(found)), digits)
         keep = (similarity > 0) & (similarity >= bound[of])
         return row[keep], of[keep], similarity[keep]
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidence_engine.functions import text
 from evidence_engine.operators import chunking, inverted, similarity
-from evidence_engine.plans import verify
+from evidence_engine.plans import queries, verify
 from tests.texts import prose
 
 ODD = [None, "", "a", "ab", "abc", "The the THE a-b $5 x$ -y- a--$b_c d-", "İstanbul ΑΣ ΟΔΟΣ. ǅ", "x" * 49 + "İab rest of it", "é🙂é🙂", "a\x00b\tc\nd", "Ünïcode " * 30, "KK m", "-$-", "tail " * 20 + "İ"]
@@ -92,6 +92,20 @@ def test_cosines_and_norms_of_many_terms(spark, monkeypatch, many_terms, listed)
     assert norms == pytest.approx({d: length(v) for d, v in docs.items() if v}, abs=1e-6)
 
 
+def test_cosines_are_rounded_once(spark, monkeypatch, many_terms, tmp_path):
+    """What the query rounds to 4 digits has not been rounded to 9 before: 0.09545 to 9 digits can be 0.0954499999 to all."""
+    chunks, claims, docs, asked = many_terms
+    items = claims.select(F.ascii("claim_key").cast("long").alias("item_id"), "text")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    chunks.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    found, real = [], similarity.all_cosines
+    monkeypatch.setattr(similarity, "all_cosines", lambda *a, **k: found.append(real(*a, **k)) or found[0])
+    queries.tfidf_cosine(spark, str(tmp_path))
+    got = {(chr(r[0]), r[1]): r[2] for r in found[0].collect()}
+    want = {(a, d): sum(x * v[t] for t, x in w.items() if t in v) / (length(w) * length(v)) for a, w in asked.items() for d, v in docs.items() if set(w) & set(v)}
+    assert got == pytest.approx(want, rel=0, abs=3e-10) and not all(round(x, 9) == x for x in got.values())
+
+
 @pytest.mark.parametrize("listed", [8_000_000, 3])
 def test_candidates_of_many_terms(spark, monkeypatch, many_terms, listed):
     chunks, claims, docs, asked = many_terms
