@@ -1,6 +1,7 @@
 """Work that must not grow faster than its tables."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from evidence_engine.operators import claims, retrieval, similarity
@@ -30,6 +31,30 @@ def test_parts_alike_are_compared_once(spark, tmp_path):
     assert calls.value <= 49
 
 
+@pytest.mark.parametrize("listed", [True, False])
+def test_pairs_of_parts_are_made_last_and_by_all_tasks(spark, tmp_path, monkeypatch, listed):
+    """Kinds of several lists, with lists that are broadcast or joined; 40 kinds of two brands are dealt to many tasks."""
+    rows = [(i, "n", f"b{i % 2}", f"{'SMALL' if i % 5 else 'LARGE'} STEEL", None if i % 97 == 0 else i % 4, 1.0) for i in range(900)] + [(950, "n", None, None, 1, 1.0)]
+    spark.createDataFrame(rows, PARTS).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(queries, "LIST_KEYS", 10, raising=False)
+    if not listed:
+        monkeypatch.setattr(queries, "LISTED_KEYS", 0, raising=False)
+        monkeypatch.setattr(similarity, "BROADCAST_TERMS", 0)
+    same = F.struct(F.col("q")[0]["value"], F.col("q")[0]["context"], F.col("other_q")[0]["value"], F.col("other_q")[0]["context"])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = queries._parts(spark, str(tmp_path), told=same)
+        tasks = found.select("p_partkey", "other_key", F.spark_partition_id().alias("task"), "told").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    said = lambda i: (None if rows[i][4] is None else float(rows[i][4]), [rows[i][2], rows[i][3].split()[0], "item"])
+    got = sorted((r["p_partkey"], r["other_key"], repr(tuple(r["told"]))) for r in tasks)
+    assert got == sorted((a, b, repr((*said(a), *said(b)))) for a in range(0, 900, 50) for b in range(900) if rows[a][2] == rows[b][2])
+    if listed:
+        assert len({r["task"] for r in tasks}) == 16
+
+
 def test_only_pairs_that_retrieval_can_choose_leave_a_task(spark):
     rng = np.random.default_rng(5)
     rows = [(i, f"file_{i % 3}", [float(x) for x in v], (1.0, 0.97, 0.94, 0.9)[i % 4]) for i, v in enumerate(rng.normal(size=(3000, 6)).round(1))] + [(3000, "file_0", [0.0] * 6, 1.0)]
